@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, warc
 from .common import table
 
+#: The rules that op2 is asked for.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
 
 def word_bpe() -> str:
     """Path of the public word-level BPE vocabulary."""
@@ -15,6 +19,23 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source`` is the host and ``lang`` the path below it."""
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled urls are pages whose number is a labelled document's: low quality is to block."""
+    from .url_filter import fit, judge
+
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).cast("int").alias("label"))
+    numbered = pages.select("url", F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    return judge(pages, URL_RULES, fit(numbered.join(labels, "doc_id").select("url", "label")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -45,10 +66,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return index.captures().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    found = [op3_decontaminate, op5_pack, op7_exact_dedup, op8_language, op9_simhash]
+    found = [op1_quality, op2_url_filter, op3_decontaminate, op5_pack, op7_exact_dedup, op8_language, op9_simhash, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
