@@ -42,6 +42,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -72,7 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_decontaminate, op5_pack, op7_exact_dedup, op8_language, op9_simhash, op10_warc]
+    found = [op1_quality, op2_url_filter, op3_decontaminate, op4_line_dedup, op5_pack, op7_exact_dedup, op8_language, op9_simhash, op10_warc]
     return {f.__name__: f for f in found}
 
 
