@@ -54,6 +54,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -78,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_decontaminate, op4_line_dedup, op5_pack, op7_exact_dedup, op8_language, op9_simhash, op10_warc]
+    found = [op1_quality, op2_url_filter, op3_decontaminate, op4_line_dedup, op5_pack, op6_substrings, op7_exact_dedup, op8_language, op9_simhash, op10_warc]
     return {f.__name__: f for f in found}
 
 
