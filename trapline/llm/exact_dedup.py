@@ -72,17 +72,17 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16, levels: int = 2) -> DataFrame
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
     kept = exact_dedup(docs, **options).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
     )
     bare = F.translate(F.coalesce(F.col("text"), F.lit("")), BLANKS, "")
-    marked = docs.withColumn("_digest", F.sha2(bare, 256)).join(
-        kept.withColumnRenamed("_digest", "_kept_digest"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept_digest")),
+    marked = docs.withColumn("__digest", F.sha2(bare, 256)).join(
+        kept.withColumnRenamed("__digest", "__kept_digest"),
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept_digest")),
         "left_semi",
     )
     # rows repeated under one doc_id: the longest original stays, once
-    order = Window.partitionBy("doc_id", "_digest").orderBy(F.char_length("text").desc())
-    return marked.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    order = Window.partitionBy("doc_id", "__digest").orderBy(F.char_length("text").desc())
+    return marked.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -14,7 +14,7 @@ from xxhash import xxh64_intdigest
 from .common import connected_components, written
 
 RADIUS = 3
-#: A leaf with more points than this is split by another level of trees.
+#: A leaf with more points than this is split by another level of trees; 16 at least, so that each block has bits.
 LEAF = 4096
 _MASK64 = (1 << 64) - 1
 #: Vantage points, arbitrary but fixed (multiples of the 64-bit golden ratio).
