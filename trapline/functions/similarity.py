@@ -39,17 +39,27 @@ def edit_sim(a: Column, b: Column) -> Column:
     Each element becomes the character of its place in the pair's own dictionary, so the
     built-in distance does the work.
     """
-    symbols = F.array_distinct(F.concat(a, b))
-    word = lambda x: F.array_join(F.transform(x, lambda e: F.char(F.array_position(symbols, e) + 32)), "")
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(word(a), word(b)) / longest)
+
+    def distance(symbols: Column) -> Column:
+        word = lambda x: F.array_join(F.transform(x, lambda e: F.char(F.array_position(symbols, e) + 32)), "")
+        return F.levenshtein(word(a), word(b))
+
+    # the lambda has the dictionary made once
+    edits = F.get(F.transform(F.array(F.array_distinct(F.concat(a, b))), distance), F.lit(0))
+    return F.when(longest == 0, 1.0).otherwise(1 - edits / longest)
+
+
+def round6(x: Column) -> Column:
+    """To 6 digits; the small addend settles ties alike however the sum was formed."""
+    return F.round(x + 1e-9, 6)
 
 
 def mean_of(*scores: Column) -> Column:
     """The mean of the scores that are not null, to 6 digits; 0 if all are."""
     n = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in scores), F.lit(0))
     total = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0))
-    return F.when(n == 0, 0.0).otherwise(F.round(total / n, 6))
+    return F.when(n == 0, 0.0).otherwise(round6(total / n))
 
 
 def _both(a: Column, b: Column, score: Column) -> Column:
@@ -107,7 +117,7 @@ def weighted(scores: dict[str, Column], cfg: Config = DEFAULT, weights: dict[str
     top = sum((F.coalesce(w[d] * scores[d], F.lit(0.0)) for d in DIMENSIONS), F.lit(0.0))
     bottom = sum((F.when(scores[d].isNotNull(), w[d]).otherwise(0.0) for d in DIMENSIONS), F.lit(0.0))
     used = sum((F.when(scores[d].isNotNull(), 1).otherwise(0) for d in DIMENSIONS), F.lit(0))
-    return F.when(bottom > 0, F.round(top / bottom, 6)).otherwise(0.0), used
+    return F.when(bottom > 0, round6(top / bottom)).otherwise(0.0), used
 
 
 def relationship_hint(timing: Column, sequence: Column, protocol: Column) -> Column:

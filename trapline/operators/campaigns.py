@@ -79,3 +79,55 @@ def gap_days(last_seen: Column, now: Column) -> Column:
 def effective_threshold(last_seen: Column, now: Column, cfg: Config = DEFAULT) -> Column:
     days = gap_days(last_seen, now)
     return F.when(days > 365, cfg.twelve_month_threshold).when(days > 182, cfg.six_month_threshold).otherwise(cfg.auto_threshold)
+
+
+def select_brief(campaigns: DataFrame, n: int, start: str, end: str) -> DataFrame:
+    """Of the newest 4n campaigns the first n live ones last seen within the window, ends included."""
+    newest = campaigns.orderBy(F.desc("last_seen"), "id").limit(4 * n)
+    inside = F.col("last_seen").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    return newest.where(F.col("status").isin("active", "reactivated") & inside).orderBy(F.desc("last_seen"), "id").limit(n)
+
+
+def member_campaigns(members: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """source_ip and campaign of members of campaigns that are not historical."""
+    live = campaigns.where("status <> 'historical'").select(F.col("id").alias("campaign_id"))
+    return members.join(live, "campaign_id", "left_semi").select("source_ip", "campaign_id")
+
+
+def data_quality(campaigns: DataFrame, observations: DataFrame) -> DataFrame:
+    """id and 0..1: confidence .4, observations up to ten .3, share of feature groups .2, any observation .1."""
+    joined = campaigns.join(observation_counts(campaigns, observations), "id")
+    n = F.col("observation_count")
+    score = F.col("confidence") * 0.4 + F.least(n, F.lit(10)) / 10 * 0.3 + F.col("groups") / 5 * 0.2 + F.when(n > 0, 0.1).otherwise(0.0)
+    return joined.select("id", F.round(score, 3).alias("quality"))
+
+
+def recent(campaigns: DataFrame, observations: DataFrame, limit: int = 50) -> DataFrame:
+    """Newest campaigns with their density."""
+    return campaigns.join(density(campaigns, observations), "id").orderBy(F.desc("last_seen"), "id").limit(limit)
+
+
+def detail(campaigns: DataFrame, members: DataFrame, observations: DataFrame) -> DataFrame:
+    """Campaigns with their members, most recently active first, and observations by time."""
+    micros = -F.unix_micros(F.col("last_active").cast("timestamp"))
+    each = members.groupBy(F.col("campaign_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col("source_ip").alias("v")))).alias("m"))
+    seen = observations.groupBy(F.col("campaign_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("observed_at").alias("t"), F.col("id").alias("v")))).alias("o"))
+    return campaigns.join(each, "id", "left").join(seen, "id", "left").withColumns({"members": F.col("m.v"), "observations": F.col("o.v")}).drop("m", "o")
+
+
+def digest(representatives: DataFrame) -> DataFrame:
+    """campaign_id, peak_hour, bursts, steps, services, ports and a line of text that says so."""
+    tod = F.col("timing.tod_histogram")
+    top = F.transform(F.reverse(F.array_sort(F.transform("protocol.service_distribution", lambda e: F.struct(e["share"], e["value"])))), lambda e: e["value"])
+    out = representatives.select(
+        "campaign_id", (F.array_position(tod, F.array_max(tod)) - 1).alias("peak_hour"), (F.col("timing.burst_cv") > 0.5).alias("bursts"),
+        F.size("sequence.port_sequence").alias("steps"), F.array_join(F.slice(top, 1, 3), ", ").alias("services"),
+        F.array_join(F.transform(F.slice("target.top_dst_ports", 1, 5), lambda p: p.cast("string")), ", ").alias("ports"),
+        F.col("timing.interval_mean").alias("_mean"),
+    )
+    line = F.concat_ws(
+        "; ", F.concat(F.lit("interval ~"), F.round("_mean", 1).cast("string"), F.lit(" ms avg")), F.when(F.col("bursts"), "burst activity present"),
+        F.concat(F.lit("peak hour "), F.lpad(F.col("peak_hour").cast("string"), 2, "0"), F.lit(":00 UTC")),
+        F.concat("steps", F.lit("-step port sequence")), F.concat(F.lit("primary services: "), "services"), F.concat(F.lit("top ports: "), "ports"),
+    )
+    return out.withColumn("text", line).drop("_mean")

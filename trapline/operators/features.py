@@ -26,6 +26,11 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _ms(micros: Column) -> Column:
+    """Milliseconds to three digits; the small addend settles ties alike however a sum was formed."""
+    return F.floor(micros + 0.500001) / 1000
+
+
 def sessionize(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
     """Adds ``session`` (from 1) and ``gap_ms``, null at a session's first event.
 
@@ -65,16 +70,17 @@ def timing(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> D
     durations = per.where("n > 1").groupBy(*keys).agg(
         F.round(F.avg(F.col("d") / 1e6), 3).alias("session_mean"), F.round(F.stddev_pop(F.col("d") / 1e6), 3).alias("session_stddev")
     )
-    quantiles = F.percentile("gap_ms", [0.25, 0.75, 0.95])
+    gap = F.col("gap_ms") * 1000
+    quantiles = F.percentile(gap, [0.25, 0.75, 0.95])
     out = marked.groupBy(*keys).agg(
-        F.avg("gap_ms").alias("m"), F.stddev_pop("gap_ms").alias("s"), quantiles.alias("q"), F.count("*").alias("n"),
+        F.avg(gap).alias("m"), F.stddev_pop(gap).alias("s"), quantiles.alias("q"), F.count("*").alias("n"),
         F.array(*(F.count_if(F.hour("ts") == h) for h in range(24))).alias("tod"),
         F.array(*(F.count_if(F.weekday("ts") == d) for d in range(7))).alias("dow"),
     )
     share = lambda c: F.transform(c, lambda x: F.round(x / F.col("n"), 6))
     return out.where("m is not null").join(durations, keys).select(
-        *keys, F.round("m", 3).alias("interval_mean"), F.round("s", 3).alias("interval_stddev"),
-        *(F.round(F.get("q", k), 3).alias(name) for k, name in enumerate(("interval_p25", "interval_p75", "interval_p95"))),
+        *keys, _ms(F.col("m")).alias("interval_mean"), _ms(F.col("s")).alias("interval_stddev"),
+        *(_ms(F.get("q", k)).alias(name) for k, name in enumerate(("interval_p25", "interval_p75", "interval_p95"))),
         "session_mean", "session_stddev", share("tod").alias("tod_histogram"), share("dow").alias("dow_histogram"),
         F.round(F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(0.0), 6).alias("burst_cv"),
     )

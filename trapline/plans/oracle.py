@@ -150,17 +150,18 @@ def features(keys: str = "src_ip", source: str = "pub") -> str:
 {name} AS (SELECT *, round(n / sum(n) OVER (PARTITION BY {keys})::DOUBLE, 6) AS share FROM {name}0)"""
 
     using = f"USING ({keys})"
+    ms = lambda c: f"floor({c} + 0.500001) / 1000"
     return (
         sessions(keys, source)
         + f"""
 , per AS (SELECT {keys}, session, count(*) AS n, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS d FROM marked GROUP BY ALL),
 dur AS (SELECT {keys}, round(avg(d), 3) AS session_mean, round(stddev_pop(d), 3) AS session_stddev FROM per WHERE n > 1 GROUP BY ALL),
 tim AS (
-  SELECT {keys}, avg(gap_ms) AS m, stddev_pop(gap_ms) AS s, quantile_cont(gap_ms, [0.25, 0.75, 0.95]) AS q, count(*) AS n,
+  SELECT {keys}, avg(gap_ms * 1000) AS m, stddev_pop(gap_ms * 1000) AS s, quantile_cont(gap_ms * 1000, [0.25, 0.75, 0.95]) AS q, count(*) AS n,
     [{hours}] AS tod, [{days}] AS dow FROM marked GROUP BY {keys}),
 f_timing AS (
-  SELECT {keys}, round(m, 3) AS interval_mean, round(s, 3) AS interval_stddev, round(q[1], 3) AS interval_p25, round(q[2], 3) AS interval_p75,
-    round(q[3], 3) AS interval_p95, session_mean, session_stddev, list_transform(tod, lambda x: round(x / n::DOUBLE, 6)) AS tod_histogram,
+  SELECT {keys}, {ms('m')} AS interval_mean, {ms('s')} AS interval_stddev, {ms('q[1]')} AS interval_p25, {ms('q[2]')} AS interval_p75,
+    {ms('q[3]')} AS interval_p95, session_mean, session_stddev, list_transform(tod, lambda x: round(x / n::DOUBLE, 6)) AS tod_histogram,
     list_transform(dow, lambda x: round(x / n::DOUBLE, 6)) AS dow_histogram, round(CASE WHEN m > 0 THEN s / m ELSE 0 END, 6) AS burst_cv
   FROM tim JOIN dur {using} WHERE m IS NOT NULL),
 fp0 AS (SELECT {keys}, dst_port, min((ts, id)) AS first FROM {source} WHERE dst_port IS NOT NULL GROUP BY ALL),
@@ -196,8 +197,11 @@ f_target AS (
   FROM rprt GROUP BY {keys}),
 fps0 AS (SELECT {keys}, count(*) AS event_count, max(ts) AS computed_at FROM {source} GROUP BY {keys}),
 fps1 AS (
-  SELECT fps0.*, t AS timing, s AS sequence, p AS protocol, c AS credential, g AS target,
-    1 + (t IS NOT NULL)::INT + (s IS NOT NULL)::INT + (p IS NOT NULL)::INT + (c IS NOT NULL)::INT + (g IS NOT NULL)::INT AS populated
+  SELECT fps0.*, CASE WHEN t.tod_histogram IS NOT NULL THEN t END AS timing, CASE WHEN s.event_type_sequence IS NOT NULL THEN s END AS sequence,
+    CASE WHEN p.service_distribution IS NOT NULL THEN p END AS protocol, CASE WHEN c.credential_count IS NOT NULL THEN c END AS credential,
+    CASE WHEN g.unique_port_count IS NOT NULL THEN g END AS target,
+    1 + (t.tod_histogram IS NOT NULL)::INT + (s.event_type_sequence IS NOT NULL)::INT + (p.service_distribution IS NOT NULL)::INT
+      + (c.credential_count IS NOT NULL)::INT + (g.unique_port_count IS NOT NULL)::INT AS populated
   FROM fps0 LEFT JOIN f_timing t {using} LEFT JOIN f_sequence s {using} LEFT JOIN f_protocol p {using} LEFT JOIN f_credential c {using} LEFT JOIN f_target g {using}),
 fps AS (
   SELECT *, CASE WHEN event_count < 10 THEN round(event_count * (0.19 / 10)::DOUBLE, 4)
@@ -205,3 +209,101 @@ fps AS (
   FROM fps1)
 """
     )
+
+
+def _edit(a: str, b: str) -> str:
+    d = f"list_distinct(list_concat({a}, {b}))"
+    w = lambda x: f"array_to_string(list_transform({x}, lambda e: chr((32 + list_position({d}, e))::INT)), '')"
+    return f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE 1 - levenshtein({w(a)}, {w(b)}) / greatest(len({a}), len({b}))::DOUBLE END)"
+
+
+def _jaccard(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END)"
+
+
+def _hist(p: str, q: str) -> str:
+    half = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+    return f"(1 - list_sum(list_transform(list_zip({p}, {q}), lambda z: ({half('z[1]', 'z[2]')} + {half('z[2]', 'z[1]')}) / 2)))"
+
+
+def _stat(a: str, b: str) -> str:
+    return f"(1 - abs({a} - {b}) / (greatest({a}, {b}) + 1))"
+
+
+def _mean(*parts: str) -> str:
+    return f"coalesce(round(list_avg(list_filter([{', '.join(p + '::DOUBLE' for p in parts)}], lambda v: v IS NOT NULL)) + 1e-9, 6), 0)"
+
+
+def _any(x: str, y: str, score: str) -> str:
+    return f"(CASE WHEN len({x}) > 0 OR len({y}) > 0 THEN {score} END)"
+
+
+def similarities(a: str, b: str) -> str:
+    """SQL: five similarity columns of the structs a and b, which have a field per dimension."""
+    out = []
+    t = [f"{x}.timing" for x in (a, b)]
+    stats = " + ".join(_stat(f"{t[0]}.interval_{k}", f"{t[1]}.interval_{k}") for k in ("mean", "stddev", "p25", "p75", "p95"))
+    timing = _mean(f"(({stats}) / 5)", _hist(f"{t[0]}.tod_histogram", f"{t[1]}.tod_histogram"), _hist(f"{t[0]}.dow_histogram", f"{t[1]}.dow_histogram"), f"(1 - least(abs({t[0]}.burst_cv - {t[1]}.burst_cv), 1.0))")
+    s = [f"{x}.sequence" for x in (a, b)]
+    seq = _mean(*(_any(f"{s[0]}.{c}", f"{s[1]}.{c}", _edit(f"{s[0]}.{c}", f"{s[1]}.{c}")) for c in ("port_sequence", "event_type_sequence", "credential_sequence")))
+    vals = lambda x, d, c: f"list_transform({x}.{d}.{c}, lambda e: e.value)"
+    p = [vals(x, "protocol", "service_distribution") for x in (a, b)]
+    proto = _mean(_any(*p, _jaccard(*p)))
+    u = [vals(x, "credential", "username_class_dist") for x in (a, b)]
+    c = [f"coalesce({x}.credential.credential_sequence, [])" for x in (a, b)]
+    ratios = " + ".join(_stat(f"{a}.credential.{k}::DOUBLE", f"{b}.credential.{k}::DOUBLE") for k in ("has_upper_ratio", "has_lower_ratio", "has_digit_ratio", "has_special_ratio"))
+    cred = _mean(_any(*u, _jaccard(*u)), f"(({ratios}) / 4)", _any(*c, _edit(*c)))
+    g = [f"{x}.target.top_dst_ports" for x in (a, b)]
+    top = [f"{x}[1:10]" for x in g]
+    targ = _mean(_any(*g, _jaccard(*top)), _any(*g, _edit(*g)))
+    for name, expr in zip(("timing", "sequence", "protocol", "credential", "target"), (timing, seq, proto, cred, targ), strict=True):
+        out.append(f"CASE WHEN {a}.{name} IS NOT NULL AND {b}.{name} IS NOT NULL THEN {expr} END AS {name}_similarity")
+    return ",\n  ".join(out)
+
+
+def weighted(suffix: str = "_similarity", weights: dict[str, str] | None = None) -> str:
+    """SQL: the weighted total of five columns."""
+    w = weights or {"timing": "0.20", "sequence": "0.35", "protocol": "0.25", "credential": "0.10", "target": "0.10"}
+    top = " + ".join(f"coalesce({v}::DOUBLE * {d}{suffix}, 0)" for d, v in w.items())
+    bottom = " + ".join(f"CASE WHEN {d}{suffix} IS NOT NULL THEN {v}::DOUBLE ELSE 0 END" for d, v in w.items())
+    return f"CASE WHEN ({bottom}) > 0 THEN round(({top}) / ({bottom}) + 1e-9, 6) ELSE 0 END"
+
+
+_FIVE = "{'timing': timing, 'sequence': sequence, 'protocol': protocol, 'credential': credential, 'target': target}"
+
+#: fps, members, campaigns; rep (campaign_id, b) of campaigns with a fingerprint; scored pairs.
+SCORED = (
+    features()
+    + MEMBERS
+    + f"""
+, last AS (SELECT campaign_id, arg_max(source_ip, (last_active, source_ip)) AS src_ip FROM members GROUP BY 1),
+rep AS (
+  SELECT campaign_id, {_FIVE} AS b FROM last JOIN fps USING (src_ip)
+  WHERE campaign_id IN (SELECT id FROM campaigns WHERE has_fingerprint AND status <> 'historical')),
+cand AS (SELECT src_ip, {_FIVE} AS a, campaign_id, b FROM fps, rep WHERE confidence >= 0.2),
+sims AS (SELECT src_ip, campaign_id, {similarities("a", "b")} FROM cand),
+scored AS (SELECT *, {weighted()} AS score FROM sims)
+"""
+)
+
+#: Weekly snapshots with the campaign of their source; neighbours; stability.
+STABLE = (
+    ", pubw AS (SELECT *, date_trunc('week', ts) AS week FROM pub)"
+    + features("src_ip, week", "pubw")
+    + MEMBERS
+    + f"""
+, hist AS (
+  SELECT campaign_id, src_ip, computed_at, {_FIVE} AS b FROM fps JOIN members ON source_ip = src_ip),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY computed_at, src_ip) AS n FROM hist),
+pairs AS (SELECT *, lag(b) OVER (PARTITION BY campaign_id ORDER BY n) AS a FROM numbered WHERE n <= 200),
+psims AS (SELECT campaign_id, n, {similarities("a", "b")} FROM pairs WHERE n > 1),
+samples AS (SELECT campaign_id, count(*) AS sample_count FROM numbered WHERE n <= 200 GROUP BY 1),
+means AS (
+  SELECT campaign_id, count(*) AS pair_count, {", ".join(f"round(avg({d}_similarity) + 1e-9, 6) AS {d}_stability" for d in ("timing", "sequence", "protocol", "credential", "target"))}
+  FROM psims GROUP BY 1),
+stab AS (
+  SELECT campaign_id, sample_count, coalesce(pair_count, 0) AS pair_count, timing_stability, sequence_stability, protocol_stability, credential_stability, target_stability,
+    {weighted("_stability")} AS composite_score, CASE WHEN sample_count < 2 THEN 'insufficient_data' ELSE 'ok' END AS status
+  FROM samples LEFT JOIN means USING (campaign_id))
+"""
+)
