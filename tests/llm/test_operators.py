@@ -146,6 +146,8 @@ def brute_contamination(rows, items):
             v = words(s)
             if not v or not w:
                 continue
+            if len(v) < 5 and len(w) != len(v):
+                continue
             a = bag(v)
             for k in range(max(1, len(w) - len(v) + 1)):
                 b = bag(w[k : k + len(v)])

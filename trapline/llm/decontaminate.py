@@ -62,8 +62,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     of the shingles, each weighted by how often it occurs, is ``similarity`` or more. The
     best window is reported. Of rows repeated under one doc_id the best counts.
 
-    Null or empty texts and items match nothing. Items and documents of fewer than five
-    words are one shingle. Other columns are ignored.
+    Null or empty texts and items match nothing. An item of fewer than five words is one
+    shingle, which only a document of just those words has. Other columns are ignored.
     """
     items = written(
         benchmark.where("text is not null")
