@@ -157,8 +157,13 @@ def test_lines_match_brute_force(spark):
         if flat[a][2] == flat[b][2] or (min(len(flat[a][2]), len(flat[b][2])) >= 20 and edit_distance(flat[a][2], flat[b][2]) <= 2)
     ]
     root = components(n, near)
-    want = {(i, k): (root[x] != x, flat[root[x]][:2]) for x, (i, k, _) in enumerate(flat)}
-    found = {(r.doc_id, r.line_no): (r.dropped, (r.class_doc, r.class_line)) for r in lines.line_classes(frame(spark, rows, True)).collect()}
+    texts = defaultdict(set)
+    for a, b in near:
+        if flat[a][2] != flat[b][2]:
+            texts[flat[a][2]].add(flat[b][2])
+            texts[flat[b][2]].add(flat[a][2])
+    want = {(i, k): (root[x] != x, flat[root[x]][:2], len(texts[t])) for x, (i, k, t) in enumerate(flat)}
+    found = {(r.doc_id, r.line_no): (r.dropped, (r.class_doc, r.class_line), r.links) for r in lines.line_classes(frame(spark, rows, True)).collect()}
     assert found == want
     per = {r.doc_id: (r.n_lines, r.n_dropped) for r in lines.line_dedup(frame(spark, rows)).collect()}
     assert per[30] == (0, 0) and per[32] == (2, 1) and len(per) == len(rows)

@@ -68,11 +68,11 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line_no, dropped, class_doc, class_line) for every line.
+    """(doc_id, line_no, dropped, class_doc, class_line, links) for every line.
 
     Lines are duplicates if equal or, from ``least_chars`` characters, joined by a chain of
     pairs within ``edits`` edits. The first of a class, by (doc_id, line_no), stays and
-    names it. Empty lines separate paragraphs and are never dropped. Equal lines are
+    names it. ``links`` counts the other texts within ``edits`` edits. Empty lines separate paragraphs and are never dropped. Equal lines are
     merged before anything is compared.
     """
     lines = written(
@@ -83,35 +83,42 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_C
         lines.groupBy("key").agg(first.alias("first"), F.min("line").alias("line"))
         .withColumn("id", F.monotonically_increasing_id())
     )
-    links = edit_links(distinct.where(F.char_length("line") >= least_chars).select("id", "line"), edits)
+    links = written(edit_links(distinct.where(F.char_length("line") >= least_chars).select("id", "line"), edits))
     roots = connected_components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    roots = roots.join(degree, "node", "left")
     classed = distinct.select("id", "key", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
     classed = classed.withColumn("root", F.coalesce("root", "id"))
     best = classed.groupBy("root").agg(F.min("first").alias("best"))
-    named = classed.join(best, "root").select("key", "best")
+    named = classed.join(best, "root").select("key", "best", F.coalesce("links", F.expr("0L")).alias("links"))
     told = lines.select("doc_id", "line_no", "key").join(named, "key")
     return told.select(
         "doc_id", "line_no",
         (~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no")))).alias("dropped"),
-        F.col("best.doc_id").alias("class_doc"), F.col("best.line_no").alias("class_line"),
+        F.col("best.doc_id").alias("class_doc"), F.col("best.line_no").alias("class_line"), "links",
     )
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """One row per document with a line: doc_id, n_lines, n_dropped, dropped_lines.
+    """One row per document: doc_id, n_lines, n_dropped, n_links, dropped_lines, classes.
 
-    ``dropped_lines`` are line numbers from 0, ascending, joined by commas. Repeated rows of
-    a doc_id are one document here. Null doc_ids form one, after all others.
+    ``dropped_lines`` are line numbers from 0, ascending, joined by commas; ``classes`` has
+    for each of them the line that stays, as doc_id:line_no. ``n_links`` adds up the lines'
+    links. Repeated rows of a doc_id are one document here. Null doc_ids form one.
     """
     verdict = line_classes(docs, **options)
-    dropped = F.array_sort(F.collect_list(F.when(F.col("dropped"), F.col("line_no"))))
+    name = F.concat_ws(":", F.coalesce(F.col("class_doc").cast("string"), F.lit("null")), F.col("class_line").cast("string"))
+    dropped = F.array_sort(F.collect_list(F.when(F.col("dropped"), F.struct("line_no", name.alias("name")))))
     found = verdict.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if("dropped").alias("n_dropped"), F.array_join(dropped, ",").alias("dropped_lines")
-    )
-    empty = docs.select("doc_id").distinct().join(found.select("doc_id"), "doc_id", "left_anti")
-    return found.unionByName(
-        empty.select("doc_id", F.expr("0L").alias("n_lines"), F.expr("0L").alias("n_dropped"), F.lit("").alias("dropped_lines"))
+        F.count("*").alias("n_lines"), F.count_if("dropped").alias("n_dropped"), F.sum("links").alias("n_links"), dropped.alias("d")
     )
+    joined = docs.select("doc_id").distinct().join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.expr("0L")).alias(c)
+    text = lambda f: F.coalesce(F.array_join(F.transform("d", f), ","), F.lit(""))
+    return joined.select(
+        "doc_id", zero("n_lines"), zero("n_dropped"), zero("n_links"),
+        text(lambda x: x["line_no"].cast("string")).alias("dropped_lines"), text(lambda x: x["name"]).alias("classes"),
+    )
 
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
