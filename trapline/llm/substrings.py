@@ -18,7 +18,7 @@ GRAM = 32
 #: Text that is sorted at once; whole anchor groups are gathered until it is reached.
 BLOCK_BYTES = 1 << 18
 #: A larger group of one anchor is settled by hashes of its strings, dealt over all tasks.
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 1 << 21
 _STEP = 1 << 22
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,9 +82,13 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     smaller[inside] = text[following[inside]] < text[following[inside] + 1]
     padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])
     direct = np.flatnonzero(smaller)
-    strings = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
-    direct = direct[np.argsort(np.ascontiguousarray(strings).view(f"S{depth}").ravel(), kind="stable")]
+    windows = np.lib.stride_tricks.sliding_window_view(padded, depth)
+    direct = direct[np.argsort(text[direct], kind="stable")]
     bounds = np.searchsorted(text[direct], np.arange(257))
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if high - low > 1:  # one first byte at a time, for the copies of the strings
+            own = direct[low:high]
+            direct[low:high] = own[np.argsort(np.ascontiguousarray(windows[own]).view(f"S{depth}").ravel(), kind="stable")]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     greater = ~smaller
 
