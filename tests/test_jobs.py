@@ -212,6 +212,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert (in_time.count(), late.count()) == (1, 1)
 
 
+def test_profiles_merge_batch_by_batch(spark):
+    geo = {"country_code": F.lit("xx"), "country_name": F.lit(None).cast("string"), "asn": F.col("dst_port"), "asn_org": F.lit("o")}
+    events = frame(spark, range(0, 300, 10)).withColumns(geo).withColumn("norm_type", F.expr("if(id < 'e010', 'port_scan', 'command_exec')")).withColumn("asn", F.substring("id", 2, 3).cast("int"))
+    one_, two = events.where("id < 'e015'"), events.where("id >= 'e015'")
+    merged = jobs.merge_profiles(profiles.source_profiles(one_), two)
+    assert merged.collect() == profiles.source_profiles(events).select(merged.columns).collect()
+    assert jobs.refingerprint(events, two).first().event_count == 30
+
+
+def test_stream_ingest_writes_each_event_once(spark, tmp_path):
+    for _ in range(2):
+        frame(spark, [0, 86400]).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT.replace("timestamp_ntz", "timestamp")).parquet(str(tmp_path / "in"))
+    jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), "3 days").awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_oracles_have_their_queries():
     import __spark_entry__ as entry
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from trapline.operators import features, profiles
+
 
 def per_minute(events: DataFrame) -> DataFrame:
     """(minute, n) in tumbling UTC minutes."""
@@ -41,3 +43,34 @@ def split_late(batch: DataFrame, newest: str, lateness: str = "1 hour") -> tuple
     """(in time, late): late rows are for a side table and a batch run, not lost."""
     bound = F.lit(newest).cast("timestamp_ntz") - F.expr(f"INTERVAL {lateness}")
     return batch.where(F.col("ts") >= bound), batch.where(F.col("ts") < bound)
+
+
+def merge_profiles(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """The next snapshot of source profiles after a batch of new events.
+
+    Counts add up, times widen, tags unite, and the geo columns stay those of the earliest
+    event; the score follows from tags and count. Merging batches one by one gives what
+    :func:`profiles.source_profiles` gives over all of them, as long as times do not tie.
+    """
+    fresh = profiles.source_profiles(batch)
+    geo = ["country_code", "country_name", "asn", "asn_org"]
+    both = snapshot.select(fresh.columns).unionByName(fresh)
+    merged = both.groupBy("ip").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count"),
+        F.min_by(F.struct(*geo), "first_seen").alias("g"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
+    )
+    score = profiles.reputation(F.col("tags"), F.col("event_count")).alias("reputation_score")
+    return merged.select("ip", "first_seen", "last_seen", "event_count", "g.*", "tags", score)
+
+
+def refingerprint(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """New fingerprints of the sources that a batch touched, once each, over all their events."""
+    touched = batch.where("src_ip is not null").select("src_ip").distinct()
+    return features.fingerprints(history.join(touched, "src_ip", "left_semi"))
+
+
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
+    """Writes each new event once, partitioned by day, and stops when all that is there is read."""
+    days = new_events(stream, lateness).withColumn("event_date", F.to_date("ts"))
+    writer = days.writeStream.format("parquet").partitionBy("event_date").outputMode("append")
+    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
