@@ -94,6 +94,16 @@ def test_edit_similarity(spark, a, b, want):
     assert df.select(S.edit_sim(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(want)
 
 
+def test_the_bound_is_never_less(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choices("abcd", k=rng.randrange(8)), rng.choices("abcde", k=rng.randrange(8))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    out = df.select(S.edit_bound(F.col("a"), F.col("b")).alias("high"), S.edit_sim(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(r.high >= r.x - 1e-12 for r in out) and any(r.high > r.x for r in out)
+
+
 def test_small_similarities(spark):
     assert one(spark, S.stat_sim(F.lit(0.0), F.lit(0.0))) == 1.0 and one(spark, S.cv_sim(F.lit(0.0), F.lit(3.0))) == 0.0
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], [])], "p array<double>, q array<double>, e array<double>")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, DIMENSIONS, Config
 
+Edit = Callable[[Column, Column], Column]
+
 
 def stat_sim(a: Column, b: Column) -> Column:
     return 1 - F.abs(a - b) / (F.greatest(a, b) + 1)
@@ -50,6 +54,17 @@ def edit_sim(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - edits / longest)
 
 
+def edit_bound(a: Column, b: Column) -> Column:
+    """At least ``edit_sim``: elements in common, as often as both have them, by the longer length.
+
+    The distance is never less than the longer length minus that overlap.
+    """
+    often = lambda x, e: F.size(F.filter(x, lambda y: y == e))
+    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, e: n + F.least(often(a, e), often(b, e)))
+    longest = F.greatest(F.size(a), F.size(b))
+    return F.when(longest == 0, 1.0).otherwise(common / longest)
+
+
 def round6(x: Column) -> Column:
     """To 6 digits; the small addend settles ties alike however the sum was formed."""
     return F.round(x + 1e-9, 6)
@@ -71,14 +86,14 @@ def _any(x: Column, y: Column, score: Column) -> Column:
     return F.when((F.size(x) > 0) | (F.size(y) > 0), score)
 
 
-def timing_similarity(a: Column, b: Column) -> Column:
+def timing_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
     stats = [stat_sim(a[f"interval_{k}"], b[f"interval_{k}"]) for k in ("mean", "stddev", "p25", "p75", "p95")]
     parts = [sum(stats[1:], stats[0]) / 5, histogram_sim(a["tod_histogram"], b["tod_histogram"]), histogram_sim(a["dow_histogram"], b["dow_histogram"]), cv_sim(a["burst_cv"], b["burst_cv"])]
     return _both(a, b, mean_of(*parts))
 
 
-def sequence_similarity(a: Column, b: Column) -> Column:
-    parts = [_any(a[c], b[c], edit_sim(a[c], b[c])) for c in ("port_sequence", "event_type_sequence", "credential_sequence")]
+def sequence_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
+    parts = [_any(a[c], b[c], edit(a[c], b[c])) for c in ("port_sequence", "event_type_sequence", "credential_sequence")]
     return _both(a, b, mean_of(*parts))
 
 
@@ -86,23 +101,23 @@ def _values(x: Column) -> Column:
     return F.transform(x, lambda e: e["value"])
 
 
-def protocol_similarity(a: Column, b: Column) -> Column:
+def protocol_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
     x, y = _values(a["service_distribution"]), _values(b["service_distribution"])
     return _both(a, b, mean_of(_any(x, y, jaccard(x, y))))
 
 
-def credential_similarity(a: Column, b: Column) -> Column:
+def credential_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
     x, y = _values(a["username_class_dist"]), _values(b["username_class_dist"])
     ratios = [stat_sim(a[c], b[c]) for c in ("has_upper_ratio", "has_lower_ratio", "has_digit_ratio", "has_special_ratio")]
     none = F.array().cast("array<string>")
     p, q = F.coalesce(a["credential_sequence"], none), F.coalesce(b["credential_sequence"], none)
-    return _both(a, b, mean_of(_any(x, y, jaccard(x, y)), sum(ratios[1:], ratios[0]) / 4, _any(p, q, edit_sim(p, q))))
+    return _both(a, b, mean_of(_any(x, y, jaccard(x, y)), sum(ratios[1:], ratios[0]) / 4, _any(p, q, edit(p, q))))
 
 
-def target_similarity(a: Column, b: Column) -> Column:
+def target_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
     x, y = a["top_dst_ports"], b["top_dst_ports"]
     top = lambda p: F.slice(p, 1, 10)
-    return _both(a, b, mean_of(_any(x, y, jaccard(top(x), top(y))), _any(x, y, edit_sim(x, y))))
+    return _both(a, b, mean_of(_any(x, y, jaccard(top(x), top(y))), _any(x, y, edit(x, y))))
 
 
 SIMILARITIES = {

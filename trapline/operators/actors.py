@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, DIMENSIONS, Config
 from trapline.functions.similarity import relationship_hint
-from trapline.operators.clustering import as_struct, compare
+from trapline.operators.clustering import as_struct, compare, hopeful
 
 RELATIONSHIPS = ("primary_campaign", "infrastructure_reuse", "tactic_match", "temporal_overlap")
 
@@ -59,10 +59,11 @@ def campaign_pairs(campaigns: DataFrame, lineage: DataFrame) -> DataFrame:
 
 def suggestions(campaigns: DataFrame, lineage: DataFrame, cfg: Config = DEFAULT, min_score: float | None = None, limit: int | None = None) -> DataFrame:
     """The most similar pairs, with a hint; global weights always."""
-    scored = compare(campaign_pairs(campaigns, lineage), "x", "y", cfg)
+    least = cfg.suggestion_score if min_score is None else min_score
+    scored = compare(hopeful(campaign_pairs(campaigns, lineage), "x", "y", least, cfg), "x", "y", cfg)
     hint = relationship_hint(*(F.col(f"{d}_similarity") for d in DIMENSIONS[:3]))
     return (
-        scored.where(F.col("score") >= (cfg.suggestion_score if min_score is None else min_score)).select("a", "b", "score", hint.alias("hint"))
+        scored.where(F.col("score") >= least).select("a", "b", "score", hint.alias("hint"))
         .orderBy(F.desc("score"), "a", "b").limit(cfg.suggestion_limit if limit is None else limit)
     )
 

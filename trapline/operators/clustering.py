@@ -22,23 +22,30 @@ def representatives(members: DataFrame, fingerprints: DataFrame, cached: DataFra
     return cached.unionByName(own.join(cached.select("campaign_id"), "campaign_id", "left_anti"))
 
 
-def compare(pairs: DataFrame, a: str, b: str, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None) -> DataFrame:
+def compare(pairs: DataFrame, a: str, b: str, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None, edit: S.Edit = S.edit_sim) -> DataFrame:
     """Adds five similarities, ``score`` and ``dimensions_used`` to rows with structs a and b of five groups."""
-    scored = pairs.withColumns({f"{d}_similarity": S.SIMILARITIES[d](F.col(f"{a}.{d}"), F.col(f"{b}.{d}")) for d in DIMENSIONS})
+    scored = pairs.withColumns({f"{d}_similarity": S.SIMILARITIES[d](F.col(f"{a}.{d}"), F.col(f"{b}.{d}"), edit) for d in DIMENSIONS})
     score, used = S.weighted({d: F.col(f"{d}_similarity") for d in DIMENSIONS}, cfg, weights)
     return scored.withColumns({"score": score, "dimensions_used": used})
 
 
+def hopeful(pairs: DataFrame, a: str, b: str, least: float, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None) -> DataFrame:
+    """The pairs whose score can reach ``least``: all that do, by a bound without edit distances."""
+    bound = compare(pairs, a, b, cfg, weights, S.edit_bound)
+    return bound.where(F.col("score") >= least - 1e-5).select(pairs.columns)
+
+
 def as_struct(df: DataFrame, name: str, *keep: Column) -> DataFrame:
     return df.select(*keep, F.struct(*DIMENSIONS).alias(name))
 
 
-def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None, count: int | None = None) -> DataFrame:
+def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None, count: int | None = None, least: float | None = None) -> DataFrame:
     """Every eligible fingerprint against every live campaign.
 
     ``campaigns`` has campaign_id and the five structs. ``profiles`` (campaign_id,
     w_timing, ...) replaces the weights of the campaigns it names. Candidates are
-    broadcast up to a checked count; ``count`` is theirs where the caller has it.
+    broadcast up to a checked count; ``count`` is theirs where the caller has it. With
+    ``least``, pairs that cannot score as much are dropped before edit distances.
     """
     right = as_struct(campaigns, "b", F.col("campaign_id"))
     weights = None
@@ -48,7 +55,10 @@ def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config
     if (campaigns.count() if count is None else count) <= BROADCAST_CAMPAIGNS:
         right = F.broadcast(right)
     left = as_struct(fingerprints.where(F.col("confidence") >= cfg.min_confidence), "a", F.col("src_ip"))
-    return compare(left.crossJoin(right), "a", "b", cfg, weights).drop("a", "b")
+    pairs = left.crossJoin(right)
+    if least is not None:
+        pairs = hopeful(pairs, "a", "b", least, cfg, weights)
+    return compare(pairs, "a", "b", cfg, weights).drop("a", "b")
 
 
 def assign(scored: DataFrame, campaigns: DataFrame, members: DataFrame, now: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -94,7 +104,8 @@ def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT, max_rounds: int =
     base = residue.select("src_ip", order.alias("o"), F.struct(*DIMENSIONS).alias("a")).checkpoint()
     left = base.select(F.col("src_ip").alias("x"), F.col("o").alias("xo"), "a")
     right = base.select(F.col("src_ip").alias("y"), F.col("o").alias("yo"), F.col("a").alias("b"))
-    near = compare(left.join(right, F.col("yo") < F.col("xo")), "a", "b", cfg).where(F.col("score") >= cfg.uncertain_threshold)
+    pairs = hopeful(left.join(right, F.col("yo") < F.col("xo")), "a", "b", cfg.uncertain_threshold, cfg)
+    near = compare(pairs, "a", "b", cfg).where(F.col("score") >= cfg.uncertain_threshold)
     near = near.select("x", "y", "score").checkpoint()
     open_, placed = base.select("src_ip"), None
     for _ in range(max_rounds):

@@ -31,9 +31,9 @@ def _reps(spark, d, fps):
     return K.representatives(A.members(spark, d), fps).join(live, "campaign_id", "left_semi")
 
 
-def _scored(spark, d):
+def _scored(spark, d, least=None):
     fps = _fps(spark, d)
-    return K.score_candidates(fps, _reps(spark, d, fps), count=A.campaigns(spark, d).count())
+    return K.score_candidates(fps, _reps(spark, d, fps), count=A.campaigns(spark, d).count(), least=least)
 
 
 def _history(spark, d):
@@ -312,7 +312,7 @@ assigned AS (SELECT src_ip, campaign_id, score, CASE WHEN score >= CASE WHEN gap
 
 
 def _assigned(spark, d):
-    return K.assign(_scored(spark, d), A.campaigns(spark, d), A.members(spark, d), LATER)
+    return K.assign(_scored(spark, d, DEFAULT.uncertain_threshold), A.campaigns(spark, d), A.members(spark, d), LATER)
 
 
 @register("H17", B + _ASSIGN + "SELECT * FROM assigned")
