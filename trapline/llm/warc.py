@@ -22,6 +22,8 @@ BLOCK = 3000
 FILE_RECORDS = 2000
 #: Groups that one payload's rows are dealt over.
 RUNS = 256
+#: Verdicts on payloads that occur again which are broadcast at most; more are joined by a shuffle.
+BROADCAST_VERDICTS = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -68,11 +70,13 @@ def deduplicated(pages: DataFrame) -> DataFrame:
         "page_id", "url", html.alias("payload"), base32_sha1(html.cast("binary")).alias("payload_digest"),
         F.octet_length(html).cast("long").alias("payload_bytes"), F.pmod(F.xxhash64("page_id"), F.lit(RUNS)).alias("_run"),
     )
-    runs = written(coded.groupBy("_run", "payload_digest").agg(F.min("page_id").alias("_low")))
-    low = runs.groupBy("payload_digest").agg(F.min("_low").alias("_first"))
-    told = runs.select("_run", "payload_digest").join(low, "payload_digest")
-    first = F.col("page_id").eqNullSafe(F.col("_first"))
-    return coded.join(told, ["_run", "payload_digest"]).select(
+    runs = written(coded.groupBy("_run", "payload_digest").agg(F.min("page_id").alias("_low"), F.count("*").alias("_n")))
+    low = runs.groupBy("payload_digest").agg(F.min("_low").alias("_first"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    told = written(runs.select("_run", "payload_digest").join(low, "payload_digest"))
+    # payloads that occur once need no verdict; where the others are few, no page is shuffled
+    hint = F.broadcast if told.count() <= BROADCAST_VERDICTS else (lambda x: x)
+    first = F.col("_first").isNull() | F.col("page_id").eqNullSafe(F.col("_first"))
+    return coded.join(hint(told), ["_run", "payload_digest"], "left").select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes",
         F.when(first, "response").otherwise("revisit").alias("record_type"),
         F.when(~first, F.col("_first")).alias("refers_to"),
