@@ -148,7 +148,9 @@ def line_rows():
     return [*rows, (30, None), (31, ""), (32, "short\nshort\n\n"), (33, "shorty")]
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("crowded", [0, 32])
+def test_lines_match_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(lines, "CROWDED", crowded)
     rows = line_rows()
     flat = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x]
     n = len(flat)

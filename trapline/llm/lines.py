@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
@@ -11,6 +13,13 @@ from .common import connected_components, written
 EDITS = 2
 #: Shorter lines are duplicates only if equal.
 LEAST_CHARS = 20
+#: Different line lengths that are broadcast at most; more are joined by a shuffle.
+BROADCAST_LENGTHS = 100_000
+#: A segment of more lines than this is crowded.
+CROWDED = 32
+#: Numbers of candidate lines that are broadcast at most, to read no other text; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
+_LETTERS = "etaniohs"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -46,25 +55,65 @@ def _segments(edits: int) -> str:
     return f"transform(sequence(0, {edits}), i -> struct(n as l, i as i, {begin} as p, {size} as z))"
 
 
+def _letter_counts(line: str) -> Column:
+    """How often eight frequent letters occur, modulo 16, in four bits each."""
+    count = lambda x: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x)))
+    each = [F.shiftleft(count(x).bitwiseAND(F.lit(15)), 4 * k) for k, x in enumerate(_LETTERS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), each)
+
+
+def _count_difference(a: str, b: str) -> Column:
+    """A lower bound of the letters' differences: each edit adds 2 at most."""
+    nibble = lambda c, k: F.shiftrightunsigned(F.col(c), 4 * k).bitwiseAND(F.lit(15))
+    apart = [F.abs(nibble(a, k) - nibble(b, k)) for k in range(len(_LETTERS))]
+    return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in apart])
+
+
+def _texts(lines: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, x) and (b, y): the lines of some ids, under the names of either side of a pair."""
+    wanted = written(ids.distinct())
+    hint = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
+    found = lines.join(hint(wanted), "id", "left_semi")
+    return tuple(found.select(F.col("id").alias(n), F.col("line").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+
+
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b) ids of the distinct lines (id, line) within ``edits`` edits of each other.
 
     Each line is indexed under its own segments and probes the segments of lines as long
     as it or up to ``edits`` shorter; by the pigeonhole principle a pair within the
-    threshold meets. Candidates are verified by the banded edit distance with that bound.
+    threshold meets. Pairs whose counts of eight letters differ by more than the edits
+    could change go at once. Candidates are verified by the banded edit distance with that bound.
     """
-    sized = lines.withColumn("n", F.char_length("line"))
-    key = lambda s: F.expr(f"transform({s}, s -> xxhash64(s.l, s.i, substring(line, s.p + 1, s.z)))")
-    index = sized.select("id", F.explode_outer(key(_segments(edits))).alias("key"))
-    probe = sized.select("id", F.explode_outer(F.array_distinct(key(_starts(edits)))).alias("key"))
-    pairs = (
-        index.withColumnRenamed("id", "a").join(probe.withColumnRenamed("id", "b"), "key").where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    sized = lines.select("id", "line", F.char_length("line").alias("n"), _letter_counts("line").alias("c"))
+    lengths = written(sized.select("n").distinct())
+    hint = F.broadcast if lengths.count() <= BROADCAST_LENGTHS else (lambda x: x)
+
+    def keys(places: str, name: str) -> DataFrame:
+        found = lengths.select("n", F.expr(places).alias("places"))
+        each = sized.join(hint(found), "n").select("id", "c", "line", F.explode_outer("places").alias("s"))
+        key = F.xxhash64("s.l", "s.i", F.substring("line", F.col("s.p") + 1, F.col("s.z")))
+        return each.select(F.col("id").alias(name), F.col("c").alias(f"c{name}"), key.alias("key"))
+
+    index, probe = keys(_segments(edits), "a"), keys(_starts(edits), "b")
+    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"))
+    few = F.broadcast if crowded.count() <= BROADCAST_LINES else (lambda x: x)
+    possible = (F.col("a") != F.col("b")) & (_count_difference("ca", "cb") <= 2 * edits)
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    # segments that many lines share: their lines' texts come along, and only links leave the join
+    left = written(index.join(few(crowded), "key", "left_semi"))
+    right = written(probe.join(few(crowded), "key", "left_semi"))
+    near = possible & (F.levenshtein("x", "y", edits) >= 0)
+    x, y = _texts(lines, left.select(F.col("a").alias("id")).unionByName(right.select(F.col("b").alias("id"))))
+    links = left.join(x, "a").join(right.join(y, "b"), "key").where(near).select(*ordered)
+
+    index, probe = (each.join(few(crowded), "key", "left_anti") for each in (index, probe))
+    pairs = index.join(probe, "key").where(possible).select(*ordered).distinct()
     pairs = written(pairs)
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", edits) >= 0).select("a", "b")
+    x, y = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    verified = pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y", edits) >= 0).select("a", "b")
+    return verified.unionByName(links).distinct()
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -75,9 +124,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_C
     names it. ``links`` counts the other texts within ``edits`` edits. Empty lines separate paragraphs and are never dropped. Equal lines are
     merged before anything is compared.
     """
-    lines = written(
-        split_lines(docs).withColumn("key", F.unhex(F.md5("line"))).where("line <> ''"), "zstd"
-    )
+    lines = split_lines(docs).where("line <> ''").withColumn("key", F.unhex(F.md5("line")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no"))
     distinct = written(
         lines.groupBy("key").agg(first.alias("first"), F.min("line").alias("line"))
