@@ -180,6 +180,20 @@ def test_contamination_matches_brute_force(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_of_a_passage_altered_at_both_ends(spark):
+    """Words inserted between: the best window begins at a common shingle, not where one is aligned."""
+    item = [f"b{k}" for k in range(59)]
+    passage = ["changed", *item[1:30], "two", "more", *item[30:58], "altered"]
+    body = [f"d{k}" for k in range(200)]
+    rows = [(1, " ".join(body[:80] + passage + body[80:])), (2, " ".join(body[:80] + passage)), (3, " ".join(passage)), (4, " ".join(passage[1:-1])), (5, " ".join(body[:80] + passage[:-1]))]
+    items = [(7, " ".join(item)), (8, "rep " * 30)]
+    rows.append((6, "rep " * 28 + "end " + "rep " * 400))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs_frame(spark, [(i, t, "en", "s") for i, t in rows]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute_contamination(rows, items) >= {(1, 7)}
+    assert {(r.similarity, r.start_word) for r in found if r.doc_id == 1} == {(0.803279, 81)}
+
+
 # URLs
 
 

@@ -52,12 +52,30 @@ def _bag(hashes: str) -> Column:
     return F.expr(f"if(size(array_distinct({hashes})) = size({hashes}), {once}, {repeats})")
 
 
+def _starts(last: Column, similarity: float) -> Column:
+    """Starts of the windows that begin at a matched shingle and match often enough.
+
+    ``ps`` has the sorted places of the document's shingles that the item has too. A window
+    moved right to its first matched shingle, or to the document's end, loses no match, so
+    one of these has the highest similarity of all. Of c matches in bags of x and y shingles
+    the similarity is c / (x + y - c) at most, which gives the matches a window needs; the
+    k-th place and the one that many places on tell whether it has them.
+    """
+    m, n = (F.greatest(F.lit(1), F.col(c) - (SHINGLE - 1)) for c in ("n_words", "n"))
+    least = F.ceil((m + F.least(m, n)) * (similarity / (1 + similarity)) - 1e-6).cast("int")
+    least = F.greatest(F.lit(1), least)
+    begun = F.filter("ps", lambda p, k: (p <= last) & (F.get("ps", k + least - 1) <= p + m - 1))
+    at_end = F.when(F.get("ps", F.size("ps") - least) >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
+    return F.array_union(begun, at_end)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, item_id, similarity, hamming, start_word), one for each document and item it holds.
 
     A window has as many words as the item. Windows stand where one of the item's
-    five-word shingles puts them: without a common shingle no similarity reaches the
-    threshold. The SimHash of each window meets the item's where one of 20 blocks is
+    five-word shingles puts them, and where one begins if enough of them follow: without a
+    common shingle no similarity reaches the threshold, and a window that has them can be
+    moved to begin with one. The SimHash of each window meets the item's where one of 20 blocks is
     equal, which finds all within 19 bits; those count if the weighted Jaccard similarity
     of the shingles, each weighted by how often it occurs, is ``similarity`` or more. The
     best window is reported. Of rows repeated under one doc_id the best counts.
@@ -78,9 +96,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     coded = docs.select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
     rows = coded.select("doc_id", "copy", F.size("w").alias("n"), shingles("w").alias("dh"))
     hits = rows.select("doc_id", "copy", "n", F.posexplode_outer("dh").alias("p", "h")).join(hint(probe), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("n_words")))
-    windows = written(hits.select("doc_id", "copy", "item_id", "n_words", start.alias("s")).distinct())
-    wanted = windows.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("item_id", "n_words", "s")).alias("windows"))
+    last = F.greatest(F.lit(0), F.col("n") - F.col("n_words"))
+    aligned = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), last)).alias("s")
+    placed = hits.select("doc_id", "copy", "item_id", "n", "n_words", "p", aligned).groupBy("doc_id", "copy", "item_id", "n", "n_words").agg(
+        F.collect_set("s").alias("aligned"), F.array_sort(F.collect_set("p")).alias("ps")
+    )
+    windows = written(
+        placed.select("doc_id", "copy", "item_id", "n_words", F.array_union("aligned", _starts(last, similarity)).alias("ss"))
+    )
+    wanted = windows.groupBy("doc_id", "copy").agg(F.flatten(F.collect_set(F.transform("ss", lambda s: F.struct("item_id", "n_words", s.alias("s"))))).alias("windows"))
     again = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").join(wanted, ["doc_id", "copy"])
     again = again.select("doc_id", "windows", words(F.col("text")).alias("w")).select("doc_id", "windows", shingles("w").alias("dh"))
     found = again.select("doc_id", "dh", F.explode_outer("windows").alias("x")).select(
