@@ -239,6 +239,23 @@ def test_stream_ingest_writes_each_event_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_stream_ingest_keeps_late_events_and_knows_old_ids(spark, tmp_path):
+    def run(*frames):
+        for f in frames:
+            f.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENT.replace("timestamp_ntz", "timestamp")).parquet(str(tmp_path / "in"))
+        jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+        return sorted((r.id or "", r.src_ip) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    day = 86400
+    first = [("e000", "45.0.0.1"), ("e001", "45.0.0.1")]
+    assert run(frame(spark, [0, 30 * day])) == first
+    # days late, a known id with a later time, an event without an id
+    late = frame(spark, [5], ip="45.0.0.2", id="late")
+    known = frame(spark, [60 * day], ip="45.0.0.3")
+    assert run(late, known, frame(spark, [7], ip="45.0.0.4", id=None)) == [("", "45.0.0.4"), *first, ("late", "45.0.0.2")]
+
+
 def test_oracles_have_their_queries():
     import __spark_entry__ as entry
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trapline.functions import normalize as N
 
 
-def first_occurrences(batch: DataFrame, known: DataFrame | None = None, order: str = "ts") -> DataFrame:
+def first_occurrences(batch: DataFrame, known: DataFrame | None = None, order: str | Column = "ts") -> DataFrame:
     """The first row of each id, by ``order``, that ``known`` does not have already."""
     first = Window.partitionBy("id").orderBy(order)
     out = batch.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
-from trapline.operators import features, profiles
+from trapline.operators import features, ingest, profiles
 
 
 def per_minute(events: DataFrame) -> DataFrame:
@@ -69,8 +71,24 @@ def refingerprint(history: DataFrame, batch: DataFrame) -> DataFrame:
     return features.fingerprints(history.join(touched, "src_ip", "left_semi"))
 
 
-def stream_ingest(stream: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
-    """Writes each new event once, partitioned by day, and stops when all that is there is read."""
-    days = new_events(stream, lateness).withColumn("event_date", F.to_date("ts"))
-    writer = days.writeStream.format("parquet").partitionBy("event_date").outputMode("append")
-    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, lateness: str | None = None) -> StreamingQuery:
+    """Writes each new event once, partitioned by day, and stops when all that is there is read.
+
+    Each batch is compared with all ids that are stored, so an id never returns and events of
+    any age are written; a batch that is run again adds only what is missing. Events without
+    an id are all kept. ``lateness`` is without effect, as no state has to be bounded. Start
+    with a folder and checkpoint of this job's own: older ones hold a file sink's log.
+    """
+
+    def job(batch: DataFrame, _: int) -> None:
+        kind = StructType([batch.schema["id"]])
+        try:
+            known = batch.sparkSession.read.schema(kind).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None
+        named = ingest.first_occurrences(batch.where("id is not null"), known, F.col("ts").asc_nulls_last())
+        ingest.write_events(named.unionByName(batch.where("id is null")), path)
+
+    return each_batch(stream, job, checkpoint)
