@@ -256,6 +256,20 @@ def test_stream_ingest_keeps_late_events_and_knows_old_ids(spark, tmp_path):
     assert run(late, known, frame(spark, [7], ip="45.0.0.4", id=None)) == [("", "45.0.0.4"), *first, ("late", "45.0.0.2")]
 
 
+def test_addresses_are_redacted_in_all_documents(spark, tmp_path):
+    """The query runs over texts with times, both kinds of address, and nulls."""
+    import hashlib
+    import re
+
+    import __spark_entry__ as entry
+
+    texts = ["at 12:30 from 1.2.3.4", "fe80:0:0:1 and 10.0.0.1, then 12:30", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "x::1 y", "fe80::1", "C++ std::vector", "12:30:45", "a:b", "none", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.has_ip, r.h) for r in entry.queries()["H25"](spark, str(tmp_path)).collect()}
+    want = {k: (None, None) if t is None else (bool(re.search(T.IP, t)), hashlib.sha256(re.sub(T.IP, "[IP REDACTED]", t).encode()).hexdigest()) for k, t in enumerate(texts)}
+    assert found == want and found[2] == (True, hashlib.sha256(b"[IP REDACTED]").hexdigest())
+
+
 def test_oracles_have_their_queries():
     import __spark_entry__ as entry
 

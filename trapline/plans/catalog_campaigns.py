@@ -370,8 +370,7 @@ def sanitized(spark, d):
 
 @register("H25", f"SELECT doc_id, regexp_matches(text, '{T.IPV4}') AS has_ip, sha256(regexp_replace(text, '{T.IPV4}', '[IP REDACTED]', 'g')) AS h FROM documents WHERE NOT contains(text, '::') AND NOT regexp_matches(text, '[0-9a-fA-F]:[0-9a-fA-F]')")
 def redacted(spark, d):
-    docs = A.table(spark, d, "documents").where("not contains(text, '::') and not rlike(text, '[0-9a-fA-F]:[0-9a-fA-F]')")
-    return docs.select("doc_id", T.contains_ip(F.col("text")).alias("has_ip"), F.sha2(T.redact_ips(F.col("text")), 256).alias("h"))
+    return A.table(spark, d, "documents").select("doc_id", T.contains_ip(F.col("text")).alias("has_ip"), F.sha2(T.redact_ips(F.col("text")), 256).alias("h"))
 
 
 @register("H26", f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty_response' WHEN regexp_matches(text, '{T.IPV4}') OR regexp_matches(text, '{T.IPV6}') THEN 'ip_detected' WHEN length(text) > 1000 THEN 'truncated' ELSE 'ok' END AS verdict, strlen(text)::INT AS bytes FROM documents")
