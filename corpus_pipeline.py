@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm import decontaminate, exact_dedup, language, packing, simhash
-from trapline.llm.common import shared_dir, table, written
+from trapline.llm.common import shared_dir, table
 from trapline.llm.queries import word_bpe
 
 #: Documents of a lower score are in no language that the filters know.
@@ -36,8 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(written(found.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

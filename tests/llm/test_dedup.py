@@ -207,6 +207,17 @@ def test_substrings_match_brute_force(spark):
     assert found == brute_substrings(rows)
 
 
+def test_substrings_of_rows_without_an_id(spark):
+    """Rows with a null doc_id are cut and counted like all others."""
+    rows = substring_rows()
+    lost = {1, 4, 7, 11}
+    want = brute_substrings(rows)
+    given = [(None if i in lost else i, t) for i, t in rows]
+    found = substrings.remove_repeats(frame(spark, given)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == Counter((None if i in lost else i, *w) for i, w in want.items())
+    assert sum(r.n_removed > 0 for r in found if r.doc_id is None) == 2
+
+
 def test_large_groups_are_settled_alike(monkeypatch):
     """Without copies of whole texts, the hashes of a large group's strings find the same bytes."""
     import pyarrow as pa

@@ -194,6 +194,19 @@ def test_contamination_of_a_passage_altered_at_both_ends(spark):
     assert {(r.similarity, r.start_word) for r in found if r.doc_id == 1} == {(0.803279, 81)}
 
 
+def test_contamination_of_rows_without_an_id(spark):
+    items = [(1, " ".join(f"b{k}" for k in range(20))), (2, " ".join(f"c{k}" for k in range(15)))]
+    body = " ".join(f"d{k}" for k in range(50))
+    rows = [(None, body), (None, f"{body} {items[0][1]}"), (None, f"{items[1][1]} {body}"), (5, items[0][1]), (6, body), (7, body), (7, items[1][1]), (None, None)]
+    docs = docs_frame(spark, [(i, t, "en", "s") for i, t in rows])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()]
+    assert sorted(found, key=str) == sorted(brute_contamination(rows, items), key=str) and len(found) == 4
+    kept = decontaminate.without_passages(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, body), (6, body), (None, None)], key=str)
+
+
 # URLs
 
 

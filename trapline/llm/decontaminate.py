@@ -69,20 +69,8 @@ def _starts(last: Column, similarity: float) -> Column:
     return F.array_union(begun, at_end)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, item_id, similarity, hamming, start_word), one for each document and item it holds.
-
-    A window has as many words as the item. Windows stand where one of the item's
-    five-word shingles puts them, and where one begins if enough of them follow: without a
-    common shingle no similarity reaches the threshold, and a window that has them can be
-    moved to begin with one. The SimHash of each window meets the item's where one of 20 blocks is
-    equal, which finds all within 19 bits; those count if the weighted Jaccard similarity
-    of the shingles, each weighted by how often it occurs, is ``similarity`` or more. The
-    best window is reported. Of rows repeated under one doc_id the best counts.
-
-    Null or empty texts and items match nothing. An item of fewer than five words is one
-    shingle, which only a document of just those words has. Other columns are ignored.
-    """
+def _matches(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, copy, item_id, similarity, hamming, start_word) of each window that counts."""
     items = written(
         benchmark.where("text is not null")
         .select("item_id", words(F.col("text")).alias("w"))
@@ -105,10 +93,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         placed.select("doc_id", "copy", "item_id", "n_words", F.array_union("aligned", _starts(last, similarity)).alias("ss"))
     )
     wanted = windows.groupBy("doc_id", "copy").agg(F.flatten(F.collect_set(F.transform("ss", lambda s: F.struct("item_id", "n_words", s.alias("s"))))).alias("windows"))
-    again = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").join(wanted, ["doc_id", "copy"])
-    again = again.select("doc_id", "windows", words(F.col("text")).alias("w")).select("doc_id", "windows", shingles("w").alias("dh"))
-    found = again.select("doc_id", "dh", F.explode_outer("windows").alias("x")).select(
-        "doc_id", "x.item_id", "x.s", F.expr(f"slice(dh, x.s + 1, greatest(1, x.n_words - {SHINGLE - 1}))").alias("wh")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.copy") == F.col("r.copy"))
+    again = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").alias("l").join(wanted.alias("r"), same)
+    again = again.select("l.doc_id", "l.copy", "windows", words(F.col("text")).alias("w")).select("doc_id", "copy", "windows", shingles("w").alias("dh"))
+    found = again.select("doc_id", "copy", "dh", F.explode_outer("windows").alias("x")).select(
+        "doc_id", "copy", "x.item_id", "x.s", F.expr(f"slice(dh, x.s + 1, greatest(1, x.n_words - {SHINGLE - 1}))").alias("wh")
     )
     fp = written(found.withColumn("wfp", _simhash("wh")))
     left = fp.select("*", F.posexplode_outer(_blocks("wfp")).alias("b", "v"))
@@ -123,10 +112,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     )
     scored = near.withColumn("x", _bag("wh")).withColumn("y", _bag("ih"))
     common = F.size(F.array_intersect("x", "y"))
-    scored = scored.select(
-        "doc_id", "item_id", (common / (F.size("x") + F.size("y") - common)).alias("similarity"), "hamming", F.col("s").alias("start_word")
+    return scored.select(
+        "doc_id", "copy", "item_id", (common / (F.size("x") + F.size("y") - common)).alias("similarity"), "hamming", F.col("s").alias("start_word")
     ).where(F.col("similarity") >= similarity)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, item_id, similarity, hamming, start_word), one for each document and item it holds.
+
+    A window has as many words as the item. Windows stand where one of the item's
+    five-word shingles puts them, and where one begins if enough of them follow: without a
+    common shingle no similarity reaches the threshold, and a window that has them can be
+    moved to begin with one. The SimHash of each window meets the item's where one of 20 blocks is
+    equal, which finds all within 19 bits; those count if the weighted Jaccard similarity
+    of the shingles, each weighted by how often it occurs, is ``similarity`` or more. The
+    best window is reported. Of rows repeated under one doc_id the best counts.
+
+    Null or empty texts and items match nothing. An item of fewer than five words is one
+    shingle, which only a document of just those words has. Documents without a doc_id are
+    told apart by their text and reported together, as one row an item with a null doc_id.
+    Other columns are ignored.
+    """
+    scored = _matches(docs, benchmark, similarity)
     best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start_word")).alias("s"))).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.h")).alias("hamming"), (-F.col("b.s")).alias("start_word")
     )
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item.
+
+    All rows of a doc_id go if one holds an item; of rows without a doc_id, those that do.
+    """
+    found = _matches(docs, benchmark, similarity)
+    held = written(found.select("doc_id", _own(F.col("doc_id"), F.col("copy")).alias("copy")).distinct())
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (_own(F.col("l.doc_id"), F.xxhash64("l.text")) == F.col("r.copy"))
+    return docs.alias("l").join(held.alias("r"), same, "left_anti").select(docs.columns)
+
+
+def _own(doc_id: Column, copy: Column) -> Column:
+    """What tells rows without a doc_id apart."""
+    return F.when(doc_id.isNull(), copy).otherwise(0)

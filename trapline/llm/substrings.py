@@ -285,6 +285,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.cast("binary").alias("data"), F.sha2(text, 256).alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
 
 
+def _same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left`` (as l) and ``right`` (as r) joined by doc_id, null or not, and the text's digest."""
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text") == F.col("r.text"))
+    return left.alias("l").join(right.alias("r"), same, how)
+
+
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, runs): per document its text's digest, copies and key; per key its repeated runs.
 
@@ -313,7 +319,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = wanted.join(found.select("row", "doc_id", "text"), "row").select(
         "doc_id", "text", F.col("row").alias("key"), F.col("a.code").alias("code"), F.col("a.low").alias("low"), F.col("a.high").alias("high")
     )
-    source = _rows(docs).join(wanted, ["doc_id", "text"]).select("key", "data", "code", "low", "high")
+    source = _same_row(_rows(docs), wanted, "inner").select("key", "data", "code", "low", "high")
     segments = source.mapInArrow(_segments, "code long, piece binary, key long, at array<long>")
     sorted_ = segments.repartition("code").sortWithinPartitions("code").mapInArrow(_sort, _FOUND)
     result = written(sorted_)
@@ -331,7 +337,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Removes each byte of a text's UTF-8 that a 400-byte string covers which also starts
     anywhere else in the corpus or the text. ``kept`` is what remains, null where nothing
-    was removed. Null texts are empty. Repeated rows count as copies of each other.
+    was removed. Null texts are empty. Repeated rows count as copies of each other. A row
+    without a doc_id is a document like any other.
     """
     rows, runs = repeated_spans(docs)
     runs = written(runs.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs")))
@@ -339,15 +346,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     some = rows.where(~copied).join(runs, "key")
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = (
-        _rows(docs).join(some.select("doc_id", F.col("text").alias("text_key"), "runs"), "doc_id").where("text = text_key")
+        _same_row(_rows(docs), some.select("doc_id", "text", "runs"), "inner").select("l.doc_id", F.col("l.text").alias("text_key"), "data", "runs")
         .mapInArrow(_cut, f"doc_id {kind}, text_key string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     )
     empty = F.sha2(F.lit(""), 256)
-    joined = rows.join(cut.withColumnRenamed("text_key", "text"), ["doc_id", "text"], "left")
+    joined = _same_row(rows, cut.withColumnRenamed("text_key", "text"), "left")
     return joined.select(
-        "doc_id", "n_bytes",
+        "l.doc_id", "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.expr("0L"))).alias("n_removed"),
         F.when(copied, F.expr("1L")).otherwise(F.coalesce("n_spans", F.expr("0L"))).alias("n_spans"),
-        F.when(copied, empty).otherwise(F.coalesce("kept_sha256", F.col("text"))).alias("kept_sha256"),
+        F.when(copied, empty).otherwise(F.coalesce("kept_sha256", F.col("l.text"))).alias("kept_sha256"),
         F.when(copied, F.expr("X''")).otherwise(F.col("kept")).alias("kept"),
     )
