@@ -136,8 +136,8 @@ def test_language_of_nothing(spark):
 def brute_contamination(rows, items):
     words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
 
-    def bag(w):
-        return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    def bag(w, size):
+        return Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
 
     out = set()
     for i, t in rows:
@@ -146,11 +146,10 @@ def brute_contamination(rows, items):
             v = words(s)
             if not v or not w:
                 continue
-            if len(v) < 5 and len(w) != len(v):
-                continue
-            a = bag(v)
+            size = min(5, len(v))
+            a = bag(v, size)
             for k in range(max(1, len(w) - len(v) + 1)):
-                b = bag(w[k : k + len(v)])
+                b = bag(w[k : k + len(v)], size)
                 if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
                     out.add((i, j))
     return out
@@ -173,6 +172,8 @@ def test_contamination_matches_brute_force(spark):
             body[at:at] = [*passage[:-1], passage[-1] + "."]
         rows.append((i, "  ".join(body)))
     rows += [(100, None), (101, ""), (102, items[3][1]), (103, "rep, " * 30), (104, items[0][1])]
+    items += [(93, "alpha beta gamma delta"), (94, "solo"), (95, items[0][1]), (95, items[1][1])]
+    rows += [(105, "one two alpha beta gamma delta three four"), (106, "alpha beta gamma"), (107, "a b solo c d e f"), (108, "solo"), (104, "again"), (104, "again")]
     docs = docs_frame(spark, [(i, t, "en", "s") for i, t in rows])
     bench = spark.createDataFrame([(j, s, "z") for j, s in items], "item_id long, text string, copy string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()}
@@ -180,6 +181,25 @@ def test_contamination_matches_brute_force(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_the_radius_loses_no_pair(spark):
+    """Windows at and just above the threshold, of all sizes: the block index against all pairs."""
+    rng = random.Random(12)
+    items, rows = [], []
+    for n in range(5, 65):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for v in range(12):
+            again, many = list(words), n - 4
+            for _ in range(max(1, many // 45 + 1)):
+                again[rng.choice([0, n - 1, rng.randrange(n)])] = f"x{v}y{rng.randrange(9)}"
+            rows.append((100 * n + v, " ".join([f"a{k}" for k in range(v)] + again + [f"b{k}" for k in range(5)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs_frame(spark, [(i, t, "en", "s") for i, t in rows]), bench).collect()
+    want = brute_contamination(rows, items)
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 200
+    assert max(r.hamming for r in found) < decontaminate.RADIUS
+
+
 def test_contamination_of_a_passage_altered_at_both_ends(spark):
     """Words inserted between: the best window begins at a common shingle, not where one is aligned."""
     item = [f"b{k}" for k in range(59)]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,6 +27,12 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
+def in_arrow(df: DataFrame, job: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, once the package is on its way: a plan keeps the files known when it is made."""
+    ship(df.sparkSession)
+    return df.mapInArrow(job, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,12 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` decides; only where it is unset, as in
-    local tests, a temporary folder is used.
+    The session's ``spark.checkpoint.dir`` decides. Only where it is unset and the master is
+    local, as in tests, a temporary folder is used; elsewhere executors would not share it.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/trapline-{uuid.uuid4().hex}"
@@ -44,7 +55,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    ship(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import in_arrow
 
 #: Documents of a language that a fit reads at most, chosen by a hash of doc_id.
 DOCS_PER_LANGUAGE = 3000
@@ -109,7 +109,6 @@ def fit(labelled: DataFrame, size: int = 3, bits: int = 20, per_language: int =
     more than 64 languages raise ValueError. Counts are grouped in Spark; the filter has
     ``2 ** bits`` slots whatever the input.
     """
-    ship(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     languages = [r[0] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).select("lang").collect()]
     if len(languages) > MAX_LANGUAGES:
@@ -130,7 +129,7 @@ def fit(labelled: DataFrame, size: int = 3, bits: int = 20, per_language: int =
                     names=["gram", "lang", "n"],
                 )
 
-    counts = sample.select("lang", "text").mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "text").transform(in_arrow, count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     per_lang = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(per_lang), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
     rated = rate.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("each"))
@@ -143,7 +142,7 @@ def fit(labelled: DataFrame, size: int = 3, bits: int = 20, per_language: int =
             for slot in slots(gram.view(np.uint64), bits):
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mask)], names=["slot", "mask"])
 
-    filled = gram_mask.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    filled = gram_mask.transform(in_arrow, place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     masks = np.zeros(1 << bits, dtype=np.uint64)
     masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
     return LanguageModel(languages, masks, size)
@@ -170,7 +169,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(in_arrow, predict, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
@@ -182,7 +181,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame
             lang, score = shared.value.predict([t or "" for t in part.column("text").to_pylist()])
             yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.transform(in_arrow, choose, docs.schema)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

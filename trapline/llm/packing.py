@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_arrow, written
 
 #: Queues with a share of their own; the sources beyond share one more.
 QUEUES = 1024
@@ -100,7 +100,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
                     names=["doc_id", "source", "tokens", "ids"],
                 )
 
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").mapInArrow(
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").transform(
+        in_arrow,
         encode, f"doc_id {kind}, source string, tokens long, ids binary"
     )
 
@@ -251,7 +252,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, mixture: dict[str,
     ).drop("n")
     order = Window.partitionBy("queue", "part").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, 0)
     placed = queued.join(base, ["queue", "part"]).withColumn("at", F.col("base") + F.sum("tokens").over(order) - F.col("tokens"))
-    return placed.select("doc_id", "source", "queue", "at", "tokens", "ids").mapInArrow(
+    return placed.select("doc_id", "source", "queue", "at", "tokens", "ids").transform(
+        in_arrow,
         cut,
         f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import in_arrow, written
 
 #: Labelled documents that the text classifier reads at most, by a hash of doc_id.
 MAX_LABELLED = 20_000
@@ -43,7 +43,6 @@ def describe(text: str) -> list[float]:
 
 def described(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and ``x``, the text's features. A null text is the empty one."""
-    ship(docs.sparkSession)
     source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
 
@@ -52,7 +51,7 @@ def described(docs: DataFrame, *keep: str) -> DataFrame:
             x = pa.array([describe(t) for t in batch.column(len(keep)).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], x], names=[*keep, "x"])
 
-    return source.mapInArrow(each, f"{schema}, x array<double>")
+    return source.transform(in_arrow, each, f"{schema}, x array<double>")
 
 
 @dataclass
@@ -149,7 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(model.logits(x))], names=["doc_id", "host", "path", "logit"])
 
     kind = schema["doc_id"].dataType.simpleString()
-    scored = described(placed, "doc_id", "host", "path").mapInArrow(score, f"doc_id {kind}, host string, path string, logit double")
+    scored = described(placed, "doc_id", "host", "path").transform(in_arrow, score, f"doc_id {kind}, host string, path string, logit double")
     joined = scored.join(hint(posterior.select("host", "path", "path_quality")), ["host", "path"], "left").join(hint(hosts), "host", "left")
     host_q = F.coalesce("host_quality", F.lit(prior))
     path_q = F.coalesce("path_quality", host_q)

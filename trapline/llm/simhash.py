@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, written
+from .common import connected_components, in_arrow, written
 
 RADIUS = 3
 #: A leaf with more points than this is split by another level of trees; 16 at least, so that each block has bits.
@@ -50,7 +50,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed 64-bit integer. Null text: zero."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").transform(in_arrow, _fingerprints, f"doc_id {kind}, fp long")
 
 
 def blocks(mask: int, parts: int = RADIUS + 1) -> list[int]:
@@ -184,7 +184,8 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
     todo, found = leaves(points), None
     while True:
         step = written(
-            todo.repartition("leaf").sortWithinPartitions("leaf", "mask", "fp").mapInArrow(
+            todo.repartition("leaf").sortWithinPartitions("leaf", "mask", "fp").transform(
+        in_arrow,
                 _link, "todo boolean, a long, b long, mask long"
             )
         )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_arrow, written
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(
-        _rows(docs).mapInArrow(_anchored, f"doc_id {kind}, text string, n_bytes long, code array<long>, first array<long>")
+        _rows(docs).transform(in_arrow, _anchored, f"doc_id {kind}, text string, n_bytes long, code array<long>, first array<long>")
         .withColumn("row", F.monotonically_increasing_id())
     )
     texts = found.groupBy("text").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
@@ -320,8 +320,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc_id", "text", F.col("row").alias("key"), F.col("a.code").alias("code"), F.col("a.low").alias("low"), F.col("a.high").alias("high")
     )
     source = _same_row(_rows(docs), wanted, "inner").select("key", "data", "code", "low", "high")
-    segments = source.mapInArrow(_segments, "code long, piece binary, key long, at array<long>")
-    sorted_ = segments.repartition("code").sortWithinPartitions("code").mapInArrow(_sort, _FOUND)
+    segments = source.transform(in_arrow, _segments, "code long, piece binary, key long, at array<long>")
+    sorted_ = segments.repartition("code").sortWithinPartitions("code").transform(in_arrow, _sort, _FOUND)
     result = written(sorted_)
     large = result.where("kind = 1")
     again = large.groupBy("x", "y").agg(F.min(F.struct("key", "low")).alias("a"), F.max(F.struct("key", "low")).alias("b")).where("a <> b")
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = (
         _same_row(_rows(docs), some.select("doc_id", "text", "runs"), "inner").select("l.doc_id", F.col("l.text").alias("text_key"), "data", "runs")
-        .mapInArrow(_cut, f"doc_id {kind}, text_key string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        .transform(in_arrow, _cut, f"doc_id {kind}, text_key string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     )
     empty = F.sha2(F.lit(""), 256)
     joined = _same_row(rows, cut.withColumnRenamed("text_key", "text"), "left")

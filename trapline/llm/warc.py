@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, written
+from .common import in_arrow, shared_dir, written
 
 #: Captures in one compressed block of the index.
 BLOCK = 3000
@@ -178,7 +178,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record with its file, offset and length; payload digests are checked."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(_scan, _CAPTURE)
+    return files.select("path", "content").transform(in_arrow, _scan, _CAPTURE)
 
 
 @dataclass
@@ -196,7 +196,7 @@ class CaptureIndex:
 
     def captures(self) -> DataFrame:
         """All that the index holds, block by block."""
-        return self.blocks.select("data").mapInArrow(_unpack, f"key string, {_CAPTURE}")
+        return self.blocks.select("data").transform(in_arrow, _unpack, f"key string, {_CAPTURE}")
 
     def lookup(self, urls: DataFrame) -> DataFrame:
         """The captures of the urls (column ``url``): shard, then block, then entry.
@@ -220,11 +220,11 @@ class CaptureIndex:
                     [pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], names=["key", "shard"]
                 )
 
-        keys = urls.select(surt(F.col("url")).alias("key")).distinct().mapInArrow(place, "key string, shard int")
+        keys = urls.select(surt(F.col("url")).alias("key")).distinct().transform(in_arrow, place, "key string, shard int")
         hit = keys.join(self.directory, "shard").where("first_key <= key and key <= last_key").select("shard", "block", "key")
         wanted = hit.groupBy("shard", "block").agg(F.collect_set("key").alias("keys"))
         found = self.blocks.join(wanted.select("shard", "block"), ["shard", "block"], "left_semi").select("data")
-        return found.mapInArrow(_unpack, f"key string, {_CAPTURE}").join(keys.select("key").distinct(), "key", "left_semi")
+        return found.transform(in_arrow, _unpack, f"key string, {_CAPTURE}").join(keys.select("key").distinct(), "key", "left_semi")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,8 @@ def build_index(captures: DataFrame) -> CaptureIndex:
     """
     keyed = captures.withColumn("key", surt(F.col("url"))).select("key", *captures.columns)
     ranged = keyed.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    blocks = ranged.withColumn("shard", F.spark_partition_id()).mapInArrow(
+    blocks = ranged.withColumn("shard", F.spark_partition_id()).transform(
+        in_arrow,
         _pack, "shard int, block int, first_key string, last_key string, n int, data binary"
     )
     return CaptureIndex(written(blocks))
@@ -290,13 +291,12 @@ def fetch(captures: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "payload"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.schema)
-    return captures.mapInArrow(read, f"{schema}, payload binary")
+    return captures.transform(in_arrow, read, f"{schema}, payload binary")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> CaptureIndex:
     """Writes the archives, reads them back and indexes them."""
     spark = pages.sparkSession
-    ship(spark)
     path = path or f"{shared_dir(spark)}-warc"
     write_warc(pages, path)
     return build_index(read_warc(spark, path))
