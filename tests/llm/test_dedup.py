@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from trapline.llm import exact_dedup, lines, simhash, substrings
+from trapline.llm import common, exact_dedup, lines, simhash, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = DOCS + ", row string, `key` string, _n long, fp string, text_sha256 string"
@@ -97,26 +97,65 @@ def test_simhash_matches_brute_force(spark):
     assert found == {i: (f"{codes[i]:016x}", want[i]) for i in range(n)}
 
 
-def test_simhash_splits_large_leaves(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 16)
-    rng = random.Random(5)
+def dense_points(seed):
+    """Five clouds of fingerprints a few bits from their centre, and scattered ones."""
+    rng = random.Random(seed)
     base = [rng.getrandbits(64) for _ in range(5)]
-    points = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(3))) for b in base for _ in range(60)})
-    small = list(simhash._link(iter([])))
-    assert small == []
-    import pyarrow as pa
+    close = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(120)}
+    return sorted(close | {rng.getrandbits(64) for _ in range(200)})
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(points)), pa.array([0] * len(points)), pa.array(np.array(points, np.uint64).view(np.int64))], names=["leaf", "mask", "fp"])
-    todo, links = [batch], []
-    while todo:
-        out = [r for b in simhash._link(iter(todo)) for r in b.to_pylist()]
-        links += [(r["a"], r["b"]) for r in out if not r["todo"]]
-        more = sorted({(r["a"], r["mask"], r["b"]) for r in out if r["todo"]})
-        todo = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*more)], names=["leaf", "mask", "fp"])] if more else []
+
+@pytest.mark.parametrize("leaf", [40, 1 << 20])
+def test_shards_that_are_split_lose_no_link(spark, monkeypatch, leaf):
+    """Small shards are split by further trees, in the tasks as well as in this process."""
+    points = dense_points(leaf)
     number = {simhash._signed(p): k for k, p in enumerate(points)}
-    got = components(len(points), [(number[a], number[b]) for a, b in links])
     want = components(len(points), [(a, b) for a in range(len(points)) for b in range(a) if (points[a] ^ points[b]).bit_count() <= 3])
-    assert got == want
+    one, two = simhash.halves(simhash._MASK64)
+    todo = [(0, simhash._signed(r), simhash._signed(s), p) for r, s in ((one, two), (two, one)) for p in number]
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    links, rounds = [], 0
+    while todo:
+        frame_ = spark.createDataFrame(todo, "leaf long, region long, rest long, fp long")
+        batch = simhash.shards(frame_).sort("leaf", "rest").toArrow().combine_chunks().to_batches()
+        assert {x for b in batch for x in b.column(2).to_pylist()} == {p for *_, p in todo}
+        out = [r for b in simhash._link(iter(batch)) for r in b.to_pylist()]
+        links += [(r["a"], r["b"]) for r in out if not r["todo"]]
+        todo = sorted({(r["a"], r["region"], r["rest"], r["b"]) for r in out if r["todo"]})
+        rounds += 1
+    assert components(len(points), [(number[a], number[b]) for a, b in links]) == want
+    assert (rounds > 1) == (leaf < 100)
+
+
+def test_stars_join_what_many_links_join():
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    points = np.array(sorted({base ^ (1 << rng.randrange(64)) for _ in range(60)} | {base, base ^ 7, base ^ 63}), np.uint64)
+    links = list(simhash.near(points, points[:0]))
+    number = {int(p): k for k, p in enumerate(points)}
+    want = [(a, b) for a in range(len(points)) for b in range(a) if int(points[a] ^ points[b]).bit_count() <= 3]
+    assert components(len(points), [(number[a], number[b]) for a, b in links]) == components(len(points), want)
+
+
+def test_fingerprint_of_a_very_long_text(monkeypatch):
+    """Counts of pieces add up, also where the text's last words fill a piece."""
+    rng = random.Random(14)
+    monkeypatch.setattr(simhash, "_STEP", 64)
+    for n in (63, 64, 65, 66, 67, 128, 130, 1000):
+        text = " ".join(rng.choices(["one", "TWO", "three", "é"], k=n))
+        assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_simhash_of_rows_without_an_id_and_common_texts(spark, monkeypatch):
+    """A text of many rows is dealt over salts; null ids name no component unless alone."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, "the same words here") for i in range(40)] + [(None, "the same words here"), (None, "all alone in this text"), (7, "the same words here")]
+    rows += [(100 + i, f"other {i} words {i * 7} and {i * 13}") for i in range(20)]
+    found = Counter((r.doc_id, r.component_id) for r in simhash.simhash_groups(frame(spark, rows)).collect())
+    codes = [brute_fingerprint(t) for _, t in rows]
+    root = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= 3])
+    low = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in set(root)}
+    assert found == Counter((i, low[root[k]]) for k, (i, _) in enumerate(rows))
 
 
 def test_simhash_of_nothing(spark):

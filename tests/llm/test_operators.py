@@ -248,6 +248,58 @@ def test_rules_and_parts(spark):
     assert [r.verdict for r in judged.orderBy("page_id").collect()] == ["block", "allow"]
 
 
+def brute_url_model(rows, urls):
+    """Ridge logistic regression on the n-grams as text, by Newton steps."""
+
+    def found(url):
+        host, slash, rest = url.partition("://")[2].partition("/")
+        path = (slash + rest).split("?")[0].split("#")[0]
+        out = set()
+        for mark, x in (("h", host), ("p", path)):
+            padded = "^" + re.sub("[0-9]+", "0", x) + "$"
+            out |= {mark + padded[k : k + n] for n in (3, 4) for k in range(len(padded) - n + 1)}
+        return out
+
+    names = sorted(set().union(*(found(u) for u, _ in rows), *(found(u) for u in urls)))
+    design = lambda us: np.array([[1.0] + [float(g in f) for g in names] for f in map(found, us)])
+    a, y = design([u for u, _ in rows]), np.array([float(v) for _, v in rows])
+    w, penalty = np.zeros(a.shape[1]), np.r_[1e-9, np.full(len(names), 0.01)]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag(penalty), a.T @ (y - p) / len(y) - penalty * w)
+    return 1 / (1 + np.exp(-design(urls) @ w))
+
+
+def test_url_scores_match_a_plain_regression(spark):
+    rng = random.Random(3)
+    rows = [(f"http://{rng.choice(['shop', 'news'])}.{rng.choice(['a', 'bb'])}.com/{w}/{rng.randrange(99)}?x=1", int(w == "win" or rng.random() < 0.1)) for w in rng.choices(["win", "art", "docs"], k=120)]
+    urls = ["http://shop.a.com/win/7", "http://news.bb.com/docs/3#y", "http://other.org/art/win", "http://news.a.com/"]
+    model = url_filter.fit(spark.createDataFrame(rows, "url string, label int"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    score = [r.score for r in url_filter.judge(pages, [], model).orderBy("page_id").collect()]
+    assert np.abs(np.array(score) - brute_url_model(rows, urls)).max() < 0.05  # a collision or two
+
+
+def test_many_rules_judge_like_few(spark, monkeypatch):
+    urls = [f"http://{h}{p}" for h in ("a.com", "x.a.com", "b.a.com", "com", "a.org", "") for p in ("", "/", "/en/", "/en/7?q", "/de/en/")] + [None, "x", "http://" + "y" * 100_000 + ".a.com/en/"]
+    rules = [("com/", "block"), ("a.com/en/", "allow"), ("b.a.com/en", "block"), ("a.org/de", "allow"), ("a.com/en/", "block"), ("x.a.com/", "allow")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, urls[3])], "page_id long, url string")
+    few = Counter((r.page_id, r.rule, r.verdict) for r in url_filter.judge(pages, rules, None).collect())
+    monkeypatch.setattr(url_filter, "RULE_COLUMNS", 1)
+    assert Counter((r.page_id, r.rule, r.verdict) for r in url_filter.judge(pages, rules, None).collect()) == few
+    assert sum(few.values()) == len(urls) + 2 and (3, "a.com/en/", "block") in few
+
+
+def test_urls_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], "url string, label int")
+    pages = spark.createDataFrame([(1, "http://a.com/en/"), (None, None)], "page_id long, url string")
+    assert url_filter.fit(none) is None
+    assert {(r.page_id, r.verdict, r.score) for r in url_filter.judge(pages, [("com/en/", "block")], None).collect()} == {(1, "block", None), (None, "allow", None)}
+    assert url_filter.judge(pages.limit(0), [("com/en/", "block")], None).count() == 0
+    one = url_filter.fit(spark.createDataFrame([("http://a.com/", 1)], "url string, label int"))
+    assert url_filter.judge(pages, [], one).count() == 2
+
+
 # quality
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows of one key that a task may have; of large tables a share of all rows, so that hot keys stay few.
+HOT_ROWS = 2000
+HOT_KEYS = 500_000
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, whose Python may not find it otherwise. Once a session."""
@@ -60,6 +64,24 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, spread: list[str]) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, so that no key's rows meet in one task.
+
+    ``counts`` (keys, n) has the left rows of each key. Rows of a key with many are dealt by
+    a hash of ``spread`` over as many salts as it needs; the right row is copied to each.
+    Keys with more than a 500,000th of all rows are fewer than that, so they are broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS + 1)
+    hot = written(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return left.join(right, keys)
+    salts = F.coalesce("_salts", F.lit(1))
+    each = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return each.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node reachable.
 

@@ -1,4 +1,4 @@
-"""Near duplicates: SimHash fingerprints linked through vantage-point trees."""
+"""Near duplicates: SimHash fingerprints linked through vantage-point trees with overlapping shards."""
 
 from __future__ import annotations
 
@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, in_arrow, written
+from .common import connected_components, in_arrow, salted_join, written
 
 RADIUS = 3
-#: A leaf with more points than this is split by another level of trees; 16 at least, so that each block has bits.
-LEAF = 4096
+#: A shard of more rows than this is split by another level of trees.
+LEAF = 32_768
+#: Bits not measured yet that a further split needs: with fewer, points that share a shard are few.
+SPLIT_BITS = 16
 _MASK64 = (1 << 64) - 1
-#: Vantage points, arbitrary but fixed (multiples of the 64-bit golden ratio).
-VANTAGE = [(k * 0x9E3779B97F4A7C15) & _MASK64 for k in range(1, 9)]
+#: Vantage points, arbitrary but fixed (multiples of the 64-bit golden ratio); one a level of a tree.
+VANTAGE = [(k * 0x9E3779B97F4A7C15) & _MASK64 for k in range(1, 5)]
 _STEP = 1 << 16
 
 
@@ -53,42 +55,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_arrow, _fingerprints, f"doc_id {kind}, fp long")
 
 
-def blocks(mask: int, parts: int = RADIUS + 1) -> list[int]:
-    """The bits of ``mask`` in ``parts`` runs of nearly equal size."""
-    bits = [b for b in range(64) if mask >> b & 1]
-    cuts = [len(bits) * k // parts for k in range(parts + 1)]
-    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-
-
-def trees() -> list[int]:
-    """The bits each of the 16 trees measures: a quarter of 64 and a quarter of the other 48.
-
-    Two fingerprints within radius 3 agree on one of four blocks, and on one of four
-    blocks of what is left.
-    """
-    return [one | two for one in blocks(_MASK64) for two in blocks(_MASK64 & ~one)]
+def halves(bits: int) -> tuple[int, int]:
+    """The set bits of a mask in two runs of nearly equal size."""
+    each = [b for b in range(64) if bits >> b & 1]
+    cut = len(each) // 2
+    return sum(1 << b for b in each[:cut]), sum(1 << b for b in each[cut:])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def leaves(points: DataFrame) -> DataFrame:
-    """(leaf, tree, fp): each point's leaf in every tree.
+def shards(points: DataFrame) -> DataFrame:
+    """(leaf, rest, fp, home): the shards of vantage-point trees that each point is in or asks.
 
-    A path in a tree is the row of Hamming distances to its vantage points over the
-    tree's bits. Distances differ by no more than the points do (triangle inequality);
-    in the tree where a pair agrees its paths are equal, so no branch but one can hold
-    a partner and no shard overlaps another.
+    ``points`` has (leaf, region, rest, fp): a shard so far, the bits to measure next and
+    those not measured yet. Of two halves of the bits, one has at most one of a pair's 3
+    differing bits, so each half has a tree of its own with radius 1. A node sends a point
+    to the child of its distance to the level's vantage point over the half's bits. By the
+    triangle inequality a partner's distance differs by at most 1, and by exactly 1 where
+    the half differs (one bit more or less), so a point is at home in one shard and asks
+    just those one ring away at every level; all other branches are pruned. Each pair meets
+    once: the point nearer to the first vantage point asks.
     """
-    each = []
-    for number, mask in enumerate(trees()):
-        path = F.lit(number).cast("long")
-        for vantage in VANTAGE:
-            ring = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(vantage))).bitwiseAND(F.lit(_signed(mask))))
-            path = F.shiftleft(path, 5) + ring
-        each.append(F.struct(path.alias("leaf"), F.lit(_signed(mask)).alias("mask")))
-    return points.select("fp", F.explode(F.array(*each)).alias("t")).select("t.leaf", "t.mask", "fp")
+    path = F.lit(0).cast("long")
+    for vantage in VANTAGE:
+        ring = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(vantage))).bitwiseAND(F.col("region")))
+        path = path * 128 + ring + 1
+    aside = [128**3 + a * 128**2 + b * 128 + c for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)]
+    steps = F.array(*(F.lit(x).cast("long") for x in (0, *aside)))
+    each = points.withColumn("path", path).withColumn("step", F.explode(steps))
+    leaf = F.xxhash64("leaf", "region", F.col("path") + F.col("step"))
+    return each.select(leaf.alias("leaf"), "rest", "fp", (F.col("step") == 0).alias("home"))
 
 
 def stars(points: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -117,61 +115,79 @@ def stars(points: np.ndarray) -> Iterator[tuple[int, int]]:
             rest, ring = rest[keep], ring[keep]
 
 
-_OUT = ["todo", "a", "b", "mask"]
+def near(homes: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join the points of a shard: homes within the radius of each other or of others.
+
+    At most four times as many links as points; where there are more, stars take their place.
+    """
+    points = np.concatenate([homes, others])
+    hit = np.zeros(points.size, dtype=bool)
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+    many = 0
+    for k in range(0, homes.size, 64):
+        own = homes[k : k + 64, None]
+        apart = np.bitwise_count(own ^ points[None, :])
+        x, y = np.nonzero((apart <= RADIUS) & (apart > 0))
+        hit[k + x] = hit[y] = True
+        many += x.size
+        if many <= 4 * points.size:
+            few.append((homes[k + x], points[y]))
+    if many > 4 * points.size:
+        return stars(np.unique(points[hit]))
+    return (pair for a, b in few for pair in zip(a.tolist(), b.tolist(), strict=True))
+
+
+_OUT = ["todo", "a", "b", "region", "rest"]
+_LINKS = "todo boolean, a long, b long, region long, rest long"
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (leaf, mask, fp) to links, or to smaller leaves where one holds over LEAF points."""
+    """(leaf, rest, fp, home), sorted by leaf, to links, or to points of a next level where a shard is too large."""
 
     def out(rows: list) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.bool_(), *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_OUT)
 
-    def close(parts: list[np.ndarray], mask: int, large: bool) -> Iterator[tuple]:
-        points = np.unique(np.concatenate(parts))
-        if not large and points.size > 1:
-            yield from ((False, _signed(x), _signed(y), 0) for x, y in stars(points))
+    def close(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        fp, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if home.any() and fp.size > 1:
+            yield from ((False, _signed(x), _signed(y), 0, 0) for x, y in near(fp[home], fp[~home]))
 
-    def split(points: np.ndarray, leaf: int, mask: int) -> Iterator[tuple]:
-        for block in blocks(_MASK64 & ~mask):
-            codes = (points & np.uint64(block)) ^ np.uint64((leaf * VANTAGE[0] ^ block * VANTAGE[1]) & _MASK64)
-            yield from zip(repeat(True), codes.view(np.int64).tolist(), points.view(np.int64).tolist(), repeat(_signed(mask | block)))
+    def split(fp: np.ndarray, leaf: int, rest: int) -> Iterator[tuple]:
+        one, two = halves(rest & _MASK64)
+        for region, left in ((one, two), (two, one)):
+            yield from zip(repeat(True), repeat(leaf), fp.view(np.int64).tolist(), repeat(_signed(region)), repeat(_signed(left)))
 
     held: tuple[int, int] | None = None
-    parts: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     count, large = 0, False
     for batch in batches:
-        leaf, mask, fp = (batch.column(k).to_numpy() for k in range(3))
+        leaf, rest, fp = (batch.column(k).to_numpy() for k in range(3))
+        home = batch.column(3).to_numpy(zero_copy_only=False)
         fp = fp.view(np.uint64)
-        edge = np.flatnonzero((leaf[1:] != leaf[:-1]) | (mask[1:] != mask[:-1])) + 1
+        edge = np.flatnonzero(leaf[1:] != leaf[:-1]) + 1
         starts, ends = np.r_[0, edge], np.r_[edge, leaf.size]
-        # a leaf of one point links nothing; the first and the last may go on in another batch
-        look = (ends - starts > 1) | (np.arange(starts.size) == 0) | (np.arange(starts.size) == starts.size - 1)
         rows: list = []
-        for x, y in zip(starts[look].tolist(), ends[look].tolist(), strict=True):
-            now = (int(leaf[x]), int(mask[x]))
+        for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+            now = (int(leaf[x]), int(rest[x]))
             if now != held:
                 if parts:
-                    rows += close(parts, held[1] & _MASK64, large)
+                    rows += close(parts)
                 held, parts, count, large = now, [], 0, False
-            part = np.unique(fp[x:y])
             if large:
-                rows += split(part, now[0], now[1] & _MASK64)
+                rows += split(fp[x:y], *now)
                 continue
-            parts.append(part)
-            count += part.size
-            if count > LEAF:
-                parts = [np.unique(np.concatenate(parts))]
-                count = parts[0].size
-                if count > LEAF:
-                    large = True
-                    rows += split(parts[0], now[0], now[1] & _MASK64)
-                    parts = [parts[0][:1]]
+            parts.append((fp[x:y], home[x:y]))
+            count += y - x
+            if count > LEAF and (now[1] & _MASK64).bit_count() >= SPLIT_BITS:
+                large = True
+                rows += split(np.concatenate([p for p, _ in parts]), *now)
+                parts = []
         if rows:
             yield out(rows)
     if parts:
-        rows = list(close(parts, held[1] & _MASK64, large))
+        rows = list(close(parts))
         if rows:
             yield out(rows)
 
@@ -181,19 +197,18 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
 
     A chain of links, not all pairs: what the radius joins, the links join.
     """
-    todo, found = leaves(points), None
+    one, two = (F.lit(_signed(x)) for x in halves(_MASK64))
+    first = F.array(F.struct(one.alias("region"), two.alias("rest")), F.struct(two.alias("region"), one.alias("rest")))
+    todo = points.select(F.lit(0).cast("long").alias("leaf"), "fp", F.explode(first).alias("h")).select("leaf", "h.region", "h.rest", "fp")
+    found = None
     while True:
-        step = written(
-            todo.repartition("leaf").sortWithinPartitions("leaf", "mask", "fp").transform(
-        in_arrow,
-                _link, "todo boolean, a long, b long, mask long"
-            )
-        )
+        placed = shards(todo).repartition("leaf").sortWithinPartitions("leaf", "rest")
+        step = written(in_arrow(placed, _link, _LINKS))
         links = step.where("not todo").select("a", "b")
         found = links if found is None else found.unionByName(links)
-        if step.where("todo").isEmpty():
-            return found.distinct()
-        todo = step.where("todo").select(F.col("a").alias("leaf"), "mask", F.col("b").alias("fp")).distinct()
+        todo = step.where("todo").select(F.col("a").alias("leaf"), "region", "rest", F.col("b").alias("fp")).distinct()
+        if todo.isEmpty():
+            return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -201,19 +216,21 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links of at most 3 differing bits.
     A null text or one without words has fingerprint zero and links like any other. Null
-    doc_ids are ignored when a component is named. Repeated rows give repeated rows.
-    Work after the fingerprints is on distinct fingerprints, so exact copies cost nothing.
+    doc_ids are ignored when a component is named; a component of none but those has a null
+    name. Repeated rows give repeated rows, empty in gives empty out. Whole texts count,
+    very long ones piece by piece. Other columns are ignored.
 
-    A vantage-point tree over all 64 bits does not prune here: distances crowd around 32,
-    and a margin of 3 takes most points down both branches at every level. The trees
-    measure bit blocks instead, where one of them puts a pair at distance zero.
+    Work after the fingerprints is on distinct fingerprints, so exact copies cost nothing,
+    and names are told back with the rows of a common fingerprint dealt over many tasks.
     """
     coded = written(fingerprints(docs))
-    points = written(coded.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected_components(fingerprint_links(points.select("fp")))
-    joined = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = joined.join(names, "root").select("fp", "component_id")
-    return coded.join(named, "fp").select(
+    points = written(coded.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    roots = written(connected_components(fingerprint_links(points.select("fp"))).withColumnRenamed("node", "fp"))
+    linked = points.join(roots, "fp")
+    names = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
+    named = salted_join(linked.select("fp", "root"), names, ["root"], sizes, ["fp"]).select("fp", "component_id")
+    told = points.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    return salted_join(coded, told, ["fp"], points.select("fp", "n"), ["doc_id"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
