@@ -173,7 +173,7 @@ def edit_distance(a, b):
 
 def line_rows():
     rng = random.Random(7)
-    pool = ["".join(rng.choices("abcé ", k=rng.randrange(18, 40))) for _ in range(12)]
+    pool = ["".join(rng.choices("abcé ", k=rng.choice([6, 8, 9, 10, 14, *range(17, 24), 40]))) for _ in range(24)]
     rows = []
     for i in range(30):
         each = []
@@ -190,12 +190,13 @@ def line_rows():
 @pytest.mark.parametrize("crowded", [0, 32])
 def test_lines_match_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(lines, "CROWDED", crowded)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     rows = line_rows()
     flat = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x]
     n = len(flat)
     near = [
         (a, b) for a in range(n) for b in range(a)
-        if flat[a][2] == flat[b][2] or (min(len(flat[a][2]), len(flat[b][2])) >= 20 and edit_distance(flat[a][2], flat[b][2]) <= 2)
+        if flat[a][2] == flat[b][2] or edit_distance(flat[a][2], flat[b][2]) <= min(2, max(len(flat[a][2]), len(flat[b][2])) // 10)
     ]
     root = components(n, near)
     texts = defaultdict(set)

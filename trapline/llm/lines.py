@@ -7,16 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, salted_join, written
 
 #: Insertions, deletions and substitutions of characters that still make a duplicate.
 EDITS = 2
-#: Shorter lines are duplicates only if equal.
-LEAST_CHARS = 20
+#: Characters of the longer line for each edit: shorter lines are allowed fewer.
+CHARS_PER_EDIT = 10
 #: Different line lengths that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LENGTHS = 100_000
-#: A segment of more lines than this is crowded.
+#: A segment of more lines than this is crowded; of large tables a share of all segments, so that those stay few.
 CROWDED = 32
+CROWDED_KEYS = 500_000
 #: Numbers of candidate lines that are broadcast at most, to read no other text; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 _LETTERS = "etaniohs"
@@ -28,8 +29,13 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
+def allowed(n: str, edits: int = EDITS) -> str:
+    """SQL: the edits between two lines of which the longer has ``n`` characters."""
+    return f"least({edits}, {n} div {CHARS_PER_EDIT})"
+
+
 def _starts(edits: int) -> str:
-    """SQL: for a line of ``n`` characters, structs (length l, segment i, start p, size z) to probe.
+    """SQL: for a line of ``n`` characters, structs (edits t, length l, segment i, start p, size z) to probe.
 
     Segment i of the ``edits + 1`` even segments of a line of length l <= n. A segment that
     survives can only have moved by as much as the edits left and right of it allow.
@@ -43,7 +49,7 @@ def _starts(edits: int) -> str:
         f"flatten(transform(sequence(greatest({parts}, n - {edits}), n), l -> "
         f"flatten(transform(sequence(0, {edits}), i -> transform("
         f"filter(sequence({low}, greatest({low}, {high})), p -> p <= {high}), "
-        f"p -> struct(l as l, i as i, p as p, {size} as z))))))"
+        f"p -> struct({edits} as t, l as l, i as i, p as p, {size} as z))))))"
     )
 
 
@@ -52,7 +58,18 @@ def _segments(edits: int) -> str:
     parts = edits + 1
     size = f"(n div {parts} + if(i >= {parts} - n % {parts}, 1, 0))"
     begin = f"(i * (n div {parts}) + greatest(0, i - ({parts} - n % {parts})))"
-    return f"transform(sequence(0, {edits}), i -> struct(n as l, i as i, {begin} as p, {size} as z))"
+    return f"transform(sequence(0, {edits}), i -> struct({edits} as t, n as l, i as i, {begin} as p, {size} as z))"
+
+
+def _places(edits: int, probe: bool) -> str:
+    """SQL: all places of a line of ``n`` characters, for each number of edits that it can be compared with."""
+    each = []
+    for t in range(1, edits + 1):
+        # probed by the longer line; the shorter one has up to t characters less
+        most = "" if t == edits else f" and n < {(t + 1) * CHARS_PER_EDIT}"
+        least = t * CHARS_PER_EDIT if probe else t * CHARS_PER_EDIT - t
+        each.append(f"if(n >= {least}{most}, {_starts(t) if probe else _segments(t)}, array())")
+    return f"concat({', '.join(each)})"
 
 
 def _letter_counts(line: str) -> Column:
@@ -78,67 +95,69 @@ def _texts(lines: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b) ids of the distinct lines (id, line) within ``edits`` edits of each other.
+    """(a, b) ids of the distinct lines (id, line) within the edits allowed for the longer one.
 
     Each line is indexed under its own segments and probes the segments of lines as long
     as it or up to ``edits`` shorter; by the pigeonhole principle a pair within the
     threshold meets. Pairs whose counts of eight letters differ by more than the edits
-    could change go at once. Candidates are verified by the banded edit distance with that bound.
+    could change go at once. The others are verified by the banded edit distance: those
+    that meet in a segment of many lines inside the join, so that no list of pairs is
+    written that grows with the square of such a group, the rest afterwards.
     """
     sized = lines.select("id", "line", F.char_length("line").alias("n"), _letter_counts("line").alias("c"))
     lengths = written(sized.select("n").distinct())
     hint = F.broadcast if lengths.count() <= BROADCAST_LENGTHS else (lambda x: x)
 
-    def keys(places: str, name: str) -> DataFrame:
-        found = lengths.select("n", F.expr(places).alias("places"))
-        each = sized.join(hint(found), "n").select("id", "c", "line", F.explode_outer("places").alias("s"))
-        key = F.xxhash64("s.l", "s.i", F.substring("line", F.col("s.p") + 1, F.col("s.z")))
-        return each.select(F.col("id").alias(name), F.col("c").alias(f"c{name}"), key.alias("key"))
-
-    index, probe = keys(_segments(edits), "a"), keys(_starts(edits), "b")
-    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"))
-    few = F.broadcast if crowded.count() <= BROADCAST_LINES else (lambda x: x)
-    possible = (F.col("a") != F.col("b")) & (_count_difference("ca", "cb") <= 2 * edits)
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    def keys(probe: bool) -> DataFrame:
+        found = lengths.select("n", F.expr(_places(edits, probe)).alias("places")).where(F.size("places") > 0)
+        each = sized.join(hint(found), "n").select("id", "n", "c", "line", F.explode("places").alias("s"))
+        return each.withColumn("key", F.xxhash64("s.t", "s.l", "s.i", F.substring("line", F.col("s.p") + 1, F.col("s.z")))).drop("s")
 
-    # segments that many lines share: their lines' texts come along, and only links leave the join
-    left = written(index.join(few(crowded), "key", "left_semi"))
-    right = written(probe.join(few(crowded), "key", "left_semi"))
-    near = possible & (F.levenshtein("x", "y", edits) >= 0)
-    x, y = _texts(lines, left.select(F.col("a").alias("id")).unionByName(right.select(F.col("b").alias("id"))))
-    links = left.join(x, "a").join(right.join(y, "b"), "key").where(near).select(*ordered)
+    index = keys(False)
+    counts = index.groupBy("key").agg(F.count("*").alias("m"))
+    shared = written(counts.where(F.col("m") > CROWDED))
+    limit = max(CROWDED, (shared.agg(F.sum("m")).first()[0] or 0) // CROWDED_KEYS)
+    crowded = F.broadcast(shared.where(F.col("m") > limit).select("key", F.lit(True).alias("many")))
+    within = lambda x, y, n: F.levenshtein(x, y, edits).between(0, F.expr(allowed(n, edits)))
 
-    index, probe = (each.join(few(crowded), "key", "left_anti") for each in (index, probe))
-    pairs = index.join(probe, "key").where(possible).select(*ordered).distinct()
-    pairs = written(pairs)
-    x, y = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    verified = pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y", edits) >= 0).select("a", "b")
-    return verified.unionByName(links).distinct()
+    def told(df: DataFrame, name: str, text: str) -> DataFrame:
+        line = F.when(F.col("many"), F.col("line")).alias(text)
+        return df.join(crowded, "key", "left").select("key", F.col("id").alias(name), F.col("c").alias(f"c{name}"), line, *(["n"] if text == "y" else []))
 
-
-def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    possible = (F.col("a") != F.col("b")) & (_count_difference("ca", "cb") <= 2 * edits)
+    near = F.col("x").isNull() | within("x", "y", "n")
+    met = told(index, "a", "x").join(told(keys(True), "b", "y"), "key").where(possible & near)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("x").isNotNull().cast("int").alias("known"))
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("known").alias("known")))
+    open_ = pairs.where("known = 0").select("a", "b")
+    x, y = _texts(lines, open_.select(F.explode(F.array("a", "b")).alias("id")))
+    longest = F.greatest(F.char_length("x"), F.char_length("y"))
+    verified = open_.join(x, "a").join(y, "b").withColumn("n", longest).where(within("x", "y", "n")).select("a", "b")
+    return verified.unionByName(pairs.where("known = 1").select("a", "b"))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, line_no, dropped, class_doc, class_line, links) for every line.
 
-    Lines are duplicates if equal or, from ``least_chars`` characters, joined by a chain of
-    pairs within ``edits`` edits. The first of a class, by (doc_id, line_no), stays and
-    names it. ``links`` counts the other texts within ``edits`` edits. Empty lines separate paragraphs and are never dropped. Equal lines are
-    merged before anything is compared.
+    Lines are duplicates if equal or joined by a chain of pairs within ``edits`` edits and
+    one edit for each ten characters of the longer line. The first of a class, by (doc_id,
+    line_no), stays and names it. ``links`` counts the other texts within reach. Empty
+    lines separate paragraphs and are never dropped. Equal lines are merged before
+    anything is compared, and a line of many rows is told back dealt over many tasks.
     """
-    lines = split_lines(docs).where("line <> ''").withColumn("key", F.unhex(F.md5("line")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no"))
-    distinct = written(
-        lines.groupBy("key").agg(first.alias("first"), F.min("line").alias("line"))
-        .withColumn("id", F.monotonically_increasing_id())
-    )
-    links = written(edit_links(distinct.where(F.char_length("line") >= least_chars).select("id", "line"), edits))
+    lines = split_lines(docs).where("line <> ''")
+    distinct = written(lines.select("line").distinct().withColumn("id", F.monotonically_increasing_id()))
+    links = written(edit_links(distinct.select("id", "line"), edits))
     roots = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    roots = roots.join(degree, "node", "left")
-    classed = distinct.select("id", "key", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classed = classed.withColumn("root", F.coalesce("root", "id"))
-    best = classed.groupBy("root").agg(F.min("first").alias("best"))
-    named = classed.join(best, "root").select("key", "best", F.coalesce("links", F.expr("0L")).alias("links"))
-    told = lines.select("doc_id", "line_no", "key").join(named, "key")
+    linked = written(distinct.join(roots.withColumnRenamed("node", "id"), "id").join(degree.withColumnRenamed("node", "id"), "id").select(_code("line").alias("key"), "root", "links"))
+    rows = lines.select("doc_id", "line_no", _code("line").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")).alias("first")
+    each = written(rows.groupBy("key").agg(first, F.count("*").alias("n")))
+    best = each.join(linked, "key").groupBy("root").agg(F.min("first").alias("best"))
+    classed = linked.join(best, "root").select("key", "best", "links")
+    named = each.join(classed, "key", "left").select("key", F.coalesce("best", "first").alias("best"), F.coalesce("links", F.expr("0L")).alias("links"))
+    told = salted_join(rows, named, ["key"], each.select("key", "n"), ["doc_id", "line_no"])
     return told.select(
         "doc_id", "line_no",
         (~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no")))).alias("dropped"),
@@ -146,12 +165,19 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_C
     )
 
 
+def _code(line: str) -> Column:
+    """128 bits that stand for a line."""
+    return F.unhex(F.md5(line))
+
+
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, n_links, dropped_lines, classes.
 
     ``dropped_lines`` are line numbers from 0, ascending, joined by commas; ``classes`` has
     for each of them the line that stays, as doc_id:line_no. ``n_links`` adds up the lines'
-    links. Repeated rows of a doc_id are one document here. Null doc_ids form one.
+    links. Repeated rows of a doc_id are one document here. Null doc_ids form one. Null and
+    empty texts have no lines that count; empty in, empty out. Very long texts are whole:
+    their lines are rows of their own. Other columns are ignored.
     """
     verdict = line_classes(docs, **options)
     name = F.concat_ws(":", F.coalesce(F.col("class_doc").cast("string"), F.lit("null")), F.col("class_line").cast("string"))
