@@ -258,31 +258,52 @@ def test_substrings_of_rows_without_an_id(spark):
     assert sum(r.n_removed > 0 for r in found if r.doc_id is None) == 2
 
 
-def test_large_groups_are_settled_alike(monkeypatch):
-    """Without copies of whole texts, the hashes of a large group's strings find the same bytes."""
-    import pyarrow as pa
+@pytest.mark.parametrize("size", [500, 900])
+def test_large_groups_are_split_and_settled_alike(spark, monkeypatch, size):
+    """Groups over the limit are split by the bytes around their anchor, level by level."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", size)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = substring_rows()
+    rows += [(100 + k, t + t[:450]) for k, (_, t) in enumerate(rows[:6])]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert found == brute_substrings(rows)
 
-    rows = [r for r in substring_rows()[:9] if r[1]]
-    parts = []
-    for i, t in rows:
-        data = t.encode()
-        code, _, first = substrings.anchors(data)
-        ends = [*(first[1:] - 1), len(data) - 400]
-        parts += [(int(c), data[x : y + 400], i, [int(x)]) for c, x, y in zip(code.view(np.int64), first, ends)]
-    parts.sort(key=lambda p: p[0])
-
-    def covered(size):
-        monkeypatch.setattr(substrings, "GROUP_BYTES", size)
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts)], names=["code", "piece", "key", "at"])
-        out = [r for b in substrings._sort(iter([batch])) for r in b.to_pylist()]
-        seen = defaultdict(list)
-        for r in out:
-            seen[r["kind"], r["x"], r["y"]].append(r)
-        gone = {(r["key"], k) for g, each in seen.items() for r in each if g[0] == 0 or len(each) > 1 for k in range(r["low"], r["high"])}
-        return gone, any(r["kind"] == 1 for r in out)
-
-    plain, hashed = covered(1 << 25), covered(500)
-    assert plain[0] == hashed[0] and len(plain[0]) > 0 and (plain[1], hashed[1]) == (False, True)
+
+def test_parts_of_a_piece_have_its_strings_once_and_equal_ones_the_same_code():
+    rng = random.Random(21)
+    shared = bytes(rng.choices(b"abcdef", k=700))
+    codes = {}
+    for _ in range(12):
+        left, right = bytes(rng.choices(b"xyz", k=rng.randrange(60))), bytes(rng.choices(b"xyz", k=rng.randrange(60)))
+        piece = left + shared[:500] + right
+        mid = len(left) + 240
+        while len(piece) > mid + 400:
+            piece = piece[:-1]
+        cut = max(0, mid - 368)
+        for ranges in substrings.RANGES[1:]:
+            got = []
+            for code, part, m, at in substrings.narrower(piece[cut:], mid - cut, ranges):
+                assert part == piece[cut + at : cut + at + len(part)] and m == mid - cut - at
+                got += range(at, at + len(part) - 399)
+                for k in range(len(part) - 399):
+                    assert codes.setdefault((ranges, part[k : k + 400]), code) == code
+            assert got == list(range(len(piece) - cut - 399))
+
+
+def test_anchors_of_a_very_long_text(monkeypatch):
+    """Pieces of a long text are searched apart; strings over their seams keep their anchor."""
+    rng = random.Random(5)
+    data = bytes(rng.choices(b"abcdefghij ", k=6000))
+    data += data[500:2000] + data[100:1000]
+    whole = substrings.anchors(data)
+    monkeypatch.setattr(substrings, "_STEP", 700)
+    code, place, first = substrings.anchors(data)
+
+    def of(c, p, f):
+        owner = np.searchsorted(f, np.arange(len(data) - 399), side="right") - 1
+        return c[owner].tolist(), p[owner].tolist()
+
+    assert of(code, place, first) == of(*whole)
 
 
 def test_suffix_order(spark):

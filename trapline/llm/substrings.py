@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, written
+from .common import in_arrow, salted_join, written
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
 GRAM = 32
 #: Text that is sorted at once; whole anchor groups are gathered until it is reached.
 BLOCK_BYTES = 1 << 18
-#: A larger group of one anchor is settled by hashes of its strings, dealt over all tasks.
+#: A larger group is dealt over smaller ones by more of the bytes around its anchor.
 GROUP_BYTES = 1 << 21
+#: Ranges of places of an anchor within a string that a large group is split into, level by level.
+RANGES = [1, 8, 64, 512]
 _STEP = 1 << 22
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -163,94 +165,122 @@ def spans(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        code, first = [], []
+        code, first, place = [], [], []
         for data in batch.column("data"):
-            c, _, f = anchors(data.as_py())
+            c, p, f = anchors(data.as_py())
             code.append(c.view(np.int64))
             first.append(f)
+            place.append(p)
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (code, first, place)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text"), batch.column("n_bytes"), pa.array(code, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
-            names=["doc_id", "text", "n_bytes", "code", "first"],
+            [batch.column("doc_id"), batch.column("text"), batch.column("n_bytes"), *lists], names=["doc_id", "text", "n_bytes", "code", "first", "place"]
         )
 
 
+#: Pieces of text around an anchor: its bytes start ``at`` these places of ``parent``, the anchor is ``mid`` bytes on.
+_PIECES = "code long, pid binary, mid int, size int, parent binary, at array<long>, piece binary"
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (code, piece, mid, parent, at) as _PIECES."""
+    code, piece, mid, parent, at = list(zip(*rows, strict=True)) or [[]] * 5
+    pid = [hashlib.sha256(p).digest() for p in piece]
+    columns = [(code, pa.int64()), (pid, pa.binary()), (mid, pa.int32()), ([len(p) for p in piece], pa.int32()), (parent, pa.binary()), (at, pa.list_(pa.int64())), (piece, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=[x.split()[0] for x in _PIECES.split(", ")])
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's strings around its repeated anchors, equal ones once with all their places."""
     for batch in batches:
         rows = []
-        for key, data, code, low, high in zip(*(batch.column(c) for c in ("key", "data", "code", "low", "high")), strict=True):
+        for key, data, code, low, high, place in zip(*(batch.column(c) for c in ("key", "data", "code", "low", "high", "place")), strict=True):
             data, places = data.as_py(), {}
-            for c, x, y in zip(code.as_py(), low.as_py(), high.as_py(), strict=True):
-                places.setdefault((c, data[x : y + LENGTH]), []).append(x)
-            rows += [(c, piece, key.as_py(), at) for (c, piece), at in places.items()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["code", "piece", "key", "at"])
+            for c, x, y, p in zip(code.as_py(), low.as_py(), high.as_py(), place.as_py(), strict=True):
+                places.setdefault((c, data[x : y + LENGTH], p - x), []).append(x)
+            rows += [(c, piece, mid, key.as_py(), at) for (c, piece, mid), at in places.items()]
+        yield _pieces(rows)
 
 
-_FOUND = "kind int, x long, y long, key long, low long, high long"
+def narrower(piece: bytes, mid: int, ranges: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(code, piece, mid, at) of the parts of a piece, its strings split by the anchor's place in them.
 
+    All strings of a range share the bytes around the anchor that the range's first and last
+    string both have; the code is their hash, so strings of different codes differ.
+    """
+    last, width = len(piece) - LENGTH, -(-LENGTH // ranges)
+    start = 0
+    while start <= last:
+        number = (mid - start) // width  # the anchor is mid - start bytes into the string
+        end = min(last, mid - number * width)
+        left, right = mid - number * width, mid - (number + 1) * width + 1 + LENGTH
+        core = piece[left:right]
+        code = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=f"{ranges}-{number}".encode()).digest(), "little", signed=True)
+        yield code, piece[start : end + LENGTH], mid - start, start
+        start = end + 1
+
+
+_FOUND = "pid binary, low long, high long"
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by anchor to runs (kind 0), or of a large group to strings' hashes (kind 1)."""
-    names = [x.split()[0] for x in _FOUND.split(", ")]
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names=names)
+def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pieces, sorted by code, to the runs of each that repeat; whole groups are sorted at once."""
 
-    def settle(block: dict[bytes, list[tuple[int, int]]]) -> list[tuple]:
+    def settle(block: dict[bytes, tuple[bytes, bool]]) -> pa.RecordBatch:
         rows: list[tuple] = []
-        pieces = list(block)
-        flags = repeated_starts(pieces)
+        flags = repeated_starts([piece for piece, _ in block.values()])
         at = 0
-        for piece in pieces:
-            places = block[piece]
+        for pid, (piece, many) in block.items():
             size = len(piece) - LENGTH + 1
-            starts = np.arange(size) if len(places) > 1 else np.flatnonzero(flags[at : at + size])
+            starts = np.arange(size) if many else np.flatnonzero(flags[at : at + size])
             at += len(piece) + 1
-            for low, high in spans(starts):
-                rows += [(0, 0, 0, key, x + low, x + high) for key, x in places]
-        return rows
-
-    def scatter(piece: bytes, places: list[tuple[int, int]]) -> list[tuple]:
-        data = np.frombuffer(piece, dtype=np.uint8)
-        x, y = (rolling(data, LENGTH, p).view(np.int64).tolist() for p in (_P1, _P2))
-        return [(1, a, b, key, at + k, at + k + LENGTH) for key, at in places for k, (a, b) in enumerate(zip(x, y, strict=True))]
-
-    block: dict[bytes, list[tuple[int, int]]] = {}
-    group: dict[bytes, list[tuple[int, int]]] = {}
-    held, block_size, group_size, large = None, 0, 0, False
+            rows += [(pid, low, high) for low, high in spans(starts)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["pid", "low", "high"])
+
+    block: dict[bytes, tuple[bytes, bool]] = {}
+    held, size = None, 0
     for batch in batches:
-        rows: list[tuple] = []
-        for code, piece, key, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if code != held:
-                for p, where in group.items():
-                    block.setdefault(p, []).extend(where)
-                block_size += group_size
-                if block_size >= BLOCK_BYTES:
-                    rows += settle(block)
-                    block, block_size = {}, 0
-                held, group, group_size, large = code, {}, 0, False
-            where = [(key, x) for x in at]
-            if large:
-                rows += scatter(piece, where)
-                if len(rows) > 1 << 16:
-                    yield out(rows)
-                    rows = []
-                continue
-            if piece not in group:
-                group_size += len(piece) + 1
-            group.setdefault(piece, []).extend(where)
-            if group_size > GROUP_BYTES:
-                for p, w in group.items():
-                    yield out(scatter(p, w))
-                group, group_size, large = {}, 0, True
-        yield out(rows)
-    for p, where in group.items():
-        block.setdefault(p, []).extend(where)
+        for code, pid, piece, many in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if code != held and size >= BLOCK_BYTES:
+                yield settle(block)
+                block, size = {}, 0
+            held = code
+            block[pid] = (piece, many)
+            size += len(piece) + 1
     if block:
-        yield out(settle(block))
+        yield settle(block)
+
+
+def _runs(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """(parent, low, high): runs of the parents' bytes that repeat, found in ``pieces`` (a written table of _PIECES).
+
+    Equal pieces are sorted once. A code's distinct pieces are one group of a suffix array;
+    groups of over GROUP_BYTES are split by more bytes around the anchor and settled alike,
+    at the last level by whole strings, of which a group has one.
+    """
+    named = pieces.groupBy("code", "pid").agg(F.min("parent").alias("parent"), F.sum(F.size("at")).alias("places"), F.count("*").alias("n"), F.max("size").alias("size"))
+    named = written(named)
+    large = written(named.groupBy("code").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > GROUP_BYTES) & (F.col("n") > 1)).select("code"))
+    once = pieces.join(named.select("pid", "parent", "places"), ["pid", "parent"]).select("code", "pid", "piece", (F.col("places") > 1).alias("many"), "mid")
+    some = not large.isEmpty() and level + 1 < len(RANGES)
+    ready = once.join(large, "code", "left_anti") if some else once
+    runs = written(in_arrow(ready.select("code", "pid", "piece", "many").repartition("code").sortWithinPartitions("code"), _sort, _FOUND))
+    if some:
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for pid, piece, many, mid in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    # a piece of several places stands for itself and another
+                    rows += [(code, part, m, pid, [at, at] if many else [at]) for code, part, m, at in narrower(piece, mid, RANGES[level + 1])]
+                yield _pieces(rows)
+
+        parts = written(in_arrow(once.join(large, "code", "left_semi").select("pid", "piece", "many", "mid"), split, _PIECES))
+        runs = runs.unionByName(_runs(parts, level + 1).withColumnRenamed("parent", "pid"))
+    listed = written(runs.groupBy("pid").agg(F.collect_set(F.struct("low", "high")).alias("runs")))
+    told = salted_join(pieces.select("pid", "parent", "at"), listed, ["pid"], named.select("pid", "n"), ["parent"])
+    placed = told.select("parent", F.explode(F.array_distinct("at")).alias("x"), "runs").select("parent", "x", F.explode("runs").alias("r"))
+    return placed.select("parent", (F.col("x") + F.col("r.low")).alias("low"), (F.col("x") + F.col("r.high")).alias("high"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,34 +332,31 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(
-        _rows(docs).transform(in_arrow, _anchored, f"doc_id {kind}, text string, n_bytes long, code array<long>, first array<long>")
+        in_arrow(_rows(docs), _anchored, f"doc_id {kind}, text string, n_bytes long, code array<long>, first array<long>, place array<long>")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    texts = found.groupBy("text").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    texts = written(found.groupBy("text").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
     single = found.join(texts.select("row"), "row", "left_semi").where(F.col("n_bytes") >= LENGTH)
     each = single.select(
-        "row", F.posexplode_outer("code").alias("k", "code"), "first", "n_bytes"
+        "row", F.posexplode_outer("code").alias("k", "code"), "first", "place", "n_bytes"
     ).select(
-        "row", "code", F.get("first", F.col("k")).alias("low"),
+        "row", "code", F.get("first", F.col("k")).alias("low"), F.get("place", F.col("k")).alias("place"),
         F.coalesce(F.get("first", F.col("k") + 1) - 1, F.col("n_bytes") - LENGTH).alias("high"),
     )
     each = written(each)
-    shared = each.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    wanted = each.join(shared, "code").groupBy("row").agg(F.collect_list(F.struct("low", "high", "code")).alias("a"))
+    shared = each.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(shared)
+    repeated = salted_join(each, shared.select("code"), ["code"], shared, ["row"])
+    wanted = repeated.groupBy("row").agg(F.collect_list(F.struct("low", "high", "code", "place")).alias("a"))
+    key = F.concat(F.lit(b"k"), F.col("row").cast("string").cast("binary"))
     wanted = wanted.join(found.select("row", "doc_id", "text"), "row").select(
-        "doc_id", "text", F.col("row").alias("key"), F.col("a.code").alias("code"), F.col("a.low").alias("low"), F.col("a.high").alias("high")
-    )
-    source = _same_row(_rows(docs), wanted, "inner").select("key", "data", "code", "low", "high")
-    segments = source.transform(in_arrow, _segments, "code long, piece binary, key long, at array<long>")
-    sorted_ = segments.repartition("code").sortWithinPartitions("code").transform(in_arrow, _sort, _FOUND)
-    result = written(sorted_)
-    large = result.where("kind = 1")
-    again = large.groupBy("x", "y").agg(F.min(F.struct("key", "low")).alias("a"), F.max(F.struct("key", "low")).alias("b")).where("a <> b")
-    runs = result.where("kind = 0").select("key", "low", "high").unionByName(
-        large.join(again.select("x", "y"), ["x", "y"], "left_semi").select("key", "low", "high")
+        "doc_id", "text", key.alias("key"), *(F.col(f"a.{c}").alias(c) for c in ("code", "low", "high", "place"))
     )
-    rows = found.select("doc_id", "text", "n_bytes").join(texts.withColumnRenamed("row", "key"), "text")
-    return rows, runs
+    source = _same_row(_rows(docs), wanted, "inner").select("key", "data", "code", "low", "high", "place")
+    runs = _runs(written(in_arrow(source, _segments, _PIECES)))
+    rows = salted_join(found.select("doc_id", "text", "n_bytes", "row"), texts.withColumnRenamed("row", "first"), ["text"], texts.select("text", F.col("copies").alias("n")), ["row"])
+    rows = rows.select("doc_id", "text", "n_bytes", "copies", F.concat(F.lit(b"k"), F.col("first").cast("string").cast("binary")).alias("key"))
+    return rows, runs.withColumnRenamed("parent", "key")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -338,7 +365,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Removes each byte of a text's UTF-8 that a 400-byte string covers which also starts
     anywhere else in the corpus or the text. ``kept`` is what remains, null where nothing
     was removed. Null texts are empty. Repeated rows count as copies of each other. A row
-    without a doc_id is a document like any other.
+    without a doc_id is a document like any other. Empty in, empty out; other columns are
+    ignored. Texts are whole; one task holds a text and, of a very long one, hashes of 4 MB
+    at a time.
     """
     rows, runs = repeated_spans(docs)
     runs = written(runs.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs")))
