@@ -50,7 +50,7 @@ def brute_exact(rows):
 
 @pytest.mark.parametrize("extra", [False, True])
 def test_exact_matches_brute_force(spark, extra):
-    found = exact_dedup.exact_dedup(frame(spark, ROWS, extra), fan_in=2, levels=3).collect()
+    found = exact_dedup.exact_dedup(frame(spark, ROWS, extra).repartition(7), fan_in=2).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == brute_exact(ROWS)
     assert sum(r.kept for r in found) == len({r.text_sha256 for r in found})
 
@@ -60,9 +60,11 @@ def test_exact_of_nothing(spark):
 
 
 def test_keep_first_keeps_each_text_once(spark):
-    kept = exact_dedup.keep_first(frame(spark, ROWS))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert kept.count() == 5
+    docs = frame(spark, [*ROWS, (8, "a b"), (8, "ab"), (20, "é" * 300_000), (21, "é " * 300_000)]).withColumnRenamed("lang", "_number")
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == ["doc_id", "text", "_number", "source", "n_chars"]
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in kept.collect()) == sorted([("3", 5), ("6", 2), ("7", 1), ("None", 12), ("9", 1), ("21", 600_000)])
+    assert exact_dedup.keep_first(docs.limit(0)).count() == 0
 
 
 def brute_fingerprint(text):

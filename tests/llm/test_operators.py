@@ -115,6 +115,63 @@ def test_language_learns_and_marks_what_has_no_letters(spark):
     assert {i for i, *_ in rows} <= kept and not kept & {1000, 1001, 1003}
 
 
+def brute_language(rows, train, size=3, share=0.5):
+    """The same rule with sets in place of filters, letter by letter."""
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower().replace("\0", " ")).split(" ")
+        padded = [f" {w} " for w in words if w]
+        return [w[k : k + size] for w in padded for k in range(len(w) - size + 1)]
+
+    counts = defaultdict(Counter)
+    for i, t, lang, _ in rows:
+        if i in train and lang is not None and t is not None:
+            counts[lang].update(grams(t))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = Counter()
+    for each in rate.values():
+        for g, r in each.items():
+            top[g] = max(top[g], r)
+    known = {lang: {g for g, r in each.items() if r >= share * top[g]} for lang, each in rate.items()}
+    out = {}
+    for i, t, *_ in rows:
+        found = grams(t)
+        scores = {lang: sum(g in known[lang] for g in found) / len(found) for lang in known} if found else {}
+        out[i] = scores
+    return out
+
+
+def test_language_matches_sets(spark):
+    rng = random.Random(17)
+    alphabets = {"a1": "abcdeé", "b2": "cdefgh", "c3": "xyzabc", "d4": "mnopab"}
+    word = lambda lang: "".join(rng.choices(alphabets[lang], k=rng.randrange(1, 7)))
+    rows = [(k, " ".join(word(lang) for _ in range(rng.choice([1, 5, 60]))) + rng.choice(["", "!", " 12"]), lang, "s") for k, lang in enumerate(list(alphabets) * 40)]
+    rows += [(900, None, None, "s"), (901, "ABC déf", None, "s"), (902, "x" * 300_000, None, "s"), (903, "77", None, "s")]
+    train = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    docs = docs_frame(spark, rows)
+    found = {r.doc_id: r for r in language.identify(docs, language.fit(docs.where(~language.held_out("doc_id")))).collect()}
+    want = brute_language(rows, train)
+    assert len(found) == len(rows)
+    for i, scores in want.items():
+        if not scores:
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        best = max(scores.values())
+        assert abs(found[i].score - best) < 0.02 and scores[found[i].lang_pred] > best - 0.02
+
+
+def test_many_languages_ties_and_repeated_rows(spark):
+    """Over 64 languages take a second word of the masks; of equals the first by name wins."""
+    letters = [chr(0x4E00 + k) for k in range(210)]
+    rows = [(k, " ".join(letters[3 * k : 3 * k + 3]) * 3, f"l{k:02}", "s") for k in range(70)]
+    rows += [(70, "same words", "zz", "s"), (71, "same words", "yy", "s"), (5, rows[5][1], "l05", "s"), (5, rows[5][1], "l05", "s"), (None, rows[6][1], None, "s")]
+    frame = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, lang string, source string, score long, lang_pred string")
+    model = language.fit(frame)
+    found = Counter((r.doc_id, r.lang_pred) for r in language.identify(frame, model).collect())
+    assert found == Counter((i, "l06" if i is None else "yy" if i in (70, 71) else f"l{i:02}") for i, *_ in rows)
+    assert [r.h for r in frame.where("doc_id is null").select(language.held_out("doc_id").alias("h")).collect()] == [False]
+
+
 def test_each_letter_is_the_middle_of_one_gram():
     number, code = language.grams(["ab c", "", "Ünï 1x"], 3)
     assert number.tolist() == [0, 0, 0, 2, 2, 2, 2] and len(set(code.tolist())) == 7
@@ -323,6 +380,53 @@ def test_site_posteriors_pull_sparse_sites_to_the_prior(spark):
     assert found["a", "y"].path_quality < found["a", "y"].host_quality
 
 
+def brute_sites(rows):
+    """(host, path) to (host quality, path quality), from the sums of squares in plain Python."""
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for h, p, q in rows:
+        paths[h, p].append(q)
+        hosts[h].append(q)
+    n, k = len(rows), sum(q for *_, q in rows)
+    prior = (k + 0.5) / (n + 1)
+    part = lambda each: sum(sum(v) ** 2 / len(v) for v in each.values())
+    spread = (part(hosts) - k * k / n - (len(hosts) - 1) * prior * (1 - prior)) / (n - sum(len(v) ** 2 for v in hosts.values()) / n)
+    clip = lambda x: min(1e4, max(1.0, x))
+    host_k = clip(prior * (1 - prior) / spread - 1) if spread > 0 else 1e4
+    inner = sum(sum(v) * (1 - sum(v) / len(v)) for v in hosts.values()) / n
+    spread = (part(paths) - part(hosts) - (len(paths) - len(hosts)) * inner) / max(1e-9, n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in paths.items()))
+    path_k = clip(inner / spread - 1) if spread > 0 else 1e4
+    quality = {h: (sum(v) + host_k * prior) / (len(v) + host_k) for h, v in hosts.items()}
+    return {(h, p): (quality[h], (sum(v) + path_k * quality[h]) / (len(v) + path_k)) for (h, p), v in paths.items()}, prior
+
+
+def test_quality_matches_plain_python(spark):
+    rng = random.Random(31)
+    text = lambda good: " ".join(rng.choices(["fine", "words", "here.", "now"] if good else ["BUY!!", "###", "NOW", "fine"], k=rng.randrange(1, 50)))
+    rows = []
+    for i in range(240):
+        host, path = rng.choice(["h1", "h2", "h3", None]), rng.choice(["p1", "p2", None])
+        rows.append((i, text(rng.random() < {"h1": 0.9, "h2": 0.2}.get(host, 0.5)), path, host))
+    rows += [(500, None, None, None), (501, "ü" * 200_000, "p1", "h1"), (502, "", "new", "h1"), (503, "x", "new", "new"), (3, rows[3][1], rows[3][2], rows[3][3]), (None, "fine", "p1", "h1")]
+    known = {i: float(rng.random() < 0.5 + (0.4 if "fine" in t.split() else -0.4)) for i, t, *_ in rows[:200]}
+    labels = [(i, int(q), 0) for i, q in known.items()] + [(4, 1 - int(known[4]), 0), (9999, 1, 0), (6, None, 1), (None, 1, 0)]
+    known[4] = 0.5
+    frame = spark.createDataFrame([(i, t, lang, s, 0, 9.0, "no") for i, t, lang, s in rows], DOCS + ", quality double, host string")
+    found = quality.classify(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    labelled = [(s or "", lang or "", known[i]) for i, _, lang, s in rows if i in known]
+    sites, prior = brute_sites(labelled)
+    hosts = {h: q for (h, _), (q, _) in sites.items()}
+    x = np.array([quality.describe(t or "") for _, t, *_ in rows])
+    at = [k for k, r in enumerate(rows) if r[0] in known]
+    logits = quality.TextModel.fit(x[at], np.array([known[rows[k][0]] for k in at])).logits(x)
+    odds = lambda q: np.log(q / (1 - q))
+    want = Counter()
+    for (i, _, lang, s), z in zip(rows, logits):
+        host_q = hosts.get(s or "", prior)
+        path_q = sites.get((s or "", lang or ""), (0, host_q))[1]
+        want[i, round(float(1 / (1 + np.exp(-(z + odds(path_q) - odds(prior))))), 4), round(path_q, 4)] += 1
+    assert Counter((r.doc_id, round(r.quality, 4), round(r.path_quality, 4)) for r in found) == want
+
+
 # archives
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -19,8 +19,8 @@ def _best():
     )
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the text without blanks, a second hash and the length that verify it."""
+def digests(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, text_sha256 of the text without blanks, a second hash and the length that verify it; and the row's number."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, BLANKS, "")
     return docs.select(
@@ -29,27 +29,21 @@ def digests(docs: DataFrame) -> DataFrame:
         F.xxhash64(bare).alias("_check"),
         F.octet_length(bare).alias("_size"),
         F.char_length(text).alias("_points"),
-        F.monotonically_increasing_id().alias("_row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("_row"),
     )
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 16, levels: int = 2) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Every row belongs to one of ``fan_in ** levels`` runs. A run holds one entry for each
-    digest: count and best row so far. Rounds merge ``fan_in`` runs at a time; digests
-    count as equal only if a second 64-bit hash and the length agree, at each level. The
-    verdict then goes back down the same tree, so no join meets more than ``fan_in``
-    entries of one digest and a text that fills a third of the corpus is dealt over all
-    the runs.
+def merged(coded: DataFrame, fan_in: int) -> DataFrame:
+    """The written ``digests`` with ``_n`` (rows of the text) and ``_best`` (the row that stays).
 
-    Null texts equal the empty text. Of repeated rows one is kept. A null doc_id loses
-    against any other. Other columns of ``docs`` are ignored. Empty in, empty out.
+    A row's number holds its partition, whose digests are its run. Rounds merge ``fan_in``
+    neighbouring runs at a time, until one is left: as many rounds as the partitions need.
     """
-    rows = written(digests(docs).withColumn("_run0", F.pmod(F.xxhash64("_row"), F.lit(fan_in**levels))))
-    runs = [
-        rows.groupBy("_run0", *_KEY).agg(F.count("*").alias("_n"), F.min(_best()).alias("_best"))
-    ]
+    rows = coded.withColumn("_run0", F.shiftright("_row", 33))
+    levels, left = 0, rows.agg(F.max("_run0")).first()[0] or 0
+    while left:
+        levels, left = levels + 1, left // fan_in
+    runs = [rows.groupBy("_run0", *_KEY).agg(F.count("*").alias("_n"), F.min(_best()).alias("_best"))]
     for level in range(1, levels + 1):
         below = runs[-1].withColumn(f"_run{level}", F.expr(f"_run{level - 1} div {fan_in}"))
         runs.append(
@@ -60,7 +54,24 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16, levels: int = 2) -> DataFrame
         up = f"_run{level}"
         below = runs[level - 1].select(f"_run{level - 1}", *_KEY, F.expr(f"_run{level - 1} div {fan_in}").alias(up))
         verdict = below.join(verdict, [up, *_KEY]).select(f"_run{level - 1}", *_KEY, "_n", "_best")
-    return rows.join(verdict, ["_run0", *_KEY]).select(
+    return rows.join(verdict, ["_run0", *_KEY])
+
+
+def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Each partition's digests are a run with one entry a digest: count and best row so far.
+    Rounds merge ``fan_in`` runs at a time, as many rounds as the partitions need; digests
+    count as equal only if a second 64-bit hash and the length agree, at each level. The
+    verdict then goes back down the same tree, so no join meets more than ``fan_in``
+    entries of one digest and a text that fills a third of the corpus is dealt over all
+    the runs.
+
+    Null texts equal the empty text. Of repeated rows one is kept. A null doc_id loses
+    against any other. Other columns of ``docs`` are ignored. Empty in, empty out. Whole
+    texts are hashed, however long.
+    """
+    return merged(written(digests(docs)), fan_in).select(
         "doc_id",
         F.col("_best.d").alias("keep_id"),
         F.col("_n").alias("group_size"),
@@ -69,20 +80,19 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16, levels: int = 2) -> DataFrame
     )
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, **options).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
-    )
-    bare = F.translate(F.coalesce(F.col("text"), F.lit("")), BLANKS, "")
-    marked = docs.withColumn("__digest", F.sha2(bare, 256)).join(
-        kept.withColumnRenamed("__digest", "__kept_digest"),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept_digest")),
-        "left_semi",
-    )
-    # rows repeated under one doc_id: the longest original stays, once
-    order = Window.partitionBy("doc_id", "__digest").orderBy(F.char_length("text").desc())
-    return marked.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
+def keep_first(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Rows are numbered in a written copy, so rows repeated under one doc_id are told apart
+    and of equal ones the first stays; only numbers of rows that go are joined with it.
+    """
+    name = "_number"
+    while name in docs.columns:
+        name = f"_{name}"
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()))
+    verdict = merged(written(digests(numbered, F.col(name))), fan_in)
+    gone = verdict.where(F.col("_row") != F.col("_best.r")).select(F.col("_row").alias(name))
+    return numbered.join(gone, name, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,12 @@ from .common import in_arrow
 
 #: Documents of a language that a fit reads at most, chosen by a hash of doc_id.
 DOCS_PER_LANGUAGE = 3000
-#: Bits of the masks.
-MAX_LANGUAGES = 64
+#: Languages in one word of the masks; more take several words.
+WORD = 64
+#: Text that is handled at once.
+PART_BYTES = 1 << 21
+#: Groups that a language's documents are ranked in before the whole language is.
+SALTS = 64
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _HELD_OUT = 2
 
@@ -60,33 +65,34 @@ def slots(code: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """masks[slot] has bit l set if some n-gram of language l hashes there."""
+    """masks[w][slot] has bit l set if some n-gram of language ``64 * w + l`` hashes there."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     size: int
     false_positive: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        fill = [float(((self.masks >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(self.languages))]
+        fill = [float(((self.masks[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean()) for k in range(len(self.languages))]
         self.false_positive = np.array(fill, dtype=float) ** len(_PRIMES)
         small = np.uint8 if len(self.languages) <= 8 else np.uint64
-        self.masks = self.masks.astype(small)
+        self.masks = [m.astype(small) for m in self.masks]
 
     @property
     def bits(self) -> int:
-        return int(self.masks.size).bit_length() - 1
+        return int(self.masks[0].size).bit_length() - 1
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Per text the language and a score in 0..1; ``und`` and 0 without letters."""
         number, code = grams(texts, self.size)
-        found = None
+        found: list[np.ndarray] = []
         for slot in slots(code, self.bits):
-            found = self.masks[slot] if found is None else found & self.masks[slot]
+            found = [m[slot] & f for m, f in zip(self.masks, found, strict=True)] if found else [m[slot] for m in self.masks]
         total = np.bincount(number, minlength=len(texts)).astype(float)
         rates = np.zeros((len(self.languages), len(texts)))
         for k, p in enumerate(self.false_positive):
-            hits = np.bincount(number, weights=(found >> found.dtype.type(k)) & found.dtype.type(1), minlength=len(texts))
+            word = found[k // WORD]
+            hits = np.bincount(number, weights=(word >> word.dtype.type(k % WORD)) & word.dtype.type(1), minlength=len(texts))
             rate = hits / np.maximum(total, 1)
             rates[k] = (rate - p) / max(1e-9, 1 - p)
         if not self.languages:
@@ -105,17 +111,18 @@ def fit(labelled: DataFrame, size: int = 3, bits: int = 20, per_language: int =
 
     A bounded sample: ``per_language`` whole texts of each language, those whose doc_id
     hashes lowest. An n-gram is in a language's filter if its frequency there is at least
-    ``share`` of its highest in any language. Null languages and texts are left out;
-    more than 64 languages raise ValueError. Counts are grouped in Spark; the filter has
-    ``2 ** bits`` slots whatever the input.
+    ``share`` of its highest in any language. Null languages and texts are left out; of
+    documents without a doc_id none is chosen before others. Repeated rows count as often
+    as they occur. Counts are grouped in Spark; the filter has ``2 ** bits`` slots whatever
+    the input, each a bit for every language.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    languages = [r[0] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).select("lang").collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    lowest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    few = hashed.withColumn("_n", lowest("lang", "_salt")).where(F.col("_n") <= per_language)
+    chosen = few.withColumn("_n", lowest("lang")).where(F.col("_n") <= per_language)
+    sample = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     code = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,23 +141,25 @@ def fit(labelled: DataFrame, size: int = 3, bits: int = 20, per_language: int =
     rate = counts.join(F.broadcast(per_lang), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
     rated = rate.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("each"))
     kept = rated.select("gram", F.explode("each").alias("e"), "top").where(F.col("e.rate") >= share * F.col("top"))
-    gram_mask = kept.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, e.lang)")).alias("mask"))
+    gram_mask = kept.groupBy("gram", F.expr(f"e.lang div {WORD}").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, e.lang % {WORD})")).alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, mask = (batch.column(k).to_numpy() for k in range(2))
-            for slot in slots(gram.view(np.uint64), bits):
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mask)], names=["slot", "mask"])
-
-    filled = gram_mask.transform(in_arrow, place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(1 << bits, dtype=np.uint64)
-    masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
+            gram = batch.column(0).to_numpy().view(np.uint64)
+            for slot in slots(gram, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(1), batch.column(2)], names=["slot", "word", "mask"])
+
+    filled = gram_mask.transform(in_arrow, place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slot, word, mask = (filled.column(c).to_numpy() for c in ("slot", "word", "mask"))
+    masks = [np.zeros(1 << bits, dtype=np.uint64) for _ in range(max(1, -(-len(languages) // WORD)))]
+    for k, words in enumerate(masks):
+        words[slot[word == k]] = mask[word == k].view(np.uint64)
     return LanguageModel(languages, masks, size)
 
 
 def held_out(doc_id: str) -> Column:
-    """True for the documents no fit may see: crc32 of the id as text, modulo 4, is 2."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == _HELD_OUT
+    """True for the documents no fit may see: crc32 of the id as text, modulo 4, is 2. False for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == _HELD_OUT, F.lit(False))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -158,6 +167,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A null text or one without letters is ``und`` with score 0. The score is the share of
     the text's n-grams in the language's filter, less the share that false positives give.
+    Of languages that tie, the first by name is taken. Repeated rows and null ids come out
+    as they went in, empty in gives empty out, other columns are ignored. Very long texts
+    are handled on their own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -185,7 +197,14 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few texts at a time, for the arrays of code points."""
+    """Few texts at a time, for the arrays of code points: 128, or fewer that are long."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            yield batch.slice(at, 128)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
+        at = total = 0
+        for k, size in enumerate(sizes):
+            if k > at and (k - at == 128 or total + size > PART_BYTES):
+                yield batch.slice(at, k - at)
+                at, total = k, 0
+            total += size
+        if at < len(sizes):
+            yield batch.slice(at)

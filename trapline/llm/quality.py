@@ -90,34 +90,45 @@ def fit_text(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -
     if rows.num_rows == 0:
         return TextModel([0.0] * (3 * len(NAMES) + 1))
     x = np.array(rows.column("x").to_pylist(), dtype=float)
-    return TextModel.fit(x, rows.column("y").to_numpy())
+    return TextModel.fit(x, rows.column("y").to_numpy().astype(float))
+
+
+def _strength(rate: float, spread: float) -> float:
+    """Pseudo-counts of a prior whose rates vary by ``spread``."""
+    return float(np.clip(rate * (1 - rate) / spread - 1, 1.0, 1e4)) if spread > 0 else 1e4
 
 
 def site_posteriors(sites: DataFrame) -> DataFrame:
     """host, path, host_quality, path_quality from rows (host, path, quality 0 or 1).
 
     Empirical Bayes on two levels: a path's rate is shrunk towards its host's, which is
-    shrunk towards the global rate, each by as many pseudo-counts as the spread between
-    sites calls for (method of moments). Sums are grouped by (host, path) first, so a host
-    of a third of all rows is added up on every task.
+    shrunk towards the global rate, each by as many pseudo-counts as the spread calls for
+    (method of moments): that of hosts around the global rate, and that of paths around
+    the rate of their own host. Sums are grouped by (host, path) first, so a host of a
+    third of all rows is added up on every task.
     """
-    paths = sites.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("quality").alias("k"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-
-    def strength(groups: DataFrame, n: str, k: str) -> tuple[float, float]:
-        total = groups.agg(F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(F.col(n) * F.col(n)).alias("n2"), F.count("*").alias("g"), F.sum(F.col(k) * F.col(k) / F.col(n)).alias("s")).first()
-        if not total["n"]:
-            return 0.5, 1.0
-        n_, g, p = float(total["n"]), total["g"], (total["k"] + 0.5) / (total["n"] + 1)
-        within = float(total["s"]) - float(total["k"]) ** 2 / n_  # between groups, weighted
-        spread = (within - (g - 1) * p * (1 - p)) / max(1e-9, n_ - float(total["n2"]) / n_)
-        return p, float(np.clip(p * (1 - p) / spread - 1, 1.0, 1e4)) if spread > 0 else 1e4
-
-    p, host_k = strength(hosts, "hn", "hk")
-    _, path_k = strength(paths, "n", "k")
+    paths = written(sites.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("quality").alias("k")))
+    square = lambda a, b: F.sum(F.col(a) * F.col(a) / F.col(b))
+    hosts = written(
+        paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"), F.count("*").alias("g"), square("k", "n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    )
+    host_rate = F.col("hk") / F.col("hn")
+    total = hosts.agg(
+        F.sum("hn").alias("n"), F.sum("hk").alias("k"), F.count("*").alias("hosts"), F.sum("g").alias("paths"), square("hk", "hn").alias("hs"),
+        F.sum(F.col("hn") * F.col("hn")).alias("hn2"), F.sum("s").alias("ps"), F.sum(F.col("n2") / F.col("hn")).alias("pn2"), F.sum(F.col("hn") * host_rate * (1 - host_rate)).alias("v"),
+    ).first()
+    p, host_k, path_k = 0.5, 1.0, 1.0
+    if total["n"]:
+        n, p = float(total["n"]), (float(total["k"]) + 0.5) / (float(total["n"]) + 1)
+        between = float(total["hs"]) - float(total["k"]) ** 2 / n
+        host_k = _strength(p, (between - (total["hosts"] - 1) * p * (1 - p)) / max(1e-9, n - float(total["hn2"]) / n))
+        inner = float(total["v"]) / n  # what varies within hosts
+        within = float(total["ps"]) - float(total["hs"])
+        spread = (within - (total["paths"] - total["hosts"]) * inner) / max(1e-9, n - float(total["pn2"]))
+        path_k = float(np.clip(inner / spread - 1, 1.0, 1e4)) if spread > 0 else 1e4
     host_q = (F.col("hk") + host_k * p) / (F.col("hn") + host_k)
     return (
-        paths.join(hosts, "host")
+        paths.join(hosts.select("host", "hn", "hk"), "host")
         .withColumn("host_quality", host_q)
         .select("host", "path", "host_quality", ((F.col("k") + path_k * F.col("host_quality")) / (F.col("n") + path_k)).alias("path_quality"), F.lit(p).alias("prior"))
     )
@@ -128,8 +139,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     The text's log-odds plus what its site's posterior adds over the global prior. A site
     without labelled documents has its host's posterior, a host without any the prior.
-    Null texts are empty, null hosts and paths are the empty name. Every document and
-    every label counts; only the text classifier fits on a bounded sample.
+    Null texts are empty, null hosts and paths are the empty name, labels of one document
+    are averaged, labels without a document are left out. Every document and every label
+    counts; only the text classifier fits on a bounded sample. Repeated rows come out as
+    they went in and count twice for their site; a null doc_id has no label. No rows give
+    none, no labels give 0.5 throughout. Whole texts are described, however long. Columns
+    other than those named are ignored.
     """
     model = fit_text(docs, labels)
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
