@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm import decontaminate, exact_dedup, language, packing, simhash
 from trapline.llm.common import shared_dir, table
-from trapline.llm.queries import word_bpe
+from trapline.llm.queries import MIXTURE, word_bpe
 
 #: Documents of a lower score are in no language that the filters know.
 LEAST_SCORE = 0.25
@@ -40,8 +40,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4,096 tokens at the sources' proportions."""
-    return packing.pack(docs, word_bpe())
+    """Packs what is left into sequences of 4,096 tokens, at the target mixture of the sources."""
+    return packing.pack(docs, word_bpe(), mixture=MIXTURE)
 
 
 STAGES = [

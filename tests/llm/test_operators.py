@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from trapline.llm import decontaminate, language, packing, quality, queries, url_filter, warc
+from trapline.llm import common, decontaminate, language, packing, quality, queries, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,9 +46,12 @@ def expected_ids(word_ids, rows):
     return Counter((i, np.append(np.frombuffer(word_ids.whole(t or ""), "<u2"), 2).astype("<u4").tobytes()) for i, t, *_ in rows)
 
 
-@pytest.mark.parametrize("mixture", [None, {"a": 1.0, "b": 3.0}])
-def test_pack_round_trip(spark, word_ids, mixture):
-    rows = pack_rows()
+@pytest.mark.parametrize("mixture", [None, {"a": 0.25, "b": 0.75}, {"a": 0.05, "none": 0.5}])
+def test_pack_round_trip(spark, word_ids, monkeypatch, mixture):
+    monkeypatch.setattr(packing, "GROUPS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(packing, "PARTS", 3)
+    rows = pack_rows() + [(200 + k, "beta " * (k % 9) * 7, "en", f"s{k % 30}") for k in range(90)]
     pieces = [r for r in packing.pack(docs_frame(spark, rows), queries.word_bpe(), window=64, mixture=mixture).collect()]
     # windows are full and without gaps, but for the last
     windows = defaultdict(list)
@@ -71,15 +74,42 @@ def test_pack_round_trip(spark, word_ids, mixture):
         assert sum(c for (j, b), c in want.items() if j == i and len(b) == 4 * n and zlib.crc32(b[4 * start : 4 * (start + length)]) == crc) >= 1, (i, many)
 
 
-def test_windows_follow_the_proportions(spark):
-    rows = [(i, "word " * 500, "en", "a" if i % 4 else "b") for i in range(40)]
-    pieces = packing.pack(docs_frame(spark, rows), queries.word_bpe(), window=400).collect()
+def shares_of(pieces, source):
     share = defaultdict(int)
     for r in pieces:
-        if r.source == "b":
+        if r.source == source:
             share[r.sequence_id] += r.length
+    return share
+
+
+def test_windows_follow_the_proportions(spark):
+    rows = [(i, "word " * 500, "en", "a" if i % 4 else "b") for i in range(40)]
+    pieces = packing.pack(docs_frame(spark, rows), queries.word_bpe(), window=400).collect()
+    share = shares_of(pieces, "b")
     full = [share[w] for w in range(max(r.sequence_id for r in pieces))]
     assert min(full) >= 99 and max(full) <= 101
+    assert all(abs(r.deficit) <= 1 for r in pieces)
+
+
+def test_windows_follow_the_mixture_until_a_source_is_used_up(spark, monkeypatch):
+    """Named sources have their share of each window, all others theirs of the rest, however many share a group."""
+    monkeypatch.setattr(packing, "GROUPS", 2)
+    rows = [(i, "word " * 199, "en", "a") for i in range(20)] + [(100 + i, "word " * 199, "en", f"s{i % 10}") for i in range(60)]
+    pieces = packing.pack(docs_frame(spark, rows), queries.word_bpe(), window=400, mixture={"a": 0.5}).collect()
+    assert sum(r.length for r in pieces) == 80 * 200
+    a, rest = shares_of(pieces, "a"), [shares_of(pieces, f"s{k}") for k in range(10)]
+    assert all(199 <= a[w] <= 201 for w in range(20)) and not any(a[w] for w in range(21, 40))
+    # 1,200 tokens each: a tenth of the half that a leaves, and of whole windows after
+    assert all(16 <= s[w] <= 24 for s in rest for w in range(20)) and all(35 <= s[w] <= 45 for s in rest for w in range(21, 39))
+    assert max(abs(r.deficit) for r in pieces) <= 12
+
+
+def test_each_text_is_one_word_of_many_windows(spark):
+    """A very long text is cut over many windows without a gap."""
+    rows = [(1, "word " * 60_000, "en", "a"), (2, "x", "en", "b")]
+    pieces = packing.pack(docs_frame(spark, rows), queries.word_bpe()).collect()
+    long_ = sorted((r.start, r.length) for r in pieces if r.doc_id == 1)
+    assert long_[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(long_, long_[1:])) and sum(n for _, n in long_) == 60_001
 
 
 def test_deficits_are_monotone_and_complete():

@@ -16,12 +16,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, written
+from .common import in_arrow, salted_join, ship, written
 
-#: Queues with a share of their own; the sources beyond share one more.
-QUEUES = 1024
-#: Parts of a queue whose lengths are summed on their own.
+#: Groups of the sources that the mixture does not name, by a hash; each is a queue of its own sources' queues.
+GROUPS = 1024
+#: Parts of a source whose lengths are summed on their own, at least, and documents in one of them.
 PARTS = 4096
+PART_ROWS = 1000
 #: Words one worker keeps; the table is emptied when it is full.
 _WORDS = 800_000
 _SLOW = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
@@ -113,7 +114,7 @@ class Deficits:
     its left half and the others to the right one; what the division leaves is the deficit
     that the next window pays. Each count is within one token a level of the exact share,
     never falls, and reaches the queue's length at the end, so any window can be cut
-    without those before it.
+    without those before it: the deficits carried into it are known.
     """
 
     def __init__(self, lengths: list[int]) -> None:
@@ -132,29 +133,38 @@ class Deficits:
             stack += [(lo, mid), (mid, hi)]
 
     def given(self, queue: int, g: int) -> int:
-        for left, both, first in self.paths[queue]:
-            part = g * left // both if both else 0
-            g = part if first else g - part
-        return g
+        return given(self.paths[queue], g)
 
     def before(self, queue: int, g: int, h: int) -> int:
-        """Tokens of the queues before this one between ``g`` and ``h``."""
-        sum_ = 0
-        for left, both, first in self.paths[queue]:
-            x, y = (g * left // both, h * left // both) if both else (0, 0)
-            if first:
-                g, h = x, y
-            else:
-                sum_ += y - x
-                g, h = g - x, h - y
-        return sum_
+        return before(self.paths[queue], g, h)
+
+
+def given(path: list[tuple[int, int, bool]], g: int) -> int:
+    """Tokens that the queue at the end of a tree's path gives of the first ``g``."""
+    for left, both, first in path:
+        part = g * left // both if both else 0
+        g = part if first else g - part
+    return g
+
+
+def before(path: list[tuple[int, int, bool]], g: int, h: int) -> int:
+    """Tokens of the queues before this one between ``g`` and ``h``."""
+    sum_ = 0
+    for left, both, first in path:
+        x, y = (g * left // both, h * left // both) if both else (0, 0)
+        if first:
+            g, h = x, y
+        else:
+            sum_ += y - x
+            g, h = g - x, h - y
+    return sum_
 
 
 def phases(lengths: list[int], weights: list[float] | None, window: int) -> list[list[int]]:
     """What each queue gives in each phase; a phase ends where a queue runs dry.
 
     Without weights there is one phase at the queues' own proportions. All phases but the
-    last fill whole windows.
+    last fill whole windows. Queues of weight 0 wait until the others are used up.
     """
     left = list(lengths)
     plan: list[list[int]] = []
@@ -176,84 +186,156 @@ def phases(lengths: list[int], weights: list[float] | None, window: int) -> list
     return plan
 
 
+class Schedule:
+    """Which window and offset each token of a source has.
+
+    The named sources and the groups of the others are the queues of each phase; a group's
+    tokens are dealt to its sources by a tree of its own, over all phases.
+    """
+
+    def __init__(self, plan: list[list[int]], window: int) -> None:
+        self.plan, self.window, self.queues = plan, window, len(plan[0]) if plan else 1
+        self.tables = [Deficits(p) for p in plan]
+        sums = np.cumsum(np.array(plan, dtype=object).reshape(-1, self.queues), axis=0)
+        self.firsts = np.concatenate([np.zeros((1, self.queues), dtype=object), sums]).tolist()
+        self.begins = [sum(f) for f in self.firsts]
+
+    def queue_given(self, queue: int, w: int) -> int:
+        """Tokens that a queue gives in the first ``w`` windows."""
+        g = min(w * self.window, self.begins[-1])
+        phase = min(bisect_right(self.begins, g), len(self.plan)) - 1
+        return self.firsts[phase][queue] + self.tables[phase].given(queue, g - self.begins[phase])
+
+    def source_given(self, queue: int, path: list, w: int) -> int:
+        return given(path, self.queue_given(queue, w))
+
+    def find(self, queue: int, path: list, at: int, size: int) -> int:
+        """The window of token ``at`` of a source of ``size`` tokens: a guess in proportion, then doubling steps."""
+        whole = self.firsts[-1][queue]
+        far = at * whole // size
+        phase = min(bisect_right([f[queue] for f in self.firsts], far), len(self.plan)) - 1
+        part = self.plan[phase][queue]
+        low = (self.begins[phase] + ((far - self.firsts[phase][queue]) * self.tables[phase].total // part if part else 0)) // self.window
+        step = 1
+        while low and self.source_given(queue, path, low) > at:
+            low, step = max(0, low - step), 2 * step
+        high, step = low + 1, 1
+        while self.source_given(queue, path, high) <= at:
+            low, high, step = high, high + step, 2 * step
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if self.source_given(queue, path, mid) <= at else (low, mid)
+        return low
+
+    def pieces(self, queue: int, path: list, at: int, count: int, size: int) -> Iterator[tuple[int, int, int, int, float]]:
+        """(start in document, length, window, offset, deficit) of ``count`` tokens at ``at`` of a source of ``size``."""
+        start, w = 0, self.find(queue, path, at, size) if count else 0
+        while start < count:
+            end = self.source_given(queue, path, w + 1)
+            if end <= at:
+                w = w + 1 if self.source_given(queue, path, w + 2) > at else self.find(queue, path, at, size)
+                continue
+            low, high = w * self.window, min(self.begins[-1], (w + 1) * self.window)
+            phase = bisect_right(self.begins, low) - 1
+            table, since = self.tables[phase], self.begins[phase]
+            x, y = self.queue_given(queue, w), self.queue_given(queue, w + 1)
+            first = given(path, x)
+            offset = table.before(queue, low - since, high - since) + before(path, x, y) + at - first
+            share = (low - since) * self.plan[phase][queue] / table.total + self.firsts[phase][queue]
+            owed = share * size / self.firsts[-1][queue] - first
+            take = min(count - start, end - at)
+            yield start, take, w, offset, round(owed, 6)
+            start, at, w = start + take, at + take, w + 1
+
+
+def targets(lengths: list[int], shares: list[float], named: int) -> list[float] | None:
+    """Weights of the queues: the named ones' shares, what is left of 1 in proportion to the others' lengths."""
+    if not named:
+        return None
+    rest, others = max(0.0, 1 - sum(shares)), sum(lengths[named:])
+    return [*shares, *(rest * n / others if others else 0.0 for n in lengths[named:])]
+
+
+_PATH = "array<struct<left:long,both:long,first:boolean>>"
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, mixture: dict[str, float] | None = None, end_id: int = 2) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, deficit.
 
-    Every window takes tokens of all source queues at the target proportions: those of
-    ``mixture`` while a source lasts (a source not named has weight 0 until the others
-    are used up), else the sources' own. A queue orders documents by a hash of doc_id.
-    Only the last window is shorter. A document may be cut anywhere; each of its ids is in
-    one piece.
+    Every window takes tokens of all source queues at the target proportions while they
+    last: a source that ``mixture`` names has that share of each window, the others have
+    what is left of 1 in proportion to their tokens. When a queue is used up, the others
+    keep their proportions to each other. What a window owes a source (``deficit``, the
+    exact share so far less the tokens given) is paid by the windows that follow, across
+    partitions. A source orders documents by a hash of doc_id. Only the last window is
+    shorter. A document may be cut anywhere; each of its ids is in one piece.
 
-    Positions are sums over (queue, part) groups and then within a part, so a source of a
-    third of all rows is dealt over thousands of groups. Only one total for each of at
-    most 1,025 queues reaches the driver.
+    Positions are sums over (source, part) groups and then within a part, so a source of a
+    third of all rows is dealt over thousands of groups. The sources may be any number: the
+    driver knows the totals of the named ones and of 1,024 groups of the others; the
+    sources of a group are dealt within it.
 
     Null texts are empty (one id, ``end_id``); null sources are the source ''. Repeated
-    rows are packed as often as they occur. Empty in, empty out.
+    rows are packed as often as they occur, null ids like others. Whole texts are encoded,
+    each in one task. Other columns are ignored. Empty in, empty out.
     """
-    tokens = written(
-        tokenize(docs, tokenizer, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
-    )
-    top = tokens.groupBy("source").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES)
-    names = {r["source"]: k for k, r in enumerate(top.collect())}
-    number = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else None
-    queued = tokens.withColumn("queue", F.coalesce(F.try_element_at(number, "source"), F.lit(len(names))) if names else F.lit(0))
-    sizes = queued.groupBy("queue", "part").agg(F.sum("tokens").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    lengths = [totals.get(k, 0) for k in range(len(names) + 1)]
-    weights = None if mixture is None else [float(mixture.get(s, 0)) for s in names] + [0.0]
-    if weights and not any(weights):
-        raise ValueError("the mixture names no source of the documents")
-    plan = phases(lengths, weights, window)
-    firsts = np.concatenate([np.zeros((1, len(lengths)), dtype=object), np.cumsum(np.array(plan, dtype=object).reshape(-1, len(lengths)), axis=0)]).tolist()
-    tables = [Deficits(p) for p in plan]
-    begins = [sum(f) for f in firsts]
+    tokens = written(tokenize(docs, tokenizer, end_id).withColumn("place", F.xxhash64("doc_id")))
+    parts = max(PARTS, tokens.count() // PART_ROWS)
+    names = sorted(mixture or {})
+    shares = [float(mixture[s]) for s in names]
+    if names and (min(shares) < 0 or not sum(shares)):
+        raise ValueError("shares of the mixture are not negative, and one at least is positive")
+    number = F.create_map(*(F.lit(x) for k, s in enumerate(names) for x in (s, k))) if names else None
+    own = F.try_element_at(number, "source") if names else F.lit(None).cast("int")
+    parted = tokens.withColumn("part", F.pmod(F.col("place"), F.lit(parts)).cast("int"))
+    sizes = written(parted.groupBy("source", "part").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")))
+    group = F.lit(len(names)) + F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int")
+    sources = sizes.groupBy("source").agg(F.sum("n").alias("size"), F.sum("rows").alias("n")).withColumn("queue", F.coalesce(own, group))
+    totals = {r["queue"]: r["size"] for r in sources.groupBy("queue").agg(F.sum("size").alias("size")).collect()}
+    # only queues that hold something: groups follow the named sources
+    queues = [k for k in sorted(totals) if totals[k]]
+    lengths = [totals[k] for k in queues]
+    kept = [s for k, s in enumerate(shares) if k in totals]
+    schedule = Schedule(phases(lengths, targets(lengths, kept, len(kept)), window), window)
+    order = {k: n for n, k in enumerate(queues)}
+
+    def tree(rows: pa.Table) -> pa.Table:
+        """The sources of a queue, each with its path in the queue's tree."""
+        rows = rows.sort_by("source")
+        paths = Deficits(rows.column("size").to_pylist()).paths
+        kind = pa.list_(pa.struct([("left", pa.int64()), ("both", pa.int64()), ("first", pa.bool_())]))
+        told = [[dict(zip(("left", "both", "first"), step, strict=True)) for step in p] for p in paths]
+        return pa.table({"source": rows.column("source"), "queue": rows.column("queue"), "size": rows.column("size"), "n": rows.column("n"), "path": pa.array(told, kind)})
+
+    ship(docs.sparkSession)
+    dealt = written(sources.groupBy("queue").applyInArrow(tree, f"source string, queue int, size long, n long, path {_PATH}"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def pieces(queue: int, at: int, size: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in document, length, window, offset) of a document at ``at`` of its queue."""
-        start = 0
-        phase = bisect_right([f[queue] for f in firsts], at) - 1
-        while start < size:
-            while at >= firsts[phase + 1][queue]:
-                phase += 1
-            given, base, length = tables[phase], firsts[phase][queue], plan[phase][queue]
-            t = at - base
-            w = t * given.total // length // window
-            while w and given.given(queue, w * window) > t:
-                w -= 1
-            while (end := given.given(queue, min(given.total, (w + 1) * window))) <= t:
-                w += 1
-            low, high = w * window, min(given.total, (w + 1) * window)
-            take = min(size - start, end - t)
-            offset = given.before(queue, low, high) + t - given.given(queue, low)
-            yield start, take, begins[phase] // window + w, offset
-            start, at = start + take, at + take
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, source, queue, at, size, ids = (batch.column(k) for k in range(6))
+            doc, source = batch.column(0), batch.column(1)
             row, rest = [], []
-            for k, (q, a, n, b) in enumerate(zip(queue.to_pylist(), at.to_pylist(), size.to_pylist(), ids.to_pylist(), strict=True)):
+            columns = (batch.column(k).to_pylist() for k in range(2, 8))
+            for k, (q, path, length, a, n, b) in enumerate(zip(*columns, strict=True)):
                 wide = np.frombuffer(b, dtype="<u2").astype("<u4").tobytes()
-                for s, take, w, o in pieces(q, a, n):
+                steps = [(p["left"], p["both"], p["first"]) for p in path]
+                for s, take, w, o, d in schedule.pieces(order[q], steps, a, n, length):
                     row.append(k)
-                    rest.append((s, take, zlib.crc32(wide[4 * s : 4 * (s + take)]), n, w, o))
-            columns = list(zip(*rest, strict=True)) or [[]] * 6
+                    rest.append((s, take, zlib.crc32(wide[4 * s : 4 * (s + take)]), n, w, o, d))
+            found = list(zip(*rest, strict=True)) or [[]] * 7
             taken = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [doc.take(taken), source.take(taken), *(pa.array(c, pa.int64()) for c in columns)],
-                names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                [doc.take(taken), source.take(taken), *(pa.array(c, pa.int64()) for c in found[:6]), pa.array(found[6], pa.float64())],
+                names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "deficit"],
             )
 
-    base = sizes.withColumn(
-        "base", F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    ).drop("n")
-    order = Window.partitionBy("queue", "part").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, 0)
-    placed = queued.join(base, ["queue", "part"]).withColumn("at", F.col("base") + F.sum("tokens").over(order) - F.col("tokens"))
-    return placed.select("doc_id", "source", "queue", "at", "tokens", "ids").transform(
-        in_arrow,
+    running = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    base = sizes.select("source", "part", (F.sum("n").over(running("source").orderBy("part")) - F.col("n")).alias("base"))
+    within = F.sum("tokens").over(running("source", "part").orderBy("doc_id", "ids")) - F.col("tokens")
+    placed = parted.withColumn("within", within).join(base, ["source", "part"]).withColumn("at", F.col("base") + F.col("within"))
+    told = salted_join(placed, dealt.drop("n"), ["source"], dealt.select("source", "n"), ["place"])
+    return in_arrow(
+        told.select("doc_id", "source", "queue", "path", "size", "at", "tokens", "ids"),
         cut,
-        f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+        f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, deficit double",
     )

@@ -11,6 +11,9 @@ from .common import table
 #: The rules that op2 is asked for.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
+#: The share of each window that op5 and the pipeline give a source; the other sources share the rest.
+MIXTURE = {"src0": 0.1}
+
 
 def word_bpe() -> str:
     """Path of the public word-level BPE vocabulary."""
@@ -51,7 +54,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), word_bpe())
+    return pack(table(spark, sf_dir, "documents"), word_bpe(), mixture=MIXTURE)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
