@@ -473,13 +473,39 @@ def test_archive_round_trip_and_lookup(spark, tmp_path):
         r = found[i]
         assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
         assert (r.record_type, r.refers_to) == (("response", None) if first[html or ""] == i else ("revisit", first[html or ""]))
-    asked = spark.createDataFrame([("http://B.example.com/x?y",), ("http://nowhere/",)], "url string")
+    asked = spark.createDataFrame([("http://B.example.com/x?y",), ("http://nowhere/",), ("http://a.example.com/\r\nX: y",), (None,), (None,)], "url string")
     hits = warc.fetch(index.lookup(asked)).collect()
-    assert {(r.page_id, bytes(r.payload)) for r in hits} == {(3, b""), (9, b"q")}
+    assert sorted((r.page_id, bytes(r.payload)) for r in hits) == [(2, b""), (3, b""), (4, b"z"), (9, b"q")]
     whole = warc.fetch(index.captures().where("record_type = 'response'")).collect()
     assert {r.page_id: bytes(r.payload).decode() for r in whole} == {i: next(h or "" for j, _, h in pages if j == i) for i in first.values()}
 
 
+@pytest.mark.parametrize("block", [1, 3, 3000])
+def test_lookup_of_many_pages_finds_each_once(spark, tmp_path, monkeypatch, block):
+    """Blocks and shards that begin within a key's captures, urls of many pages, very long pages, null and repeated rows."""
+    monkeypatch.setattr(warc, "BLOCK", block)
+    monkeypatch.setattr(warc, "FILE_RECORDS", [(20, 5), (1000, 2), (1 << 40, 1)])
+    rng = random.Random(block)
+    pages = [(k, rng.choice([None, "", "x y", "http://a.b/ c", *(f"http://h{j % 3}.com/{j}" for j in range(12))]), "p" * rng.choice([0, 3, 21, 1000, 1001, 70_000])) for k in range(60)]
+    pages += [(60, "http://h0.com/0", None), (7, *pages[7][1:]), (None, "http://h0.com/0", "null id"), (61, "http://h0.com/0", "é" * 3_000_000)]
+    frame = spark.createDataFrame([(*p, 5) for p in pages], "page_id long, url string, html string, offset int").repartition(3)
+    index = warc.archive_pages(frame, str(tmp_path / "warc"))
+    found = warc.fetch(index.lookup(frame)).collect()
+    assert Counter(str(r.page_id) for r in found) == Counter(str(i) for i, *_ in pages)
+    text = {i: (h or "").encode() for i, _, h in pages}
+    first = {}
+    for i, data in sorted((x for x in text.items() if x[0] is not None)):
+        first.setdefault(data, i)
+    for r in found:
+        data = text[r.page_id]
+        assert r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode() and r.payload_bytes == len(data)
+        low = first.get(data)
+        assert (r.record_type, r.refers_to) == (("response", None) if low in (r.page_id, None) else ("revisit", low))
+        assert bytes(r.payload) == (data if r.record_type == "response" else b"")
+    some = index.lookup(spark.createDataFrame([("http://h1.com/4",), ("http://zzz/",), ("http://!/",)], "url string")).collect()
+    assert Counter(r.page_id for r in some) == Counter(i for i, u, _ in pages if u == "http://h1.com/4")
+
+
 def test_archive_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_pages(none, str(tmp_path / "warc")).captures().count() == 0

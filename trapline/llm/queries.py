@@ -82,8 +82,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return index.captures().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Each page's record, found by its url in the index and read from its archive by range."""
+    pages = table(spark, sf_dir, "pages")
+    read = warc.fetch(warc.archive_pages(pages).lookup(pages))
+    size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    return read.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict:

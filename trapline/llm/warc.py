@@ -9,6 +9,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,8 @@ from .common import in_arrow, shared_dir, written
 
 #: Captures in one compressed block of the index.
 BLOCK = 3000
-#: Records in one archive file at most.
-FILE_RECORDS = 2000
+#: Payloads of fewer bytes are written so many to an archive file; so are, of those beyond, larger ones.
+FILE_RECORDS = [(1 << 16, 2000), (1 << 22, 32), (1 << 40, 1)]
 #: Groups that one payload's rows are dealt over.
 RUNS = 256
 #: Verdicts on payloads that occur again which are broadcast at most; more are joined by a shuffle.
@@ -51,8 +52,13 @@ def after_host(url: Column) -> Column:
     return F.when(at > 0, F.regexp_replace(rest, r"^[^/?#]*", "")).otherwise("")
 
 
+def clean(url: Column) -> Column:
+    """The url as an archive holds it: white space and control characters would end a header."""
+    return F.regexp_replace(url, r"[\x00-\x20\x7F]", "%20")
+
+
 def surt(url: Column) -> Column:
-    """Reversed-host key: ``com,example,www)/path?query``; the fragment goes."""
+    """Reversed-host key of a clean url: ``com,example,www)/path?query``; the fragment goes."""
     return F.when(url.isNull(), F.lit("")).otherwise(
         F.concat(F.array_join(F.reverse(F.split(host(url), r"\.")), ","), F.lit(")"), F.regexp_replace(after_host(url), "(?s)#.*$", ""))
     )
@@ -87,8 +93,7 @@ def _record(date: str) -> Column:
     """A whole record but for its last line end, which the text writer adds."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uid = lambda c: F.concat(F.lit("<urn:trapline:page:"), c.cast("string"), F.lit(">"))
-    # white space and control characters would end a header
-    target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
+    target = clean(F.col("url"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
         line("Content-Length", F.col("payload_bytes").cast("string")),
@@ -120,16 +125,20 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     """Writes uncompressed WARC/1.1 files below ``path``, one record per row of ``pages``.
 
     Spark's text writer does it, so files are committed task by task and a lost executor's
-    are written again. Null html is an empty payload; a null url has no target. Repeated
-    rows of the smallest page_id are all responses.
+    are written again. Pages are written by size, so that a file of many records stays
+    small and a very long page has one of its own. Null html is an empty payload; a null
+    url has no target. Repeated rows of the smallest page_id are all responses. A record of
+    a null page_id has no identifier, and none refers to it.
     """
-    (
-        deduplicated(pages)
-        .select(_record(date).alias("value"))
-        .write.option("lineSep", "\r\n")
-        .option("maxRecordsPerFile", FILE_RECORDS)
-        .text(path)
-    )
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    made = deduplicated(pages)
+    low = -1
+    for high, records in FILE_RECORDS:
+        own = made.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        own.select(_record(date).alias("value")).write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", records).text(path)
+        low = high
+        if longest <= high:
+            break
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -201,11 +210,12 @@ class CaptureIndex:
     def lookup(self, urls: DataFrame) -> DataFrame:
         """The captures of the urls (column ``url``): shard, then block, then entry.
 
-        Only the shards' ranges, one for each partition of the index, reach the driver.
-        A url's shard and block are found by their sorted keys; only those blocks are
-        unpacked.
+        Only the shards' ranges, one for each partition of the index, reach the driver. A
+        url's shard is found by bisecting them, its blocks by bisecting the shard's part of
+        the directory, and its entries by unpacking those blocks alone. A null url has the
+        captures without one. Each capture comes once, however often its url is asked for.
         """
-        ranges = self.directory.groupBy("shard").agg(F.min("first_key").alias("k")).orderBy("k").collect()
+        ranges = self.directory.groupBy("shard").agg(F.min("first_key").alias("k")).orderBy("k", "shard").collect()
         firsts, shards = [r["k"] for r in ranges], [r["shard"] for r in ranges]
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,19 +230,32 @@ class CaptureIndex:
                     [pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], names=["key", "shard"]
                 )
 
-        keys = urls.select(surt(F.col("url")).alias("key")).distinct().transform(in_arrow, place, "key string, shard int")
-        hit = keys.join(self.directory, "shard").where("first_key <= key and key <= last_key").select("shard", "block", "key")
-        wanted = hit.groupBy("shard", "block").agg(F.collect_set("key").alias("keys"))
-        found = self.blocks.join(wanted.select("shard", "block"), ["shard", "block"], "left_semi").select("data")
-        return found.transform(in_arrow, _unpack, f"key string, {_CAPTURE}").join(keys.select("key").distinct(), "key", "left_semi")
+        def search(keys: pa.Table, directory: pa.Table) -> pa.Table:
+            """The blocks of one shard that may hold a key: those from the last that begins before it."""
+            blocks = directory.sort_by("block").to_pydict()
+            found: dict[int, list[str]] = {}
+            for k in keys.column("key").to_pylist():
+                for b in range(max(0, bisect_left(blocks["first_key"], k) - 1), bisect_right(blocks["first_key"], k)):
+                    if k <= blocks["last_key"][b]:
+                        found.setdefault(blocks["block"][b], []).append(k)
+            shard = (keys.column("shard").to_pylist() or [0])[:1] * len(found)
+            return pa.table({"shard": pa.array(shard, pa.int32()), "block": pa.array(list(found), pa.int32()), "keys": pa.array(list(found.values()), pa.list_(pa.string()))})
+
+        keys = urls.select(surt(clean(F.col("url"))).alias("key")).distinct().transform(in_arrow, place, "key string, shard int")
+        wanted = keys.groupBy("shard").cogroup(self.directory.groupBy("shard")).applyInArrow(search, "shard int, block int, keys array<string>")
+        return self.blocks.join(wanted, ["shard", "block"]).select("data", "keys").transform(in_arrow, _unpack, f"key string, {_CAPTURE}")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (data, and keys if only some are asked for) to captures."""
     for batch in batches:
-        for data in batch.column("data"):
+        for data, keys in zip(batch.column(0), batch.column(1) if batch.num_columns > 1 else repeat(None), strict=False):
+            rows = json.loads(zlib.decompress(data.as_py()))
+            if keys is not None:
+                asked = set(keys.as_py())
+                rows = [r for r in rows if r["key"] in asked]
             yield pa.RecordBatch.from_pylist(
-                json.loads(zlib.decompress(data.as_py())),
-                schema=pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in f"key string, {_CAPTURE}".split(", ")]),
+                rows, schema=pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in f"key string, {_CAPTURE}".split(", ")])
             )
 
 
@@ -275,27 +298,46 @@ def build_index(captures: DataFrame) -> CaptureIndex:
 def fetch(captures: DataFrame) -> DataFrame:
     """captures with ``payload``: the bytes of each record's payload, read by its range alone.
 
-    A revisit's payload is empty; look for its response. Files are opened on the
-    executors, so their folder must be one that all of them see.
+    A revisit's payload is empty; look for its response. Captures are sorted by file and
+    place first, so a task opens each file once and reads forward. Files are opened on the
+    executors, so their folder must be one that all of them see. A response whose payload
+    differs from its digest raises ValueError.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        held, file = None, None
         for batch in batches:
-            payloads = []
-            for row in batch.select(["file", "offset", "length"]).to_pylist():
-                store, name = fs.FileSystem.from_uri(row["file"])
-                with store.open_input_file(name) as file:
-                    payloads.append(next(records(file.read_at(row["length"], row["offset"])))[4])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "payload"])
+            for part in range(0, batch.num_rows, 256):
+                rows = batch.slice(part, 256)
+                payloads = []
+                for row in rows.select(["file", "offset", "length", "record_type", "payload_digest"]).to_pylist():
+                    if row["file"] != held:
+                        if file is not None:
+                            file.close()
+                        store, name = fs.FileSystem.from_uri(row["file"])
+                        held, file = row["file"], store.open_input_file(name)
+                    payload = next(records(file.read_at(row["length"], row["offset"])))[4]
+                    if row["record_type"] == "response" and row["payload_digest"] != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+                        raise ValueError(f"{held}, byte {row['offset']}: the payload's digest differs")
+                    payloads.append(payload)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(payloads, pa.binary())], names=[*rows.schema.names, "payload"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.schema)
-    return captures.transform(in_arrow, read, f"{schema}, payload binary")
+    ranged = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return in_arrow(ranged, read, f"{schema}, payload binary")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> CaptureIndex:
-    """Writes the archives, reads them back and indexes them."""
+    """Writes the archives, reads them back and indexes them.
+
+    Null html is an empty payload, null urls are indexed under the empty key, and rows of a
+    null page_id have a null page_id in the index. Repeated rows are records of their own;
+    of equal payloads all rows of the smallest page_id are responses. No pages give an
+    empty index. Very long pages have files of their own. Columns other than page_id, url
+    and html are ignored.
+    """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}-warc"
     write_warc(pages, path)
