@@ -109,7 +109,8 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     hint = F.broadcast if lengths.count() <= BROADCAST_LENGTHS else (lambda x: x)
 
     def keys(probe: bool) -> DataFrame:
-        found = lengths.select("n", F.expr(_places(edits, probe)).alias("places")).where(F.size("places") > 0)
+        # written, or Spark would infer a filter that lists the places of each line anew
+        found = written(lengths.select("n", F.expr(_places(edits, probe)).alias("places")).where(F.size("places") > 0))
         each = sized.join(hint(found), "n").select("id", "n", "c", "line", F.explode("places").alias("s"))
         return each.withColumn("key", F.xxhash64("s.t", "s.l", "s.i", F.substring("line", F.col("s.p") + 1, F.col("s.z")))).drop("s")
 
@@ -117,7 +118,9 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     counts = index.groupBy("key").agg(F.count("*").alias("m"))
     shared = written(counts.where(F.col("m") > CROWDED))
     limit = max(CROWDED, (shared.agg(F.sum("m")).first()[0] or 0) // CROWDED_KEYS)
-    crowded = F.broadcast(shared.where(F.col("m") > limit).select("key", F.lit(True).alias("many")))
+    # one key that no line has, so that the plan is the same whether there are crowded ones or not
+    crowded = shared.where(F.col("m") > limit).select("key").unionByName(lengths.sparkSession.range(1).select(F.lit(0).cast("long").alias("key")))
+    crowded = F.broadcast(crowded.distinct().withColumn("many", F.lit(True)))
     within = lambda x, y, n: F.levenshtein(x, y, edits).between(0, F.expr(allowed(n, edits)))
 
     def told(df: DataFrame, name: str, text: str) -> DataFrame:
