@@ -94,14 +94,33 @@ def test_edit_similarity(spark, a, b, want):
     assert df.select(S.edit_sim(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(want)
 
 
-def test_the_bound_is_never_less(spark):
+def test_coded_sequences_have_the_distance_of_their_elements(spark):
+    """Ports of any number, and words that the vocabulary lacks."""
     import random
 
     rng = random.Random(1)
-    rows = [(rng.choices("abcd", k=rng.randrange(8)), rng.choices("abcde", k=rng.randrange(8))) for _ in range(200)]
-    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    out = df.select(S.edit_bound(F.col("a"), F.col("b")).alias("high"), S.edit_sim(F.col("a"), F.col("b")).alias("x")).collect()
-    assert all(r.high >= r.x - 1e-12 for r in out) and any(r.high > r.x for r in out)
+    pick = lambda values: rng.choices(values, k=rng.randrange(9))
+    rows = [(pick([0, 22, 80, 63, 64, 4095, 4096, 65535]), pick([22, 80, 64, 65535, 1]), pick(["port_scan", "auth_failed", "unknown"]), pick(["port_scan", "auth_failed", "odd"])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "p array<int>, q array<int>, s array<string>, t array<string>")
+    a, b = (F.struct(F.col(x).alias("e"), S.port_symbols(F.col(x)).alias("c")) for x in "pq")
+    c, d = (F.struct(F.col(x).alias("e"), S.known_symbols(F.col(x), S.TYPE_NAMES).alias("c")) for x in "st")
+    out = df.select(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).select(
+        S.coded_sim(F.col("a"), F.col("b"), "e", "c"), S.edit_sim(F.col("a.e"), F.col("b.e")), S.coded_sim(F.col("c"), F.col("d"), "e", "c"), S.edit_sim(F.col("c.e"), F.col("d.e"))
+    ).collect()
+    assert all(r[0] == pytest.approx(r[1]) and r[2] == pytest.approx(r[3]) for r in out)
+
+
+def test_payload_lists(spark):
+    rows = ['{"kex_algs": ["a", "b"]}', '{"kex_algs": [], "kex_algorithms": ["c"]}', '{"kex_algs": ["x", 1]}', '{"kex_algs": [null]}', '{"kex_algs": []}', '{"kex_algs": "a"}', '{"kex_algs": [], "kex_algorithms": []}', "{}", "no json", None]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, payload string")
+    found = {r.k: r.ssh_kex for r in df.select("k", features.handshakes(F.col("payload"))["ssh_kex"].alias("ssh_kex")).collect()}
+    assert found == {0: ["a", "b"], 1: ["c"], 2: None, 3: None, 4: None, 5: None, 6: [], 7: None, 8: None, 9: None}
+
+
+def test_protocol_takes_the_first_lists(spark):
+    lists = F.when(F.col("id") == "e001", F.array(F.lit("k1"), F.lit("k2"))).when(F.col("id") == "e002", F.array(F.lit("k3")))
+    row = features.protocol(frame(spark, range(4)).withColumn("ssh_kex", lists)).first()
+    assert row.ssh_kex == ["k1", "k2"] and row.tls_ciphers is None and row.service_distribution[0].value == "ssh"
 
 
 def test_small_similarities(spark):
@@ -134,11 +153,56 @@ def test_seeding_follows_the_first(spark):
     for k, ip in enumerate(["45.0.0.1", "45.0.0.2", "45.0.0.3"]):
         part = features.fingerprints(frame(spark, range(0, 600, 50), ip=ip)).withColumn("first_seen", F.lit(k))
         fps = part if fps is None else fps.unionByName(part)
-    spark.sparkContext.setCheckpointDir("/tmp/spark-test-checkpoint")
     found = {r.src_ip: r.leader for r in clustering.seed_campaigns(fps).collect()}
     assert found == {f"45.0.0.{k}": "45.0.0.1" for k in (1, 2, 3)}
 
 
+def test_seeding_matches_one_by_one(spark):
+    """All sources of the smallest tables against a plain loop over the same scores."""
+    from trapline.sources import adapter
+    from trapline.sources.store import saved
+
+    events = adapter.events(spark, "/root/testdata/sf0.001").where("u % 4 < 2")
+    first = events.where("src_ip is not null").groupBy("src_ip").agg(F.min("ts").alias("first_seen"))
+    fps = saved(features.fingerprints(events).join(first, "src_ip"))
+    pairs = clustering.as_struct(fps, "a", F.col("src_ip").alias("x")).crossJoin(clustering.as_struct(fps, "b", F.col("src_ip").alias("y")))
+    score = {(r.x, r.y): r.score for r in clustering.compare(pairs, "a", "b").select("x", "y", "score").collect()}
+    for bar in (0.60, 0.75):
+        want, leaders = {}, []
+        for r in fps.orderBy("first_seen", "src_ip").select("src_ip").collect():
+            near = [(-score[r.src_ip, y], y) for y in leaders if score[r.src_ip, y] >= bar]
+            want[r.src_ip] = min(near)[1] if near else r.src_ip
+            leaders += [] if near else [r.src_ip]
+        found = {r.src_ip: r.leader for r in clustering.seed_campaigns(fps, Config(uncertain_threshold=bar)).collect()}
+        assert found == want and len(want) > 5
+
+
+def test_decisions_and_their_effects(spark):
+    """Sparse, member, automatic, uncertain, without a candidate; a dormant campaign wakes up."""
+    now = "2025-06-15 12:00:00"
+    day = lambda n: datetime(2025, 6, 15, 12) - timedelta(days=n)
+    fps = spark.createDataFrame([("s", 3, 0.1), ("m", 20, 0.5), ("a", 30, 0.5), ("b", 40, 0.5), ("n", 50, 0.5)], "src_ip string, event_count long, confidence double")
+    camp = spark.createDataFrame(
+        [("c1", "active", day(1), None, 0, 4), ("c2", "dormant", day(200), day(100), 1, 7), ("c3", "active", day(3), None, 0, 1)],
+        "id string, status string, last_seen timestamp_ntz, dormant_since timestamp_ntz, reactivation_count int, member_ip_count long",
+    )
+    members = spark.createDataFrame([("c1", "m", day(9), day(8), 0.8)], "campaign_id string, source_ip string, added_at timestamp_ntz, last_active timestamp_ntz, confidence double")
+    score = lambda ip, c, x: (ip, c, *[x] * 5, x, 5)
+    scored = spark.createDataFrame([score("a", "c1", 0.81), score("a", "c2", 0.81), score("b", "c2", 0.84), score("b", "c1", 0.7), score("n", "c1", 0.59)], "src_ip string, campaign_id string, " + ", ".join(f"{d}_similarity double" for d in DIMENSIONS) + ", score double, dimensions_used int")
+    found = clustering.assign(fps, scored, camp, members, now)
+    told = {r.src_ip: (r.decision, r.campaign_id, r.threshold, r.is_reactivation, r.gap_days) for r in found.collect()}
+    assert told == {
+        "s": ("skipped_sparse", None, 0.2, False, None), "m": ("existing_member", "c1", 0.0, False, None), "a": ("automatic_association", "c1", 0.8, False, None),
+        "b": ("uncertain_association", "c2", 0.85, True, 200), "n": ("new_campaign", None, 0.6, False, None),
+    }
+    why = {r.src_ip: r.explanation for r in found.collect()}
+    assert why["b"].weighted_total == 0.84 and why["b"].decision == "uncertain_association" and why["m"] is None
+    after = {r.id: (r.status, str(r.last_seen), r.dormant_since, r.reactivation_count, r.member_ip_count, r.representative_ip) for r in clustering.apply_associations(camp, found, now).collect()}
+    assert after == {"c1": ("active", now, None, 0, 5, "a"), "c2": ("reactivated", now, None, 2, 8, "b"), "c3": ("active", str(day(3)), None, 0, 1, None)}
+    assert {(r.campaign_id, r.source_ip, str(r.last_active), r.confidence) for r in clustering.next_members(members, found, now).collect()} == {("c1", "m", now, 0.8), ("c1", "a", now, 0.81), ("c2", "b", now, 0.84)}
+    assert {(r.source_ip, r.dormancy_gap_days) for r in clustering.new_observations(found, now).collect()} == {("m", None), ("a", None), ("b", 200)}
+
+
 def test_lifecycle_boundaries(spark):
     now = datetime(2025, 6, 15, 12)
     rows = [("a", "active", now - timedelta(days=7), None), ("b", "active", now - timedelta(days=7, seconds=1), None), ("c", "dormant", now, now - timedelta(days=90)), ("d", "dormant", now, now - timedelta(days=90, seconds=1))]
@@ -161,12 +225,18 @@ def test_drift_is_strict_and_gated(spark):
 
 
 def test_weight_profiles_need_three_reviews(spark):
-    rows = [(f"o{k}", "c1" if k < 3 else "c2", BASE + timedelta(hours=k), "uncertain_association", "analyst_confirmed", 0.85, 0.90, 0.75, 0.40, 0.70) for k in range(5)]
-    df = spark.createDataFrame(rows, "id string, campaign_id string, observed_at timestamp_ntz, decision string, review string, " + ", ".join(f"{d} double" for d in DIMENSIONS))
+    rows = [(f"o{k}", "c1" if k < 3 else "c2", BASE + timedelta(hours=k), "uncertain_association", "analyst_confirmed", BASE, 0.85, 0.90, 0.75, 0.40, 0.70) for k in range(5)]
+    df = spark.createDataFrame(rows, "id string, campaign_id string, observed_at timestamp_ntz, decision string, review string, reviewed_at timestamp_ntz, " + ", ".join(f"{d} double" for d in DIMENSIONS))
     found = reviews.weight_profiles(df).collect()
     assert [r.campaign_id for r in found] == ["c1"]
     w = [found[0][f"w_{d}"] for d in DIMENSIONS]
     assert sum(w) == pytest.approx(1, abs=1e-6) and w[1] > 3.5 * w[4] and w[4] < 0.10 and found[0].confirmed_count == 3
+    assert [x.observation_id for x in found[0].log] == ["o0", "o1", "o2"] and found[0].log[2].weights_after.timing == w[0] and found[0].log[0].adjustments.target == 0
+    # what is logged is not counted again, and the fold goes on where it was
+    more = df.unionByName(df.where("id = 'o2'").withColumn("id", F.lit("o9")).withColumn("observed_at", F.expr("observed_at + interval 1 day")))
+    again = {r.campaign_id: r for r in reviews.weight_profiles(more, existing=reviews.weight_profiles(df)).collect()}
+    assert again["c1"] == reviews.weight_profiles(more).where("campaign_id = 'c1'").first() and again["c1"].review_count == 4 and set(again) == {"c1"}
+    assert reviews.weight_profiles(df, existing=reviews.weight_profiles(df)).collect() == found
 
 
 def test_lineage_reasons(spark):
@@ -190,11 +260,43 @@ def test_exports(spark):
     none = frame(spark, [0], src_ip=None)
     assert [r.line for r in exports.ufw_lines(none).collect()] == ["deny from 1.2.3.4"]
     assert [r.line for r in exports.pf_lines(frame(spark, [0])).collect()][0] == "table <blocked_ips> persist { 45.0.0.1 }"
-    assert one(spark, exports.uuid5(F.col("t")), t="ipv4-addr:1.2.3.4") == str(uuid.uuid5(uuid.NAMESPACE_URL, "ipv4-addr:1.2.3.4"))
+    assert one(spark, exports.uuid5(F.col("t")), t="ipv4-addr:1.2.3.4") == str(uuid.uuid5(exports.NAMESPACE, "ipv4-addr:1.2.3.4"))
     layer = json.loads(exports.attack_layer(frame(spark, [0])).first().layer)
     assert layer["techniques"] == [{"techniqueID": "T1110.001", "tactic": "credential-access", "score": 1, "comment": "1 event observed"}] and layer["gradient"]["maxValue"] == 1
+
+
+def test_stix_objects(spark):
+    import uuid
+
+    day = datetime(2025, 6, 1)
+    profiles_ = spark.createDataFrame([("1.2.3.4", day, day, 1, 0.125, ["scanner"]), ("5.6.7.8", None, None, 2, None, []), ("9.9.9.9", day, day, 9, 1.0, ["malware", "scanner"])], "ip string, first_seen timestamp_ntz, last_seen timestamp_ntz, event_count long, reputation_score double, tags array<string>")
+    camp = spark.createDataFrame([("c1", "QUIET-FOX-1", "active", day, day, 0.7, 1, 3), ("c2", "OLD-CROW-2", "historical", day, day, 0.7, 0, 1)], "id string, name string, status string, first_seen timestamp_ntz, last_seen timestamp_ntz, confidence double, reactivation_count int, member_ip_count long")
+    members = spark.createDataFrame([("c1", "1.2.3.4"), ("c2", "9.9.9.9"), ("c1", "7.7.7.7")], "campaign_id string, source_ip string")
+    now = "2025-06-15 12:00:00"
+    rows = {(r.type, r.value or r.name or r.target_ref): r for r in exports.stix_objects(profiles_, camp, members, now).collect()}
+    named = lambda kind, key: f"{kind}--{uuid.uuid5(exports.NAMESPACE, f'{kind}:{key}')}"
+    one_, bare = rows["indicator", "Malicious IP: 1.2.3.4"], rows["indicator", "Malicious IP: 5.6.7.8"]
+    assert len(rows) == 8 and one_.id == named("indicator", "1.2.3.4") and rows["ipv4-addr", "1.2.3.4"].id == named("ipv4-addr", "1.2.3.4")
+    assert (one_.confidence, one_.labels, one_.pattern) == (12, ["anomalous-activity"], "[ipv4-addr:value = '1.2.3.4']") and "1 event from" in one_.description
+    assert (bare.confidence, bare.labels, bare.created, bare.valid_until) == (50, ["malicious-activity"], "2025-06-15T12:00:00.000Z", None) and "2 events from" in bare.description
+    assert rows["indicator", "Malicious IP: 9.9.9.9"].labels == ["anomalous-activity", "malicious-activity"]
+    link = rows["relationship", named("campaign", "c1")]
+    assert link.id == named("relationship", f"indicates:{one_.id}:{link.target_ref}") and link.source_ref == one_.id
+    assert exports.stix_objects(profiles_, camp, members, now, limit=1).where("type = 'indicator'").first().name.endswith("9.9.9.9")
     with pytest.raises(PermissionError):
-        exports.stix_addresses(none, private=True)
+        exports.stix_objects(profiles_, camp, members, now, private=True)
+
+
+def test_snapshots_are_versions(spark, tmp_path):
+    from trapline.sources import store
+
+    path = str(tmp_path / "campaigns")
+    assert store.latest(spark, path) == (None, 0)
+    rows = lambda *r: spark.createDataFrame(r, "id string, n int")
+    assert store.write_snapshot(rows(("a", 1), ("b", 1)), path, ["id"]) == 1
+    assert store.write_snapshot(rows(("b", 2), ("c", 2)), path, ["id"]) == 2
+    newest, version = store.latest(spark, path)
+    assert version == 2 and sorted(map(tuple, newest.collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
 def test_sensor_lines(spark, tmp_path):

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, DIMENSIONS, Config
-
-Edit = Callable[[Column, Column], Column]
+from trapline.functions.normalize import EVENT_TYPES
 
 
 def stat_sim(a: Column, b: Column) -> Column:
@@ -54,15 +51,49 @@ def edit_sim(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - edits / longest)
 
 
-def edit_bound(a: Column, b: Column) -> Column:
-    """At least ``edit_sim``: elements in common, as often as both have them, by the longer length.
+def _string(codes: Column) -> Column:
+    """Characters joined; null if one of them is."""
+    return F.when(~F.exists(codes, lambda c: c.isNull()), F.array_join(codes, ""))
+
+
+def known_symbols(words: Column, vocabulary: list[str]) -> Column:
+    """One character for each element, its place in ``vocabulary``; null if an element is not in it."""
+    places = F.create_map(*(x for k, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(chr(33 + k)))))
+    return _string(F.transform(words, lambda w: F.try_element_at(places, w)))
+
+
+def port_symbols(ports: Column) -> Column:
+    """One character for each port: code points from 0x20000 on, written as their UTF-8 bytes."""
+    six = lambda p, k: F.shiftright(p, k).bitwiseAND(F.lit(63))
+    utf8 = lambda p: F.lit(0xF0A08080) + F.shiftleft(six(p, 12).cast("long"), 16) + F.shiftleft(six(p, 6).cast("long"), 8) + six(p, 0)
+    return _string(F.transform(ports, lambda p: F.when(p.between(0, 65535), F.decode(F.unhex(F.hex(utf8(p))), "UTF-8"))))
 
-    The distance is never less than the longer length minus that overlap.
-    """
-    often = lambda x, e: F.size(F.filter(x, lambda y: y == e))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, e: n + F.least(often(a, e), often(b, e)))
-    longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, 1.0).otherwise(common / longest)
+
+#: Types of events, and classes of user names and passwords as the features join them.
+TYPE_NAMES = [t[0] for t in EVENT_TYPES]
+PATTERNS = [f"{u}/{p}" for u in ("empty", "email", "numeric", "alpha", "alphanum", "special") for p in ("empty", "numeric", "alpha", "alphanum", "special")]
+
+
+def coded(fingerprints: DataFrame) -> DataFrame:
+    """Fingerprints whose sequences also stand as strings, made once so that a pair only needs their distance."""
+    seq, cred, target = F.col("sequence"), F.col("credential"), F.col("target")
+    patterns = lambda s: known_symbols(F.coalesce(s["credential_sequence"], F.array().cast("array<string>")), PATTERNS)
+    return fingerprints.withColumns(
+        {
+            "sequence": seq.withField("ports", port_symbols(seq["port_sequence"])).withField("types", known_symbols(seq["event_type_sequence"], TYPE_NAMES)).withField("patterns", patterns(seq)),
+            "credential": cred.withField("patterns", patterns(cred)),
+            "target": target.withField("ports", port_symbols(target["top_dst_ports"])),
+        }
+    )
+
+
+def coded_sim(a: Column, b: Column, elements: str, code: str) -> Column:
+    """:func:`edit_sim` of the arrays ``elements`` of two coded structs, from their strings where both have one."""
+    x, y = a[code], b[code]
+    longest = F.greatest(F.char_length(x), F.char_length(y))
+    quick = F.when(x.isNotNull() & y.isNotNull(), F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / longest))
+    none = F.array().cast("array<string>")
+    return F.coalesce(quick, edit_sim(F.coalesce(a[elements].cast("array<string>"), none), F.coalesce(b[elements].cast("array<string>"), none)))
 
 
 def round6(x: Column) -> Column:
@@ -86,38 +117,40 @@ def _any(x: Column, y: Column, score: Column) -> Column:
     return F.when((F.size(x) > 0) | (F.size(y) > 0), score)
 
 
-def timing_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
+def timing_similarity(a: Column, b: Column) -> Column:
     stats = [stat_sim(a[f"interval_{k}"], b[f"interval_{k}"]) for k in ("mean", "stddev", "p25", "p75", "p95")]
     parts = [sum(stats[1:], stats[0]) / 5, histogram_sim(a["tod_histogram"], b["tod_histogram"]), histogram_sim(a["dow_histogram"], b["dow_histogram"]), cv_sim(a["burst_cv"], b["burst_cv"])]
     return _both(a, b, mean_of(*parts))
 
 
-def sequence_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
-    parts = [_any(a[c], b[c], edit(a[c], b[c])) for c in ("port_sequence", "event_type_sequence", "credential_sequence")]
-    return _both(a, b, mean_of(*parts))
+def sequence_similarity(a: Column, b: Column) -> Column:
+    names = (("port_sequence", "ports"), ("event_type_sequence", "types"), ("credential_sequence", "patterns"))
+    return _both(a, b, mean_of(*(_any(a[c], b[c], coded_sim(a, b, c, code)) for c, code in names)))
 
 
 def _values(x: Column) -> Column:
     return F.transform(x, lambda e: e["value"])
 
 
-def protocol_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
+def protocol_similarity(a: Column, b: Column) -> Column:
+    """Services as sets, and the order of key exchanges and of ciphers where both sides have them."""
     x, y = _values(a["service_distribution"]), _values(b["service_distribution"])
-    return _both(a, b, mean_of(_any(x, y, jaccard(x, y))))
+    orders = [_both(a[c], b[c], edit_sim(a[c], b[c])) for c in ("ssh_kex", "tls_ciphers")]
+    return _both(a, b, mean_of(_any(x, y, jaccard(x, y)), *orders))
 
 
-def credential_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
+def credential_similarity(a: Column, b: Column) -> Column:
     x, y = _values(a["username_class_dist"]), _values(b["username_class_dist"])
     ratios = [stat_sim(a[c], b[c]) for c in ("has_upper_ratio", "has_lower_ratio", "has_digit_ratio", "has_special_ratio")]
     none = F.array().cast("array<string>")
     p, q = F.coalesce(a["credential_sequence"], none), F.coalesce(b["credential_sequence"], none)
-    return _both(a, b, mean_of(_any(x, y, jaccard(x, y)), sum(ratios[1:], ratios[0]) / 4, _any(p, q, edit(p, q))))
+    return _both(a, b, mean_of(_any(x, y, jaccard(x, y)), sum(ratios[1:], ratios[0]) / 4, _any(p, q, coded_sim(a, b, "credential_sequence", "patterns"))))
 
 
-def target_similarity(a: Column, b: Column, edit: Edit = edit_sim) -> Column:
+def target_similarity(a: Column, b: Column) -> Column:
     x, y = a["top_dst_ports"], b["top_dst_ports"]
     top = lambda p: F.slice(p, 1, 10)
-    return _both(a, b, mean_of(_any(x, y, jaccard(top(x), top(y))), _any(x, y, edit(x, y))))
+    return _both(a, b, mean_of(_any(x, y, jaccard(top(x), top(y))), _any(x, y, coded_sim(a, b, "top_dst_ports", "ports"))))
 
 
 SIMILARITIES = {

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, DIMENSIONS, Config
-from trapline.functions.similarity import relationship_hint
-from trapline.operators.clustering import as_struct, compare, hopeful
+from trapline.functions.similarity import relationship_hint, round6
+from trapline.operators.clustering import as_struct, compare
+from trapline.sources.store import saved
 
 RELATIONSHIPS = ("primary_campaign", "infrastructure_reuse", "tactic_match", "temporal_overlap")
 
@@ -58,25 +59,38 @@ def campaign_pairs(campaigns: DataFrame, lineage: DataFrame) -> DataFrame:
 
 
 def suggestions(campaigns: DataFrame, lineage: DataFrame, cfg: Config = DEFAULT, min_score: float | None = None, limit: int | None = None) -> DataFrame:
-    """The most similar pairs, with a hint; global weights always."""
+    """The most similar pairs, with a hint and how many pairs were compared; global weights always."""
     least = cfg.suggestion_score if min_score is None else min_score
-    scored = compare(hopeful(campaign_pairs(campaigns, lineage), "x", "y", least, cfg), "x", "y", cfg)
+    scored = saved(compare(campaign_pairs(campaigns, lineage), "x", "y", cfg).select("a", "b", "score", *(f"{d}_similarity" for d in DIMENSIONS[:3])))
     hint = relationship_hint(*(F.col(f"{d}_similarity") for d in DIMENSIONS[:3]))
     return (
-        scored.where(F.col("score") >= least).select("a", "b", "score", hint.alias("hint"))
+        scored.where(F.col("score") >= least).select("a", "b", "score", hint.alias("hint"), F.lit(scored.count()).cast("long").alias("pairs_evaluated"))
         .orderBy(F.desc("score"), "a", "b").limit(cfg.suggestion_limit if limit is None else limit)
     )
 
 
 def actor_stability(actors: DataFrame, lineage: DataFrame, stabilities: DataFrame) -> DataFrame:
-    """Per actor: linked and missing campaigns, status, and the spread of the composite."""
-    rows = actors.select(F.col("id").alias("actor_id")).join(lineage.select("actor_id", "campaign_id"), "actor_id", "left").join(
-        stabilities.where("status <> 'insufficient_data'").select("campaign_id", "composite_score"), "campaign_id", "left"
+    """Per actor: campaigns linked and without data, a status, and least, greatest and mean of the composite and each dimension.
+
+    ``contributors`` lists the linked campaigns: id, relationship, status, samples and composite,
+    null where there is no data. An actor's links are few, as analysts make them.
+    """
+    data = stabilities.select("campaign_id", "status", "sample_count", "composite_score", *(f"{d}_stability" for d in DIMENSIONS))
+    rows = actors.select(F.col("id").alias("actor_id")).join(lineage.select("actor_id", "campaign_id", "relationship_type"), "actor_id", "left").join(data, "campaign_id", "left")
+    known = F.coalesce(F.col("status") != "insufficient_data", F.lit(False))
+    rows = rows.withColumns({c: F.when(known, F.col(c)) for c in ("composite_score", *(f"{d}_stability" for d in DIMENSIONS))}).withColumn("_known", known)
+    spread = [
+        round6(f(c)).alias(f"{name}_{how}")
+        for name, c in (("composite", "composite_score"), *((d, f"{d}_stability") for d in DIMENSIONS))
+        for how, f in (("min", F.min), ("max", F.max), ("mean", F.avg))
+    ]
+    each = F.when(
+        F.col("campaign_id").isNotNull(),
+        F.struct("campaign_id", "relationship_type", F.coalesce("status", F.lit("no_data")).alias("status"), F.coalesce("sample_count", F.lit(0)).cast("long").alias("sample_count"), "composite_score"),
     )
-    six = lambda c: F.round(c, 6)
     out = rows.groupBy("actor_id").agg(
-        F.count("campaign_id").alias("linked"), F.count_if(F.col("campaign_id").isNotNull() & F.col("composite_score").isNull()).alias("missing"),
-        six(F.min("composite_score")).alias("composite_min"), six(F.max("composite_score")).alias("composite_max"), six(F.avg("composite_score")).alias("composite_mean"),
-    )
+        F.count("campaign_id").alias("linked"), F.count_if(F.col("campaign_id").isNotNull() & ~F.col("_known")).alias("missing"), *spread,
+        F.array_sort(F.collect_list(each)).alias("contributors"),
+    )
     status = F.when(F.col("linked") == 0, "no_campaigns").when(F.col("missing") == F.col("linked"), "no_data").when(F.col("missing") > 0, "partial").otherwise("ok")
     return out.withColumn("status", status)

@@ -115,19 +115,41 @@ def detail(campaigns: DataFrame, members: DataFrame, observations: DataFrame) ->
     return campaigns.join(each, "id", "left").join(seen, "id", "left").withColumns({"members": F.col("m.v"), "observations": F.col("o.v")}).drop("m", "o")
 
 
-def digest(representatives: DataFrame) -> DataFrame:
-    """campaign_id, peak_hour, bursts, steps, services, ports and a line of text that says so."""
+def digest(representatives: DataFrame, campaigns: DataFrame | None = None, tactics: DataFrame | None = None) -> DataFrame:
+    """campaign_id, what its representative does, its tactics and reactivations, and a text that says so.
+
+    ``campaigns`` (id, reactivation_count) and ``tactics`` (campaign_id, attack_tactic, n) may
+    be left out. No address is in it.
+    """
     tod = F.col("timing.tod_histogram")
-    top = F.transform(F.reverse(F.array_sort(F.transform("protocol.service_distribution", lambda e: F.struct(e["share"], e["value"])))), lambda e: e["value"])
+
+    def top(entries: str, n: int) -> Column:
+        ranked = F.reverse(F.array_sort(F.transform(entries, lambda e: F.struct(e["share"], e["value"]))))
+        return F.array_join(F.slice(F.transform(ranked, lambda e: e["value"]), 1, n), ", ")
+
     out = representatives.select(
         "campaign_id", (F.array_position(tod, F.array_max(tod)) - 1).alias("peak_hour"), (F.col("timing.burst_cv") > 0.5).alias("bursts"),
-        F.size("sequence.port_sequence").alias("steps"), F.array_join(F.slice(top, 1, 3), ", ").alias("services"),
-        F.array_join(F.transform(F.slice("target.top_dst_ports", 1, 5), lambda p: p.cast("string")), ", ").alias("ports"),
-        F.col("timing.interval_mean").alias("_mean"),
+        F.size("sequence.port_sequence").alias("steps"), F.size(F.array_distinct("sequence.event_type_sequence")).alias("event_types"),
+        top("protocol.service_distribution", 3).alias("services"), top("credential.username_class_dist", 3).alias("username_classes"),
+        F.array_join(F.transform(F.slice("target.top_dst_ports", 1, 5), lambda p: p.cast("string")), ", ").alias("ports"), F.col("timing.interval_mean").alias("_mean"),
     )
+    if tactics is None:
+        out = out.withColumn("tactics", F.lit(None).cast("string"))
+    else:
+        each = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "attack_tactic", "n")))
+        first = F.transform(F.slice(each, 1, 5), lambda t: F.concat(t["attack_tactic"], F.lit(" ("), t["n"].cast("string"), F.lit(")")))
+        out = out.join(tactics.groupBy("campaign_id").agg(F.array_join(first, "; ").alias("tactics")), "campaign_id", "left")
+    if campaigns is None:
+        out = out.withColumn("reactivations", F.lit(None).cast("int"))
+    else:
+        out = out.join(campaigns.select(F.col("id").alias("campaign_id"), F.col("reactivation_count").alias("reactivations")), "campaign_id", "left")
+    some = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(name), c))
     line = F.concat_ws(
         "; ", F.concat(F.lit("interval ~"), F.round("_mean", 1).cast("string"), F.lit(" ms avg")), F.when(F.col("bursts"), "burst activity present"),
         F.concat(F.lit("peak hour "), F.lpad(F.col("peak_hour").cast("string"), 2, "0"), F.lit(":00 UTC")),
-        F.concat("steps", F.lit("-step port sequence")), F.concat(F.lit("primary services: "), "services"), F.concat(F.lit("top ports: "), "ports"),
+        F.when(F.col("steps") > 0, F.concat("steps", F.lit("-step port sequence"))),
+        F.when(F.col("event_types") > 0, F.concat("event_types", F.when(F.col("event_types") == 1, " event type").otherwise(" event types"))),
+        some("primary services: ", "services"), some("username class patterns: ", "username_classes"), some("primary ports: ", "ports"), some("tactics: ", "tactics"),
+        F.concat(F.lit("reactivations: "), "reactivations"),
     )
     return out.withColumn("text", line).drop("_mean")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from trapline.config import DEFAULT, DIMENSIONS, Config
 from trapline.functions import similarity as S
 from trapline.operators.campaigns import effective_threshold, gap_days
+from trapline.sources.store import saved
 
-#: Candidates that are broadcast at most; more are scored by a nested loop that Spark chooses.
-BROADCAST_CAMPAIGNS = 50_000
+#: Candidates that are broadcast at most, of 4 KB each as their sequences are capped; more are scored by a nested loop that Spark chooses.
+BROADCAST_CAMPAIGNS = 10_000
 
 
 def representatives(members: DataFrame, fingerprints: DataFrame, cached: DataFrame | None = None) -> DataFrame:
@@ -22,101 +23,147 @@ def representatives(members: DataFrame, fingerprints: DataFrame, cached: DataFra
     return cached.unionByName(own.join(cached.select("campaign_id"), "campaign_id", "left_anti"))
 
 
-def compare(pairs: DataFrame, a: str, b: str, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None, edit: S.Edit = S.edit_sim) -> DataFrame:
-    """Adds five similarities, ``score`` and ``dimensions_used`` to rows with structs a and b of five groups."""
-    scored = pairs.withColumns({f"{d}_similarity": S.SIMILARITIES[d](F.col(f"{a}.{d}"), F.col(f"{b}.{d}"), edit) for d in DIMENSIONS})
+def compare(pairs: DataFrame, a: str, b: str, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None) -> DataFrame:
+    """Adds five similarities, ``score`` and ``dimensions_used`` to rows with coded structs a and b of five groups."""
+    scored = pairs.withColumns({f"{d}_similarity": S.SIMILARITIES[d](F.col(f"{a}.{d}"), F.col(f"{b}.{d}")) for d in DIMENSIONS})
     score, used = S.weighted({d: F.col(f"{d}_similarity") for d in DIMENSIONS}, cfg, weights)
     return scored.withColumns({"score": score, "dimensions_used": used})
 
 
-def hopeful(pairs: DataFrame, a: str, b: str, least: float, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None) -> DataFrame:
-    """The pairs whose score can reach ``least``: all that do, by a bound without edit distances."""
-    bound = compare(pairs, a, b, cfg, weights, S.edit_bound)
-    return bound.where(F.col("score") >= least - 1e-5).select(pairs.columns)
-
-
 def as_struct(df: DataFrame, name: str, *keep: Column) -> DataFrame:
-    return df.select(*keep, F.struct(*DIMENSIONS).alias(name))
+    """The five groups, coded for comparison, as one struct."""
+    return S.coded(df).select(*keep, F.struct(*DIMENSIONS).alias(name))
 
 
-def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None, count: int | None = None, least: float | None = None) -> DataFrame:
+def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """Every eligible fingerprint against every live campaign.
 
     ``campaigns`` has campaign_id and the five structs. ``profiles`` (campaign_id,
     w_timing, ...) replaces the weights of the campaigns it names. Candidates are
-    broadcast up to a checked count; ``count`` is theirs where the caller has it. With
-    ``least``, pairs that cannot score as much are dropped before edit distances.
+    broadcast up to a checked count; ``count`` is theirs where the caller has it.
     """
     right = as_struct(campaigns, "b", F.col("campaign_id"))
     weights = None
     if profiles is not None:
-        right = right.join(profiles, "campaign_id", "left")
+        right = right.join(profiles.select("campaign_id", *(f"w_{d}" for d in DIMENSIONS)), "campaign_id", "left")
         weights = {d: F.coalesce(F.col(f"w_{d}"), F.lit(cfg.weights[d])) for d in DIMENSIONS}
     if (campaigns.count() if count is None else count) <= BROADCAST_CAMPAIGNS:
         right = F.broadcast(right)
     left = as_struct(fingerprints.where(F.col("confidence") >= cfg.min_confidence), "a", F.col("src_ip"))
-    pairs = left.crossJoin(right)
-    if least is not None:
-        pairs = hopeful(pairs, "a", "b", least, cfg, weights)
-    return compare(pairs, "a", "b", cfg, weights).drop("a", "b")
+    scored = compare(left.crossJoin(right), "a", "b", cfg, weights)
+    return scored.select("src_ip", "campaign_id", *(f"{d}_similarity" for d in DIMENSIONS), "score", "dimensions_used")
+
 
+def unassigned(fingerprints: DataFrame, members: DataFrame) -> DataFrame:
+    """The fingerprints that are scored: of sources that are in no campaign yet."""
+    return fingerprints.join(members.select(F.col("source_ip").alias("src_ip")).distinct(), "src_ip", "left_anti")
 
-def assign(scored: DataFrame, campaigns: DataFrame, members: DataFrame, now: str, cfg: Config = DEFAULT) -> DataFrame:
-    """src_ip, campaign_id, score, decision, is_reactivation, gap_days of those with a candidate.
 
-    The best score of .60 or more wins, ties by the smaller id; the winner's own threshold
-    makes it automatic or uncertain. Members keep their campaign and are not scored.
+def assign(fingerprints: DataFrame, scored: DataFrame, campaigns: DataFrame, members: DataFrame, now: str, cfg: Config = DEFAULT) -> DataFrame:
+    """One decision a fingerprint: src_ip, decision, campaign_id, score, threshold, is_reactivation, gap_days, event_count, explanation.
+
+    Sparse fingerprints are skipped, members keep their campaign, of the others the best
+    score of .60 or more wins, ties by the smaller id; the winner's own threshold makes it
+    automatic or uncertain. Without a candidate a new campaign is due. The explanation has
+    the five similarities, their total, the dimensions used, the threshold and the decision.
     """
-    open_ = scored.where(F.col("score") >= cfg.uncertain_threshold).join(members.select(F.col("source_ip").alias("src_ip")).distinct(), "src_ip", "left_anti")
+    own = members.groupBy(F.col("source_ip").alias("src_ip")).agg(F.max_by("campaign_id", F.struct("last_active", "campaign_id")).alias("_own"))
     first = Window.partitionBy("src_ip").orderBy(F.desc("score"), "campaign_id")
-    best = open_.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    best = scored.where(F.col("score") >= cfg.uncertain_threshold).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     at = F.lit(now).cast("timestamp_ntz")
-    info = campaigns.select(F.col("id").alias("campaign_id"), "status", "last_seen")
-    threshold = effective_threshold(F.col("last_seen"), at, cfg)
-    return best.join(info, "campaign_id").select(
-        "src_ip", "campaign_id", "score", F.when(F.col("score") >= threshold, "automatic_association").otherwise("uncertain_association").alias("decision"),
-        (F.col("status") == "dormant").alias("is_reactivation"), gap_days(F.col("last_seen"), at).alias("gap_days"),
+    best = best.join(campaigns.select(F.col("id").alias("campaign_id"), "status", "last_seen"), "campaign_id")
+    all_ = fingerprints.select("src_ip", "event_count", F.col("confidence").alias("_confidence")).join(own, "src_ip", "left").join(best, "src_ip", "left")
+    sparse, member, matched = F.col("_confidence") < cfg.min_confidence, F.col("_own").isNotNull(), F.col("campaign_id").isNotNull()
+    bar = effective_threshold(F.col("last_seen"), at, cfg)
+    decision = (
+        F.when(sparse, "skipped_sparse").when(member, "existing_member").when(~matched, "new_campaign")
+        .when(F.col("score") >= bar, "automatic_association").otherwise("uncertain_association")
+    )
+    threshold = F.when(sparse, cfg.min_confidence).when(member, 0.0).when(~matched, cfg.uncertain_threshold).otherwise(bar)
+    new = ~sparse & ~member & matched
+    again = F.coalesce(new & (F.col("status") == "dormant"), F.lit(False))
+    told = all_.withColumns({"decision": decision, "threshold": threshold, "_new": new, "is_reactivation": again})
+    names = [f"{d}_similarity" for d in DIMENSIONS]
+    why = F.struct(*names, F.col("score").alias("weighted_total"), "dimensions_used", F.col("threshold").alias("threshold_applied"), "decision")
+    return told.select(
+        "src_ip", "decision", F.when(~sparse, F.when(member, F.col("_own")).otherwise(F.col("campaign_id"))).alias("campaign_id"),
+        F.when(F.col("_new"), F.col("score")).alias("score"), "threshold", "is_reactivation",
+        F.when(F.col("is_reactivation"), gap_days(F.col("last_seen"), at)).alias("gap_days"), "event_count", F.when(F.col("_new"), why).alias("explanation"),
     )
 
 
+_ASSOCIATED = "decision IN ('automatic_association', 'uncertain_association')"
+
+
 def apply_associations(campaigns: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
-    """The campaigns' next snapshot: counts, last_seen, and reactivation of dormant ones."""
-    delta = decisions.groupBy(F.col("campaign_id").alias("id")).agg(F.count("*").alias("_new"), F.max("is_reactivation").alias("_re"))
+    """The campaigns' next snapshot: counts, last_seen, reactivation of dormant ones, and the source that represents each.
+
+    Members that were seen again move last_seen too. The newest assignee represents its
+    campaign; of several at once, the last address.
+    """
+    touched = decisions.where("campaign_id is not null").groupBy(F.col("campaign_id").alias("id")).agg(
+        F.count_if(F.expr(_ASSOCIATED)).alias("_new"), F.max("is_reactivation").alias("_re"), F.max(F.when(F.expr(_ASSOCIATED), F.col("src_ip"))).alias("representative_ip")
+    )
     at = F.lit(now).cast("timestamp_ntz")
     again = F.coalesce("_re", F.lit(False))
-    return campaigns.join(delta, "id", "left").select(
+    return campaigns.join(touched, "id", "left").select(
         "id", F.when(again, "reactivated").otherwise(F.col("status")).alias("status"),
         F.when(F.col("_new").isNotNull(), at).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(~again, F.col("dormant_since")).alias("dormant_since"),
         (F.col("reactivation_count") + again.cast("int")).alias("reactivation_count"),
-        (F.col("member_ip_count") + F.coalesce("_new", F.lit(0))).alias("member_ip_count"),
+        (F.col("member_ip_count") + F.coalesce("_new", F.lit(0))).alias("member_ip_count"), "representative_ip",
     )
 
 
-def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT, max_rounds: int = 50) -> DataFrame:
+def next_members(members: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
+    """The members' next snapshot: new ones with their score, and those seen again active now."""
+    at = F.lit(now).cast("timestamp_ntz")
+    seen = decisions.where("decision = 'existing_member'").select("campaign_id", F.col("src_ip").alias("source_ip"), F.lit(True).alias("_seen"))
+    kept = members.join(seen, ["campaign_id", "source_ip"], "left").withColumn("last_active", F.when(F.col("_seen"), at).otherwise(F.col("last_active"))).drop("_seen")
+    new = decisions.where(_ASSOCIATED).select("campaign_id", F.col("src_ip").alias("source_ip"), at.alias("added_at"), at.alias("last_active"), F.col("score").alias("confidence"))
+    return kept.select("campaign_id", "source_ip", "added_at", "last_active", "confidence").unionByName(new)
+
+
+def new_observations(decisions: DataFrame, now: str) -> DataFrame:
+    """One row for each decision about a campaign; members seen again have no explanation."""
+    return decisions.where("campaign_id is not null").select(
+        "campaign_id", F.col("src_ip").alias("source_ip"), F.lit(now).cast("timestamp_ntz").alias("observed_at"), "event_count", "is_reactivation",
+        F.col("gap_days").alias("dormancy_gap_days"), "explanation",
+    )
+
+
+def new_representatives(representatives: DataFrame, decisions: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """campaign_id and five structs: overwritten by the newest assignee of each campaign."""
+    newest = decisions.where(_ASSOCIATED).groupBy("campaign_id").agg(F.max("src_ip").alias("src_ip"))
+    fresh = newest.join(fingerprints.select("src_ip", *DIMENSIONS), "src_ip").drop("src_ip")
+    return representatives.select("campaign_id", *DIMENSIONS).join(newest.select("campaign_id"), "campaign_id", "left_anti").unionByName(fresh.select("campaign_id", *DIMENSIONS))
+
+
+def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """src_ip, leader, score: unmatched fingerprints open campaigns and join earlier ones.
 
-    In order of (first_seen, src_ip), one without an earlier unassigned neighbour of .60
-    leads; the others join their best leader. Rounds end when all are placed. Needs
-    columns first_seen and the five structs. Raises RuntimeError beyond ``max_rounds``.
+    In order of (first_seen, src_ip), one without an earlier leader at a score of .60 or
+    more leads itself; the others join their best leader, ties by the smaller address. Each
+    round decides at least the first that is left, so rounds end; each is written, so a
+    lost executor costs a task. Needs columns first_seen and the five structs.
     """
+    base = saved(residue.select("src_ip", "first_seen", *DIMENSIONS))
     order = F.struct("first_seen", "src_ip")
-    base = residue.select("src_ip", order.alias("o"), F.struct(*DIMENSIONS).alias("a")).checkpoint()
-    left = base.select(F.col("src_ip").alias("x"), F.col("o").alias("xo"), "a")
-    right = base.select(F.col("src_ip").alias("y"), F.col("o").alias("yo"), F.col("a").alias("b"))
-    pairs = hopeful(left.join(right, F.col("yo") < F.col("xo")), "a", "b", cfg.uncertain_threshold, cfg)
-    near = compare(pairs, "a", "b", cfg).where(F.col("score") >= cfg.uncertain_threshold)
-    near = near.select("x", "y", "score").checkpoint()
-    open_, placed = base.select("src_ip"), None
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            return placed if placed is not None else base.select("src_ip", F.col("src_ip").alias("leader"), F.lit(1.0).alias("score")).limit(0)
-        waiting = near.join(open_.withColumnRenamed("src_ip", "y"), "y", "left_semi").select(F.col("x").alias("src_ip")).distinct()
-        leads = open_.join(waiting, "src_ip", "left_anti").checkpoint()
-        joins = near.join(leads.withColumnRenamed("src_ip", "y"), "y", "left_semi").join(open_.withColumnRenamed("src_ip", "x"), "x", "left_semi")
-        best = joins.groupBy("x").agg(F.max_by(F.struct("y", "score"), F.struct("score", "y")).alias("m")).select(F.col("x").alias("src_ip"), F.col("m.y").alias("leader"), "m.score")
-        step = leads.select("src_ip", F.col("src_ip").alias("leader"), F.lit(1.0).alias("score")).unionByName(best)
-        placed = step if placed is None else placed.unionByName(step)
-        placed = placed.checkpoint()
-        open_ = base.select("src_ip").join(placed.select("src_ip"), "src_ip", "left_anti").checkpoint()
-    raise RuntimeError("fingerprints are left after the last round")
+    left = as_struct(base, "a", F.col("src_ip").alias("x"), order.alias("xo"))
+    right = as_struct(base, "b", F.col("src_ip").alias("y"), order.alias("yo"))
+    if base.count() <= BROADCAST_CAMPAIGNS:
+        right = F.broadcast(right)
+    near = compare(left.join(right, F.col("yo") < F.col("xo")), "a", "b", cfg).where(F.col("score") >= cfg.uncertain_threshold)
+    near = saved(near.select("x", "y", "score"))
+    # one leads if no earlier neighbour does: undecided are those with a neighbour that is undecided itself
+    open_, leads = saved(base.select("src_ip")), base.select("src_ip").limit(0)
+    while not open_.isEmpty():
+        held = near.join(open_.withColumnRenamed("src_ip", "y"), "y", "left_semi").select(F.col("x").alias("src_ip"))
+        fresh = saved(open_.join(held, "src_ip", "left_anti"))
+        led = near.join(fresh.withColumnRenamed("src_ip", "y"), "y", "left_semi").select(F.col("x").alias("src_ip"))
+        leads = leads.unionByName(fresh)
+        open_ = saved(open_.join(fresh.unionByName(led), "src_ip", "left_anti"))
+    order = Window.partitionBy("x").orderBy(F.desc("score"), "y")
+    best = near.join(leads.withColumnRenamed("src_ip", "y"), "y", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    followers = best.join(leads.withColumnRenamed("src_ip", "x"), "x", "left_anti").select(F.col("x").alias("src_ip"), F.col("y").alias("leader"), "score")
+    return leads.select("src_ip", F.col("src_ip").alias("leader"), F.lit(1.0).alias("score")).unionByName(followers)

@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Name space of the identifiers; any uuid will do, but it must not change.
-NAMESPACE = uuid.NAMESPACE_URL
+# fixed values: name space of the identifiers, and the label of each tag
+NAMESPACE = uuid.UUID("a7f3d4e5-1b2c-4d3e-8bdb-9a1f1e6b4c0f")
+LABELS = {
+    "brute-force": "malicious-activity", "malware": "malicious-activity", "command-exec": "malicious-activity",
+    "auth-success": "malicious-activity", "scanner": "anomalous-activity",
+}
 
 
 def anonymize_ip(ip: Column, salt: str) -> Column:
@@ -73,15 +77,63 @@ def stix_time(ts: str) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))
 
 
-def stix_addresses(profiles: DataFrame, min_event_count: int = 1, private: bool = False) -> DataFrame:
-    """ipv4-addr objects with confidence 0..100 (50 without a score) and tag labels.
+def stix_id(kind: str, key: Column) -> Column:
+    """The same object has the same identifier in every export."""
+    return F.concat(F.lit(f"{kind}--"), uuid5(F.concat(F.lit(f"{kind}:"), key)))
 
-    Refused in privacy mode, as the values are addresses.
+
+def stix_confidence(score: Column) -> Column:
+    """0..100 of a score of 0..1, halves to even; 50 without one."""
+    return F.when(score.isNull(), 50).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.bround(score * 100).cast("int"))))
+
+
+def stix_labels(tags: Column) -> Column:
+    """Sorted labels of the tags; what touches a sensor is malicious at the least."""
+    known = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    mapped = F.transform(tags, lambda t: F.coalesce(F.try_element_at(known, t), F.lit("malicious-activity")))
+    return F.when(F.coalesce(F.size(tags), F.lit(0)) > 0, F.array_sort(F.array_distinct(mapped))).otherwise(F.array(F.lit("malicious-activity")))
+
+
+def stix_objects(
+    profiles: DataFrame, campaigns: DataFrame, members: DataFrame, now: str, limit: int | None = None, min_event_count: int = 1, private: bool = False, place: str = "these sensors"
+) -> DataFrame:
+    """One row an object: addresses and their indicators, live campaigns, and which indicator indicates which campaign.
+
+    The highest scores first if there is a ``limit``. Campaigns need a ``name``. Fields that a
+    kind does not have are null. Refused in privacy mode, as the values are addresses.
     """
     if private:
         raise PermissionError("addresses are not exported in privacy mode")
-    return profiles.where(F.col("event_count") >= min_event_count).select(
-        F.concat(F.lit("ipv4-addr--"), uuid5(F.concat(F.lit("ipv4-addr:"), "ip"))).alias("id"), F.col("ip").alias("value"),
-        F.coalesce(F.round(F.col("reputation_score") * 100).cast("int"), F.lit(50)).alias("confidence"), F.array_join("tags", ",").alias("labels"),
-        stix_time("first_seen").alias("valid_from"), stix_time("last_seen").alias("valid_until"),
+    chosen = profiles.where((F.col("event_count") >= min_event_count) & F.col("ip").isNotNull())
+    if limit is not None:
+        chosen = chosen.orderBy(F.desc_nulls_last("reputation_score"), F.desc("event_count"), "ip").limit(limit)
+    at = F.concat(F.date_format(F.lit(now).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))
+    first, last, n = F.coalesce(stix_time("first_seen"), at), stix_time("last_seen"), F.col("event_count")
+    indicator = stix_id("indicator", F.col("ip"))
+    common = {"spec_version": F.lit("2.1")}
+    addresses = chosen.select(F.lit("ipv4-addr").alias("type"), stix_id("ipv4-addr", F.col("ip")).alias("id"), F.col("ip").alias("value"))
+    indicators = chosen.select(
+        F.lit("indicator").alias("type"), indicator.alias("id"), first.alias("created"), F.coalesce(last, first).alias("modified"),
+        F.concat(F.lit("Malicious IP: "), "ip").alias("name"),
+        F.concat(F.lit("Observed "), n.cast("string"), F.when(n == 1, " event").otherwise(" events"), F.lit(f" from this source on {place}.")).alias("description"),
+        F.concat(F.lit("[ipv4-addr:value = '"), "ip", F.lit("']")).alias("pattern"), F.lit("stix").alias("pattern_type"), first.alias("valid_from"), last.alias("valid_until"),
+        stix_labels(F.col("tags")).alias("labels"), stix_confidence(F.col("reputation_score")).alias("confidence"), n.alias("event_count"), "tags", "reputation_score",
+    )
+    live = campaigns.where("status <> 'historical'")
+    told = live.select(
+        F.lit("campaign").alias("type"), stix_id("campaign", F.col("id")).alias("id"), first.alias("created"), F.coalesce(last, first).alias("modified"), "name",
+        first.alias("first_seen"), last.alias("last_seen"), stix_confidence(F.col("confidence")).alias("confidence"), "status", "reactivation_count", "member_ip_count",
     )
+    links = chosen.select("ip", indicator.alias("source_ref")).join(members.select(F.col("source_ip").alias("ip"), "campaign_id"), "ip").join(
+        live.select(F.col("id").alias("campaign_id"), stix_id("campaign", F.col("id")).alias("target_ref")), "campaign_id"
+    )
+    key = F.concat(F.lit("indicates:"), "source_ref", F.lit(":"), "target_ref")
+    relations = links.select(
+        F.lit("relationship").alias("type"), stix_id("relationship", key).alias("id"), at.alias("created"), at.alias("modified"),
+        F.lit("indicates").alias("relationship_type"), "source_ref", "target_ref",
+    )
+    parts = [indicators, addresses, told, relations]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.withColumns(common)

@@ -123,14 +123,33 @@ def shares(events: DataFrame, column: str, keys: list[str] = KEY) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / total, 6))
 
 
+def payload_list(payload: Column, *names: str) -> Column:
+    """The list of texts that the first of the fields which is not empty holds; null if it holds anything else."""
+    *others, last = (F.get_json_object(payload, f"$.{name}") for name in names)
+    text = last
+    for field in reversed(others):
+        empty = field.isNull() | field.isin("", "[]", "{}", "0", "false", "null")
+        text = F.when(empty, text).otherwise(field)
+    parsed = F.from_json(text, "array<string>")
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(parsed, lambda x: x.isNull()), parsed)
+
+
+def handshakes(payload: Column) -> dict[str, Column]:
+    """Columns with the key exchanges and ciphers that a sensor's payload lists, in their order."""
+    return {"ssh_kex": payload_list(payload, "kex_algs", "kex_algorithms"), "tls_ciphers": payload_list(payload, "tls_cipher_suites", "ja3_ciphers")}
+
+
 def protocol(events: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """service_distribution as sorted (value, share) entries; a key with events always has a row."""
+    """service_distribution as sorted (value, share) entries, and the first key-exchange and cipher lists seen.
+
+    A key with events always has a row; the lists are null where no event has one.
+    """
     own = events.where(F.col(keys[0]).isNotNull())
     dist = shares(own, "service", keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias("service_distribution"))
     none = F.array().cast("array<struct<value:string,share:double>>")
-    lists = [c for c in ("ssh_kex", "tls_ciphers") if c in events.columns]
-    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "id"))).alias(c) for c in lists]
-    base = own.groupBy(*keys).agg(F.count("*").alias("n"), *first).drop("n")
+    seen = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "id"))) if c in events.columns else F.first(F.lit(None).cast("array<string>"))
+    base = own.groupBy(*keys).agg(*(seen(c).alias(c) for c in ("ssh_kex", "tls_ciphers")))
     return base.join(dist, keys, "left").withColumn("service_distribution", F.coalesce("service_distribution", none))
 
 
@@ -186,7 +205,7 @@ def confidence(count: Column, groups: Column, cfg: Config = DEFAULT) -> Column:
 
 
 def fingerprints(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per key: event_count, five feature structs (null if not computable) and confidence."""
+    """One row per key: event_count, six feature structs (null if not computable) and confidence."""
     own = events.where(F.col(keys[0]).isNotNull())
     base = own.groupBy(*keys).agg(F.count("*").alias("event_count"), F.max("ts").alias("computed_at"))
     pack = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
@@ -194,8 +213,9 @@ def fingerprints(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT
     cred = credential(own, keys, cfg).join(seq.select(*keys, "credential_sequence"), keys, "left")
     groups = [
         pack(timing(own, keys, cfg), "timing"), pack(seq, "sequence"), pack(protocol(own, keys), "protocol"),
-        pack(cred, "credential"), pack(target(own, keys, cfg), "target"),
+        pack(cred, "credential"), pack(target(own, keys, cfg), "target"), pack(tool_signals(own, keys), "tool_signals"),
     ]
     out = reduce(lambda a, b: a.join(b, keys, "left"), groups, base)
-    populated = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("timing", "sequence", "protocol", "credential", "target")), F.lit(1))
+    names = ("timing", "sequence", "protocol", "credential", "target", "tool_signals")
+    populated = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0))
     return out.withColumn("populated", populated).withColumn("confidence", confidence(F.col("event_count"), F.col("populated"), cfg))

@@ -10,28 +10,31 @@ from trapline.functions import similarity as S
 from trapline.operators.clustering import compare
 
 
-def oldest(history: DataFrame, key: str, limit: int) -> DataFrame:
-    """The oldest ``limit`` snapshots of each key, numbered, with the key's count of all."""
+def oldest(history: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """The oldest ``limit`` snapshots of each key (all if None), numbered; Spark cuts them before it shuffles."""
     order = Window.partitionBy(key).orderBy("computed_at", "src_ip")
-    numbered = history.where(F.col(key).isNotNull()).withColumns(
-        {"n": F.row_number().over(order), "snapshots": F.count("*").over(Window.partitionBy(key))}
-    )
-    return numbered.where(F.col("n") <= limit)
+    numbered = history.where(F.col(key).isNotNull()).withColumn("n", F.row_number().over(order))
+    return numbered if limit is None else numbered.where(F.col("n") <= limit)
+
+
+def counted(numbered: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """``numbered`` with ``snapshots``, how many each key has in all."""
+    return numbered.join(history.groupBy(key).agg(F.count("*").alias("snapshots")), key)
 
 
-def _neighbours(history: DataFrame, cfg: Config, limit: int) -> DataFrame:
+def _neighbours(history: DataFrame, cfg: Config, limit: int | None) -> DataFrame:
     """The oldest snapshots of each campaign, each compared with the one before it (the first with none)."""
     order = Window.partitionBy("campaign_id").orderBy("computed_at", "src_ip")
-    rows = oldest(history, "campaign_id", limit).withColumn("b", F.struct(*DIMENSIONS)).drop(*DIMENSIONS)
+    rows = S.coded(oldest(history, "campaign_id", limit)).withColumn("b", F.struct(*DIMENSIONS)).drop(*DIMENSIONS)
     return compare(rows.withColumn("a", F.lag("b").over(order)), "a", "b", cfg)
 
 
-def consecutive(history: DataFrame, cfg: Config = DEFAULT, limit: int = 200) -> DataFrame:
-    """Each snapshot of a campaign against the one before it, over its oldest ``limit``."""
+def consecutive(history: DataFrame, cfg: Config = DEFAULT, limit: int | None = 200) -> DataFrame:
+    """Each snapshot of a campaign against the one before it, over its oldest ``limit`` (all if None)."""
     return _neighbours(history, cfg, limit).where("n > 1")
 
 
-def stability(history: DataFrame, cfg: Config = DEFAULT, limit: int = 200) -> DataFrame:
+def stability(history: DataFrame, cfg: Config = DEFAULT, limit: int | None = 200) -> DataFrame:
     """Per campaign the mean similarity of neighbouring snapshots and the weighted composite.
 
     Fewer than two snapshots: insufficient_data, composite 0. All dimensions null over two

@@ -80,18 +80,42 @@ def attack_layer(spark, d):
     return attack_techniques(_clean(spark, d))
 
 
-@register("A8", B + O.PROFILES + """
-, x AS (SELECT ip, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('ipv4-addr:' || ip)) AS h, reputation_score, event_count, tags,
-  first_seen, last_seen FROM profiles WHERE event_count >= 5)
-SELECT 'ipv4-addr--' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
-  || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, ip AS value,
-  CAST(coalesce(round(reputation_score * 100), 50) AS INT) AS confidence, array_to_string(tags, ',') AS labels,
-  strftime(first_seen, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS valid_from, strftime(last_seen, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS valid_until
-FROM x""")
+def _uuid(kind: str, key: str) -> str:
+    """SQL: the identifier of a kind of object by its key."""
+    from trapline.operators.exports import NAMESPACE
+
+    h = f"sha1(unhex('{NAMESPACE.hex}') || encode('{kind}:' || {key}))"
+    return (
+        f"('{kind}--' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || "
+        f"substr('89ab', (('0x' || substr({h}, 17, 1))::INT % 4) + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"
+    )
+
+
+_STIX_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '.000Z'"
+_NONE = "NULL::VARCHAR"
+
+
+@register("A8", B + O.PROFILES + O.MEMBERS + f"""
+, chosen AS (SELECT *, {_uuid("indicator", "ip")} AS ind FROM profiles WHERE event_count >= 5),
+live AS (SELECT *, {_uuid("campaign", "id")} AS cid FROM campaigns WHERE status <> 'historical'),
+links AS (SELECT ind, cid FROM chosen JOIN members ON source_ip = ip JOIN live ON id = campaign_id)
+SELECT 'ipv4-addr' AS type, {_uuid("ipv4-addr", "ip")} AS id, ip AS value, {_NONE} AS created, {_NONE} AS modified, {_NONE} AS name, {_NONE} AS description, {_NONE} AS pattern, {_NONE} AS labels, {_NONE} AS tags,
+  NULL::INT AS confidence, NULL::BIGINT AS event_count, NULL::DOUBLE AS reputation_score, {_NONE} AS valid_until, {_NONE} AS status, NULL::BIGINT AS member_ip_count, {_NONE} AS source_ref, {_NONE} AS target_ref FROM chosen
+UNION ALL SELECT 'indicator', ind, NULL, {_STIX_TIME.format("first_seen")}, {_STIX_TIME.format("last_seen")}, 'Malicious IP: ' || ip, 'Observed ' || event_count || ' event' || CASE WHEN event_count = 1 THEN '' ELSE 's' END || ' from this source on these sensors.',
+  '[ipv4-addr:value = ' || chr(39) || ip || chr(39) || ']', CASE WHEN len(tags) = 0 THEN 'malicious-activity' ELSE array_to_string(list_sort(list_distinct(list_transform(tags, lambda t: CASE WHEN t = 'scanner' THEN 'anomalous-activity' ELSE 'malicious-activity' END))), ',') END,
+  array_to_string(tags, ','), CAST(coalesce(round_even(reputation_score * 100, 0), 50) AS INT), event_count, reputation_score, {_STIX_TIME.format("last_seen")}, NULL, NULL, NULL, NULL FROM chosen
+UNION ALL SELECT 'campaign', cid, NULL, {_STIX_TIME.format("first_seen")}, {_STIX_TIME.format("last_seen")}, 'campaign ' || id, NULL, NULL, NULL, NULL, CAST(round_even(confidence * 100, 0) AS INT), NULL, NULL, NULL, status, member_ip_count, NULL, NULL FROM live
+UNION ALL SELECT 'relationship', {_uuid("relationship", "'indicates:' || ind || ':' || cid")}, NULL, '2024-02-03T12:00:00.000Z', '2024-02-03T12:00:00.000Z', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, ind, cid FROM links""")
 def stix(spark, d):
-    from trapline.operators.exports import stix_addresses
+    from trapline.operators.exports import stix_objects
 
-    return stix_addresses(P.source_profiles(_clean(spark, d)), min_event_count=5)
+    ev = _clean(spark, d)
+    campaigns = A.campaigns(spark, d).withColumn("name", F.concat(F.lit("campaign "), "id"))
+    found = stix_objects(P.source_profiles(ev), campaigns, A.members(spark, d, ev), "2024-02-03 12:00:00", min_event_count=5)
+    return found.select(
+        "type", "id", "value", "created", "modified", "name", "description", "pattern", F.array_join("labels", ",").alias("labels"), F.array_join("tags", ",").alias("tags"),
+        "confidence", "event_count", "reputation_score", "valid_until", "status", "member_ip_count", "source_ref", "target_ref",
+    )
 
 
 @register("A9", B + f"""
@@ -160,15 +184,15 @@ def deduplicated(spark, d):
 
 @register("C3", B + """
 , nets AS (SELECT 755302400 + x * 64 AS low, 755302400 + x * 64 + 63 AS high, 26 AS bits, 'net' || x AS name FROM range(20) t(x)
-  UNION ALL SELECT 754974720, 771751935, 8, 'wide'),
+  UNION ALL SELECT 754974720, 755306495, 8, 'wide'),
 ips AS (SELECT DISTINCT src_ip, split_part(src_ip, '.', 1)::BIGINT * 16777216 + split_part(src_ip, '.', 2)::BIGINT * 65536
   + split_part(src_ip, '.', 3)::BIGINT * 256 + split_part(src_ip, '.', 4)::BIGINT AS n FROM pub)
-SELECT src_ip, arg_max(name, bits) AS name FROM ips JOIN nets ON n BETWEEN low AND high GROUP BY 1""")
+SELECT src_ip, arg_max(name, bits) AS name FROM ips LEFT JOIN nets ON n BETWEEN low AND high GROUP BY 1""")
 def enriched(spark, d):
     small = spark.range(20).selectExpr("755302400 + id * 64 as low", "755302400 + id * 64 + 63 as high", "26 as bits", "'net' || cast(id as string) as name")
-    wide = spark.range(1).selectExpr("754974720L as low", "771751935L as high", "8 as bits", "'wide' as name")
+    wide = spark.range(1).selectExpr("754974720L as low", "755302399L + 4096 as high", "8 as bits", "'wide' as name")
     ips = _clean(spark, d).where("src_ip is not null").select("src_ip").distinct()
-    return I.enrich_by_network(ips, small.unionByName(wide)).where("name is not null")
+    return I.enrich_by_network(ips, small.unionByName(wide))
 
 
 @register("C4", B + O.MEMBERS + """
@@ -297,9 +321,12 @@ def sequence_features(spark, d):
     return X.sequence(_clean(spark, d)).select("src_ip", _join("port_sequence").alias("ports"), _join("event_type_sequence").alias("types"), _join("credential_sequence").alias("creds"))
 
 
-@register("H3", B + O.features() + "SELECT src_ip, value AS service, n, share FROM ssvc")
-def protocol_shares(spark, d):
-    return X.shares(_clean(spark, d), "service").select("src_ip", F.col("value").alias("service"), "n", "share")
+@register("H3", B + O.features() + """
+SELECT src_ip, s.value AS service, n, share, array_to_string(ssh_kex, ',') AS kex, array_to_string(tls_ciphers, ',') AS ciphers FROM f_protocol LEFT JOIN ssvc s USING (src_ip)""")
+def protocol_features(spark, d):
+    ev = _clean(spark, d)
+    lists = X.protocol(ev).select("src_ip", F.array_join("ssh_kex", ",").alias("kex"), F.array_join("tls_ciphers", ",").alias("ciphers"))
+    return lists.join(X.shares(ev, "service"), "src_ip", "left").select("src_ip", F.col("value").alias("service"), "n", "share", "kex", "ciphers")
 
 
 @register("H4", B + f"SELECT username, password, {O.user_class('username')} AS username_class, {O.pass_class('password')} AS password_class, count(*) AS n FROM ev WHERE username IS NOT NULL GROUP BY ALL")
@@ -340,11 +367,13 @@ def confidences(spark, d):
 
 @register("H14", B + O.features() + """
 SELECT src_ip, event_count, computed_at, timing.interval_mean AS interval_mean, timing.burst_cv AS burst_cv, len(sequence.port_sequence)::INT AS ports,
-  len(protocol.service_distribution)::INT AS services, credential.credential_count AS credentials, target.unique_port_count AS unique_ports FROM fps""")
+  len(protocol.service_distribution)::INT AS services, credential.credential_count AS credentials, target.unique_port_count AS unique_ports,
+  auth_failed_share, populated FROM fps JOIN (SELECT src_ip, round(count(*) FILTER (event_type = 'auth_failed') / count(*)::DOUBLE, 6) AS auth_failed_share FROM pub GROUP BY 1) USING (src_ip)""")
 def fingerprints(spark, d):
     return X.fingerprints(_clean(spark, d)).select(
         "src_ip", "event_count", "computed_at", "timing.interval_mean", "timing.burst_cv", F.size("sequence.port_sequence").alias("ports"),
         F.size("protocol.service_distribution").alias("services"), F.col("credential.credential_count").alias("credentials"), F.col("target.unique_port_count").alias("unique_ports"),
+        "tool_signals.auth_failed_share", "populated",
     )
 
 

@@ -16,6 +16,7 @@ from trapline.operators import reviews as V
 from trapline.plans import oracle as O
 from trapline.plans.catalog import B, register
 from trapline.sources import adapter as A
+from trapline.sources.store import saved
 
 NOW = "2024-02-03 12:00:00"
 LATER = "2024-09-15 12:00:00"
@@ -23,7 +24,8 @@ M = B + O.MEMBERS
 
 
 def _fps(spark, d):
-    return X.fingerprints(A.events(spark, d))
+    """All fingerprints, written once as each is read by both sides of a comparison."""
+    return saved(X.fingerprints(A.events(spark, d)))
 
 
 def _reps(spark, d, fps):
@@ -31,9 +33,9 @@ def _reps(spark, d, fps):
     return K.representatives(A.members(spark, d), fps).join(live, "campaign_id", "left_semi")
 
 
-def _scored(spark, d, least=None):
+def _scored(spark, d):
     fps = _fps(spark, d)
-    return K.score_candidates(fps, _reps(spark, d, fps), count=A.campaigns(spark, d).count(), least=least)
+    return K.score_candidates(fps, _reps(spark, d, fps), count=A.campaigns(spark, d).count())
 
 
 def _history(spark, d):
@@ -114,7 +116,7 @@ cpairs AS (SELECT r.campaign_id AS a, q.campaign_id AS b, r.b AS x, q.b AS y FRO
 
 @register("C8", B + O.SCORED + O.ACTORS + _PAIRS + "SELECT a, b FROM cpairs")
 def campaign_pairs(spark, d):
-    return R.campaign_pairs(_reps(spark, d, _fps(spark, d)), A.lineage(spark, d).where("id <> 'l0'")).select("a", "b")
+    return R.campaign_pairs(_reps(spark, d, _fps(spark, d)), A.lineage(spark, d)).select("a", "b")
 
 
 @register("C9", M + "SELECT source_ip, campaign_id FROM members JOIN campaigns ON id = campaign_id WHERE status <> 'historical'")
@@ -156,13 +158,22 @@ def density(spark, d):
     return C.density(A.campaigns(spark, d), A.observations(spark, d))
 
 
-@register("D12", B + O.STABLE + O.ACTORS + """
-, j AS (SELECT a.id AS actor_id, l.campaign_id, composite_score FROM actors a LEFT JOIN lineage l ON l.actor_id = a.id LEFT JOIN stab s ON s.campaign_id = l.campaign_id AND s.status <> 'insufficient_data'),
-g AS (SELECT actor_id, count(campaign_id) AS linked, count(*) FILTER (campaign_id IS NOT NULL AND composite_score IS NULL) AS missing, round(min(composite_score), 6) AS composite_min,
-  round(max(composite_score), 6) AS composite_max, round(avg(composite_score), 6) AS composite_mean FROM j GROUP BY 1)
+_SPREAD = ", ".join(f"round({f}({c}) + 1e-9, 6) AS {x}_{how}" for x, c in (("composite", "composite_score"), *((x, f"{x}_stability") for x in DIMENSIONS)) for how, f in (("min", "min"), ("max", "max"), ("mean", "avg")))
+
+
+@register("D12", B + O.STABLE + O.ACTORS + f"""
+, j AS (SELECT a.id AS actor_id, l.campaign_id, l.relationship_type, s.sample_count, s.status AS st, s.campaign_id IS NOT NULL AND s.status <> 'insufficient_data' AS known,
+  {", ".join(f"CASE WHEN s.status <> 'insufficient_data' THEN s.{c} END AS {c}" for c in ("composite_score", *(f"{x}_stability" for x in DIMENSIONS)))}
+  FROM actors a LEFT JOIN lineage l ON l.actor_id = a.id LEFT JOIN stab s ON s.campaign_id = l.campaign_id),
+g AS (SELECT actor_id, count(campaign_id) AS linked, count(*) FILTER (campaign_id IS NOT NULL AND NOT known) AS missing, {_SPREAD},
+  coalesce(string_agg(campaign_id || ':' || relationship_type || ':' || coalesce(st, 'no_data') || ':' || coalesce(sample_count, 0) || ':' || coalesce((round(composite_score * 1000000)::BIGINT)::VARCHAR, '-'), ','
+    ORDER BY campaign_id, relationship_type) FILTER (campaign_id IS NOT NULL), '') AS contributors FROM j GROUP BY 1)
 SELECT *, CASE WHEN linked = 0 THEN 'no_campaigns' WHEN missing = linked THEN 'no_data' WHEN missing > 0 THEN 'partial' ELSE 'ok' END AS status FROM g""")
 def actor_stability(spark, d):
-    return R.actor_stability(A.actors(spark, d), A.lineage(spark, d), _stability(spark, d))
+    found = R.actor_stability(A.actors(spark, d), A.lineage(spark, d), _stability(spark, d))
+    whole = lambda x: F.coalesce(F.round(x * 1000000).cast("long").cast("string"), F.lit("-"))
+    line = lambda c: F.concat_ws(":", c["campaign_id"], c["relationship_type"], c["status"], c["sample_count"].cast("string"), whole(c["composite_score"]))
+    return found.withColumn("contributors", F.array_join(F.transform("contributors", line), ","))
 
 
 @register("D13", B + _ALERTS + "SELECT campaign_id, alert_type, dimension, threshold, observed FROM alerts WHERE (campaign_id, coalesce(dimension, '-')) NOT IN (('c1', '-'), ('c2', 'sequence'))")
@@ -203,7 +214,7 @@ def top_target_ports(spark, d):
 , s AS (SELECT a, b, {O.similarities('x', 'y')} FROM cpairs), w AS (SELECT *, {O.weighted()} AS score FROM s)
 SELECT a, b, score, CASE WHEN coalesce(sequence_similarity, 0) >= 0.85 AND coalesce(timing_similarity, 0) >= 0.8 THEN 'primary_campaign'
   WHEN coalesce(timing_similarity, 0) >= 0.8 AND coalesce(sequence_similarity, 0) < 0.7 THEN 'infrastructure_reuse'
-  WHEN coalesce(protocol_similarity, 0) >= 0.8 THEN 'tactic_match' ELSE 'temporal_overlap' END AS hint
+  WHEN coalesce(protocol_similarity, 0) >= 0.8 THEN 'tactic_match' ELSE 'temporal_overlap' END AS hint, (SELECT count(*) FROM w) AS pairs_evaluated
 FROM w WHERE score >= 0.5 ORDER BY score DESC, a, b LIMIT 20""")
 def actor_suggestions(spark, d):
     return R.suggestions(_reps(spark, d, _fps(spark, d)), A.lineage(spark, d), min_score=0.5)
@@ -220,7 +231,8 @@ def latest_per_resource(spark, d):
 SELECT * FROM c WHERE n <= 3""")
 def ip_history(spark, d):
     ev = A.events(spark, d).withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
-    found = H.oldest(X.fingerprints(ev, ["src_ip", "week"]), "src_ip", 3)
+    snaps = X.fingerprints(ev, ["src_ip", "week"])
+    found = H.counted(H.oldest(snaps, "src_ip", 3), snaps, "src_ip")
     return found.select("src_ip", "computed_at", F.col("n").cast("long").alias("n"), "snapshots")
 
 
@@ -301,32 +313,92 @@ def campaign_names(spark, d):
     return ids.select("id", T.campaign_name(F.col("id")).alias("name"))
 
 
-_ASSIGN = O.SCORED + f"""
-, o AS (SELECT * FROM scored WHERE score >= 0.6 AND src_ip NOT IN (SELECT source_ip FROM members)),
-w AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY score DESC, campaign_id) AS r FROM o),
-asg0 AS (SELECT src_ip, campaign_id, score, status, floor((epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_seen)) / 86400000000)::BIGINT AS gap_days
-  FROM w JOIN campaigns ON id = campaign_id WHERE r = 1),
-assigned AS (SELECT src_ip, campaign_id, score, CASE WHEN score >= CASE WHEN gap_days > 365 THEN 0.9 WHEN gap_days > 182 THEN 0.85 ELSE 0.8 END THEN 'automatic_association' ELSE 'uncertain_association' END AS decision,
-  status = 'dormant' AS is_reactivation, gap_days FROM asg0)
+def _weights_ctes() -> str:
+    """CTEs q (reviews in order), cnt, f (the weights after each) and wp (the last), to follow the adapter's with RECURSIVE."""
+    dims = list(DIMENSIONS)
+    moved = {x: f"greatest(0.05::DOUBLE, least(0.60::DOUBLE, f.w_{x} + CASE WHEN r.{x} > 0.70 THEN r.step ELSE 0 END))" for x in dims}
+    total = "(" + " + ".join(moved.values()) + ")"
+    step = ", ".join(f"round({moved[x]} / {total}, 8) AS w_{x}" for x in dims)
+    start = ", ".join(f"{DEFAULT.weights[x]}::DOUBLE AS w_{x}" for x in dims)
+    return f"""
+, q0 AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY observed_at, id) AS n FROM observations WHERE decision = 'uncertain_association'),
+q AS (SELECT *, CASE WHEN review = 'analyst_confirmed' THEN 0.02 ELSE -0.02 END::DOUBLE AS step, row_number() OVER (PARTITION BY campaign_id ORDER BY n) AS i FROM q0 WHERE n <= 200 AND review IS NOT NULL),
+cnt AS (SELECT campaign_id, count(*) AS review_count, count(*) FILTER (review = 'analyst_confirmed') AS confirmed_count FROM q GROUP BY 1),
+f AS (SELECT campaign_id, 0::BIGINT AS i, {start} FROM cnt UNION ALL SELECT r.campaign_id, r.i, {step} FROM f JOIN q r ON r.campaign_id = f.campaign_id AND r.i = f.i + 1),
+wp AS (SELECT f.* FROM f JOIN cnt USING (campaign_id) WHERE i = review_count AND review_count >= 3)
 """
 
 
-def _assigned(spark, d):
-    return K.assign(_scored(spark, d, DEFAULT.uncertain_threshold), A.campaigns(spark, d), A.members(spark, d), LATER)
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH et", "WITH RECURSIVE et", 1)
 
 
-@register("H17", B + _ASSIGN + "SELECT * FROM assigned")
+_SIMILARITIES = ", ".join(f"{x}_similarity" for x in DIMENSIONS)
+_ASSIGN = O.SCORED + _weights_ctes() + f"""
+, own AS (SELECT source_ip AS src_ip, arg_max(campaign_id, (last_active, campaign_id)) AS own FROM members GROUP BY 1),
+rescored AS (SELECT sims.*, {O.weighted(weights={x: f"coalesce(w_{x}, {DEFAULT.weights[x]})" for x in DIMENSIONS})} AS score,
+  {" + ".join(f"({x}_similarity IS NOT NULL)::INT" for x in DIMENSIONS)} AS dimensions_used FROM sims LEFT JOIN wp USING (campaign_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY score DESC, campaign_id) AS r FROM rescored WHERE score >= 0.6 AND src_ip NOT IN (SELECT source_ip FROM members)),
+d0 AS (SELECT fps.src_ip, fps.confidence, fps.event_count, own, o.* EXCLUDE (src_ip, r), status, floor((epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_seen)) / 86400000000)::BIGINT AS gap
+  FROM fps LEFT JOIN own USING (src_ip) LEFT JOIN (SELECT * FROM o WHERE r = 1) o USING (src_ip) LEFT JOIN campaigns ON id = o.campaign_id),
+d1 AS (SELECT *, CASE WHEN gap > 365 THEN 0.9 WHEN gap > 182 THEN 0.85 ELSE 0.8 END::DOUBLE AS bar, confidence < 0.2 AS sparse, campaign_id IS NOT NULL AS hit FROM d0),
+assigned AS (SELECT src_ip, CASE WHEN sparse THEN 'skipped_sparse' WHEN own IS NOT NULL THEN 'existing_member' WHEN NOT hit THEN 'new_campaign' WHEN score >= bar THEN 'automatic_association' ELSE 'uncertain_association' END AS decision,
+  CASE WHEN NOT sparse THEN coalesce(own, campaign_id) END AS campaign_id, CASE WHEN NOT sparse AND own IS NULL THEN score END AS score,
+  CASE WHEN sparse THEN 0.2 WHEN own IS NOT NULL THEN 0 WHEN NOT hit THEN 0.6 ELSE bar END::DOUBLE AS threshold, coalesce(NOT sparse AND own IS NULL AND status = 'dormant', false) AS is_reactivation,
+  CASE WHEN NOT sparse AND own IS NULL AND status = 'dormant' THEN gap END AS gap_days, event_count, {_SIMILARITIES}, dimensions_used FROM d1)
+"""
+
+
+def _decided(spark, d):
+    """(decisions, fingerprints): all sources against the campaigns, with the weights that reviews taught."""
+    fps, members, campaigns = _fps(spark, d), A.members(spark, d), A.campaigns(spark, d)
+    scored = K.score_candidates(K.unassigned(fps, members), _reps(spark, d, fps), profiles=V.weight_profiles(A.observations(spark, d)), count=campaigns.count())
+    return K.assign(fps, scored, campaigns, members, LATER), fps
+
+
+_EXPLAINED = [*(f"{x}_similarity" for x in DIMENSIONS), "dimensions_used"]
+
+
+@register("H17", _recursive(B + _ASSIGN) + "SELECT * FROM assigned")
 def assign_campaigns(spark, d):
-    return _assigned(spark, d)
+    found, _ = _decided(spark, d)
+    return found.select("src_ip", "decision", "campaign_id", "score", F.col("threshold").cast("double").alias("threshold"), "is_reactivation", "gap_days", "event_count", *(f"explanation.{c}" for c in _EXPLAINED))
+
 
+_LINKED = "decision IN ('automatic_association', 'uncertain_association')"
 
-@register("H19", B + _ASSIGN + f"""
-, dl AS (SELECT campaign_id AS id, count(*) AS n, bool_or(is_reactivation) AS re FROM assigned GROUP BY 1)
-SELECT id, CASE WHEN coalesce(re, false) THEN 'reactivated' ELSE status END AS status, CASE WHEN n IS NOT NULL THEN TIMESTAMP '{LATER}' ELSE last_seen END AS last_seen,
+
+@register("H19", _recursive(B + _ASSIGN) + f"""
+, dl AS (SELECT campaign_id AS id, count(*) FILTER ({_LINKED}) AS n, bool_or(is_reactivation) AS re, max(src_ip) FILTER ({_LINKED}) AS representative_ip FROM assigned WHERE campaign_id IS NOT NULL GROUP BY 1)
+SELECT id, CASE WHEN coalesce(re, false) THEN 'reactivated' ELSE status END AS status, CASE WHEN dl.n IS NOT NULL THEN TIMESTAMP '{LATER}' ELSE last_seen END AS last_seen,
   CASE WHEN NOT coalesce(re, false) THEN dormant_since END AS dormant_since, reactivation_count + coalesce(re, false)::INT AS reactivation_count,
-  member_ip_count + coalesce(dl.n, 0) AS member_ip_count FROM campaigns c LEFT JOIN dl USING (id)""".replace("CASE WHEN n IS", "CASE WHEN dl.n IS"))
+  member_ip_count + coalesce(dl.n, 0) AS member_ip_count, representative_ip FROM campaigns c LEFT JOIN dl USING (id)""")
 def apply_associations(spark, d):
-    return K.apply_associations(A.campaigns(spark, d), _assigned(spark, d), LATER)
+    return K.apply_associations(A.campaigns(spark, d), _decided(spark, d)[0], LATER)
+
+
+@register("H19_members", _recursive(B + _ASSIGN) + f"""
+SELECT campaign_id, source_ip, added_at, CASE WHEN (campaign_id, source_ip) IN (SELECT (campaign_id, src_ip) FROM assigned WHERE decision = 'existing_member') THEN TIMESTAMP '{LATER}' ELSE last_active END AS last_active, confidence FROM members
+UNION ALL SELECT campaign_id, src_ip, TIMESTAMP '{LATER}', TIMESTAMP '{LATER}', score FROM assigned WHERE {_LINKED}""")
+def next_members(spark, d):
+    return K.next_members(A.members(spark, d), _decided(spark, d)[0], LATER)
+
+
+@register("H19_observations", _recursive(B + _ASSIGN) + f"""
+SELECT campaign_id, src_ip AS source_ip, TIMESTAMP '{LATER}' AS observed_at, event_count, is_reactivation, gap_days AS dormancy_gap_days, score AS weighted_total FROM assigned WHERE campaign_id IS NOT NULL""")
+def new_observations(spark, d):
+    return K.new_observations(_decided(spark, d)[0], LATER).withColumn("weighted_total", F.col("explanation.weighted_total")).drop("explanation")
+
+
+@register("H19_representatives", _recursive(B + _ASSIGN) + f"""
+, newest AS (SELECT campaign_id, max(src_ip) AS src_ip FROM assigned WHERE {_LINKED} GROUP BY 1),
+all_ AS (SELECT campaign_id, b FROM rep WHERE campaign_id NOT IN (SELECT campaign_id FROM newest)
+  UNION ALL SELECT n.campaign_id, {O._FIVE} FROM newest n JOIN fps USING (src_ip))
+SELECT campaign_id, b.timing.interval_mean AS interval_mean, array_to_string(b.sequence.port_sequence, ',') AS ports FROM all_""")
+def new_representatives(spark, d):
+    found, fps = _decided(spark, d)
+    new = K.new_representatives(_reps(spark, d, fps), found, fps)
+    return new.select("campaign_id", "timing.interval_mean", F.array_join(F.transform("sequence.port_sequence", lambda p: p.cast("string")), ",").alias("ports"))
 
 
 @register("H20", B + O.STABLE + "SELECT * FROM stab")
@@ -334,25 +406,22 @@ def stability(spark, d):
     return _stability(spark, d).drop("dimensions_used")
 
 
-def _weights_sql() -> str:
-    dims = list(DIMENSIONS)
-    moved = {x: f"greatest(0.05::DOUBLE, least(0.60::DOUBLE, f.w_{x} + CASE WHEN r.{x} > 0.70 THEN r.step ELSE 0 END))" for x in dims}
-    total = "(" + " + ".join(moved.values()) + ")"
-    step = ", ".join(f"round({moved[x]} / {total}, 8) AS w_{x}" for x in dims)
-    start = ", ".join(f"{DEFAULT.weights[x]}::DOUBLE AS w_{x}" for x in dims)
-    base = M.replace("WITH et", "WITH RECURSIVE et", 1)
-    return base + f"""
-, q0 AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY observed_at, id) AS n FROM observations WHERE decision = 'uncertain_association'),
-q AS (SELECT *, CASE WHEN review = 'analyst_confirmed' THEN 0.02 ELSE -0.02 END::DOUBLE AS step, row_number() OVER (PARTITION BY campaign_id ORDER BY n) AS i FROM q0 WHERE n <= 200 AND review IS NOT NULL),
-cnt AS (SELECT campaign_id, count(*) AS review_count, count(*) FILTER (review = 'analyst_confirmed') AS confirmed_count FROM q GROUP BY 1),
-f AS (SELECT campaign_id, 0::BIGINT AS i, {start} FROM cnt UNION ALL SELECT r.campaign_id, r.i, {step} FROM f JOIN q r ON r.campaign_id = f.campaign_id AND r.i = f.i + 1)
-SELECT campaign_id, {", ".join(f"w_{x}" for x in dims)}, review_count, confirmed_count, review_count - confirmed_count AS denied_count
-FROM f JOIN cnt USING (campaign_id) WHERE i = review_count AND review_count >= 3"""
+@register("H21", _recursive(M + _weights_ctes()) + f"""
+SELECT campaign_id, {", ".join(f"w_{x}" for x in DIMENSIONS)}, review_count, confirmed_count, review_count - confirmed_count AS denied_count FROM wp JOIN cnt USING (campaign_id)""")
+def weight_profiles(spark, d):
+    """In two runs: the second goes on from the profiles of the first weeks and leaves out what those have logged."""
+    o = A.observations(spark, d)
+    begun = V.weight_profiles(o.where("observed_at < TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
+    return V.weight_profiles(o, existing=begun).drop("log")
 
 
-@register("H21", _weights_sql())
-def weight_profiles(spark, d):
-    return V.weight_profiles(A.observations(spark, d))
+@register("H21_log", _recursive(M + _weights_ctes()) + f"""
+SELECT campaign_id, f.i AS step, id AS observation_id, review AS review_decision, reviewed_at, {", ".join(f"CASE WHEN q.{x} > 0.70 THEN q.step ELSE 0 END AS a_{x}, w_{x}" for x in DIMENSIONS)}
+FROM f JOIN q USING (campaign_id, i) JOIN cnt USING (campaign_id) WHERE review_count >= 3""")
+def weight_log(spark, d):
+    steps = V.weight_profiles(A.observations(spark, d)).select("campaign_id", F.posexplode("log").alias("k", "e"))
+    moved = [c for x in DIMENSIONS for c in (F.col(f"e.adjustments.{x}").alias(f"a_{x}"), F.col(f"e.weights_after.{x}").alias(f"w_{x}"))]
+    return steps.select("campaign_id", (F.col("k") + 1).cast("long").alias("step"), "e.observation_id", "e.review_decision", "e.reviewed_at", *moved)
 
 
 @register("H22", M + f"""
@@ -406,20 +475,34 @@ def acknowledged(spark, d):
     return H.acknowledge(alerts, o.where("review is not null").select("id", F.col("reviewed_at").alias("acknowledged_at")))
 
 
-@register("H23", B + O.SCORED + """
-, f AS (SELECT campaign_id, b.timing AS t, b.sequence AS s, b.target AS g FROM rep)
-SELECT campaign_id, CASE WHEN t IS NOT NULL THEN list_position(t.tod_histogram, list_max(t.tod_histogram)) - 1 END AS peak_hour, t.burst_cv > 0.5 AS bursts,
-  len(s.port_sequence) AS steps, array_to_string(g.top_dst_ports[1:5], ', ') AS ports FROM f""")
+def _top(entries: str, n: int) -> str:
+    """SQL: the values with the greatest shares, as text."""
+    pairs = f"list_transform({entries}, lambda e: {{'s': e.share, 'v': e.value}})"
+    return f"array_to_string(list_transform(list_sort({pairs}, 'DESC')[1:{n}], lambda e: e.v), ', ')"
+
+
+@register("H23", B + O.SCORED + f"""
+, tac AS (SELECT campaign_id, attack_tactic, count(*) AS n FROM pub JOIN members ON source_ip = src_ip JOIN et ON et.id = event_type WHERE attack_tactic IS NOT NULL GROUP BY ALL),
+tac5 AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY n DESC, attack_tactic) AS r FROM tac),
+tacs AS (SELECT campaign_id, string_agg(attack_tactic || ' (' || n || ')', '; ' ORDER BY r) AS tactics FROM tac5 WHERE r <= 5 GROUP BY 1),
+f AS (SELECT campaign_id, b.timing AS t, b.sequence AS s, b.protocol AS p, b.credential AS c, b.target AS g FROM rep),
+h AS (SELECT campaign_id, CASE WHEN t IS NOT NULL THEN list_position(t.tod_histogram, list_max(t.tod_histogram)) - 1 END AS peak_hour, t.burst_cv > 0.5 AS bursts,
+  len(s.port_sequence) AS steps, len(list_distinct(s.event_type_sequence)) AS event_types, {_top("p.service_distribution", 3)} AS services, {_top("c.username_class_dist", 3)} AS username_classes,
+  array_to_string(g.top_dst_ports[1:5], ', ') AS ports, tactics, reactivation_count AS reactivations FROM f JOIN campaigns ON id = campaign_id LEFT JOIN tacs USING (campaign_id))
+SELECT *, concat_ws('; ', CASE WHEN bursts THEN 'burst activity present' END, 'peak hour ' || lpad(peak_hour::VARCHAR, 2, '0') || ':00 UTC', steps || '-step port sequence',
+  event_types || CASE WHEN event_types = 1 THEN ' event type' ELSE ' event types' END, 'primary services: ' || services, 'username class patterns: ' || username_classes,
+  'primary ports: ' || ports, 'tactics: ' || tactics, 'reactivations: ' || reactivations) AS text FROM h""")
 def campaign_digest(spark, d):
-    return C.digest(_reps(spark, d, _fps(spark, d))).select("campaign_id", F.col("peak_hour").cast("int").alias("peak_hour"), "bursts", F.col("steps").cast("long").alias("steps"), "ports")
+    ev = A.events(spark, d)
+    found = C.digest(_reps(spark, d, _fps(spark, d)), A.campaigns(spark, d), C.tactic_distribution(ev, A.members(spark, d, ev)))
+    # the mean's decimals are written differently by other engines
+    text = F.regexp_replace("text", r"^interval ~[^;]*; ", "")
+    return found.withColumns({"peak_hour": F.col("peak_hour").cast("int"), "steps": F.col("steps").cast("long"), "event_types": F.col("event_types").cast("long"), "text": text})
 
 
 @register("H18")
 def seed_campaigns(spark, d):
-    import tempfile
-
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    ev = A.events(spark, d).where("u % 7 = 3")
-    first = ev.groupBy("src_ip").agg(F.min("ts").alias("first_seen"))
+    """All sources with enough events, as if no campaign existed yet; tests/test_jobs.py has a twin in plain Python."""
+    ev = A.events(spark, d)
+    first = ev.where("src_ip is not null").groupBy("src_ip").agg(F.min("ts").alias("first_seen"))
     return K.seed_campaigns(X.fingerprints(ev).join(first, "src_ip").where(F.col("confidence") >= DEFAULT.min_confidence))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trapline.functions.normalize import EVENT_TYPES, NOT_PUBLIC, SERVICES
-from trapline.sources.adapter import PASSWORDS, PORTS, USERNAMES
+from trapline.sources.adapter import PASSWORDS, PAYLOADS, PORTS, USERNAMES
 
 
 def _list(values: list) -> str:
@@ -31,6 +31,16 @@ def pass_class(c: str) -> str:
     return f"CASE WHEN coalesce({c}, '') = '' THEN 'empty' WHEN {full('[0-9]+')} THEN 'numeric' WHEN {full('[A-Za-z]+')} THEN 'alpha' WHEN {full('[A-Za-z0-9]+')} THEN 'alphanum' ELSE 'special' END"
 
 
+def payload_list(one: str, two: str) -> str:
+    """SQL: the list of texts in the first field that is not empty, null if it is no such list."""
+    a, b = (f"json_extract(payload, '$.{x}')" for x in (one, two))
+    empty = f"({a} IS NULL OR CAST({a} AS VARCHAR) IN ('null', '[]', '\"\"', '0', 'false', '{{}}'))"
+    pick = f"CASE WHEN {empty} THEN {b} ELSE {a} END"
+    texts = f"json_extract({pick}, '$[*]')"
+    fine = f"json_type({pick}) = 'ARRAY' AND len(list_filter({texts}, lambda x: json_type(x) <> 'VARCHAR')) = 0"
+    return f"CASE WHEN {fine} THEN list_transform({texts}, lambda x: json_extract_string(x, '$')) END"
+
+
 _TYPES = ", ".join(f"('{i}', '{label}', {repr(t) if t else 'NULL'}, {repr(k) if k else 'NULL'})" for i, label, t, k in EVENT_TYPES)
 _SERVICE = "CASE dst_port " + " ".join(f"WHEN {p} THEN '{s}'" for p, s in SERVICES.items()) + " END"
 
@@ -51,7 +61,8 @@ feed AS (
     CASE WHEN u % 11 = 0 THEN '10.' ELSE '45.' END || (u // 65536 % 256) || '.' || (u // 256 % 256) || '.' || (u % 256) AS ip,
     {_list(PORTS)}[k % 12 + 1] AS dst_port,
     CASE WHEN kind <> 'port_scan' THEN {_list(USERNAMES)}[k % 8 + 1] END AS username,
-    CASE WHEN kind <> 'port_scan' THEN {_list(PASSWORDS)}[k % 7 + 1] END AS password
+    CASE WHEN kind <> 'port_scan' THEN {_list(PASSWORDS)}[k % 7 + 1] END AS password,
+    CASE WHEN k % 4 < 2 THEN {_list(PAYLOADS)}[(u + k // 9) % {len(PAYLOADS)} + 1] END AS payload
   FROM src),
 norm AS (
   SELECT *, CASE type WHEN 'cowrie.login.failed' THEN 'auth_failed' WHEN 'cowrie.login.success' THEN 'auth_success'
@@ -61,7 +72,7 @@ norm AS (
 ev AS (
   SELECT n.id, ts, u, k, source, CASE WHEN {public("ip")} THEN ip END AS src_ip, norm_type,
     CASE WHEN norm_type IN (SELECT id FROM et) THEN norm_type ELSE 'unknown' END AS event_type,
-    dst_port, {_SERVICE} AS service, username, password,
+    dst_port, {_SERVICE} AS service, username, password, {payload_list('kex_algs', 'kex_algorithms')} AS ssh_kex, {payload_list('tls_cipher_suites', 'ja3_ciphers')} AS tls_ciphers,
     CASE WHEN u % 13 <> 0 THEN lpad(CAST(u % 25 AS VARCHAR), 2, '0') END AS country_code,
     CASE WHEN u % 13 <> 0 THEN n_name END AS country_name,
     CASE WHEN u % 13 <> 0 THEN CAST(u % 10 + 64500 AS INT) END AS asn,
@@ -179,8 +190,9 @@ f_sequence AS (
 {share("ssvc", "service")},
 dsvc AS (SELECT {keys}, list({{'value': value, 'share': share}} ORDER BY value) AS service_distribution FROM ssvc GROUP BY {keys}),
 f_protocol AS (
-  SELECT {keys}, coalesce(service_distribution, []) AS service_distribution
-  FROM (SELECT DISTINCT {keys} FROM {source}) LEFT JOIN dsvc {using}),
+  SELECT {keys}, coalesce(service_distribution, []) AS service_distribution, ssh_kex, tls_ciphers
+  FROM (SELECT {keys}, arg_min(ssh_kex, (ts, id)) FILTER (ssh_kex IS NOT NULL) AS ssh_kex, arg_min(tls_ciphers, (ts, id)) FILTER (tls_ciphers IS NOT NULL) AS tls_ciphers
+    FROM {source} GROUP BY {keys}) LEFT JOIN dsvc {using}),
 {share("susr", user_class("username"), "username IS NOT NULL")},
 dusr AS (SELECT {keys}, list({{'value': value, 'share': share}} ORDER BY value) AS username_class_dist FROM susr GROUP BY {keys}),
 cr AS (
@@ -248,7 +260,8 @@ def similarities(a: str, b: str) -> str:
     seq = _mean(*(_any(f"{s[0]}.{c}", f"{s[1]}.{c}", _edit(f"{s[0]}.{c}", f"{s[1]}.{c}")) for c in ("port_sequence", "event_type_sequence", "credential_sequence")))
     vals = lambda x, d, c: f"list_transform({x}.{d}.{c}, lambda e: e.value)"
     p = [vals(x, "protocol", "service_distribution") for x in (a, b)]
-    proto = _mean(_any(*p, _jaccard(*p)))
+    order = lambda c: f"CASE WHEN {a}.protocol.{c} IS NOT NULL AND {b}.protocol.{c} IS NOT NULL THEN {_edit(f'{a}.protocol.{c}', f'{b}.protocol.{c}')} END"
+    proto = _mean(_any(*p, _jaccard(*p)), order("ssh_kex"), order("tls_ciphers"))
     u = [vals(x, "credential", "username_class_dist") for x in (a, b)]
     c = [f"coalesce({x}.credential.credential_sequence, [])" for x in (a, b)]
     ratios = " + ".join(_stat(f"{a}.credential.{k}::DOUBLE", f"{b}.credential.{k}::DOUBLE") for k in ("has_upper_ratio", "has_lower_ratio", "has_digit_ratio", "has_special_ratio"))

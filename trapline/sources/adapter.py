@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.functions import normalize as N
+from trapline.operators.features import handshakes
 
 PORTS = [22, 23, 80, 443, 445, 3306, 2222, 8080, 21, 25, 3389, 5900]
 USERNAMES = ["root", "admin", "user1", "12345", "a@b.com", "", "test!", "oracle"]
+_KEX = ['["curve25519-sha256", "ecdh-sha2-nistp256"]', '["ecdh-sha2-nistp256", "curve25519-sha256", "diffie-hellman-group14-sha1"]', '["diffie-hellman-group14-sha1"]']
+_TLS = ['["c02f", "c030", "009e"]', '["1301", "1302"]', '["c030", "c02f", "1301", "009e"]']
+#: What sensors add to their events, some of it not as it should be.
+PAYLOADS = [
+    *(f'{{"kex_algs": {x}}}' for x in _KEX), f'{{"kex_algs": [], "kex_algorithms": {_KEX[1]}}}', '{"kex_algs": ["x", 1]}', '{"kex_algs": [null]}',
+    *(f'{{"tls_cipher_suites": {x}}}' for x in _TLS), f'{{"ja3_ciphers": {_TLS[2]}, "tls_cipher_suites": ""}}', '{"ja3_ciphers": "none"}', "{}",
+    f'{{"kex_algs": {_KEX[0]}, "ja3_ciphers": {_TLS[0]}}}',
+]
 PASSWORDS = ["123456", "password", "Pass1", "", "p@ss!", "abc", "QWErty9"]
 
 
@@ -47,6 +56,7 @@ def sensor_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw.alias("type"), ip.alias("ip"), _pick(PORTS, "k % 12").alias("dst_port"),
             F.when(F.col("kind") != "port_scan", _pick(USERNAMES, "k % 8")).alias("username"),
             F.when(F.col("kind") != "port_scan", _pick(PASSWORDS, "k % 7")).alias("password"),
+            F.when(F.expr("k % 4 < 2"), _pick(PAYLOADS, f"cast((u + k div 9) % {len(PAYLOADS)} as int)")).alias("payload"),
         )
     )
 
@@ -58,13 +68,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = N.normalize_event_type(F.col("type"), F.col("source"))
     known = F.col("u") % 13 != 0
     return (
-        feed.withColumn("norm_type", norm)
+        feed.withColumns({"norm_type": norm, **handshakes(F.col("payload"))})
         .withColumn("nk", F.when(known, (F.col("u") % 25).cast("int")))
         .join(F.broadcast(nation), "nk", "left")  # 25 nations in every size
         .select(
             "id", "ts", "u", "k", "source", N.public_ipv4(F.col("ip")).alias("src_ip"), "norm_type",
             N.coerce_event_type(F.col("norm_type")).alias("event_type"), "dst_port",
-            N.service_of_port(F.col("dst_port")).alias("service"), "username", "password",
+            N.service_of_port(F.col("dst_port")).alias("service"), "username", "password", "ssh_kex", "tls_ciphers",
             F.when(known, F.expr("lpad(cast(nk as string), 2, '0')")).alias("country_code"), "country_name",
             F.when(known, (F.col("u") % 10 + 64500).cast("int")).alias("asn"),
             F.when(known, F.expr("'ORG-' || cast(u % 10 as string)")).alias("asn_org"),
