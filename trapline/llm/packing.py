@@ -24,7 +24,7 @@ GROUPS = 1024
 PARTS = 4096
 PART_ROWS = 1000
 #: Words one worker keeps; the table is emptied when it is full.
-_WORDS = 800_000
+_WORDS = 250_000
 _SLOW = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
 
 
@@ -312,10 +312,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, mixture: dict[str,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, source = batch.column(0), batch.column(1)
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            doc, source = part.column(0), part.column(1)
             row, rest = [], []
-            columns = (batch.column(k).to_pylist() for k in range(2, 8))
+            columns = (part.column(k).to_pylist() for k in range(2, 8))
             for k, (q, path, length, a, n, b) in enumerate(zip(*columns, strict=True)):
                 wide = np.frombuffer(b, dtype="<u2").astype("<u4").tobytes()
                 steps = [(p["left"], p["both"], p["first"]) for p in path]
