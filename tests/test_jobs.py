@@ -358,6 +358,33 @@ def test_stream_ingest_keeps_late_events_and_knows_old_ids(spark, tmp_path):
     assert run(late, known, frame(spark, [7], ip="45.0.0.4", id=None)) == [("", "45.0.0.4"), *first, ("late", "45.0.0.2")]
 
 
+def test_a_stream_is_followed_to_campaigns(spark, tmp_path):
+    """The first batch opens a campaign, the next adds a like source and sees an old one again; a late event counts."""
+    from trapline.sources import store
+
+    root = str(tmp_path / "store")
+
+    def run(name, *frames):
+        for f in frames:
+            f.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENT.replace("timestamp_ntz", "timestamp")).parquet(str(tmp_path / "in"))
+        jobs.follow(stream, root, str(tmp_path / "state"), name).awaitTermination(300)
+        return {t: store.latest(spark, f"{root}/{t}")[0].collect() for t in ("campaigns", "members")}
+
+    named = lambda ip, offsets: frame(spark, offsets, ip=ip).withColumn("id", F.concat(F.lit(ip), "id"))
+    one_ = run("2025-01-02 00:00:00", named("45.0.0.1", range(0, 600, 50)))
+    assert [(r.status, r.member_ip_count, r.representative_ip) for r in one_["campaigns"]] == [("active", 1, "45.0.0.1")]
+    late = named("45.0.0.1", [-86400 * 400]).withColumn("id", F.lit("late"))
+    two = run("2025-01-03 00:00:00", named("45.0.0.2", range(0, 600, 50)), late, named("45.0.0.1", [0]))
+    assert [(r.status, r.member_ip_count, r.representative_ip) for r in two["campaigns"]] == [("active", 2, "45.0.0.2")]
+    assert {(r.source_ip, str(r.last_active)) for r in two["members"]} == {("45.0.0.1", "2025-01-03 00:00:00"), ("45.0.0.2", "2025-01-03 00:00:00")}
+    events = spark.read.parquet(f"{root}/events")
+    assert (events.count(), events.where("src_ip = '45.0.0.1'").count()) == (25, 13)
+    history = spark.read.parquet(f"{root}/history")
+    assert {(r.src_ip, r.event_count) for r in history.collect()} == {("45.0.0.1", 12), ("45.0.0.1", 13), ("45.0.0.2", 12)}
+    assert {r.source_ip for r in spark.read.parquet(f"{root}/observations").collect()} == {"45.0.0.1", "45.0.0.2"}
+
+
 def test_addresses_are_redacted_in_all_documents(spark, tmp_path):
     """The query runs over texts with times, both kinds of address, and nulls."""
     import hashlib

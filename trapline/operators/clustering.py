@@ -106,12 +106,13 @@ def apply_associations(campaigns: DataFrame, decisions: DataFrame, now: str) ->
     )
     at = F.lit(now).cast("timestamp_ntz")
     again = F.coalesce("_re", F.lit(False))
-    return campaigns.join(touched, "id", "left").select(
+    old = campaigns.withColumn("_by", F.col("representative_ip") if "representative_ip" in campaigns.columns else F.lit(None).cast("string")).drop("representative_ip")
+    return old.join(touched, "id", "left").select(
         "id", F.when(again, "reactivated").otherwise(F.col("status")).alias("status"),
         F.when(F.col("_new").isNotNull(), at).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(~again, F.col("dormant_since")).alias("dormant_since"),
         (F.col("reactivation_count") + again.cast("int")).alias("reactivation_count"),
-        (F.col("member_ip_count") + F.coalesce("_new", F.lit(0))).alias("member_ip_count"), "representative_ip",
+        (F.col("member_ip_count") + F.coalesce("_new", F.lit(0))).alias("member_ip_count"), F.coalesce("representative_ip", "_by").alias("representative_ip"),
     )
 
 
@@ -167,3 +168,20 @@ def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     best = near.join(leads.withColumnRenamed("src_ip", "y"), "y", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
     followers = best.join(leads.withColumnRenamed("src_ip", "x"), "x", "left_anti").select(F.col("x").alias("src_ip"), F.col("y").alias("leader"), "score")
     return leads.select("src_ip", F.col("src_ip").alias("leader"), F.lit(1.0).alias("score")).unionByName(followers)
+
+
+def open_campaigns(seeds: DataFrame, fingerprints: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(campaigns, members, representatives) of what :func:`seed_campaigns` found: one campaign a leader.
+
+    Its id is a digest of the leader's address, so a run that is repeated makes the same.
+    """
+    at = F.lit(now).cast("timestamp_ntz")
+    told = seeds.select(F.concat(F.lit("c-"), F.substring(F.sha2("leader", 256), 1, 16)).alias("campaign_id"), "src_ip", "leader", "score")
+    members = told.select("campaign_id", F.col("src_ip").alias("source_ip"), at.alias("added_at"), at.alias("last_active"), F.col("score").alias("confidence"))
+    first = told.where("src_ip = leader").join(fingerprints, "src_ip")
+    sizes = told.groupBy("campaign_id").agg(F.count("*").alias("member_ip_count"))
+    campaigns = first.join(sizes, "campaign_id").select(
+        F.col("campaign_id").alias("id"), F.lit("active").alias("status"), at.alias("last_seen"), F.lit(None).cast("timestamp_ntz").alias("dormant_since"),
+        F.lit(0).alias("reactivation_count"), "member_ip_count", F.col("src_ip").alias("representative_ip"),
+    )
+    return campaigns, members, first.select("campaign_id", *DIMENSIONS)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from trapline.operators import features, ingest, profiles
+from trapline.config import DEFAULT, DIMENSIONS, Config
+from trapline.operators import clustering, features, ingest, profiles
+from trapline.sources import store
 
 
 def per_minute(events: DataFrame) -> DataFrame:
@@ -71,6 +73,23 @@ def refingerprint(history: DataFrame, batch: DataFrame) -> DataFrame:
     return features.fingerprints(history.join(touched, "src_ip", "left_semi"))
 
 
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table at ``path``, None before anything is written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_new(batch: DataFrame, path: str) -> None:
+    """Writes the events of a batch whose ids are not stored yet; those without an id are all kept."""
+    known = stored(batch.sparkSession, path, StructType([batch.schema["id"]]))
+    named = ingest.first_occurrences(batch.where("id is not null"), known, F.col("ts").asc_nulls_last())
+    ingest.write_events(named.unionByName(batch.where("id is null")), path)
+
+
 def stream_ingest(stream: DataFrame, path: str, checkpoint: str, lateness: str | None = None) -> StreamingQuery:
     """Writes each new event once, partitioned by day, and stops when all that is there is read.
 
@@ -79,16 +98,49 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, lateness: str |
     an id are all kept. ``lateness`` is without effect, as no state has to be bounded. Start
     with a folder and checkpoint of this job's own: older ones hold a file sink's log.
     """
+    return each_batch(stream, lambda batch, _: write_new(batch, path), checkpoint)
 
-    def job(batch: DataFrame, _: int) -> None:
-        kind = StructType([batch.schema["id"]])
-        try:
-            known = batch.sparkSession.read.schema(kind).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            known = None
-        named = ingest.first_occurrences(batch.where("id is not null"), known, F.col("ts").asc_nulls_last())
-        ingest.write_events(named.unionByName(batch.where("id is null")), path)
-
-    return each_batch(stream, job, checkpoint)
+
+def follow_batch(batch: DataFrame, number: int, root: str, now: str, cfg: Config = DEFAULT) -> None:
+    """One batch from events to campaigns, all tables below ``root``.
+
+    Stores the new events, fingerprints the sources that the batch touched once each over all
+    their events, adds those to the history, scores the sources that are in no campaign
+    against the live ones and applies the decisions; what fits none opens campaigns. The
+    history and the observations are folders of the batch's number, and campaigns, members
+    and representatives are versions, so a batch that is run again leaves the same.
+    """
+    spark = batch.sparkSession
+    write_new(batch, f"{root}/events")
+    events = spark.read.parquet(f"{root}/events").drop("event_date")
+    fps = store.saved(refingerprint(events, batch))
+    fps.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/history/batch={number}")
+    campaigns, _ = store.latest(spark, f"{root}/campaigns")
+    decided = None
+    if campaigns is not None:
+        members, reps = (store.latest(spark, f"{root}/{t}")[0] for t in ("members", "representatives"))
+        live = campaigns.where("status <> 'historical'").select(F.col("id").alias("campaign_id"))
+        scored = clustering.score_candidates(clustering.unassigned(fps, members), reps.join(live, "campaign_id", "left_semi"), cfg)
+        decided = store.saved(clustering.assign(fps, scored, campaigns, members, now, cfg))
+        clustering.new_observations(decided, now).write.mode("overwrite").parquet(f"{root}/observations/batch={number}")
+        snapshots = {
+            "campaigns": (clustering.apply_associations(campaigns, decided, now), ["id"]),
+            "members": (clustering.next_members(members, decided, now), ["campaign_id", "source_ip"]),
+            "representatives": (clustering.new_representatives(reps, decided, fps), ["campaign_id"]),
+        }
+        for name, (rows, keys) in snapshots.items():
+            store.write_snapshot(store.saved(rows), f"{root}/{name}", keys)
+    unmatched = fps.where(F.col("confidence") >= cfg.min_confidence)
+    if decided is not None:
+        unmatched = unmatched.join(decided.where("decision = 'new_campaign'").select("src_ip"), "src_ip", "left_semi")
+    first = events.where("src_ip is not null").groupBy("src_ip").agg(F.min("ts").alias("first_seen"))
+    seeds = store.saved(clustering.seed_campaigns(unmatched.select("src_ip", *DIMENSIONS).join(first, "src_ip"), cfg))
+    if not seeds.isEmpty():
+        opened = clustering.open_campaigns(seeds, fps, now)
+        for name, rows, keys in zip(("campaigns", "members", "representatives"), opened, (["id"], ["campaign_id", "source_ip"], ["campaign_id"]), strict=True):
+            store.write_snapshot(rows, f"{root}/{name}", keys)
+
+
+def follow(stream: DataFrame, root: str, checkpoint: str, now: str, cfg: Config = DEFAULT) -> StreamingQuery:
+    """:func:`follow_batch` for each micro-batch of all that is there."""
+    return each_batch(stream, lambda batch, number: follow_batch(batch, number, root, now, cfg), checkpoint)
