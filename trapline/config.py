@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Config:
-    # weights of the five dimensions; each in (0, 1], their sum 1 within 0.01
+    # fixed values throughout: weights of the five dimensions; each in (0, 1], their sum 1 within 0.01
     weights: dict[str, float] = field(
         default_factory=lambda: {"timing": 0.20, "sequence": 0.35, "protocol": 0.25, "credential": 0.10, "target": 0.10}
     )

@@ -13,19 +13,22 @@ INJECTIONS = [
     r"from\s+now\s+on\s+", r"\[INST\]", r"###\s*instructions?",
 ]
 INJECTION = "(?i)(" + "|".join(INJECTIONS) + ")"
+# fixed values: patterns of addresses
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{0,4}\b|\b::(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4}\b"
 IP = f"(?:{IPV4}|{IPV6})"
 
 # fixed values: words of campaign names
-ADJECTIVES = (
-    "shadow crimson silent amber frozen cobalt phantom scarlet hollow iron lunar obsidian silver dark hidden ancient midnight "
-    "rapid steel veiled volatile carbon prism static titan nova void apex cipher delta"
-).split()
-ANIMALS = (
-    "crane wolf raven fox hawk bear lynx viper eagle cobra mantis shark python falcon jaguar tiger osprey scorpion otter manta "
-    "hornet panther kestrel beetle crow mongoose ferret wyvern hydra asp"
-).split()
+ADJECTIVES = [
+    "shadow", "crimson", "silent", "amber", "frozen", "cobalt", "phantom", "scarlet", "hollow", "iron",
+    "lunar", "obsidian", "silver", "dark", "hidden", "ancient", "midnight", "rapid", "steel", "veiled",
+    "volatile", "carbon", "prism", "static", "titan", "nova", "void", "apex", "cipher", "delta",
+]
+ANIMALS = [
+    "crane", "wolf", "raven", "fox", "hawk", "bear", "lynx", "viper", "eagle", "cobra", "mantis",
+    "shark", "python", "falcon", "jaguar", "tiger", "osprey", "scorpion", "otter", "manta", "hornet",
+    "panther", "kestrel", "beetle", "crow", "mongoose", "ferret", "wyvern", "hydra", "asp",
+]
 
 
 def sanitize_text(text: Column, max_len: int = 200, redacted: str = "[REDACTED]") -> Column:
