@@ -73,7 +73,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT_ROWS, total // HOT_KEYS + 1)
-    hot = written(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    hot = written(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts")).repartition(1))
     if hot.isEmpty():
         return left.join(right, keys)
     salts = F.coalesce("_salts", F.lit(1))

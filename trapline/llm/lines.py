@@ -94,8 +94,13 @@ def _texts(lines: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(found.select(F.col("id").alias(n), F.col("line").alias(t)) for n, t in (("a", "x"), ("b", "y")))
 
 
+def sized(lines: DataFrame) -> DataFrame:
+    """Lines (id, line) with what pairs are sorted out by: characters ``n`` and counts of letters ``c``."""
+    return lines.select("id", "line", F.char_length("line").alias("n"), _letter_counts("line").alias("c"))
+
+
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b) ids of the distinct lines (id, line) within the edits allowed for the longer one.
+    """(a, b) ids of the distinct lines, as :func:`sized` has them and written, within the edits allowed for the longer one.
 
     Each line is indexed under its own segments and probes the segments of lines as long
     as it or up to ``edits`` shorter; by the pigeonhole principle a pair within the
@@ -104,14 +109,13 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     that meet in a segment of many lines inside the join, so that no list of pairs is
     written that grows with the square of such a group, the rest afterwards.
     """
-    sized = lines.select("id", "line", F.char_length("line").alias("n"), _letter_counts("line").alias("c"))
-    lengths = written(sized.select("n").distinct())
+    lengths = written(lines.select("n").distinct())
     hint = F.broadcast if lengths.count() <= BROADCAST_LENGTHS else (lambda x: x)
 
     def keys(probe: bool) -> DataFrame:
         # written, or Spark would infer a filter that lists the places of each line anew
         found = written(lengths.select("n", F.expr(_places(edits, probe)).alias("places")).where(F.size("places") > 0))
-        each = sized.join(hint(found), "n").select("id", "n", "c", "line", F.explode("places").alias("s"))
+        each = lines.join(hint(found), "n").select("id", "n", "c", "line", F.explode("places").alias("s"))
         return each.withColumn("key", F.xxhash64("s.t", "s.l", "s.i", F.substring("line", F.col("s.p") + 1, F.col("s.z")))).drop("s")
 
     index = keys(False)
@@ -149,8 +153,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     anything is compared, and a line of many rows is told back dealt over many tasks.
     """
     lines = split_lines(docs).where("line <> ''")
-    distinct = written(lines.select("line").distinct().withColumn("id", F.monotonically_increasing_id()))
-    links = written(edit_links(distinct.select("id", "line"), edits))
+    distinct = written(sized(lines.select("line").distinct().withColumn("id", F.monotonically_increasing_id())))
+    links = written(edit_links(distinct, edits))
     roots = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     linked = written(distinct.join(roots.withColumnRenamed("node", "id"), "id").join(degree.withColumnRenamed("node", "id"), "id").select(_code("line").alias("key"), "root", "links"))

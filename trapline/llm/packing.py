@@ -24,7 +24,7 @@ GROUPS = 1024
 PARTS = 4096
 PART_ROWS = 1000
 #: Words one worker keeps; the table is emptied when it is full.
-_WORDS = 250_000
+_WORDS = 600_000
 _SLOW = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
 
 
