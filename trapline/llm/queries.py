@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, warc
+from . import exact_dedup, filter_audit, vector_codes, warc
 from .common import table
 
 #: The rules that op2 is asked for.
@@ -89,10 +89,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import remove_windows
+
+    return remove_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_decontaminate, op4_line_dedup, op5_pack, op6_substrings, op7_exact_dedup, op8_language, op9_simhash, op10_warc]
+    found = [
+        op1_quality, op2_url_filter, op3_decontaminate, op4_line_dedup, op5_pack, op6_substrings, op7_exact_dedup, op8_language, op9_simhash, op10_warc,
+        op11_filter_audit, op12_vector_codes, op13_windows,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_vector_codes": vector_codes.oracle()}
