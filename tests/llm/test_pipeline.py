@@ -97,29 +97,63 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         assert 4 * at == len(want[i])
 
 
+def test_stages_tell_rows_apart_by_number(spark, tmp_path):
+    """Rows that share a doc_id, or have none, are judged each by its own text."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    base, far, item, other = text(2000), text(60), text(30), text(60)
+    near = base[:-5] + "zzzzz"
+    assert base != near and (brute_fingerprint(base) ^ brute_fingerprint(near)).bit_count() <= 3
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(*r, "en", "s", 0, "x", 1, 2) for r in rows], DOCS).repartition(3)
+        return Counter((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect())
+
+    blanks = base.replace(" ", "  ")
+    assert left(corpus_pipeline.near_duplicates, [(1, base), (5, near), (5, far), (None, near), (None, far), (None, other)]) == Counter([(1, base), (5, far), (None, other)])
+    assert left(corpus_pipeline.near_duplicates, [(None, base), (None, near), (None, near)]).total() == 1
+    assert left(corpus_pipeline.near_duplicates, [(7, base), (7, base), (7, far), (8, None), (9, "")]) == Counter([(7, base), (7, far), (8, None)])
+    assert left(corpus_pipeline.exact_duplicates, [(1, base), (5, blanks), (5, far), (None, base), (None, other), (1, base)]) == Counter([(5, blanks), (5, far), (None, other)])
+    held = f"{far} {item} {far}"
+    assert left(corpus_pipeline.benchmark_passages, [(3, held), (3, base), (3, held), (None, held), (None, other), (4, None)]) == Counter([(3, base), (None, other), (4, None)])
+    assert left(corpus_pipeline.language_id, [(3, base), (3, base), (3, "12"), (None, base), (None, None), (16, far)]) == Counter([(3, base), (3, base), (None, base), (16, far)])
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame([(*r, "en", None, 0, "x", 1, 2) for r in [(3, base), (3, base), (3, far), (None, base), (None, None)]], DOCS), "")
+    sums = Counter()
+    for r in packed.collect():
+        sums[r.doc_id] += r.length
+    encode = packing.WordIds(queries.word_bpe()).whole
+    size = lambda t: len(encode(t)) // 2 + 1
+    assert sums == Counter({3: 2 * size(base) + size(far), None: size(base) + 1})
+
+
 FRESH = """
 import sys, tempfile
 sys.path.insert(0, {repo!r})
 from pyspark.sql import SparkSession
 import __spark_entry__ as entry
-for name in {names!r}:
-    spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config(
-        "spark.checkpoint.dir", "file://" + tempfile.mkdtemp()).getOrCreate()
-    print(name, entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, flush=True)
-    spark.stop()
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config(
+    "spark.checkpoint.dir", "file://" + tempfile.mkdtemp()).getOrCreate()
+print("rows", entry.queries()[{name!r}](spark, "/root/testdata/sf0.001").count(), flush=True)
+spark.stop()
 """
 
 
-def test_each_is_the_first_query_of_a_session(tmp_path):
-    """On executors that do not find the package by themselves; each query has a new session."""
+@pytest.mark.parametrize("name", ["op5_pack", "op6_substrings", "op8_language", "op9_simhash", "op10_warc", "op12_vector_codes", "op13_windows"])
+def test_each_is_the_first_query_of_a_session(tmp_path, name):
+    """On executors that do not find the package by themselves; each query has a process and a small JVM of its own."""
     env = {k: v for k, v in os.environ.items() if k == "SPARK_HOME" or not k.startswith(("PYTHONPATH", "PYSPARK_", "SPARK_"))}
-    names = ["op5_pack", "op6_substrings", "op8_language", "op9_simhash", "op10_warc"]
-    done = subprocess.run([sys.executable, "-c", FRESH.format(repo=REPO, names=names)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
-    assert [x for x in done.stdout.splitlines() if x.startswith("op")] == [f"{n} True" for n in names], done.stderr[-2000:]
+    env |= {"PYSPARK_SUBMIT_ARGS": "--driver-memory 768m pyspark-shell", "SPARK_LOCAL_IP": "127.0.0.1"}
+    log = tmp_path / "log"
+    with log.open("w") as out:
+        subprocess.run([sys.executable, "-c", FRESH.format(repo=REPO, name=name)], cwd=tmp_path, env=env, stdout=out, stderr=out, timeout=600)
+    said = log.read_text(errors="replace")
+    found = regex.search(r"^rows ([1-9]\d*)$", said, regex.MULTILINE)
+    assert found, said[-6000:]
 
 
 def test_all_run_on_empty_tables(spark, tmp_path):
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     for query in [*queries.queries().values(), corpus_pipeline.run]:
         assert query(spark, str(tmp_path)).count() == 0

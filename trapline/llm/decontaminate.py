@@ -167,14 +167,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 def without_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item.
 
-    All rows of a doc_id go if one holds an item; of rows without a doc_id, those that do.
+    Rows are judged by their own text: one that shares its doc_id with a row that goes stays.
     """
-    found = _matches(docs, benchmark, similarity, radius)
-    held = written(found.select("doc_id", _own(F.col("doc_id"), F.col("copy")).alias("copy")).distinct())
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (_own(F.col("l.doc_id"), F.xxhash64("l.text")) == F.col("r.copy"))
+    held = written(_matches(docs, benchmark, similarity, radius).select("doc_id", "copy").distinct())
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("l.text") == F.col("r.copy"))
     return docs.alias("l").join(held.alias("r"), same, "left_anti").select(docs.columns)
-
-
-def _own(doc_id: Column, copy: Column) -> Column:
-    """What tells rows without a doc_id apart."""
-    return F.when(doc_id.isNull(), copy).otherwise(0)

@@ -202,7 +202,8 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, text): each text without its dropped lines."""
+    """(doc_id, text): each text without its dropped lines. Texts without a doc_id are one document's, as in :func:`line_dedup`."""
     verdict = line_classes(docs, **options).where("dropped").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     kept = F.expr("filter(transform(split(coalesce(text, ''), '\\n', -1), (x, i) -> struct(i, x as line)), s -> not array_contains(coalesce(gone, array()), s.i))")
-    return docs.select("doc_id", "text").join(verdict, "doc_id", "left").select("doc_id", F.array_join(kept.getField("line"), "\n").alias("text"))
+    joined = docs.select("doc_id", "text").join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("doc_id", F.array_join(kept.getField("line"), "\n").alias("text"))

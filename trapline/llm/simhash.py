@@ -211,6 +211,17 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
             return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _components(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, low) and (fp, n) of the written ``coded``: the least doc_id of all rows reachable, and the rows of each fingerprint."""
+    points = written(coded.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    roots = written(connected_components(fingerprint_links(points.select("fp"))).withColumnRenamed("node", "fp"))
+    linked = points.join(roots, "fp")
+    names = linked.groupBy("root").agg(F.min("low").alias("name"))
+    sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
+    named = salted_join(linked.select("fp", "root"), names, ["root"], sizes, ["fp"]).select("fp", "name")
+    return points.join(named, "fp", "left").select("fp", F.coalesce("name", "low").alias("low")), points.select("fp", "n")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -224,13 +235,26 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     and names are told back with the rows of a common fingerprint dealt over many tasks.
     """
     coded = written(fingerprints(docs))
-    points = written(coded.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    roots = written(connected_components(fingerprint_links(points.select("fp"))).withColumnRenamed("node", "fp"))
-    linked = points.join(roots, "fp")
-    names = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
-    named = salted_join(linked.select("fp", "root"), names, ["root"], sizes, ["fp"]).select("fp", "component_id")
-    told = points.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
-    return salted_join(coded, told, ["fp"], points.select("fp", "n"), ["doc_id"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    told, counts = _components(coded)
+    return salted_join(coded, told, ["fp"], counts, ["doc_id"]).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component of :func:`simhash_groups`, with all columns of ``docs``.
+
+    The row with the smallest doc_id stays, of equal ids and of null ones, which come last,
+    the row met first. Rows are numbered in a written copy and only numbers of rows that
+    go are joined with it, so a row is never lost because another has its doc_id.
+    """
+    name = "_number"
+    while name in docs.columns:
+        name = f"_{name}"
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(name).alias("r"))
+    coded = written(fingerprints(numbered.select(place.alias("doc_id"), "text")))
+    told, counts = _components(coded)
+    verdict = salted_join(coded, told, ["fp"], counts, ["doc_id"])
+    gone = verdict.where(F.col("doc_id.r") != F.col("low.r")).select(F.col("doc_id.r").alias(name))
+    return numbered.join(gone, name, "left_anti").select(*docs.columns)
