@@ -1,13 +1,14 @@
 """Corpus pipeline: language, exact and near duplicates, benchmark passages, packing.
 
 Each stage reads all that the one before it kept. All but the last return the columns of
-``documents``; the last returns the pieces of packed sequences.
+``documents``; the last returns the pieces of packed sequences. All stages take whole texts
+of any length, empty tables and tables with more columns, whatever their names; the stages
+before the last pass those on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trapline.llm import decontaminate, exact_dedup, language, packing, simhash
 from trapline.llm.common import shared_dir, table
@@ -18,29 +19,50 @@ LEAST_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters or in no known language."""
+    """Rejects documents without letters or in no known language.
+
+    A null or empty text has no letters and goes. Rows are judged one by one by their text,
+    so repeated rows and null doc_ids share its fate; a row without a doc_id may be learnt from.
+    Of languages that tie, the first by name counts. If no row has a language to learn, none
+    is known and all go.
+    """
     model = language.fit(docs.where(~language.held_out("doc_id")))
     return language.keep_known(docs, model, LEAST_SCORE)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first of equal texts."""
+    """Keeps one row of equal texts: the one with most code points, then the smallest doc_id, nulls last.
+
+    Null texts equal the empty one. Of rows that agree in all this the first stays. Rows are
+    told apart by number, so another text under the same doc_id is left alone.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document that names its SimHash component."""
-    groups = simhash.simhash_groups(docs)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each SimHash component: the smallest doc_id, nulls last, then the first.
+
+    Texts that are null or have no words have one fingerprint and so are one component. Rows
+    are told apart by number, as in the stage before.
+    """
+    return simhash.keep_first(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
+    """Rejects documents that hold a benchmark item.
+
+    Null and empty texts hold none. Repeated rows go together; rows of one doc_id, or
+    without one, are judged by their own text. An empty benchmark rejects nothing.
+    """
     return decontaminate.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4,096 tokens, at the target mixture of the sources."""
+    """Packs what is left into sequences of 4,096 tokens, at the target mixture of the sources.
+
+    A null text is empty and packs as the end id. Repeated rows, and rows of one doc_id or of
+    none, are packed each for itself. A null source is a source.
+    """
     return packing.pack(docs, word_bpe(), mixture=MIXTURE)
 
 
