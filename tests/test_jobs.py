@@ -94,6 +94,15 @@ def test_edit_similarity(spark, a, b, want):
     assert df.select(S.edit_sim(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(want)
 
 
+@pytest.mark.parametrize("n", [127, 200, 201, 257, 300, 1000])
+def test_edit_similarity_of_many_symbols(spark, n):
+    """First and last of n different elements change places: two edits."""
+    a = [f"s{k}" for k in range(n)]
+    b = [a[-1], *a[1:-1], a[0]]
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    assert df.select(S.edit_sim(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(1 - 2 / n)
+
+
 def test_coded_sequences_have_the_distance_of_their_elements(spark):
     """Ports of any number, and words that the vocabulary lacks."""
     import random
@@ -299,11 +308,113 @@ def test_snapshots_are_versions(spark, tmp_path):
     assert version == 2 and sorted(map(tuple, newest.collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_snapshots_are_deltas(spark, tmp_path):
+    """An upsert writes its rows only; a version can be read as it was and written anew; bases replace many deltas."""
+    from trapline.sources import store
+
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, n int")
+    read = lambda before=None: sorted(map(tuple, store.latest(spark, path, before)[0].collect()), key=str)
+    assert store.latest(spark, path) == (None, 0)
+    store.write_snapshot(rows(*((f"k{k}", 0) for k in range(50)), (None, 0)), path, ["id"])
+    store.write_snapshot(rows(("k3", 1), ("new", 1), (None, 1)), path, ["id"])
+    assert spark.read.parquet(f"{path}/delta=2").count() == 3
+    assert len(read()) == 52 and ("k3", 1) in read() and (None, 1) in read() and len(read(before=2)) == 51
+    store.write_snapshot(rows(("k3", 7)), path, ["id"], version=2)
+    assert ("k3", 7) in read() and len(read()) == 51
+    for k in range(3, 9):
+        store.write_snapshot(rows(("k3", k)), path, ["id"], deltas=3)
+    found = store.versions(spark, path)
+    assert found["base"] and found["delta"] == list(range(1, 9)) and ("k3", 8) in read() and ("k3", 4) in read(before=5)
+    store.compact(spark, path, ["id"], retain=1)
+    assert store.versions(spark, path) == {"base": [7], "delta": [8]} and ("k3", 8) in read() and len(read()) == 51
+    (tmp_path / "t" / "delta=9").mkdir()
+    assert store.latest(spark, path)[1] == 8
+
+
+LINES = [
+    '{"id": "1", "ts": "2025-10-28T18:31:08Z", "source": "cowrie", "type": "cowrie.login.failed", "data": {"ip": "8.8.8.8", "dst_port": 22, "protocol": "TCP", "username": "root", "kex_algs": ["a", "b"]}}',
+    "", "   ", "not json", '["a list"]', "17",
+    '{"id": "2", "ts": 1761676268, "source": "custom", "type": "y", "data": [1], "client_ip": "9.9.9.9", "dst_port": "443"}',
+    '{"id": "", "ts": "1", "source": "s", "type": "t"}', '{"id": "3", "source": "s", "type": "t"}', '{"id": 0, "ts": "1", "source": "s", "type": "t"}', '{"id": "7", "ts": "1", "source": {}, "type": "t"}',
+    '{"id": "4", "ts": "soon", "source": "s", "type": "t"}',
+    '{"id": "5", "ts": "2025-10-28T18:31:08+02:00", "source": "dionaea", "type": "dionaea.connection.free", "data": {"ip": "10.0.0.1", "src_ip": 5, "dst_port": 70000, "service": "trap"}, "src_ip": "192.168.1.1", "source_ip": "7.7.7.7"}',
+    '{"id": 6, "ts": "2025-10-28", "source": "s", "type": "T.U", "data": {"ip": "::1", "dst_port": "no", "nested": {"dst_port": 1}}}',
+    '{"id": "1", "ts": "2025-10-29T00:00:00Z", "source": "cowrie", "type": "again"}',
+]
+
+
 def test_sensor_lines(spark, tmp_path):
-    lines = ['{"id": "1", "ts": "2025-10-28T18:31:08Z", "source": "cowrie", "type": "x", "data": {"ip": "8.8.8.8"}}', "", "not json", '{"id": "2", "ts": 1761676268, "source": "custom", "type": "y", "data": [1]}', '{"id": "", "ts": "1", "source": "s", "type": "t"}', '{"id": "3", "source": "s", "type": "t"}']
-    (tmp_path / "feed.jsonl").write_text("\n".join(lines))
+    (tmp_path / "feed.jsonl").write_text("\n".join(LINES))
     good, bad = ingest.read_sensor_jsonl(spark, str(tmp_path))
-    assert {r.id: r.data for r in good.collect()} == {"1": '{"ip":"8.8.8.8"}', "2": "{}"} and bad.count() == 3
+    assert sorted(r.reason for r in bad.collect()) == ["malformed"] * 3 + ["missing field"] * 4
+    rows = {(r.id, r.type): r for r in good.collect()}
+    assert len(rows) == 6 and rows["4", "t"].reason == "unparseable timestamp"
+    first, two, five, six = rows["1", "cowrie.login.failed"], rows["2", "y"], rows["5", "dionaea.connection.free"], rows["6", "T.U"]
+    assert (first.src_ip, first.dst_port, first.protocol, first.service, first.username, first.event_type, first.ssh_kex) == ("8.8.8.8", 22, "tcp", "ssh", "root", "auth_failed", ["a", "b"])
+    assert (two.src_ip, two.dst_port, two.service, two.data, str(two.ts)) == ("9.9.9.9", 443, "https", "{}", "2025-10-28 18:31:08")
+    assert (five.src_ip, five.dst_port, five.service, str(five.ts)) == ("7.7.7.7", None, "trap", "2025-10-28 16:31:08")
+    assert (six.src_ip, six.dst_port, six.norm_type, six.event_type) == (None, None, "t_u", "unknown")
+
+
+def test_lines_become_events_with_a_receipt(spark, tmp_path):
+    lines = spark.createDataFrame([(x,) for x in LINES], "value string")
+    known = spark.createDataFrame([("2",)], "id string")
+    events, receipt = ingest.ingest_batch(lines, known)
+    assert sorted((r.id, r.type) for r in events.collect()) == [("1", "cowrie.login.failed"), ("5", "dionaea.connection.free"), ("6", "T.U")]
+    assert receipt.counts() == {"accepted": 3, "duplicate": 2, "rejected": 1, "failed": 7}
+    assert {r.status: r.n for r in ingest.receipt_rows(lines, known).collect()} == receipt.counts()
+
+
+def test_a_stream_of_lines_leaves_events_rejects_and_receipts(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def run(name, lines):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(lines))
+        jobs.stream_lines(spark.readStream.text(str(tmp_path / "in")), out, str(tmp_path / "state")).awaitTermination(120)
+        total = spark.read.parquet(f"{out}_receipts").agg(*(F.sum(c) for c in ("accepted", "duplicate", "rejected", "failed"))).first()
+        return sorted(r.id for r in spark.read.parquet(out).collect()), tuple(total)
+
+    assert run("a.jsonl", LINES) == (["1", "2", "5", "6"], (4, 1, 1, 7))
+    assert spark.read.parquet(f"{out}_rejects").count() == 8
+    assert run("b.jsonl", [LINES[0], LINES[6], LINES[0].replace('"1"', '"new"')]) == (["1", "2", "5", "6", "new"], (5, 3, 1, 7))
+    # the first batch again, as after a lost driver: the same rows, under the same key
+    key = jobs._key(str(tmp_path / "state"), 0)
+    counts = jobs.ingest_lines(spark.createDataFrame([(x,) for x in LINES], "value string"), out, key)
+    assert counts == {"accepted": 4, "duplicate": 1, "rejected": 1, "failed": 7} and spark.read.parquet(out).count() == 5
+
+
+def test_known_ids_are_read_by_bucket(spark, tmp_path):
+    path = str(tmp_path / "e")
+    jobs.write_new(frame(spark, range(40)), path, "a")
+    few = frame(spark, [1], id="e007")
+    known = jobs.known_ids(few, path, "b")
+    assert 1 <= known.count() < 10 and jobs.new_of(few, path, "b").isEmpty() and jobs.new_of(few, path, "a").count() == 1
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    twice = frame(spark, [1, 2], id=None)
+    for _ in range(2):
+        jobs.write_new(jobs.new_of(twice, path, "c"), path, "c")
+    assert spark.read.parquet(path).where("id is null").count() == 2
+    assert jobs.write_new(few.limit(0), path, "d").count() == 0
+
+
+def test_membership_is_as_it_was(spark):
+    at = lambda d: BASE + timedelta(days=d)
+    snaps = spark.createDataFrame([("a", at(d), d, "stale") for d in (0, 1, 2, 5, 9)] + [("b", at(1), 1, "stale")], "src_ip string, computed_at timestamp_ntz, n int, campaign_id string")
+    versions = spark.createDataFrame([("a", "c1", at(1)), ("a", "c2", at(4)), ("a", None, at(8)), ("z", "c1", at(0))], "source_ip string, campaign_id string, added_at timestamp_ntz")
+    found = history.with_membership(snaps, versions).collect()
+    assert {(r.src_ip, r.n): r.campaign_id for r in found} == {("a", 0): None, ("a", 1): None, ("a", 2): "c1", ("a", 5): "c2", ("a", 9): None, ("b", 1): None}
+
+
+def test_block_lists_are_sorted_files(spark, tmp_path):
+    events = frame(spark, [0]).unionByName(frame(spark, [1], ip="8.8.8.8")).unionByName(frame(spark, [2], ip="9.1.1.1")).unionByName(frame(spark, [2], ip=None))
+    read = lambda d: "".join(f.read_text() for f in sorted((tmp_path / d).glob("part-*")))
+    exports.ufw_lines(events).write.text(str(tmp_path / "ufw"))
+    assert read("ufw").split("\n") == ["deny from 45.0.0.1", "deny from 8.8.8.8", "deny from 9.1.1.1", ""]
+    exports.write_pf(events, str(tmp_path / "pf"))
+    assert " ".join(read("pf").split()) == "table <blocked_ips> persist { 45.0.0.1 8.8.8.8 9.1.1.1 } block drop from <blocked_ips> to any"
 
 
 def test_events_are_written_by_day(spark, tmp_path):
@@ -324,20 +435,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert (in_time.count(), late.count()) == (1, 1)
 
 
-def test_profiles_merge_batch_by_batch(spark):
-    geo = {"country_code": F.lit("xx"), "country_name": F.lit(None).cast("string"), "asn": F.col("dst_port"), "asn_org": F.lit("o")}
-    events = frame(spark, range(0, 300, 10)).withColumns(geo).withColumn("norm_type", F.expr("if(id < 'e010', 'port_scan', 'command_exec')")).withColumn("asn", F.substring("id", 2, 3).cast("int"))
-    one_, two = events.where("id < 'e015'"), events.where("id >= 'e015'")
-    merged = jobs.merge_profiles(profiles.source_profiles(one_), two)
-    assert merged.collect() == profiles.source_profiles(events).select(merged.columns).collect()
-    assert jobs.refingerprint(events, two).first().event_count == 30
+def test_profiles_as_a_stream(spark, tmp_path):
+    """Batch by batch, out of order, with ties of the first event, and one batch again: as over all events."""
+    from trapline.sources import store
+
+    geo = {"country_code": F.col("id"), "country_name": F.lit(None).cast("string"), "asn": F.substring("id", 2, 3).cast("int"), "asn_org": F.lit("o")}
+    kinds = F.expr("if(id < 'e010', 'port_scan', 'command_exec')")
+    events = frame(spark, [0] * 8 + list(range(0, 220, 10))).unionByName(frame(spark, [5, 5], ip="45.0.0.2")).withColumns(geo).withColumn("norm_type", kinds)
+    path, parts = str(tmp_path / "p"), ["id >= 'e015'", "id < 'e015' and id >= 'e002'", "id < 'e002'"]
+    for n, part in enumerate(parts):
+        jobs.follow_profiles(events.where(part), n, path)
+    jobs.follow_profiles(events.where(parts[2]), 2, path)
+    want = profiles.source_profiles(events)
+    got = store.latest(spark, path)[0].select(want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.where("country_code = 'e000'").count() == 2
+    assert jobs.refingerprint(events, events.where(parts[1])).first().event_count == 30
 
 
 def test_stream_ingest_writes_each_event_once(spark, tmp_path):
     for _ in range(2):
         frame(spark, [0, 86400]).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(EVENT.replace("timestamp_ntz", "timestamp")).parquet(str(tmp_path / "in"))
-    jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), "3 days").awaitTermination(60)
+    jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
@@ -364,6 +483,11 @@ def test_a_stream_is_followed_to_campaigns(spark, tmp_path):
 
     root = str(tmp_path / "store")
 
+    def tables():
+        found = {t: store.latest(spark, f"{root}/{t}")[0] for t in ("campaigns", "members", "representatives", "stability", "alerts", "weights")}
+        found |= {t: jobs.stored(spark, f"{root}/{t}", None) for t in ("events", "history", "observations", "transitions")}
+        return {t: None if df is None else sorted(map(str, df.collect())) for t, df in found.items()}
+
     def run(name, *frames):
         for f in frames:
             f.write.mode("append").parquet(str(tmp_path / "in"))
@@ -371,18 +495,52 @@ def test_a_stream_is_followed_to_campaigns(spark, tmp_path):
         jobs.follow(stream, root, str(tmp_path / "state"), name).awaitTermination(300)
         return {t: store.latest(spark, f"{root}/{t}")[0].collect() for t in ("campaigns", "members")}
 
-    named = lambda ip, offsets: frame(spark, offsets, ip=ip).withColumn("id", F.concat(F.lit(ip), "id"))
+    named = lambda ip, offsets, **f: frame(spark, offsets, ip=ip, **f).withColumn("id", F.concat(F.lit(ip), "id"))
     one_ = run("2025-01-02 00:00:00", named("45.0.0.1", range(0, 600, 50)))
     assert [(r.status, r.member_ip_count, r.representative_ip) for r in one_["campaigns"]] == [("active", 1, "45.0.0.1")]
     late = named("45.0.0.1", [-86400 * 400]).withColumn("id", F.lit("late"))
-    two = run("2025-01-03 00:00:00", named("45.0.0.2", range(0, 600, 50)), late, named("45.0.0.1", [0]))
+    second = [named("45.0.0.2", range(0, 600, 50)), late, named("45.0.0.1", [0])]
+    two = run("2025-01-03 00:00:00", *second)
     assert [(r.status, r.member_ip_count, r.representative_ip) for r in two["campaigns"]] == [("active", 2, "45.0.0.2")]
     assert {(r.source_ip, str(r.last_active)) for r in two["members"]} == {("45.0.0.1", "2025-01-03 00:00:00"), ("45.0.0.2", "2025-01-03 00:00:00")}
     events = spark.read.parquet(f"{root}/events")
     assert (events.count(), events.where("src_ip = '45.0.0.1'").count()) == (25, 13)
-    history = spark.read.parquet(f"{root}/history")
-    assert {(r.src_ip, r.event_count) for r in history.collect()} == {("45.0.0.1", 12), ("45.0.0.1", 13), ("45.0.0.2", 12)}
-    assert {r.source_ip for r in spark.read.parquet(f"{root}/observations").collect()} == {"45.0.0.1", "45.0.0.2"}
+    past = spark.read.parquet(f"{root}/history")
+    campaign = one_["campaigns"][0].id
+    # the campaign before the batch: a new source has none yet
+    assert {(r.src_ip, r.event_count, r.campaign_id) for r in past.collect()} == {("45.0.0.1", 12, None), ("45.0.0.1", 13, campaign), ("45.0.0.2", 12, None)}
+    seen = spark.read.parquet(f"{root}/observations").collect()
+    assert {r.source_ip for r in seen} == {"45.0.0.1", "45.0.0.2"}
+    stable = store.latest(spark, f"{root}/stability")[0].collect()
+    assert [(r.campaign_id, r.sample_count, r.status) for r in stable] == [(campaign, 1, "insufficient_data")]
+
+    # a batch that is run again leaves the same
+    before = tables()
+    jobs.follow_batch(second[0].unionByName(second[1]).unionByName(second[2]).withColumn("ts", F.col("ts").cast("timestamp")), 1, root, "2025-01-03 00:00:00")
+    assert tables() == before
+
+    # other behaviour of members drifts: an alert with what it was raised on, and none beside it while it is open
+    changed = dict(source="custom", event_type="http_probe", norm_type="http_probe", service="http", username=None, password=None)
+    odd = lambda k: named("45.0.0.1", range(40000 + k, 90000, 1700), **changed).withColumns({"id": F.concat(F.lit(f"odd{k}"), "id"), "dst_port": F.expr("4000 + cast(substr(id, -2) as int)")})
+    three = run("2025-01-04 00:00:00", odd(0))
+    run("2025-01-05 00:00:00", odd(1))
+    stable = store.latest(spark, f"{root}/stability")[0].first()
+    alerts = store.latest(spark, f"{root}/alerts")[0].collect()
+    assert stable.sample_count == 3 and stable.status == "ok" and three["campaigns"][0].status == "active"
+    assert alerts and len({r.dimension for r in alerts}) == len(alerts) and all(r.stability_snapshot.sample_count == 2 and r.observed < r.threshold for r in alerts)
+
+    # reviews teach weights, which the next batch reads; a quiet campaign falls dormant and is counted
+    doubted = spark.read.parquet(f"{root}/observations").where("source_ip = '45.0.0.2' and batch = 1").first()
+    assert doubted.explanation.decision == "automatic_association"
+    uncertain = spark.read.parquet(f"{root}/observations").where("batch = 1").drop("batch")
+    uncertain = uncertain.where("explanation is not null").withColumns({"explanation": F.col("explanation").withField("decision", F.lit("uncertain_association"))})
+    three_ids = uncertain.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("id", F.concat("id", "k")).drop("k")
+    three_ids.write.parquet(f"{root}/observations/batch=0")
+    three_ids.select("id", F.lit("analyst_confirmed").alias("review"), F.lit("2025-01-05 01:00:00").cast("timestamp_ntz").alias("reviewed_at")).write.parquet(f"{root}/reviews")
+    last = run("2025-03-01 00:00:00", named("45.0.0.9", range(0, 600, 50), **changed).withColumn("dst_port", F.expr("9000 + cast(substr(id, -1) as int)")))
+    weights = store.latest(spark, f"{root}/weights")[0].first()
+    assert (weights.campaign_id, weights.review_count) == (campaign, 3) and abs(sum(weights[f"w_{d}"] for d in DIMENSIONS) - 1) < 1e-6
+    assert {r.id: r.status for r in last["campaigns"]}[campaign] == "dormant" and spark.read.parquet(f"{root}/transitions").where("batch = 4").first().to_dormant == 1
 
 
 def test_addresses_are_redacted_in_all_documents(spark, tmp_path):

@@ -34,16 +34,24 @@ def histogram_sim(p: Column, q: Column) -> Column:
     return F.when(F.size(p) == F.size(q), 1 - jsd(p, q))
 
 
+def _wide(n: Column) -> Column:
+    """The character with code point 0x20000 + n, from its UTF-8 bytes; n is below 131,072."""
+    six = lambda k: F.shiftright(n, k).bitwiseAND(F.lit(63))
+    utf8 = F.lit(0xF0A08080) + F.shiftleft(six(12).cast("long"), 16) + F.shiftleft(six(6).cast("long"), 8) + six(0)
+    return F.decode(F.unhex(F.hex(utf8)), "UTF-8")
+
+
 def edit_sim(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of two arrays; 1 if both are empty.
 
     Each element becomes the character of its place in the pair's own dictionary, so the
-    built-in distance does the work.
+    built-in distance does the work. The first 200 are Latin characters, as ``char`` knows
+    256 only; the others stand from 0x20000 on.
     """
     longest = F.greatest(F.size(a), F.size(b))
 
     def distance(symbols: Column) -> Column:
-        word = lambda x: F.array_join(F.transform(x, lambda e: F.char(F.array_position(symbols, e) + 32)), "")
+        word = lambda x: F.array_join(F.transform(F.transform(x, lambda e: F.array_position(symbols, e).cast("int")), lambda n: F.when(n <= 200, F.char(n + 32)).otherwise(_wide(n))), "")
         return F.levenshtein(word(a), word(b))
 
     # the lambda has the dictionary made once
@@ -63,10 +71,8 @@ def known_symbols(words: Column, vocabulary: list[str]) -> Column:
 
 
 def port_symbols(ports: Column) -> Column:
-    """One character for each port: code points from 0x20000 on, written as their UTF-8 bytes."""
-    six = lambda p, k: F.shiftright(p, k).bitwiseAND(F.lit(63))
-    utf8 = lambda p: F.lit(0xF0A08080) + F.shiftleft(six(p, 12).cast("long"), 16) + F.shiftleft(six(p, 6).cast("long"), 8) + six(p, 0)
-    return _string(F.transform(ports, lambda p: F.when(p.between(0, 65535), F.decode(F.unhex(F.hex(utf8(p))), "UTF-8"))))
+    """One character for each port: code points from 0x20000 on."""
+    return _string(F.transform(ports, lambda p: F.when(p.between(0, 65535), _wide(p))))
 
 
 #: Types of events, and classes of user names and passwords as the features join them.

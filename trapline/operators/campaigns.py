@@ -71,6 +71,12 @@ def lifecycle(campaigns: DataFrame, now: str, cfg: Config = DEFAULT) -> DataFram
     )
 
 
+def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row, (to_dormant, to_historical): how many campaigns a run of :func:`lifecycle` has moved."""
+    moved = before.select("id", F.col("status").alias("_from")).join(after.select("id", "status"), "id").where("status <> _from")
+    return moved.agg(F.count_if(F.col("status") == "dormant").alias("to_dormant"), F.count_if(F.col("status") == "historical").alias("to_historical"))
+
+
 def gap_days(last_seen: Column, now: Column) -> Column:
     """Whole days between, rounded down."""
     return F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(last_seen.cast("timestamp"))) / 86_400_000_000)

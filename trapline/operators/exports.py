@@ -25,19 +25,37 @@ def _addresses(events: DataFrame, salt: str | None) -> DataFrame:
 
 
 def ufw_lines(events: DataFrame, salt: str | None = None) -> DataFrame:
-    """``deny from <ip>`` lines; the one for 1.2.3.4 if there is no address."""
+    """``deny from <ip>`` lines in the order of the addresses; the one for 1.2.3.4 if there is none.
+
+    The order is by ranges, so the files that ``write.text`` makes hold one sorted list and no
+    task has all of it.
+    """
     found = _addresses(events, salt)
     none = events.sparkSession.range(1).select(F.lit("1.2.3.4").alias("ip")).join(found.limit(1).select(F.lit(0).cast("long").alias("id")), F.lit(True), "left_anti")
-    return found.unionByName(none).select(F.concat(F.lit("deny from "), "ip").alias("line"))
+    return found.unionByName(none).orderBy("ip").select(F.concat(F.lit("deny from "), "ip").alias("line"))
 
 
 def pf_lines(events: DataFrame, salt: str | None = None) -> DataFrame:
-    """A table line with all addresses, sorted after they are made anonymous, and the rule."""
+    """A table line with all addresses, sorted after they are made anonymous, and the rule.
+
+    The line is one value, made in one task; :func:`write_pf` writes lists of any length.
+    """
     table = _addresses(events, salt).agg(F.array_join(F.sort_array(F.collect_set("ip")), ", ").alias("all"))
     lines = F.array(F.concat(F.lit("table <blocked_ips> persist { "), "all", F.lit(" }")), F.lit("block drop from <blocked_ips> to any"))
     return table.select(F.explode(lines).alias("line"))
 
 
+def write_pf(events: DataFrame, path: str, salt: str | None = None) -> None:
+    """The list of :func:`pf_lines` as files below ``path``, to be read one after another.
+
+    The format lets a table go over many lines: each address is one, sorted by ranges, with
+    the table's head before them and its end and the rule after them. No task has all.
+    """
+    ips = _addresses(events, salt).select(F.lit(1).alias("k"), "ip", F.concat(F.lit("  "), "ip").alias("line"))
+    ends = events.sparkSession.createDataFrame([(0, "", "table <blocked_ips> persist {"), (2, "", "}"), (3, "", "block drop from <blocked_ips> to any")], "k int, ip string, line string")
+    ips.unionByName(ends).orderBy("k", "ip").select("line").write.text(path)
+
+
 def attack_techniques(events: DataFrame) -> DataFrame:
     """techniqueID, tactic, score, comment for each technique seen."""
     from trapline.operators.campaigns import technique_counts

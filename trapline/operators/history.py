@@ -10,6 +10,23 @@ from trapline.functions import similarity as S
 from trapline.operators.clustering import compare
 
 
+def with_membership(snapshots: DataFrame, versions: DataFrame) -> DataFrame:
+    """Snapshots with the campaign_id that their source had at the time; null if it was in none.
+
+    ``versions`` (source_ip, campaign_id, added_at) tells when a source came to a campaign, or
+    left with a null campaign_id. As-of join: both are put in one order of time for each
+    source, and a snapshot takes the last version before it. One of the same moment is not
+    before it, as a source joins a campaign after its snapshot is taken.
+    """
+    fields = [c for c in snapshots.columns if c != "campaign_id"]
+    taken = snapshots.select(F.col("src_ip").alias("_ip"), F.col("computed_at").alias("_t"), F.lit(0).alias("_k"), F.struct(*fields).alias("_row"))
+    held = versions.select(F.col("source_ip").alias("_ip"), F.col("added_at").alias("_t"), F.lit(1).alias("_k"), F.struct("campaign_id").alias("_member"))
+    # of versions of one moment the greatest campaign is the last
+    order = Window.partitionBy("_ip").orderBy("_t", "_k", F.col("_member.campaign_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = taken.unionByName(held, allowMissingColumns=True).withColumn("_now", F.last("_member", ignorenulls=True).over(order))
+    return both.where("_k = 0").select("_row.*", F.col("_now.campaign_id").alias("campaign_id"))
+
+
 def oldest(history: DataFrame, key: str, limit: int | None) -> DataFrame:
     """The oldest ``limit`` snapshots of each key (all if None), numbered; Spark cuts them before it shuffles."""
     order = Window.partitionBy(key).orderBy("computed_at", "src_ip")
@@ -53,14 +70,16 @@ def stability(history: DataFrame, cfg: Config = DEFAULT, limit: int | None = 200
 def drift_alerts(stabilities: DataFrame, open_alerts: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Scores strictly under their threshold that have no unacknowledged alert yet.
 
-    dimension is null for the composite.
+    dimension is null for the composite. ``stability_snapshot`` has the scores and counts of
+    the campaign that the alert was raised on, as they were then.
     """
     entries = [F.struct(F.lit("composite_drift").alias("alert_type"), F.lit(None).cast("string").alias("dimension"), F.lit(cfg.drift_composite).alias("threshold"), F.col("composite_score").alias("observed"))]
     entries += [
         F.struct(F.lit("dimension_drift").alias("alert_type"), F.lit(d).alias("dimension"), F.lit(cfg.drift[d]).alias("threshold"), F.col(f"{d}_stability").alias("observed"))
         for d in DIMENSIONS
     ]
-    found = stabilities.where("status <> 'insufficient_data'").select("campaign_id", F.explode(F.array(*entries)).alias("e")).select("campaign_id", "e.*").where("observed < threshold")
+    snapshot = F.struct(*(c for c in stabilities.columns if c != "campaign_id")).alias("stability_snapshot")
+    found = stabilities.where("status <> 'insufficient_data'").select("campaign_id", F.explode(F.array(*entries)).alias("e"), snapshot).select("campaign_id", "e.*", "stability_snapshot").where("observed < threshold")
     if open_alerts is None:
         return found
     held = open_alerts.where("acknowledged_at is null").select(F.col("campaign_id").alias("c"), F.col("dimension").alias("d"))

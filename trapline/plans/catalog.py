@@ -53,6 +53,33 @@ def receipts(spark, d):
     return I.receipt(batch, feed.where("u % 10 = 0"))
 
 
+_LINES = """
+, sent AS (SELECT *, CAST(id AS BIGINT) % 23 AS m FROM norm),
+lines AS (SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE k < 5),
+good AS (SELECT * FROM sent WHERE m NOT IN (0, 1, 2, 5) AND u % 10 <> 0)
+"""
+
+
+@register("A2_lines", B + _LINES + """
+SELECT 'accepted' AS status, (SELECT count(*) FROM good) AS n
+UNION ALL SELECT 'duplicate', (SELECT count(*) FROM lines WHERE m NOT IN (0, 1, 2, 5)) - (SELECT count(*) FROM good)
+UNION ALL SELECT 'rejected', (SELECT count(*) FROM lines WHERE m = 2) UNION ALL SELECT 'failed', (SELECT count(*) FROM lines WHERE m < 2)""")
+def line_receipts(spark, d):
+    """Lines as sensors send them, with what is malformed, incomplete or sent again."""
+    return I.receipt_rows(A.sensor_lines(spark, d), A.sensor_feed(spark, d).where("u % 10 = 0"))
+
+
+@register("A2_events", B + _LINES + f"""
+, taken AS (SELECT *, CASE WHEN m <> 4 THEN dst_port END AS port FROM good)
+SELECT id, CASE WHEN m = 3 THEN date_trunc('second', ts) ELSE ts END AS ts, source, norm_type, CASE WHEN norm_type IN (SELECT id FROM et) THEN norm_type ELSE 'unknown' END AS event_type,
+  CASE WHEN {O.public('ip')} THEN ip END AS src_ip, port AS dst_port, CASE WHEN m <> 4 THEN CASE k % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' END END AS protocol,
+  CASE WHEN m <> 4 AND k % 10 = 9 THEN 'trap' ELSE {O.service('port')} END AS service, CASE WHEN m <> 4 THEN username END AS username, CASE WHEN m <> 4 THEN password END AS password FROM taken""")
+def line_events(spark, d):
+    """The clean events of those lines."""
+    found, _ = I.ingest_batch(A.sensor_lines(spark, d), A.sensor_feed(spark, d).where("u % 10 = 0"))
+    return found.select("id", "ts", "source", "norm_type", "event_type", "src_ip", "dst_port", "protocol", "service", "username", "password")
+
+
 @register("A5", B + """
 SELECT 'deny from ' || 'ip-' || substr(sha256('salt::' || src_ip), 1, 12) AS line FROM (SELECT DISTINCT src_ip FROM pub)""")
 def ufw(spark, d):
@@ -164,9 +191,14 @@ def public_addresses(spark, d):
     return ips.select("ip", N.is_public_ipv4(F.col("ip")).alias("is_public"))
 
 
-@register("B10", B + "SELECT dst_port, service, count(*) AS n FROM ev GROUP BY ALL")
+@register("B10", B + _LINES + f"""
+, taken AS (SELECT *, CASE WHEN m <> 4 THEN dst_port END AS port FROM lines WHERE m NOT IN (0, 1, 2, 5))
+SELECT port AS dst_port, CASE WHEN m <> 4 THEN CASE k % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' END END AS protocol,
+  CASE WHEN m <> 4 AND k % 10 = 9 THEN 'trap' ELSE {O.service('port')} END AS service, count(*) AS n FROM taken GROUP BY ALL""")
 def service_fields(spark, d):
-    return _clean(spark, d).groupBy("dst_port", "service").agg(F.count("*").alias("n"))
+    """Port, protocol and service as the lines' payloads have them."""
+    found = I.parse_lines(A.sensor_lines(spark, d)).where("reason is null")
+    return found.groupBy("dst_port", "protocol", "service").agg(F.count("*").alias("n"))
 
 
 @register("C1", B + "SELECT ev.id, ev.src_ip, feed.type AS raw_type FROM ev JOIN feed USING (id) WHERE src_ip IS NOT NULL")

@@ -39,10 +39,12 @@ def _scored(spark, d):
 
 
 def _history(spark, d):
-    ev = A.events(spark, d).withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
-    snaps = X.fingerprints(ev, ["src_ip", "week"])
-    members = A.members(spark, d).select("campaign_id", F.col("source_ip").alias("src_ip"))
-    return snaps.join(members, "src_ip")
+    """Weekly snapshots with the campaign that their source was in at the time."""
+    versions = A.member_versions(spark, d)
+    # a source that is in no campaign ever has no snapshot that counts
+    ev = A.events(spark, d).join(versions.select(F.col("source_ip").alias("src_ip")), "src_ip", "left_semi")
+    snaps = X.fingerprints(ev.withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz")), ["src_ip", "week"])
+    return H.with_membership(snaps, versions)
 
 
 def _stability(spark, d):
@@ -179,7 +181,16 @@ def actor_stability(spark, d):
 @register("D13", B + _ALERTS + "SELECT campaign_id, alert_type, dimension, threshold, observed FROM alerts WHERE (campaign_id, coalesce(dimension, '-')) NOT IN (('c1', '-'), ('c2', 'sequence'))")
 def drift_alerts(spark, d):
     held = spark.createDataFrame([("c1", None, None), ("c2", "sequence", None), ("c3", "target", "2024-01-01")], "campaign_id string, dimension string, acknowledged_at string")
-    return H.drift_alerts(_stability(spark, d), held)
+    return H.drift_alerts(_stability(spark, d), held).drop("stability_snapshot")
+
+
+@register("D13_snapshot", B + _ALERTS + """
+SELECT a.campaign_id, dimension, composite_score, timing_stability, sequence_stability, protocol_stability, credential_stability, target_stability, sample_count, pair_count, status
+FROM alerts a JOIN stab USING (campaign_id)""")
+def alert_snapshots(spark, d):
+    """What each alert was raised on."""
+    found = H.drift_alerts(_stability(spark, d))
+    return found.select("campaign_id", "dimension", *(f"stability_snapshot.{c}" for c in ("composite_score", *(f"{x}_stability" for x in DIMENSIONS), "sample_count", "pair_count", "status")))
 
 
 @register("D14", M + _DENSITY + """
@@ -432,6 +443,14 @@ def lifecycle(spark, d):
     return C.lifecycle(A.campaigns(spark, d), LATER).select("id", "status", "dormant_since")
 
 
+@register("H22_counts", M + f"""
+SELECT count(*) FILTER (status IN ('active', 'reactivated') AND last_seen < TIMESTAMP '{LATER}' - INTERVAL 7 DAY) AS to_dormant,
+  count(*) FILTER (status = 'dormant' AND dormant_since < TIMESTAMP '{LATER}' - INTERVAL 90 DAY) AS to_historical FROM campaigns""")
+def lifecycle_counts(spark, d):
+    campaigns = A.campaigns(spark, d)
+    return C.transitions(campaigns, C.lifecycle(campaigns, LATER))
+
+
 @register("H24", "SELECT doc_id, sha256(CASE WHEN regexp_matches(substr(text, 1, 200), '" + T.INJECTION.replace("'", "''") + "') THEN '[REDACTED]' ELSE substr(text, 1, 200) END) AS h FROM documents")
 def sanitized(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.sha2(T.sanitize_text(F.col("text")), 256).alias("h"))

@@ -42,7 +42,12 @@ def payload_list(one: str, two: str) -> str:
 
 
 _TYPES = ", ".join(f"('{i}', '{label}', {repr(t) if t else 'NULL'}, {repr(k) if k else 'NULL'})" for i, label, t, k in EVENT_TYPES)
-_SERVICE = "CASE dst_port " + " ".join(f"WHEN {p} THEN '{s}'" for p, s in SERVICES.items()) + " END"
+def service(port: str) -> str:
+    """SQL: the service that a port stands for."""
+    return f"CASE {port} " + " ".join(f"WHEN {p} THEN '{s}'" for p, s in SERVICES.items()) + " END"
+
+
+_SERVICE = service("dst_port")
 
 BASE = f"""
 WITH et(id, label, attack_tactic, attack_technique) AS (VALUES {_TYPES}),
@@ -305,8 +310,13 @@ STABLE = (
     + features("src_ip, week", "pubw")
     + MEMBERS
     + f"""
-, hist AS (
-  SELECT campaign_id, src_ip, computed_at, {_FIVE} AS b FROM fps JOIN members ON source_ip = src_ip),
+, firsts AS (SELECT u, src_ip, min(ts) AS t FROM pub WHERE u % 7 <> 3 GROUP BY 1, 2),
+versions AS (
+  SELECT src_ip AS source_ip, 'c' || (u % 10) AS member_of, t + INTERVAL 3 DAY AS since FROM firsts
+  UNION ALL SELECT src_ip, 'c' || ((u + 1) % 10), t + INTERVAL 15 DAY FROM firsts WHERE u % 4 = 0
+  UNION ALL SELECT src_ip, NULL, t + INTERVAL 22 DAY FROM firsts WHERE u % 9 = 0),
+hist AS (
+  SELECT member_of AS campaign_id, src_ip, computed_at, {_FIVE} AS b FROM fps ASOF JOIN versions ON source_ip = src_ip AND computed_at > since WHERE member_of IS NOT NULL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY computed_at, src_ip) AS n FROM hist),
 pairs AS (SELECT *, lag(b) OVER (PARTITION BY campaign_id ORDER BY n) AS a FROM numbered WHERE n <= 200),
 psims AS (SELECT campaign_id, n, {similarities("a", "b")} FROM pairs WHERE n > 1),

@@ -61,6 +61,35 @@ def sensor_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sensor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as JSON lines, column ``value``, some of them not as they should be, and some sent twice.
+
+    By the id modulo 23: 0 is cut off, 1 has no type, 2 no time, 3 epoch seconds, 4 a list for
+    ``data`` and the address beside it, 5 is blank, 6 has a private address first; of the others
+    odd ones have the port beside ``data``, as a number, and even ones in it, as text.
+    """
+    feed = sensor_feed(spark, sf_dir).withColumn("m", F.expr("cast(cast(id as bigint) % 23 as int)"))
+    data = F.to_json(
+        F.struct(
+            F.when(F.col("m") == 6, F.expr("'192.168.0.' || cast(u % 200 as string)")).otherwise(F.col("ip")).alias("ip"),
+            F.when(F.col("m") % 2 == 0, F.col("dst_port").cast("string")).alias("dst_port"), F.expr("CASE k % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'UDP' END").alias("protocol"),
+            F.when(F.expr("k % 10 = 9"), F.lit("trap")).alias("service"), "username", "password",
+        )
+    )
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ts = F.when(F.col("m") == 2, F.lit('"soon"')).when(F.col("m") == 3, F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")).otherwise(F.concat(F.lit('"'), iso, F.lit('Z"')))
+    beside = F.when(F.col("m") == 4, F.format_string(', "source_ip": "%s"', "ip")).when(F.col("m") == 6, F.format_string(', "client_ip": "%s"', "ip"))
+    beside = F.coalesce(beside, F.when(F.col("m") % 2 == 1, F.format_string(', "dst_port": %d', "dst_port")), F.lit(""))
+    kind = F.when(F.col("m") != 1, F.format_string(', "type": "%s"', "type")).otherwise("")
+    line = F.concat(
+        F.format_string('{"id": "%s", "ts": ', "id"), ts, F.format_string(', "source": "%s"', "source"), kind, F.lit(', "data": '),
+        F.when(F.col("m") == 4, "[1, 2]").otherwise(data), beside, F.lit("}"),
+    )
+    value = F.when(F.col("m") == 0, F.expr("substr(line, 1, 30)")).when(F.col("m") == 5, "  ").otherwise(F.col("line"))
+    said = feed.withColumn("line", line).select("k", value.alias("value"))
+    return said.select("value").unionByName(said.where("k < 5").select("value"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean events with geo and ASN columns; src_ip is null where the address is not public."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("country_name"))
@@ -92,6 +121,21 @@ def members(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> Da
     )
 
 
+def member_versions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    """(source_ip, campaign_id, added_at): when sources came to a campaign, moved to another, or left it (null).
+
+    A source joins its campaign three days after its first event; every fourth moves to the
+    next campaign twelve days later, and every ninth leaves a week after that.
+    """
+    ev = ev if ev is not None else events(spark, sf_dir)
+    first = ev.where("src_ip is not null and u % 7 <> 3").groupBy("u", F.col("src_ip").alias("source_ip")).agg(F.min("ts").alias("t"))
+    step = lambda when, campaign, days: F.when(F.expr(when), F.struct(F.expr(campaign).alias("campaign_id"), F.expr(f"t + INTERVAL '{days}' DAY").alias("added_at")))
+    steps = F.array_compact(
+        F.array(step("true", "'c' || cast(u % 10 as string)", 3), step("u % 4 = 0", "'c' || cast((u + 1) % 10 as string)", 15), step("u % 9 = 0", "cast(null as string)", 22))
+    )
+    return first.select("source_ip", F.inline(steps))
+
+
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten campaigns: id, status, first/last seen, dormant_since, counts, has_fingerprint."""
     m = members(spark, sf_dir)
