@@ -58,6 +58,46 @@ def test_session_boundary(spark, gap, count):
     assert jobs.session_windows(events).count() == count
 
 
+def test_sessions_are_stitched_over_parts(spark):
+    """A source of most events, cut into parts of an hour: as one by one, over midnight, empty days and repeated times."""
+    import random
+
+    pick = random.Random(4)
+    offsets, t = [], -90_000
+    for _ in range(600):
+        t += pick.choice([0, 1, 600, 1799, 1800, 1801, 4000, 200_000])
+        offsets.append(t)
+    hot = frame(spark, offsets).withColumn("id", F.lpad("id", 6, "0"))
+    events = hot.unionByName(frame(spark, [0, 1800, 3601], ip="45.0.0.2")).unionByName(frame(spark, [5], ip=None)).unionByName(frame(spark, [0, 1], ip="45.0.0.3").withColumn("ts", F.expr("if(id = 'e000', null, ts)")))
+    want, last, number = {}, {}, {}
+    for r in sorted(events.where("src_ip is not null").collect(), key=lambda r: (r.src_ip, r.ts is not None, r.ts or BASE, r.id)):
+        gap = None if r.ts is None or last.get(r.src_ip) is None else (r.ts - last[r.src_ip]).total_seconds()
+        fresh = gap is None or gap > 1800
+        number[r.src_ip] = number.get(r.src_ip, 0) + fresh
+        want[r.src_ip, r.id] = (number[r.src_ip], None if fresh else gap * 1000)
+        last[r.src_ip] = r.ts
+    for seconds in (3600, 86_400):
+        got = features.sessionize(events.repartition(6), part_seconds=seconds)
+        assert {(r.src_ip, r.id): (r.session, r.gap_ms) for r in got.collect()} == want
+    assert got.columns == [*events.columns, "session", "gap_ms"]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1 << 21])
+def test_percentiles_by_rank(spark, width):
+    values = [("a", v) for v in [5, 5, 5, 9, 100, 3, 3_000_000, 17]] + [("b", 4)] + [("c", v % 13) for v in range(101)] + [("d", 1), ("d", 2_500_000)]
+    df = spark.createDataFrame(values, "k string, value long").repartition(5)
+    shares = [0.0, 0.25, 0.75, 0.95, 1.0]
+    want = {r.k: list(r.q) for r in df.groupBy("k").agg(F.percentile("value", shares).alias("q")).collect()}
+    got = {r.k: list(r.q) for r in features.ranked_percentiles(df, ["k"], shares, width).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_hot_source_has_the_same_timing(spark):
+    events = frame(spark, [k * k % 4001 for k in range(300)]).unionByName(frame(spark, [0, 7, 30, 5000], ip="45.0.0.2"))
+    assert features.large_keys(events) is None and [r.src_ip for r in features.large_keys(events, large=100).collect()] == ["45.0.0.1"]
+    assert sorted(features.timing(events, large=100).collect()) == sorted(features.timing(events).collect())
+
+
 def test_timing_of_a_metronome(spark):
     row = features.timing(frame(spark, range(0, 600, 60))).first()
     assert (row.interval_mean, row.interval_stddev, row.burst_cv) == (60000.0, 0.0, 0.0)

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, Config
 from trapline.functions import normalize as N
+from trapline.sources.store import saved
 
 KEY = ["src_ip"]
+#: Events of a key whose percentiles are found by rank; of very many events, a share of all, so that the list of such keys is short.
+LARGE = 1_000_000
+LARGE_KEYS = 100_000
 _ORDER = ["ts", "id"]
 
 
@@ -31,21 +35,39 @@ def _ms(micros: Column) -> Column:
     return F.floor(micros + 0.500001) / 1000
 
 
-def sessionize(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
+def sessionize(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT, part_seconds: int = 86_400) -> DataFrame:
     """Adds ``session`` (from 1) and ``gap_ms``, null at a session's first event.
 
-    A session ends where the gap is greater than the limit.
+    A session ends where the gap is greater than the limit. A key's events are ordered in
+    parts of a day each, so a source of most events is dealt over many tasks. Parts are then
+    stitched by their edges: what a part begins with follows from the last event of the
+    part before it, and its sessions are numbered on from those of all earlier parts. Only
+    edges, one row a part, are ordered over a key's whole time.
     """
-    order = Window.partitionBy(*keys).orderBy(*_ORDER)
-    gap = _micros("ts") - F.lag(_micros("ts")).over(order)
+    part = [*keys, "_part"]
     limit = cfg.session_gap_seconds * 1_000_000
-    new = F.when(F.col("_gap").isNull() | (F.col("_gap") > limit), 1).otherwise(0)
+    own = events.where(F.col(keys[0]).isNotNull()).withColumn("_t", _micros("ts")).withColumn("_part", F.coalesce(F.floor(F.col("_t") / (part_seconds * 1_000_000)), F.lit(-(1 << 40))))
+    new = lambda gap: F.when(gap.isNull() | (gap > limit), 1).otherwise(0)
+
+    inside = Window.partitionBy(*part).orderBy(*_ORDER)
+    each = own.withColumns({"_first": F.row_number().over(inside) == 1, "_gap": F.col("_t") - F.lag("_t").over(inside)})
+    # nulls first, as in the order of events: a part without times has no edge to compare with
+    edges = each.groupBy(*part).agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.sum(F.when(F.col("_first"), 0).otherwise(new(F.col("_gap")))).alias("_inner"))
+    over = Window.partitionBy(*keys).orderBy("_part")
+    edges = edges.withColumn("_seam", F.col("_low") - F.lag("_high").over(over)).withColumn("_all", F.col("_inner") + new(F.col("_seam")))
+    before = F.coalesce(F.sum("_all").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(*keys, "_part", "_seam", before.alias("_before"))
+
+    # keys may be null beyond the first
+    same = reduce(lambda x, y: x & y, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in part))
+    told = each.alias("l").join(edges.alias("r"), same).select("l.*", "r._seam", "r._before")
+    gap = F.when(F.col("_first"), F.col("_seam")).otherwise(F.col("_gap"))
+    told = told.withColumn("_gap", gap)
+    running = F.sum(new(F.col("_gap"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        events.where(F.col(keys[0]).isNotNull())
-        .withColumn("_gap", gap)
-        .withColumn("session", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        told.withColumn("session", F.col("_before") + running)
         .withColumn("gap_ms", F.when(F.col("_gap") <= limit, F.col("_gap") / 1000.0))
-        .drop("_gap")
+        .drop("_gap", "_t", "_part", "_first", "_seam", "_before")
     )
 
 
@@ -58,10 +80,43 @@ def sessions(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) ->
     )
 
 
-def timing(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
+def large_keys(events: DataFrame, keys: list[str] = KEY, large: int = LARGE) -> DataFrame | None:
+    """The keys with more than ``large`` events, None if there is none; of very many events, a share of them, so that such keys are few."""
+    counts = events.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(large, (total or 0) // LARGE_KEYS)
+    return None if (most or 0) <= limit else saved(counts.where(F.col("_n") > limit).select(*keys))
+
+
+def ranked_percentiles(values: DataFrame, keys: list[str], shares: list[float], width: int = 1 << 21) -> DataFrame:
+    """(keys, q): exact percentiles of ``value`` (whole numbers), interpolated, of keys with any number of rows.
+
+    Counts in bins of ``width`` tell which bin has each of the values between which a
+    percentile lies; only the rows of those bins are then counted by value and ranked. So
+    no task holds more of a key than its bins or one bin's different values.
+    """
+    binned = values.withColumn("_bin", F.floor(F.col("value") / width))
+    over, inside = Window.partitionBy(*keys), Window.partitionBy(*keys, "_bin")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")).withColumns({"_n": F.sum("_c").over(over), "_end": F.sum("_c").over(upto(over.orderBy("_bin")))})
+    places = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("_n") - 1)).alias("at")) for k, p in enumerate(shares)))
+    ranks = F.flatten(F.transform(places, lambda x: F.array(F.struct(x["k"].alias("k"), x["at"].alias("at"), F.floor(x["at"]).alias("r")), F.struct(x["k"].alias("k"), x["at"].alias("at"), F.ceil(x["at"]).alias("r")))))
+    begin = F.col("_end") - F.col("_c")
+    wanted = bins.select(*keys, "_bin", begin.alias("_begin"), F.filter(ranks, lambda x: (x["r"] >= begin) & (x["r"] < F.col("_end"))).alias("_ranks")).where(F.size("_ranks") > 0)
+    hit = binned.join(wanted, [*keys, "_bin"]).groupBy(*keys, "_bin", "_begin", "_ranks", "value").agg(F.count("*").alias("_c"))
+    last = F.col("_begin") + F.sum("_c").over(upto(inside.orderBy("value")))
+    found = hit.withColumn("_last", last).select(*keys, "value", "_last", "_c", F.explode("_ranks").alias("x")).where((F.col("x.r") < F.col("_last")) & (F.col("x.r") >= F.col("_last") - F.col("_c")))
+    # the smaller and the greater neighbour, which are one where the place is whole
+    each = found.groupBy(*keys, F.col("x.k").alias("_k"), F.col("x.at").alias("_at")).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    value = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
+def timing(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT, large: int = LARGE) -> DataFrame:
     """Gaps within sessions (ms), session durations (s), hour and weekday shares, burst variation.
 
-    Keys without a gap within a session have no row.
+    Keys without a gap within a session have no row. Percentiles are exact; those of keys
+    with more than ``large`` events are found by rank, dealt over many tasks.
     """
     marked = sessionize(events, keys, cfg)
     per = marked.groupBy(*keys, "session").agg(
@@ -70,13 +125,20 @@ def timing(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> D
     durations = per.where("n > 1").groupBy(*keys).agg(
         F.round(F.avg(F.col("d") / 1e6), 3).alias("session_mean"), F.round(F.stddev_pop(F.col("d") / 1e6), 3).alias("session_stddev")
     )
-    gap = F.col("gap_ms") * 1000
-    quantiles = F.percentile(gap, [0.25, 0.75, 0.95])
+    gap, shares = F.col("gap_ms") * 1000, [0.25, 0.75, 0.95]
+    hot = large_keys(events, keys, large)
+    if hot is not None:
+        marked = marked.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    single = gap if hot is None else F.when(F.col("_hot").isNull(), gap)
     out = marked.groupBy(*keys).agg(
-        F.avg(gap).alias("m"), F.stddev_pop(gap).alias("s"), quantiles.alias("q"), F.count("*").alias("n"),
+        F.avg(gap).alias("m"), F.stddev_pop(gap).alias("s"), F.percentile(single, shares).alias("q"), F.count("*").alias("n"),
         F.array(*(F.count_if(F.hour("ts") == h) for h in range(24))).alias("tod"),
         F.array(*(F.count_if(F.weekday("ts") == d) for d in range(7))).alias("dow"),
     )
+    if hot is not None:
+        gaps = marked.where("_hot and gap_ms is not null").select(*keys, F.round(gap).cast("long").alias("value"))
+        own = ranked_percentiles(gaps, keys, shares).withColumnRenamed("q", "_q")
+        out = out.join(own, keys, "left").withColumn("q", F.coalesce("_q", "q")).drop("_q")
     share = lambda c: F.transform(c, lambda x: F.round(x / F.col("n"), 6))
     return out.where("m is not null").join(durations, keys).select(
         *keys, _ms(F.col("m")).alias("interval_mean"), _ms(F.col("s")).alias("interval_stddev"),
