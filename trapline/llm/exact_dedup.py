@@ -38,6 +38,8 @@ def merged(coded: DataFrame, fan_in: int) -> DataFrame:
 
     A row's number holds its partition, whose digests are its run. Rounds merge ``fan_in``
     neighbouring runs at a time, until one is left: as many rounds as the partitions need.
+    Only digests of more than one row go down the tree again; the others are told apart by
+    having no verdict.
     """
     rows = coded.withColumn("_run0", F.shiftright("_row", 33))
     levels, left = 0, rows.agg(F.max("_run0")).first()[0] or 0
@@ -49,12 +51,13 @@ def merged(coded: DataFrame, fan_in: int) -> DataFrame:
         runs.append(
             below.groupBy(f"_run{level}", *_KEY).agg(F.sum("_n").alias("_n"), F.min("_best").alias("_best"))
         )
-    verdict = runs[-1]
+    verdict = runs[-1].where("_n > 1")
     for level in range(levels, 0, -1):
         up = f"_run{level}"
         below = runs[level - 1].select(f"_run{level - 1}", *_KEY, F.expr(f"_run{level - 1} div {fan_in}").alias(up))
         verdict = below.join(verdict, [up, *_KEY]).select(f"_run{level - 1}", *_KEY, "_n", "_best")
-    return rows.join(verdict, ["_run0", *_KEY])
+    told = rows.join(verdict, ["_run0", *_KEY], "left")
+    return told.withColumns({"_n": F.coalesce("_n", F.expr("1L")), "_best": F.coalesce("_best", _best())})
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
@@ -63,9 +66,9 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     Each partition's digests are a run with one entry a digest: count and best row so far.
     Rounds merge ``fan_in`` runs at a time, as many rounds as the partitions need; digests
     count as equal only if a second 64-bit hash and the length agree, at each level. The
-    verdict then goes back down the same tree, so no join meets more than ``fan_in``
-    entries of one digest and a text that fills a third of the corpus is dealt over all
-    the runs.
+    verdict on digests of more than one row then goes back down the same tree, so no join
+    meets more than ``fan_in`` entries of one digest and a text that fills a third of the
+    corpus is dealt over all the runs.
 
     Null texts equal the empty text. Of repeated rows one is kept. A null doc_id loses
     against any other. Other columns of ``docs`` are ignored. Empty in, empty out. Whole
