@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item.
 
-    Null and empty texts hold none. Repeated rows go together; rows of one doc_id, or
-    without one, are judged by their own text. An empty benchmark rejects nothing.
+    Null and empty texts hold none. All rows of a doc_id go if one of them holds an item;
+    rows without one are judged each by its own text. An empty benchmark rejects nothing.
     """
     return decontaminate.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
