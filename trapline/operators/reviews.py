@@ -61,7 +61,8 @@ def weight_profiles(observations: DataFrame, cfg: Config = DEFAULT, limit: int |
         """The weights after one review."""
         to = {d: F.greatest(F.lit(cfg.weight_floor), F.least(F.lit(cfg.weight_ceiling), w[d] + s["adjustments"][d])) for d in DIMENSIONS}
         total = sum((to[d] for d in DIMENSIONS[1:]), to[DIMENSIONS[0]])
-        return F.struct(*(F.round(to[d] / total, 8).alias(d) for d in DIMENSIONS))
+        # totals like 1.04 often leave exact ties; the small addend settles them alike however the quotient was formed
+        return F.struct(*(F.round(to[d] / total + 1e-12, 8).alias(d) for d in DIMENSIONS))
 
     def fold(acc: Column, s: Column) -> Column:
         after = move(acc["w"], s)

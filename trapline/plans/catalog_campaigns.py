@@ -329,7 +329,7 @@ def _weights_ctes() -> str:
     dims = list(DIMENSIONS)
     moved = {x: f"greatest(0.05::DOUBLE, least(0.60::DOUBLE, f.w_{x} + CASE WHEN r.{x} > 0.70 THEN r.step ELSE 0 END))" for x in dims}
     total = "(" + " + ".join(moved.values()) + ")"
-    step = ", ".join(f"round({moved[x]} / {total}, 8) AS w_{x}" for x in dims)
+    step = ", ".join(f"round({moved[x]} / {total} + 1e-12, 8) AS w_{x}" for x in dims)
     start = ", ".join(f"{DEFAULT.weights[x]}::DOUBLE AS w_{x}" for x in dims)
     return f"""
 , q0 AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY observed_at, id) AS n FROM observations WHERE decision = 'uncertain_association'),

@@ -106,25 +106,25 @@ profiles AS (
 
 MEMBERS = """
 , members AS (
-  SELECT 'c' || (u % 10) AS campaign_id, src_ip AS source_ip, min(ts) AS added_at, max(ts) AS last_active, 0.8::DOUBLE AS confidence
+  SELECT 'c' || (u // 10) AS campaign_id, src_ip AS source_ip, min(ts) AS added_at, max(ts) AS last_active, 0.8::DOUBLE AS confidence
   FROM pub WHERE u % 7 <> 3 GROUP BY 1, 2),
 camp0 AS (
   SELECT campaign_id AS id, CAST(substr(campaign_id, 2) AS INT) AS n, min(added_at) AS first_seen, max(last_active) AS last_seen, count(*) AS member_ip_count
   FROM members GROUP BY 1),
 campaigns AS (
-  SELECT id, n, CASE WHEN n IN (4, 5) THEN 'dormant' WHEN n = 6 THEN 'reactivated' WHEN n = 7 THEN 'historical' ELSE 'active' END AS status,
-    0.5 + n * 0.05::DOUBLE AS confidence, first_seen, last_seen,
-    CASE WHEN n IN (4, 5) THEN last_seen + INTERVAL 1 DAY END AS dormant_since, n % 3 AS reactivation_count, member_ip_count, n <> 9 AS has_fingerprint
+  SELECT id, n, CASE WHEN n % 10 IN (4, 5) THEN 'dormant' WHEN n % 10 = 6 THEN 'reactivated' WHEN n % 10 = 7 THEN 'historical' ELSE 'active' END AS status,
+    0.5 + n % 10 * 0.05::DOUBLE AS confidence, first_seen, last_seen,
+    CASE WHEN n % 10 IN (4, 5) THEN last_seen + INTERVAL 1 DAY END AS dormant_since, n % 3 AS reactivation_count, member_ip_count, n % 10 <> 9 AS has_fingerprint
   FROM camp0),
 observations AS (
-  SELECT 'o' || id AS id, 'c' || (u % 10) AS campaign_id, src_ip AS source_ip, ts AS observed_at,
+  SELECT 'o' || id AS id, 'c' || (u // 10) AS campaign_id, src_ip AS source_ip, ts AS observed_at,
     round(((k * 7 + u * 3) % 100) / 100.0::DOUBLE, 2) AS timing, round(((k * 3 + u * 7) % 100) / 100.0::DOUBLE, 2) AS sequence,
     round(((k * 11 + u) % 100) / 100.0::DOUBLE, 2) AS protocol, round(((k + u * 13) % 100) / 100.0::DOUBLE, 2) AS credential,
     round(((k * 17 + u * 5) % 100) / 100.0::DOUBLE, 2) AS target,
     CASE WHEN u % 2 = 0 THEN 'uncertain_association' ELSE 'automatic_association' END AS decision,
     CASE u % 3 WHEN 0 THEN 'analyst_confirmed' WHEN 1 THEN 'analyst_denied' END AS review,
     CASE WHEN u % 3 < 2 THEN ts + INTERVAL 1 HOUR END AS reviewed_at
-  FROM pub WHERE u % 7 <> 3 AND k % 20 = 0)
+  FROM pub WHERE u % 7 <> 3)
 """
 
 ACTORS = """
@@ -132,9 +132,9 @@ ACTORS = """
   SELECT 'a' || s_suppkey AS id, s_name AS display_name, round((s_suppkey % 10) / 10.0::DOUBLE, 1) AS confidence,
     CASE WHEN s_suppkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status,
     TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 17 AS INT)) AS created_at
-  FROM supplier WHERE s_suppkey <= 40),
+  FROM supplier),
 lineage AS (
-  SELECT 'l' || s_suppkey AS id, 'a' || (s_suppkey % 45) AS actor_id, 'c' || (s_suppkey % 12) AS campaign_id,
+  SELECT 'l' || s_suppkey AS id, 'a' || (s_suppkey // 3) AS actor_id, 'c' || (s_suppkey // 6 + s_suppkey % 2) AS campaign_id,
     ['primary_campaign', 'infrastructure_reuse', 'tactic_match', 'temporal_overlap'][s_suppkey % 4 + 1] AS relationship_type,
     round((s_suppkey % 13) / 10.0::DOUBLE, 1) AS confidence, TIMESTAMP '2024-02-01' + to_days(CAST(s_suppkey % 23 AS INT)) AS created_at
   FROM supplier)
@@ -312,8 +312,8 @@ STABLE = (
     + f"""
 , firsts AS (SELECT u, src_ip, min(ts) AS t FROM pub WHERE u % 7 <> 3 GROUP BY 1, 2),
 versions AS (
-  SELECT src_ip AS source_ip, 'c' || (u % 10) AS member_of, t + INTERVAL 3 DAY AS since FROM firsts
-  UNION ALL SELECT src_ip, 'c' || ((u + 1) % 10), t + INTERVAL 15 DAY FROM firsts WHERE u % 4 = 0
+  SELECT src_ip AS source_ip, 'c' || (u // 10) AS member_of, t + INTERVAL 3 DAY AS since FROM firsts
+  UNION ALL SELECT src_ip, 'c' || (u // 10 + 1), t + INTERVAL 15 DAY FROM firsts WHERE u % 4 = 0
   UNION ALL SELECT src_ip, NULL, t + INTERVAL 22 DAY FROM firsts WHERE u % 9 = 0),
 hist AS (
   SELECT member_of AS campaign_id, src_ip, computed_at, {_FIVE} AS b FROM fps ASOF JOIN versions ON source_ip = src_ip AND computed_at > since WHERE member_of IS NOT NULL),

@@ -112,11 +112,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
-    """campaign_id, source_ip, confidence, added_at, last_active: campaign ``u % 10``, a seventh unassigned."""
+    """campaign_id, source_ip, confidence, added_at, last_active: ten sources a campaign, a seventh unassigned."""
     ev = ev if ev is not None else events(spark, sf_dir)
     return (
         ev.where("src_ip is not null and u % 7 <> 3")
-        .groupBy(F.expr("'c' || cast(u % 10 as string)").alias("campaign_id"), F.col("src_ip").alias("source_ip"))
+        .groupBy(F.expr("'c' || cast(u div 10 as string)").alias("campaign_id"), F.col("src_ip").alias("source_ip"))
         .agg(F.min("ts").alias("added_at"), F.max("ts").alias("last_active"), F.lit(0.8).alias("confidence"))
     )
 
@@ -131,13 +131,13 @@ def member_versions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = Non
     first = ev.where("src_ip is not null and u % 7 <> 3").groupBy("u", F.col("src_ip").alias("source_ip")).agg(F.min("ts").alias("t"))
     step = lambda when, campaign, days: F.when(F.expr(when), F.struct(F.expr(campaign).alias("campaign_id"), F.expr(f"t + INTERVAL '{days}' DAY").alias("added_at")))
     steps = F.array_compact(
-        F.array(step("true", "'c' || cast(u % 10 as string)", 3), step("u % 4 = 0", "'c' || cast((u + 1) % 10 as string)", 15), step("u % 9 = 0", "cast(null as string)", 22))
+        F.array(step("true", "'c' || cast(u div 10 as string)", 3), step("u % 4 = 0", "'c' || cast(u div 10 + 1 as string)", 15), step("u % 9 = 0", "cast(null as string)", 22))
     )
     return first.select("source_ip", F.inline(steps))
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten campaigns: id, status, first/last seen, dormant_since, counts, has_fingerprint."""
+    """One campaign for ten sources: id, status, first/last seen, dormant_since, counts, has_fingerprint."""
     m = members(spark, sf_dir)
     number = F.substring("campaign_id", 2, 9).cast("int")
     return (
@@ -146,20 +146,20 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("n", number)
         .select(
             F.col("campaign_id").alias("id"), "n",
-            F.expr("CASE WHEN n IN (4, 5) THEN 'dormant' WHEN n = 6 THEN 'reactivated' WHEN n = 7 THEN 'historical' ELSE 'active' END").alias("status"),
-            F.expr("0.5 + n * 0.05D").alias("confidence"), "first_seen", "last_seen",
-            F.expr("CASE WHEN n IN (4, 5) THEN last_seen + INTERVAL '1' DAY END").alias("dormant_since"),
-            F.expr("n % 3").alias("reactivation_count"), "member_ip_count", (F.col("n") != 9).alias("has_fingerprint"),
+            F.expr("CASE WHEN n % 10 IN (4, 5) THEN 'dormant' WHEN n % 10 = 6 THEN 'reactivated' WHEN n % 10 = 7 THEN 'historical' ELSE 'active' END").alias("status"),
+            F.expr("0.5 + n % 10 * 0.05D").alias("confidence"), "first_seen", "last_seen",
+            F.expr("CASE WHEN n % 10 IN (4, 5) THEN last_seen + INTERVAL '1' DAY END").alias("dormant_since"),
+            F.expr("n % 3").alias("reactivation_count"), "member_ip_count", (F.col("n") % 10 != 9).alias("has_fingerprint"),
         )
     )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision log: one row per 20th event of a member, with five similarities and some reviews."""
-    ev = events(spark, sf_dir).where("src_ip is not null and u % 7 <> 3 and k % 20 = 0")
+    """Decision log: one row for each event of a member, with five similarities and some reviews."""
+    ev = events(spark, sf_dir).where("src_ip is not null and u % 7 <> 3")
     part = lambda a, b: F.expr(f"round(((k * {a} + u * {b}) % 100) / 100.0D, 2)")
     return ev.select(
-        F.expr("'o' || id").alias("id"), F.expr("'c' || cast(u % 10 as string)").alias("campaign_id"), F.col("src_ip").alias("source_ip"),
+        F.expr("'o' || id").alias("id"), F.expr("'c' || cast(u div 10 as string)").alias("campaign_id"), F.col("src_ip").alias("source_ip"),
         F.col("ts").alias("observed_at"), part(7, 3).alias("timing"), part(3, 7).alias("sequence"), part(11, 1).alias("protocol"),
         part(1, 13).alias("credential"), part(17, 5).alias("target"),
         F.expr("CASE WHEN u % 2 = 0 THEN 'uncertain_association' ELSE 'automatic_association' END").alias("decision"),
@@ -171,7 +171,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actor profiles from suppliers: id, display_name, confidence, status, created_at."""
     s = table(spark, sf_dir, "supplier")
-    return s.where("s_suppkey <= 40").select(
+    return s.select(
         F.expr("'a' || cast(s_suppkey as string)").alias("id"), F.col("s_name").alias("display_name"),
         F.expr("round((s_suppkey % 10) / 10.0D, 1)").alias("confidence"),
         F.expr("CASE WHEN s_suppkey % 4 = 0 THEN 'archived' ELSE 'active' END").alias("status"),
@@ -180,12 +180,12 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actor to campaign links from suppliers; some campaigns do not exist."""
+    """Actor to campaign links from suppliers, three an actor, some of them twice; some actors and campaigns do not exist."""
     s = table(spark, sf_dir, "supplier")
     kinds = ["primary_campaign", "infrastructure_reuse", "tactic_match", "temporal_overlap"]
     return s.select(
-        F.expr("'l' || cast(s_suppkey as string)").alias("id"), F.expr("'a' || cast(s_suppkey % 45 as string)").alias("actor_id"),
-        F.expr("'c' || cast(s_suppkey % 12 as string)").alias("campaign_id"), _pick(kinds, "cast(s_suppkey % 4 as int)").alias("relationship_type"),
+        F.expr("'l' || cast(s_suppkey as string)").alias("id"), F.expr("'a' || cast(s_suppkey div 3 as string)").alias("actor_id"),
+        F.expr("'c' || cast(s_suppkey div 6 + s_suppkey % 2 as string)").alias("campaign_id"), _pick(kinds, "cast(s_suppkey % 4 as int)").alias("relationship_type"),
         F.expr("round((s_suppkey % 13) / 10.0D, 1)").alias("confidence"),
         F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00' + make_dt_interval(cast(s_suppkey % 23 as int))").alias("created_at"),
     )
