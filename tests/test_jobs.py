@@ -601,3 +601,28 @@ def test_oracles_have_their_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_details_come_in_pages(spark):
+    """Members and observations of unequal number, ties, another campaign, and one without either."""
+    known = spark.createDataFrame([("c",), ("d",), ("e",)], "id string")
+    members = spark.createDataFrame([("c", f"45.0.0.{k}", k // 2) for k in range(5)] + [("d", "45.0.1.1", 1)], "campaign_id string, source_ip string, last_active int")
+    seen = spark.createDataFrame([("c", f"o{k}", -k) for k in range(2)], "campaign_id string, id string, observed_at int")
+    found = {(r.id, r.page): (r.members, r.observations) for r in campaigns.detail(known, members, seen, page_size=2).collect()}
+    assert found == {
+        ("c", 0): (["45.0.0.4", "45.0.0.2"], ["o1", "o0"]), ("c", 1): (["45.0.0.3", "45.0.0.0"], None), ("c", 2): (["45.0.0.1"], None),
+        ("d", 0): (["45.0.1.1"], None), ("e", 0): (None, None),
+    }
+
+
+def test_candidates_too_large_to_broadcast_score_the_same(spark, monkeypatch):
+    fps = None
+    for k in range(4):
+        part = features.fingerprints(frame(spark, range(0, 600 * (k + 1), 50), ip=f"45.0.0.{k}"))
+        fps = part if fps is None else fps.unionByName(part)
+    reps = fps.withColumnRenamed("src_ip", "campaign_id")
+    ask = lambda: clustering.score_candidates(fps, reps)
+    small = sorted(ask().collect())
+    monkeypatch.setattr(clustering, "BROADCAST_BYTES", 10)
+    assert not clustering.fits(reps) and clustering.fits(reps.limit(0))
+    assert sorted(ask().collect()) == small and len(small) == 16

@@ -113,12 +113,21 @@ def recent(campaigns: DataFrame, observations: DataFrame, limit: int = 50) -> Da
     return campaigns.join(density(campaigns, observations), "id").orderBy(F.desc("last_seen"), "id").limit(limit)
 
 
-def detail(campaigns: DataFrame, members: DataFrame, observations: DataFrame) -> DataFrame:
-    """Campaigns with their members, most recently active first, and observations by time."""
-    micros = -F.unix_micros(F.col("last_active").cast("timestamp"))
-    each = members.groupBy(F.col("campaign_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col("source_ip").alias("v")))).alias("m"))
-    seen = observations.groupBy(F.col("campaign_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("observed_at").alias("t"), F.col("id").alias("v")))).alias("o"))
-    return campaigns.join(each, "id", "left").join(seen, "id", "left").withColumns({"members": F.col("m.v"), "observations": F.col("o.v")}).drop("m", "o")
+def detail(campaigns: DataFrame, members: DataFrame, observations: DataFrame, page_size: int = 100) -> DataFrame:
+    """Campaigns in pages, from 0: their members, most recently active first, and observations by time.
+
+    A page has at most ``page_size`` of each, so no row holds all of a large campaign; its last
+    pages have null where one of the two has ended. A campaign without either has one page.
+    """
+
+    def paged(rows: DataFrame, value: str, name: str, *order: Column) -> DataFrame:
+        numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("campaign_id").orderBy(*order, value)) - 1)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value])
+        return numbered.groupBy(F.col("campaign_id").alias("id"), F.floor(F.col("_n") / page_size).alias("page")).agg(listed.alias(name))
+
+    own = paged(members, "source_ip", "members", F.desc("last_active"))
+    pages = own.join(paged(observations, "id", "observations", F.col("observed_at")), ["id", "page"], "full")
+    return campaigns.join(pages, "id", "left").withColumn("page", F.coalesce("page", F.expr("0L")))
 
 
 def digest(representatives: DataFrame, campaigns: DataFrame | None = None, tactics: DataFrame | None = None) -> DataFrame:

@@ -10,8 +10,13 @@ from trapline.functions import similarity as S
 from trapline.operators.campaigns import effective_threshold, gap_days
 from trapline.sources.store import saved
 
-#: Candidates that are broadcast at most, of 4 KB each as their sequences are capped; more are scored by a nested loop that Spark chooses.
-BROADCAST_CAMPAIGNS = 10_000
+#: Bytes of candidates, as JSON, that are broadcast at most; for more Spark chooses how the sides are paired.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(rows: DataFrame) -> bool:
+    """Whether rows may be broadcast: measured in bytes, as key-exchange lists have any length."""
+    return (rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def representatives(members: DataFrame, fingerprints: DataFrame, cached: DataFrame | None = None) -> DataFrame:
@@ -35,19 +40,20 @@ def as_struct(df: DataFrame, name: str, *keep: Column) -> DataFrame:
     return S.coded(df).select(*keep, F.struct(*DIMENSIONS).alias(name))
 
 
-def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None, count: int | None = None) -> DataFrame:
+def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None) -> DataFrame:
     """Every eligible fingerprint against every live campaign.
 
     ``campaigns`` has campaign_id and the five structs. ``profiles`` (campaign_id,
     w_timing, ...) replaces the weights of the campaigns it names. Candidates are
-    broadcast up to a checked count; ``count`` is theirs where the caller has it.
+    written once and broadcast up to a checked size.
     """
     right = as_struct(campaigns, "b", F.col("campaign_id"))
     weights = None
     if profiles is not None:
         right = right.join(profiles.select("campaign_id", *(f"w_{d}" for d in DIMENSIONS)), "campaign_id", "left")
         weights = {d: F.coalesce(F.col(f"w_{d}"), F.lit(cfg.weights[d])) for d in DIMENSIONS}
-    if (campaigns.count() if count is None else count) <= BROADCAST_CAMPAIGNS:
+    right = saved(right)
+    if fits(right):
         right = F.broadcast(right)
     left = as_struct(fingerprints.where(F.col("confidence") >= cfg.min_confidence), "a", F.col("src_ip"))
     scored = compare(left.crossJoin(right), "a", "b", cfg, weights)
@@ -152,7 +158,7 @@ def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     order = F.struct("first_seen", "src_ip")
     left = as_struct(base, "a", F.col("src_ip").alias("x"), order.alias("xo"))
     right = as_struct(base, "b", F.col("src_ip").alias("y"), order.alias("yo"))
-    if base.count() <= BROADCAST_CAMPAIGNS:
+    if fits(base):
         right = F.broadcast(right)
     near = compare(left.join(right, F.col("yo") < F.col("xo")), "a", "b", cfg).where(F.col("score") >= cfg.uncertain_threshold)
     near = saved(near.select("x", "y", "score"))

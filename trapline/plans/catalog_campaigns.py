@@ -35,7 +35,7 @@ def _reps(spark, d, fps):
 
 def _scored(spark, d):
     fps = _fps(spark, d)
-    return K.score_candidates(fps, _reps(spark, d, fps), count=A.campaigns(spark, d).count())
+    return K.score_candidates(fps, _reps(spark, d, fps))
 
 
 def _history(spark, d):
@@ -248,12 +248,14 @@ def ip_history(spark, d):
 
 
 @register("F9", M + """
-, ms AS (SELECT campaign_id AS id, string_agg(source_ip, ',' ORDER BY last_active DESC, source_ip) AS members FROM members GROUP BY 1),
-ob AS (SELECT campaign_id AS id, string_agg(id, ',' ORDER BY observed_at, id) AS observations FROM observations GROUP BY 1)
-SELECT id, members, observations FROM campaigns LEFT JOIN ms USING (id) LEFT JOIN ob USING (id)""")
+, ms AS (SELECT id, page, string_agg(source_ip, ',' ORDER BY n) AS members FROM (
+  SELECT campaign_id AS id, source_ip, row_number() OVER w AS n, (row_number() OVER w - 1) // 100 AS page FROM members WINDOW w AS (PARTITION BY campaign_id ORDER BY last_active DESC, source_ip)) GROUP BY ALL),
+ob AS (SELECT campaign_id AS id, page, string_agg(o, ',' ORDER BY n) AS observations FROM (
+  SELECT campaign_id, id AS o, row_number() OVER w AS n, (row_number() OVER w - 1) // 100 AS page FROM observations WINDOW w AS (PARTITION BY campaign_id ORDER BY observed_at, id)) GROUP BY ALL)
+SELECT id, coalesce(page, 0) AS page, members, observations FROM campaigns LEFT JOIN (SELECT * FROM ms FULL JOIN ob USING (id, page)) USING (id)""")
 def campaign_detail(spark, d):
     return C.detail(A.campaigns(spark, d), A.members(spark, d), A.observations(spark, d)).select(
-        "id", F.array_join("members", ",").alias("members"), F.array_join("observations", ",").alias("observations")
+        "id", "page", F.array_join("members", ",").alias("members"), F.array_join("observations", ",").alias("observations")
     )
 
 
@@ -363,7 +365,7 @@ assigned AS (SELECT src_ip, CASE WHEN sparse THEN 'skipped_sparse' WHEN own IS N
 def _decided(spark, d):
     """(decisions, fingerprints): all sources against the campaigns, with the weights that reviews taught."""
     fps, members, campaigns = _fps(spark, d), A.members(spark, d), A.campaigns(spark, d)
-    scored = K.score_candidates(K.unassigned(fps, members), _reps(spark, d, fps), profiles=V.weight_profiles(A.observations(spark, d)), count=campaigns.count())
+    scored = K.score_candidates(K.unassigned(fps, members), _reps(spark, d, fps), profiles=V.weight_profiles(A.observations(spark, d)))
     return K.assign(fps, scored, campaigns, members, LATER), fps
 
 
