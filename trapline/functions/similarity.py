@@ -56,7 +56,7 @@ def edit_sim(a: Column, b: Column) -> Column:
 
     # the lambda has the dictionary made once
     edits = F.get(F.transform(F.array(F.array_distinct(F.concat(a, b))), distance), F.lit(0))
-    return F.when(longest == 0, 1.0).otherwise(1 - edits / longest)
+    return F.when((longest == 0) | (a == b), 1.0).otherwise(1 - edits / longest)
 
 
 def _string(codes: Column) -> Column:
@@ -108,10 +108,13 @@ def round6(x: Column) -> Column:
 
 
 def mean_of(*scores: Column) -> Column:
-    """The mean of the scores that are not null, to 6 digits; 0 if all are."""
-    n = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in scores), F.lit(0))
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0))
-    return F.when(n == 0, 0.0).otherwise(round6(total / n))
+    """The mean of the scores that are not null, to 6 digits; 0 if all are.
+
+    A fold over their array, so that each is worked out once.
+    """
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    add = lambda s, x: F.struct((s["total"] + F.coalesce(x, F.lit(0.0))).alias("total"), (s["n"] + F.when(x.isNotNull(), 1).otherwise(0)).alias("n"))
+    return F.aggregate(F.array(*scores), start, add, lambda s: F.when(s["n"] == 0, 0.0).otherwise(round6(s["total"] / s["n"])))
 
 
 def _both(a: Column, b: Column, score: Column) -> Column:

@@ -29,8 +29,13 @@ def representatives(members: DataFrame, fingerprints: DataFrame, cached: DataFra
 
 
 def compare(pairs: DataFrame, a: str, b: str, cfg: Config = DEFAULT, weights: dict[str, Column] | None = None) -> DataFrame:
-    """Adds five similarities, ``score`` and ``dimensions_used`` to rows with coded structs a and b of five groups."""
-    scored = pairs.withColumns({f"{d}_similarity": S.SIMILARITIES[d](F.col(f"{a}.{d}"), F.col(f"{b}.{d}")) for d in DIMENSIONS})
+    """Adds five similarities, ``score`` and ``dimensions_used`` to rows with coded structs a and b of five groups.
+
+    The similarities come out of a generator, through which no filter on the score is
+    pushed; as plain columns they would be worked out in the filter and again after it.
+    """
+    five = F.struct(*(S.SIMILARITIES[d](F.col(f"{a}.{d}"), F.col(f"{b}.{d}")).alias(f"{d}_similarity") for d in DIMENSIONS))
+    scored = pairs.select("*", F.inline(F.array(five)))
     score, used = S.weighted({d: F.col(f"{d}_similarity") for d in DIMENSIONS}, cfg, weights)
     return scored.withColumns({"score": score, "dimensions_used": used})
 
