@@ -208,26 +208,44 @@ def protocol(events: DataFrame, keys: list[str] = KEY) -> DataFrame:
     A key with events always has a row; the lists are null where no event has one.
     """
     own = events.where(F.col(keys[0]).isNotNull())
-    dist = shares(own, "service", keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias("service_distribution"))
-    none = F.array().cast("array<struct<value:string,share:double>>")
+    base = own.groupBy(*keys).agg(*_handshake_lists(own))
+    return base.join(_distribution(own, "service", keys, "service_distribution"), keys, "left").withColumn("service_distribution", _or_none("service_distribution"))
+
+
+def _handshake_lists(events: DataFrame) -> list[Column]:
+    """Aggregates: the first key-exchange and cipher lists."""
     seen = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "id"))) if c in events.columns else F.first(F.lit(None).cast("array<string>"))
-    base = own.groupBy(*keys).agg(*(seen(c).alias(c) for c in ("ssh_kex", "tls_ciphers")))
-    return base.join(dist, keys, "left").withColumn("service_distribution", F.coalesce("service_distribution", none))
+    return [seen(c).alias(c) for c in ("ssh_kex", "tls_ciphers")]
+
+
+def _distribution(events: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
+    """The values of a column as sorted (value, share) entries."""
+    return shares(events, column, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias(name))
+
+
+def _or_none(distribution: str) -> Column:
+    return F.coalesce(distribution, F.array().cast("array<struct<value:string,share:double>>"))
 
 
 def credential(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
     """Counts, username classes, password length and character shares; raw values stay here."""
     own = _credential_events(events.where(F.col(keys[0]).isNotNull()))
+    out = own.groupBy(*keys).agg(*_credential_numbers())
+    return out.join(_class_distribution(own, keys), keys, "left").withColumn("username_class_dist", _or_none("username_class_dist"))
+
+
+def _credential_numbers() -> list[Column]:
+    """Aggregates over events; those without credentials count nowhere."""
     has = lambda pattern: F.round(F.avg(F.col("password").rlike(pattern).cast("int")), 6)
-    out = own.groupBy(*keys).agg(
-        F.count("*").alias("credential_count"), F.round(F.avg(F.char_length("password")), 3).alias("password_length_mean"),
+    return [
+        F.count_if(F.col("username").isNotNull() | F.col("password").isNotNull()).alias("credential_count"), F.round(F.avg(F.char_length("password")), 3).alias("password_length_mean"),
         has(r"\p{Lu}").alias("has_upper_ratio"), has(r"\p{Ll}").alias("has_lower_ratio"), has(r"\p{Nd}").alias("has_digit_ratio"),
         has(r"[^\p{L}\p{N}]").alias("has_special_ratio"),
-    )
-    classes = shares(own.where("username is not null").withColumn("class", N.username_class(F.col("username"))), "class", keys)
-    dist = classes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias("username_class_dist"))
-    none = F.array().cast("array<struct<value:string,share:double>>")
-    return out.join(dist, keys, "left").withColumn("username_class_dist", F.coalesce("username_class_dist", none))
+    ]
+
+
+def _class_distribution(events: DataFrame, keys: list[str]) -> DataFrame:
+    return _distribution(events.where("username is not null").withColumn("class", N.username_class(F.col("username"))), "class", keys, "username_class_dist")
 
 
 def target(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
@@ -244,19 +262,24 @@ def target(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> D
 
 def tool_signals(events: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Shares of sensors and types, and tools they point to."""
+    return events.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(*_tool_shares()).withColumns(_tools())
+
+
+def _tool_shares() -> list[Column]:
+    """Aggregates: the share of each sensor and type."""
     share = lambda test: F.round(F.count_if(test) / F.count("*"), 6)
-    out = events.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(
-        *(share(F.col("source") == s).alias(f"{s}_share") for s in ("cowrie", "dionaea", "custom")),
-        *(share(F.col("event_type") == t[0]).alias(f"{t[0]}_share") for t in N.EVENT_TYPES),
-    )
+    sensors = [share(F.col("source") == s).alias(f"{s}_share") for s in ("cowrie", "dionaea", "custom")]
+    return sensors + [share(F.col("event_type") == t[0]).alias(f"{t[0]}_share") for t in N.EVENT_TYPES]
+
+
+def _tools() -> dict[str, Column]:
+    """What the shares point to."""
     ssh = F.when((F.col("cowrie_share") >= 0.5) & (F.col("auth_failed_share") >= 0.5), F.round(F.least(F.lit(1.0), (F.col("cowrie_share") + F.col("auth_failed_share")) / 2), 3))
-    return out.withColumns(
-        {
-            "ssh_brute_force": ssh,
-            "port_scanner": F.when(F.col("port_scan_share") >= 0.5, F.round("port_scan_share", 3)),
-            "web_scanner": F.when(F.col("http_probe_share") >= 0.4, F.round("http_probe_share", 3)),
-        }
-    )
+    return {
+        "ssh_brute_force": ssh,
+        "port_scanner": F.when(F.col("port_scan_share") >= 0.5, F.round("port_scan_share", 3)),
+        "web_scanner": F.when(F.col("http_probe_share") >= 0.4, F.round("http_probe_share", 3)),
+    }
 
 
 def confidence(count: Column, groups: Column, cfg: Config = DEFAULT) -> Column:
@@ -267,17 +290,29 @@ def confidence(count: Column, groups: Column, cfg: Config = DEFAULT) -> Column:
 
 
 def fingerprints(events: DataFrame, keys: list[str] = KEY, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per key: event_count, six feature structs (null if not computable) and confidence."""
+    """One row per key: event_count, six feature structs (null if not computable) and confidence.
+
+    All numbers that need no order or values of their own (counts, handshake lists,
+    credentials, shares of sensors and types) are one aggregation, so one shuffle.
+    ``events`` are read several times: pass a stored table.
+    """
     own = events.where(F.col(keys[0]).isNotNull())
-    base = own.groupBy(*keys).agg(F.count("*").alias("event_count"), F.max("ts").alias("computed_at"))
+    each = [*_handshake_lists(own), *_credential_numbers(), *_tool_shares()]
+    whole = own.groupBy(*keys).agg(F.count("*").alias("event_count"), F.max("ts").alias("computed_at"), *each).withColumns(_tools())
     pack = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
-    seq = sequence(own, keys, cfg)
-    cred = credential(own, keys, cfg).join(seq.select(*keys, "credential_sequence"), keys, "left")
-    groups = [
-        pack(timing(own, keys, cfg), "timing"), pack(seq, "sequence"), pack(protocol(own, keys), "protocol"),
-        pack(cred, "credential"), pack(target(own, keys, cfg), "target"), pack(tool_signals(own, keys), "tool_signals"),
+    parts = [
+        _distribution(own, "service", keys, "service_distribution"), _class_distribution(own, keys),
+        pack(sequence(own, keys, cfg), "sequence"), pack(timing(own, keys, cfg), "timing"), pack(target(own, keys, cfg), "target"),
     ]
-    out = reduce(lambda a, b: a.join(b, keys, "left"), groups, base)
+    out = reduce(lambda a, b: a.join(b, keys, "left"), parts, whole)
+    count = ["credential_count", "password_length_mean", "has_upper_ratio", "has_lower_ratio", "has_digit_ratio", "has_special_ratio"]
+    signals = [c for c in whole.columns if c not in keys and (c.endswith("_share") or c in _tools())]
+    out = out.select(
+        *keys, "event_count", "computed_at", "timing", "sequence",
+        F.struct("ssh_kex", "tls_ciphers", _or_none("service_distribution").alias("service_distribution")).alias("protocol"),
+        F.when(F.col("credential_count") > 0, F.struct(*count, _or_none("username_class_dist").alias("username_class_dist"), F.col("sequence.credential_sequence").alias("credential_sequence"))).alias("credential"),
+        "target", F.struct(*signals).alias("tool_signals"),
+    )
     names = ("timing", "sequence", "protocol", "credential", "target", "tool_signals")
     populated = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0))
     return out.withColumn("populated", populated).withColumn("confidence", confidence(F.col("event_count"), F.col("populated"), cfg))

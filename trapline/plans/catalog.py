@@ -13,6 +13,7 @@ from trapline.operators import ingest as I
 from trapline.operators import profiles as P
 from trapline.plans import oracle as O
 from trapline.sources import adapter as A
+from trapline.sources.store import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,11 @@ def _clean(spark: SparkSession, d: str) -> DataFrame:
     return A.events(spark, d)
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The events of public sources, cleaned and written once, for jobs that read them several times."""
+    return saved(A.events(spark, d).where("src_ip is not null"))
+
+
 def _join(column: str, sep: str = ",") -> F.Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), sep)
 
@@ -394,7 +400,7 @@ def tool_signals(spark, d):
 
 @register("H13", B + O.features() + "SELECT src_ip, event_count, populated, confidence::DOUBLE AS confidence FROM fps")
 def confidences(spark, d):
-    return X.fingerprints(_clean(spark, d)).select("src_ip", "event_count", "populated", "confidence")
+    return X.fingerprints(_stored(spark, d)).select("src_ip", "event_count", "populated", "confidence")
 
 
 @register("H14", B + O.features() + """
@@ -402,7 +408,7 @@ SELECT src_ip, event_count, computed_at, timing.interval_mean AS interval_mean,
   len(protocol.service_distribution)::INT AS services, credential.credential_count AS credentials, target.unique_port_count AS unique_ports,
   auth_failed_share, populated FROM fps JOIN (SELECT src_ip, round(count(*) FILTER (event_type = 'auth_failed') / count(*)::DOUBLE, 6) AS auth_failed_share FROM pub GROUP BY 1) USING (src_ip)""")
 def fingerprints(spark, d):
-    return X.fingerprints(_clean(spark, d)).select(
+    return X.fingerprints(_stored(spark, d)).select(
         "src_ip", "event_count", "computed_at", "timing.interval_mean", "timing.burst_cv", F.size("sequence.port_sequence").alias("ports"),
         F.size("protocol.service_distribution").alias("services"), F.col("credential.credential_count").alias("credentials"), F.col("target.unique_port_count").alias("unique_ports"),
         "tool_signals.auth_failed_share", "populated",

@@ -14,7 +14,7 @@ from trapline.operators import features as X
 from trapline.operators import history as H
 from trapline.operators import reviews as V
 from trapline.plans import oracle as O
-from trapline.plans.catalog import B, register
+from trapline.plans.catalog import B, _stored, register
 from trapline.sources import adapter as A
 from trapline.sources.store import saved
 
@@ -25,7 +25,7 @@ M = B + O.MEMBERS
 
 def _fps(spark, d):
     """All fingerprints, written once as each is read by both sides of a comparison."""
-    return saved(X.fingerprints(A.events(spark, d)))
+    return saved(X.fingerprints(_stored(spark, d)))
 
 
 def _reps(spark, d, fps):
@@ -42,7 +42,7 @@ def _history(spark, d):
     """Weekly snapshots with the campaign that their source was in at the time."""
     versions = A.member_versions(spark, d)
     # a source that is in no campaign ever has no snapshot that counts
-    ev = A.events(spark, d).join(versions.select(F.col("source_ip").alias("src_ip")), "src_ip", "left_semi")
+    ev = saved(A.events(spark, d).join(versions.select(F.col("source_ip").alias("src_ip")), "src_ip", "left_semi"))
     snaps = X.fingerprints(ev.withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz")), ["src_ip", "week"])
     return H.with_membership(snaps, versions)
 
@@ -241,7 +241,7 @@ def latest_per_resource(spark, d):
 , c AS (SELECT src_ip, computed_at, row_number() OVER (PARTITION BY src_ip ORDER BY computed_at) AS n, count(*) OVER (PARTITION BY src_ip) AS snapshots FROM fps)
 SELECT * FROM c WHERE n <= 3""")
 def ip_history(spark, d):
-    ev = A.events(spark, d).withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
+    ev = _stored(spark, d).withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
     snaps = X.fingerprints(ev, ["src_ip", "week"])
     found = H.counted(H.oldest(snaps, "src_ip", 3), snaps, "src_ip")
     return found.select("src_ip", "computed_at", F.col("n").cast("long").alias("n"), "snapshots")
@@ -524,6 +524,6 @@ def campaign_digest(spark, d):
 @register("H18")
 def seed_campaigns(spark, d):
     """All sources with enough events, as if no campaign existed yet; tests/test_jobs.py has a twin in plain Python."""
-    ev = A.events(spark, d)
+    ev = _stored(spark, d)
     first = ev.where("src_ip is not null").groupBy("src_ip").agg(F.min("ts").alias("first_seen"))
     return K.seed_campaigns(X.fingerprints(ev).join(first, "src_ip").where(F.col("confidence") >= DEFAULT.min_confidence))
