@@ -1,6 +1,7 @@
 """Sensor jobs on small frames: boundaries first."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -179,6 +180,20 @@ def test_small_similarities(spark):
     assert tuple(df.select(S.jsd(p, q), S.jsd(p, p), S.jsd(p, e), S.histogram_sim(p, e), S.jaccard(e, e)).first()) == (1.0, 0.0, 1.0, None, 1.0)
 
 
+def test_a_mean_of_a_half_is_rounded_up_in_any_order(spark):
+    """Doubles add up to a little less or more than the half, by the order of the rows."""
+    rng = random.Random(1)
+    scores = [round(0.786885 + k / 1e6, 6) for k in range(-65, 66) if k]
+    plain = set()
+    for _ in range(4):
+        rng.shuffle(scores)
+        rows = spark.createDataFrame([("a", x) for x in scores] + [("a", None), ("b", None)], "k string, x double").coalesce(1)
+        found = rows.groupBy("k").agg(S.exact_mean(F.col("x"), 5).alias("m"), F.round(F.avg("x"), 5).alias("plain")).collect()
+        assert {r.k: r.m for r in found} == {"a": 0.78689, "b": None}
+        plain |= {r.plain for r in found if r.k == "a"}
+    assert plain == {0.78688, 0.78689}
+
+
 def test_null_dimensions_do_not_count(spark):
     scores = {d: F.lit(None).cast("double") for d in DIMENSIONS} | {"timing": F.lit(0.5), "target": F.lit(1.0)}
     total, used = S.weighted(scores)

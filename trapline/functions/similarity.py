@@ -107,6 +107,14 @@ def round6(x: Column) -> Column:
     return F.round(x + 1e-9, 6)
 
 
+def exact_mean(x: Column, digits: int) -> Column:
+    """Aggregate: the mean of scores of 6 digits, halves up.
+
+    The sum is one of decimals, so a mean of exactly a half is one in whatever order rows are added.
+    """
+    return F.round(F.sum(F.round(x, 6).cast("decimal(18,6)")) / F.count(x), digits).cast("double")
+
+
 def mean_of(*scores: Column) -> Column:
     """The mean of the scores that are not null, to 6 digits; 0 if all are.
 
