@@ -112,6 +112,21 @@ def test_each_text_is_one_word_of_many_windows(spark):
     assert long_[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(long_, long_[1:])) and sum(n for _, n in long_) == 60_001
 
 
+def test_ids_are_shuffled_once(spark, monkeypatch):
+    """Also where the sources' trees are too large to be broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        packed = packing.pack(docs_frame(spark, pack_rows()), queries.word_bpe(), window=64)
+        plan = packed._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan)
+        assert len(moved) > 2 and sum(bool(re.search(r"\bids#", columns)) for columns in moved) == 1
+        assert sum(r.length for r in packed.collect()) == sum(len(x) // 4 * n for (_, x), n in expected_ids(packing.WordIds(queries.word_bpe()), pack_rows()).items())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_deficits_are_monotone_and_complete():
     for lengths in ([5, 0, 1, 1000, 3], [7], [1] * 33):
         d = packing.Deficits(lengths)

@@ -288,9 +288,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, mixture: dict[str,
     number = F.create_map(*(F.lit(x) for k, s in enumerate(names) for x in (s, k))) if names else None
     own = F.try_element_at(number, "source") if names else F.lit(None).cast("int")
     parted = tokens.withColumn("part", F.pmod(F.col("place"), F.lit(parts)).cast("int"))
-    sizes = written(parted.groupBy("source", "part").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")))
+    sizes = written(parted.groupBy("source", "part").agg(F.sum("tokens").alias("n")))
     group = F.lit(len(names)) + F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int")
-    sources = sizes.groupBy("source").agg(F.sum("n").alias("size"), F.sum("rows").alias("n")).withColumn("queue", F.coalesce(own, group))
+    sources = sizes.groupBy("source").agg(F.sum("n").alias("size"), F.count("*").alias("n")).withColumn("queue", F.coalesce(own, group))
     totals = {r["queue"]: r["size"] for r in sources.groupBy("queue").agg(F.sum("size").alias("size")).collect()}
     # only queues that hold something: groups follow the named sources
     queues = [k for k in sorted(totals) if totals[k]]
@@ -331,11 +331,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, mixture: dict[str,
 
     running = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     base = sizes.select("source", "part", (F.sum("n").over(running("source").orderBy("part")) - F.col("n")).alias("base"))
+    # a part is told all of its source, so that the ids are shuffled once, by part
+    told = salted_join(base, dealt.drop("n"), ["source"], dealt.select("source", "n"), ["part"])
     within = F.sum("tokens").over(running("source", "part").orderBy("doc_id", "ids")) - F.col("tokens")
-    placed = parted.withColumn("within", within).join(base, ["source", "part"]).withColumn("at", F.col("base") + F.col("within"))
-    told = salted_join(placed, dealt.drop("n"), ["source"], dealt.select("source", "n"), ["place"])
+    placed = parted.withColumn("within", within).join(told, ["source", "part"]).withColumn("at", F.col("base") + F.col("within"))
     return in_arrow(
-        told.select("doc_id", "source", "queue", "path", "size", "at", "tokens", "ids"),
+        placed.select("doc_id", "source", "queue", "path", "size", "at", "tokens", "ids"),
         cut,
         f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, deficit double",
     )
