@@ -260,6 +260,19 @@ def test_substrings_of_rows_without_an_id(spark):
     assert sum(r.n_removed > 0 for r in found if r.doc_id is None) == 2
 
 
+def test_a_passage_goes_from_400_bytes_on(spark):
+    """By its bytes, not its words: one of over 50 words that is a byte too short stays; n_bytes is the whole text's size either way."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = " ".join([*(word(5) for _ in range(65)), word(10)])
+    assert len(passage) == 400 and len(passage[:-1].split()) > 50
+    for size, gone in [(399, 0), (400, 400)]:
+        rows = [(k, f"{k}{word(300)}{k}{passage[:size]}{k}{word(200)}") for k in range(2)]
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+        assert found == brute_substrings(rows)
+        assert [found[k][:2] for k in range(2)] == [(503 + size, gone)] * 2
+
+
 @pytest.mark.parametrize("size", [500, 900])
 def test_large_groups_are_split_and_settled_alike(spark, monkeypatch, size):
     """Groups over the limit are split by the bytes around their anchor, level by level."""
