@@ -641,3 +641,66 @@ def test_candidates_too_large_to_broadcast_score_the_same(spark, monkeypatch):
     monkeypatch.setattr(clustering, "BROADCAST_BYTES", 10)
     assert not clustering.fits(reps) and clustering.fits(reps.limit(0))
     assert sorted(ask().collect()) == small and len(small) == 16
+
+
+def _flat_blocks(spark, fps, **more):
+    from trapline.functions import allpairs
+    from trapline.operators import blocks
+
+    return [allpairs.Block(r.block) for r in blocks.packed(blocks.flat(fps, "src_ip", **more)).collect()]
+
+
+def test_blocks_score_as_pairs_do(spark):
+    """The arrays' similarities are those of the expressions: long, empty, null and repeated lists, missing groups, any weights."""
+    import numpy as np
+
+    from trapline.functions import allpairs
+    from trapline.sources import adapter
+    from trapline.sources.store import saved
+
+    events = adapter.events(spark, "/root/testdata/sf0.001").where("u % 4 < 2")
+    fps = features.fingerprints(events)
+    k = F.abs(F.hash("src_ip")) % 7
+    long = F.transform(F.sequence(F.lit(0), F.abs(F.hash("src_ip")) % 90 + 20), lambda x: F.concat(F.lit("kex"), (x * x % 37).cast("string")))
+    odd = fps.withColumns({
+        "src_ip": F.concat(F.lit("odd"), "src_ip"), "protocol": F.when(k != 0, F.col("protocol").withField("ssh_kex", F.when(k < 4, long))),
+        "sequence": F.when(k != 1, F.col("sequence").withField("port_sequence", F.when(k == 2, F.array().cast("array<int>")).otherwise(F.col("sequence.port_sequence")))),
+        "credential": F.when(k != 3, F.col("credential")), "target": F.when(k != 4, F.col("target")), "timing": F.when(k < 5, F.col("timing")),
+    })
+    fps = saved(fps.unionByName(odd))
+    pairs = clustering.as_struct(fps, "a", F.col("src_ip").alias("x")).crossJoin(clustering.as_struct(fps, "b", F.col("src_ip").alias("y")))
+    names = [*(f"{d}_similarity" for d in DIMENSIONS), "score", "dimensions_used"]
+    want = {(r.x, r.y): tuple(r[n] for n in names) for r in clustering.compare(pairs, "a", "b").select("x", "y", *names).collect()}
+    found = {}
+    parts = _flat_blocks(spark, fps)
+    for left in parts:
+        for right in parts:
+            sims, score, used = allpairs.scores(left, right, list(DEFAULT.weights.values()))
+            for j, y in enumerate(right.id.to_pylist()):
+                for i, x in enumerate(left.id.to_pylist()):
+                    found[x, y] = (*(None if np.isnan(s[j, i]) else s[j, i] for s in sims), score[j, i], used[j, i])
+    assert want.keys() == found.keys() and len(want) > 100
+    assert any(w[0] is None for w in want.values()) and any(w[2] is None for w in want.values())
+    assert {p: (w, found[p]) for p, w in want.items() if w != found[p]} == {}
+
+
+@pytest.mark.parametrize("longest,symbols", [(5, 3), (16, 20), (32, 6), (64, 8), (150, 7)])
+def test_edit_distances_of_blocks(longest, symbols):
+    import pyarrow as pa
+
+    from trapline.functions import allpairs
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            after = [i]
+            for j, y in enumerate(b, 1):
+                after.append(min(row[j] + 1, after[-1] + 1, row[j - 1] + (x != y)))
+            row = after
+        return row[-1]
+
+    rng = random.Random(longest)
+    sides = [[[str(rng.randrange(symbols + k)) for _ in range(rng.randrange(longest + 1))] for _ in range(12 + k)] for k in range(2)]
+    left, right = (allpairs.Lists(pa.array(x, pa.list_(pa.string()))) for x in sides)
+    found = allpairs._wide(allpairs.edit_distances(left, right), right.kind, left.kind)
+    assert found.tolist() == [[distance(a, b) for a in sides[0]] for b in sides[1]]

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, DIMENSIONS, Config
 from trapline.functions import similarity as S
+from trapline.operators import blocks as P
 from trapline.operators.campaigns import effective_threshold, gap_days
-from trapline.sources.store import saved
+from trapline.sources.store import in_arrow, saved
 
 #: Bytes of candidates, as JSON, that are broadcast at most; for more Spark chooses how the sides are paired.
 BROADCAST_BYTES = 64 << 20
+#: What is told of a pair.
+SCORES = (*(f"{d}_similarity" for d in DIMENSIONS), "score", "dimensions_used")
 
 
 def fits(rows: DataFrame) -> bool:
@@ -19,10 +25,14 @@ def fits(rows: DataFrame) -> bool:
     return (rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
 
 
+def newest_members(members: DataFrame) -> DataFrame:
+    """campaign_id, src_ip: the most recently active member of each campaign."""
+    return members.groupBy("campaign_id").agg(F.max_by("source_ip", F.struct("last_active", "source_ip")).alias("src_ip"))
+
+
 def representatives(members: DataFrame, fingerprints: DataFrame, cached: DataFrame | None = None) -> DataFrame:
     """campaign_id and five structs: the cached ones, else the most recently active member's."""
-    last = members.groupBy("campaign_id").agg(F.max_by("source_ip", F.struct("last_active", "source_ip")).alias("src_ip"))
-    own = last.join(fingerprints.select("src_ip", *DIMENSIONS), "src_ip").drop("src_ip")
+    own = newest_members(members).join(fingerprints.select("src_ip", *DIMENSIONS), "src_ip").drop("src_ip")
     if cached is None:
         return own
     return cached.unionByName(own.join(cached.select("campaign_id"), "campaign_id", "left_anti"))
@@ -45,24 +55,49 @@ def as_struct(df: DataFrame, name: str, *keep: Column) -> DataFrame:
     return S.coded(df).select(*keep, F.struct(*DIMENSIONS).alias(name))
 
 
-def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None) -> DataFrame:
-    """Every eligible fingerprint against every live campaign.
+def against(fingerprints: DataFrame, campaigns: DataFrame, take: Callable, schema: str, cfg: Config = DEFAULT, profiles: DataFrame | None = None) -> DataFrame:
+    """What ``take`` makes of every eligible fingerprint against every live campaign, block by block (:mod:`blocks`).
 
     ``campaigns`` has campaign_id and the five structs. ``profiles`` (campaign_id,
     w_timing, ...) replaces the weights of the campaigns it names. Candidates are
     written once and broadcast up to a checked size.
     """
-    right = as_struct(campaigns, "b", F.col("campaign_id"))
-    weights = None
+    more = {}
     if profiles is not None:
-        right = right.join(profiles.select("campaign_id", *(f"w_{d}" for d in DIMENSIONS)), "campaign_id", "left")
-        weights = {d: F.coalesce(F.col(f"w_{d}"), F.lit(cfg.weights[d])) for d in DIMENSIONS}
-    right = saved(right)
-    if fits(right):
-        right = F.broadcast(right)
-    left = as_struct(fingerprints.where(F.col("confidence") >= cfg.min_confidence), "a", F.col("src_ip"))
-    scored = compare(left.crossJoin(right), "a", "b", cfg, weights)
-    return scored.select("src_ip", "campaign_id", *(f"{d}_similarity" for d in DIMENSIONS), "score", "dimensions_used")
+        names = [f"w_{d}" for d in DIMENSIONS]
+        campaigns = campaigns.join(profiles.select("campaign_id", *names), "campaign_id", "left")
+        more["weights"] = F.array(*names)
+    right = P.packed(P.flat(campaigns, "campaign_id", **more), dealt=False)
+    left = P.packed(P.flat(fingerprints.where(F.col("confidence") >= cfg.min_confidence), "src_ip"))
+    return P.compared(left, right, take, schema, cfg, broadcast=fits(right))
+
+
+def score_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None, columns: Sequence[str] = SCORES) -> DataFrame:
+    """Every eligible fingerprint against every live campaign: src_ip, campaign_id and ``columns``, as :func:`against`."""
+    kind = lambda c: "int" if c == "dimensions_used" else "double"
+    schema = ", ".join(("src_ip string", "campaign_id string", *(f"{c} {kind(c)}" for c in columns)))
+    return against(fingerprints, campaigns, partial(P.every, columns=tuple(columns)), schema, cfg, profiles)
+
+
+def best_candidates(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT, profiles: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`score_candidates` among which :func:`assign` finds the best of each source: one for each block of campaigns."""
+    schema = "src_ip string, campaign_id string, " + ", ".join(f"{d}_similarity double" for d in DIMENSIONS) + ", score double, dimensions_used int"
+    return saved(against(fingerprints, campaigns, partial(P.best, least=cfg.uncertain_threshold), schema, cfg, profiles))
+
+
+def mean_similarities(fingerprints: DataFrame, campaigns: DataFrame, digits: int, cfg: Config = DEFAULT) -> DataFrame:
+    """campaign_id and the mean of each similarity, halves up.
+
+    Tasks send sums of millionths, so a mean of exactly a half is one in whatever order rows are added.
+    """
+    schema = "campaign_id string, " + ", ".join(f"{d}_sum long, {d}_n long" for d in DIMENSIONS)
+    mean = lambda d: F.expr(f"cast(round(cast(sum({d}_sum) as decimal(22, 0)) / nullif(sum({d}_n) * 1000000, 0), {digits}) as double)")
+    return against(fingerprints, campaigns, P.sums, schema, cfg).groupBy("campaign_id").agg(*(mean(d).alias(f"{d}_similarity") for d in DIMENSIONS))
+
+
+def hint_counts(fingerprints: DataFrame, campaigns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """hint, n: how many pairs of a fingerprint and a campaign have each hint."""
+    return against(fingerprints, campaigns, P.hints, "hint string, n long", cfg).groupBy("hint").agg(F.sum("n").alias("n"))
 
 
 def unassigned(fingerprints: DataFrame, members: DataFrame) -> DataFrame:
@@ -151,34 +186,44 @@ def new_representatives(representatives: DataFrame, decisions: DataFrame, finger
     return representatives.select("campaign_id", *DIMENSIONS).join(newest.select("campaign_id"), "campaign_id", "left_anti").unionByName(fresh.select("campaign_id", *DIMENSIONS))
 
 
-def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def seed_campaigns(residue: DataFrame, cfg: Config = DEFAULT, chunk: int = 2048) -> DataFrame:
     """src_ip, leader, score: unmatched fingerprints open campaigns and join earlier ones.
 
     In order of (first_seen, src_ip), one without an earlier leader at a score of .60 or
-    more leads itself; the others join their best leader, ties by the smaller address. Each
-    round decides at least the first that is left, so rounds end; each is written, so a
-    lost executor costs a task. Needs columns first_seen and the five structs.
+    more leads itself; the others join their best leader, ties by the smaller address. A
+    round settles the first ``chunk`` that are left: one task finds the leaders among them,
+    and those that they lead leave with them, wherever they are in the order. So sources
+    meet leaders, not each other. Each round is written, so a lost executor costs a task.
+    Needs columns first_seen and the five structs.
     """
-    base = saved(residue.select("src_ip", "first_seen", *DIMENSIONS))
-    order = F.struct("first_seen", "src_ip")
-    left = as_struct(base, "a", F.col("src_ip").alias("x"), order.alias("xo"))
-    right = as_struct(base, "b", F.col("src_ip").alias("y"), order.alias("yo"))
-    if fits(base):
-        right = F.broadcast(right)
-    near = compare(left.join(right, F.col("yo") < F.col("xo")), "a", "b", cfg).where(F.col("score") >= cfg.uncertain_threshold)
-    near = saved(near.select("x", "y", "score"))
-    # one leads if no earlier neighbour does: undecided are those with a neighbour that is undecided itself
-    open_, leads = saved(base.select("src_ip")), base.select("src_ip").limit(0)
-    while not open_.isEmpty():
-        held = near.join(open_.withColumnRenamed("src_ip", "y"), "y", "left_semi").select(F.col("x").alias("src_ip"))
-        fresh = saved(open_.join(held, "src_ip", "left_anti"))
-        led = near.join(fresh.withColumnRenamed("src_ip", "y"), "y", "left_semi").select(F.col("x").alias("src_ip"))
-        leads = leads.unionByName(fresh)
-        open_ = saved(open_.join(fresh.unionByName(led), "src_ip", "left_anti"))
-    order = Window.partitionBy("x").orderBy(F.desc("score"), "y")
-    best = near.join(leads.withColumnRenamed("src_ip", "y"), "y", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    followers = best.join(leads.withColumnRenamed("src_ip", "x"), "x", "left_anti").select(F.col("x").alias("src_ip"), F.col("y").alias("leader"), "score")
-    return leads.select("src_ip", F.col("src_ip").alias("leader"), F.lit(1.0).alias("score")).unionByName(followers)
+    order = [F.col("first"), F.col("id")]
+    base = saved(P.flat(residue, "src_ip", first=F.col("first_seen")))
+    weights = [cfg.weights[d] for d in DIMENSIONS]
+    leads, open_ = [], base
+    while True:
+        some = saved(open_.orderBy(*order).limit(chunk))
+        if some.isEmpty():
+            break
+        fresh = saved(in_arrow(some.coalesce(1), partial(P.first_leaders, least=cfg.uncertain_threshold, weights=weights), base.schema))
+        leads.append(fresh)
+        rest = saved(open_.join(some.select("id"), "id", "left_anti"))
+        if rest.isEmpty():
+            break
+        led = _meet(rest, fresh, partial(P.led, least=cfg.uncertain_threshold), "src_ip string", cfg)
+        open_ = saved(rest.join(led.select(F.col("src_ip").alias("id")), "id", "left_anti"))
+    if not leads:
+        return base.select(F.col("id").alias("src_ip"), F.col("id").alias("leader"), F.lit(1.0).alias("score"))
+    leaders = saved(reduce(DataFrame.unionByName, leads))
+    followers = base.join(leaders.select("id"), "id", "left_anti")
+    near = _meet(followers, leaders, partial(P.best_leader, least=cfg.uncertain_threshold), "src_ip string, leader string, score double", cfg)
+    joined = near.groupBy("src_ip").agg(F.min_by(F.struct("leader", "score"), F.struct(-F.col("score"), F.col("leader"))).alias("m")).select("src_ip", "m.*")
+    return leaders.select(F.col("id").alias("src_ip"), F.col("id").alias("leader"), F.lit(1.0).alias("score")).unionByName(joined)
+
+
+def _meet(rows: DataFrame, leaders: DataFrame, take: Callable, schema: str, cfg: Config) -> DataFrame:
+    """What ``take`` makes of rows of :func:`blocks.flat` against leaders."""
+    right = P.packed(leaders, dealt=False)
+    return P.compared(P.packed(rows), right, take, schema, cfg, broadcast=fits(right))
 
 
 def open_campaigns(seeds: DataFrame, fingerprints: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -33,9 +33,14 @@ def _reps(spark, d, fps):
     return K.representatives(A.members(spark, d), fps).join(live, "campaign_id", "left_semi")
 
 
-def _scored(spark, d):
+def _sides(spark, d):
+    """(fingerprints, representatives of live campaigns): what is compared."""
     fps = _fps(spark, d)
-    return K.score_candidates(fps, _reps(spark, d, fps))
+    return fps, _reps(spark, d, fps)
+
+
+def _scored(spark, d):
+    return K.score_candidates(*_sides(spark, d))
 
 
 def _history(spark, d):
@@ -106,7 +111,7 @@ def actor_campaigns(spark, d):
 
 @register("C7", B + O.SCORED + "SELECT src_ip, campaign_id, timing_similarity, sequence_similarity, protocol_similarity, credential_similarity, target_similarity, score FROM scored")
 def score_candidates(spark, d):
-    return _scored(spark, d).drop("dimensions_used")
+    return K.score_candidates(*_sides(spark, d), columns=K.SCORES[:-1])
 
 
 _PAIRS = """
