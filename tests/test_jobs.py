@@ -704,3 +704,15 @@ def test_edit_distances_of_blocks(longest, symbols):
     left, right = (allpairs.Lists(pa.array(x, pa.list_(pa.string()))) for x in sides)
     found = allpairs._wide(allpairs.edit_distances(left, right), right.kind, left.kind)
     assert found.tolist() == [[distance(a, b) for a in sides[0]] for b in sides[1]]
+
+
+def test_seeding_goes_on_in_rounds(spark):
+    """However few are settled in a round, the leaders and who joins them are the same."""
+    from trapline.sources import adapter
+    from trapline.sources.store import saved
+
+    events = adapter.events(spark, "/root/testdata/sf0.001").where("u % 4 < 2")
+    first = events.where("src_ip is not null").groupBy("src_ip").agg(F.min("ts").alias("first_seen"))
+    fps = saved(features.fingerprints(events).join(first, "src_ip"))
+    ask = lambda **more: sorted(map(tuple, clustering.seed_campaigns(fps, Config(uncertain_threshold=0.75), **more).collect()))
+    assert ask(chunk=3) == ask() and len(ask()) > 5
