@@ -706,6 +706,28 @@ def test_edit_distances_of_blocks(longest, symbols):
     assert found.tolist() == [[distance(a, b) for a in sides[0]] for b in sides[1]]
 
 
+def test_suggestions_are_the_best_of_all_pairs(spark, monkeypatch):
+    """Over several blocks: each pair once, ties by the ids, none under a common actor, all of them counted."""
+    from trapline.operators import blocks
+    from trapline.sources import adapter
+    from trapline.sources.store import saved
+
+    fps = features.fingerprints(adapter.events(spark, "/root/testdata/sf0.001"))
+    ids = F.concat(F.lit("c"), F.regexp_replace("src_ip", r"[0-9]+\.", ""))
+    one_ = fps.withColumn("campaign_id", ids).select("campaign_id", *DIMENSIONS)
+    reps = saved(one_.unionByName(one_.withColumn("campaign_id", F.concat(F.lit("b"), "campaign_id"))))
+    named = sorted(r.campaign_id for r in reps.select("campaign_id").collect())
+    lineage = spark.createDataFrame([("l1", "a1", named[0]), ("l2", "a1", named[3]), ("l3", "a2", named[3]), ("l4", "a2", named[5]), ("l5", "a3", "none"), ("l6", None, named[1]), ("l7", None, named[2])], "id string, actor_id string, campaign_id string")
+    scored = clustering.compare(actors.campaign_pairs(reps, lineage), "x", "y").select("a", "b", "score", S.relationship_hint(*(F.col(f"{d}_similarity") for d in DIMENSIONS[:3])).alias("hint")).collect()
+    want = sorted(((r.a, r.b, r.score, r.hint, len(scored)) for r in scored if r.score >= 0.5), key=lambda r: (-r[2], r[0], r[1]))
+    assert len(scored) == len(named) * (len(named) - 1) // 2 - 2
+    for rows in (512, 5):
+        monkeypatch.setattr(blocks, "ROWS", rows)
+        for limit in (7, 1000):
+            found = [tuple(r) for r in actors.suggestions(reps, lineage, min_score=0.5, limit=limit).collect()]
+            assert found == want[:limit] and len(found) > 5
+
+
 def test_seeding_goes_on_in_rounds(spark):
     """However few are settled in a round, the leaders and who joins them are the same."""
     from trapline.sources import adapter

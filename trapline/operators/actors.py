@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.config import DEFAULT, DIMENSIONS, Config
-from trapline.functions.similarity import relationship_hint, round6
-from trapline.operators.clustering import as_struct, compare
+from trapline.functions.similarity import round6
+from trapline.operators import blocks as P
+from trapline.operators.clustering import as_struct, fits
 from trapline.sources.store import saved
 
 RELATIONSHIPS = ("primary_campaign", "infrastructure_reuse", "tactic_match", "temporal_overlap")
@@ -59,14 +62,18 @@ def campaign_pairs(campaigns: DataFrame, lineage: DataFrame) -> DataFrame:
 
 
 def suggestions(campaigns: DataFrame, lineage: DataFrame, cfg: Config = DEFAULT, min_score: float | None = None, limit: int | None = None) -> DataFrame:
-    """The most similar pairs, with a hint and how many pairs were compared; global weights always."""
+    """The most similar pairs not yet under one actor, with a hint and how many pairs were compared; global weights always.
+
+    Of two blocks of campaigns only the best pairs and their number leave a task. A campaign
+    has its actors with it, so that pairs under one need no list of their own.
+    """
     least = cfg.suggestion_score if min_score is None else min_score
-    scored = saved(compare(campaign_pairs(campaigns, lineage), "x", "y", cfg).select("a", "b", "score", *(f"{d}_similarity" for d in DIMENSIONS[:3])))
-    hint = relationship_hint(*(F.col(f"{d}_similarity") for d in DIMENSIONS[:3]))
-    return (
-        scored.where(F.col("score") >= least).select("a", "b", "score", hint.alias("hint"), F.lit(scored.count()).cast("long").alias("pairs_evaluated"))
-        .orderBy(F.desc("score"), "a", "b").limit(cfg.suggestion_limit if limit is None else limit)
-    )
+    limit = cfg.suggestion_limit if limit is None else limit
+    own = lineage.groupBy("campaign_id").agg(F.collect_set("actor_id").cast("array<string>").alias("actors"))
+    all_ = P.packed(P.flat(campaigns.join(own, "campaign_id", "left"), "campaign_id", actors=F.col("actors")))
+    found = saved(P.compared(all_, all_, partial(P.top, least=least, limit=limit), "a string, b string, score double, hint string, n long", cfg, broadcast=fits(all_), once=True))
+    n = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    return found.where("a is not null").select("a", "b", "score", "hint", F.lit(n).cast("long").alias("pairs_evaluated")).orderBy(F.desc("score"), "a", "b").limit(limit)
 
 
 def actor_stability(actors: DataFrame, lineage: DataFrame, stabilities: DataFrame) -> DataFrame:
