@@ -738,3 +738,24 @@ def test_seeding_goes_on_in_rounds(spark):
     fps = saved(features.fingerprints(events).join(first, "src_ip"))
     ask = lambda **more: sorted(map(tuple, clustering.seed_campaigns(fps, Config(uncertain_threshold=0.75), **more).collect()))
     assert ask(chunk=3) == ask() and len(ask()) > 5
+
+
+def test_best_candidates_and_sums_are_those_of_all_pairs(spark):
+    from trapline.sources import adapter
+    from trapline.sources.store import saved
+
+    fps = saved(features.fingerprints(adapter.events(spark, "/root/testdata/sf0.001")))
+    reps = fps.withColumn("campaign_id", F.concat(F.lit("c"), "src_ip"))
+    reps = saved(reps.unionByName(reps.withColumn("campaign_id", F.concat(F.lit("b"), "src_ip"))))
+    taught = reps.where("src_ip like '%5'").select("campaign_id", *(F.lit(w).alias(f"w_{d}") for d, w in zip(DIMENSIONS, (0.6, 0.1, 0.1, 0.1, 0.1), strict=True)))
+    every = saved(clustering.score_candidates(fps, reps, profiles=taught))
+    rows = every.collect()
+    best = {}
+    for r in sorted(rows, key=lambda r: (-r.score, r.campaign_id)):
+        if r.score >= DEFAULT.uncertain_threshold:
+            best.setdefault(r.src_ip, r)
+    assert {r.src_ip: r for r in clustering.best_candidates(fps, reps, profiles=taught).collect()} == best and best
+    means = every.groupBy("campaign_id").agg(*(S.exact_mean(F.col(f"{d}_similarity"), 5).alias(f"{d}_similarity") for d in DIMENSIONS))
+    assert sorted(map(tuple, clustering.mean_similarities(fps, reps, 5).collect())) == sorted(map(tuple, means.collect()))
+    hint = S.relationship_hint(*(F.col(f"{d}_similarity") for d in DIMENSIONS[:3]))
+    assert sorted(map(tuple, clustering.hint_counts(fps, reps).collect())) == sorted(map(tuple, every.groupBy(hint.alias("hint")).agg(F.count("*").alias("n")).collect()))

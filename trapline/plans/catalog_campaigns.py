@@ -381,7 +381,7 @@ assigned AS (SELECT src_ip, CASE WHEN sparse THEN 'skipped_sparse' WHEN own IS N
 def _decided(spark, d):
     """(decisions, fingerprints): all sources against the campaigns, with the weights that reviews taught."""
     fps, members, campaigns = _fps(spark, d), A.members(spark, d), A.campaigns(spark, d)
-    scored = K.score_candidates(K.unassigned(fps, members), _reps(spark, d, fps), profiles=V.weight_profiles(A.observations(spark, d)))
+    scored = K.best_candidates(K.unassigned(fps, members), _reps(spark, d, fps), profiles=V.weight_profiles(A.observations(spark, d)))
     return K.assign(fps, scored, campaigns, members, LATER), fps
 
 

@@ -228,7 +228,7 @@ def follow_batch(batch: DataFrame, number: int, root: str, now: str, cfg: Config
     unmatched = fps.where(F.col("confidence") >= cfg.min_confidence)
     if campaigns is not None:
         live = campaigns.where("status <> 'historical'").select(F.col("id").alias("campaign_id"))
-        scored = clustering.score_candidates(clustering.unassigned(fps, members), reps.join(live, "campaign_id", "left_semi"), cfg, weights)
+        scored = clustering.best_candidates(clustering.unassigned(fps, members), reps.join(live, "campaign_id", "left_semi"), cfg, weights)
         decided = store.saved(clustering.assign(fps, scored, campaigns, members, now, cfg))
         seen = clustering.new_observations(decided, now)
         keep(seen.withColumn("id", F.sha2(F.concat_ws("/", "campaign_id", "source_ip", F.lit(number)), 256)), "observations")
