@@ -311,8 +311,8 @@ def edit_similarity(spark, d):
 
 @register("H10", B + O.SCORED + "SELECT campaign_id, round(avg(timing_similarity), 5) AS t, round(avg(sequence_similarity), 5) AS s, round(avg(protocol_similarity), 5) AS p, round(avg(credential_similarity), 5) AS c, round(avg(target_similarity), 5) AS g FROM scored GROUP BY 1")
 def dimension_similarities(spark, d):
-    names = dict(zip("tspcg", DIMENSIONS, strict=True))
-    return _scored(spark, d).groupBy("campaign_id").agg(*(S.exact_mean(F.col(f"{x}_similarity"), 5).alias(k) for k, x in names.items()))
+    names = zip("tspcg", DIMENSIONS, strict=True)
+    return K.mean_similarities(*_sides(spark, d), 5).select("campaign_id", *(F.col(f"{x}_similarity").alias(k) for k, x in names))
 
 
 @register("H11", B + O.SCORED + "SELECT src_ip, campaign_id, score FROM scored")
