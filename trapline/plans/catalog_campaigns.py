@@ -317,7 +317,7 @@ def dimension_similarities(spark, d):
 
 @register("H11", B + O.SCORED + "SELECT src_ip, campaign_id, score FROM scored")
 def weighted_similarity(spark, d):
-    return _scored(spark, d).select("src_ip", "campaign_id", "score")
+    return K.score_candidates(*_sides(spark, d), columns=["score"])
 
 
 @register("H12", B + O.SCORED + """
