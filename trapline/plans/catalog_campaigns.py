@@ -50,10 +50,6 @@ def _sides(spark, d):
     return fps, _reps(spark, d, fps)
 
 
-def _scored(spark, d):
-    return K.score_candidates(*_sides(spark, d))
-
-
 def _history(spark, d):
     """Weekly snapshots with the campaign that their source was in at the time."""
     versions = A.member_versions(spark, d)
@@ -325,8 +321,7 @@ SELECT CASE WHEN coalesce(sequence_similarity, 0) >= 0.85 AND coalesce(timing_si
   WHEN coalesce(timing_similarity, 0) >= 0.8 AND coalesce(sequence_similarity, 0) < 0.7 THEN 'infrastructure_reuse'
   WHEN coalesce(protocol_similarity, 0) >= 0.8 THEN 'tactic_match' ELSE 'temporal_overlap' END AS hint, count(*) AS n FROM scored GROUP BY 1""")
 def relationship_hints(spark, d):
-    hint = S.relationship_hint(*(F.col(f"{x}_similarity") for x in DIMENSIONS[:3]))
-    return _scored(spark, d).groupBy(hint.alias("hint")).agg(F.count("*").alias("n"))
+    return K.hint_counts(*_sides(spark, d))
 
 
 _HEX = "('0x' || substr(h, {}, {}))::UBIGINT"
