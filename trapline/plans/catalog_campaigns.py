@@ -28,8 +28,8 @@ def _fps(spark, d):
     return saved(X.fingerprints(_stored(spark, d)))
 
 
-def _live(spark, d):
-    return A.campaigns(spark, d).where("has_fingerprint and status <> 'historical'").select(F.col("id").alias("campaign_id"))
+def _live(spark, d, campaigns=None):
+    return (A.campaigns(spark, d) if campaigns is None else campaigns).where("has_fingerprint and status <> 'historical'").select(F.col("id").alias("campaign_id"))
 
 
 def _reps(spark, d, fps):
@@ -374,10 +374,15 @@ assigned AS (SELECT src_ip, CASE WHEN sparse THEN 'skipped_sparse' WHEN own IS N
 
 
 def _decided(spark, d):
-    """(decisions, fingerprints): all sources against the campaigns, with the weights that reviews taught."""
-    fps, members, campaigns = _fps(spark, d), A.members(spark, d), A.campaigns(spark, d)
-    scored = K.best_candidates(K.unassigned(fps, members), _reps(spark, d, fps), profiles=V.weight_profiles(A.observations(spark, d)))
-    return K.assign(fps, scored, campaigns, members, LATER), fps
+    """(decisions, fingerprints, members, campaigns, representatives): all sources against the campaigns, with the weights that reviews taught.
+
+    Members, campaigns and decisions are written once, as each is read several times.
+    """
+    fps, members = _fps(spark, d), saved(A.members(spark, d))
+    campaigns = saved(A.campaigns(spark, d, members))
+    reps = saved(K.representatives(members, fps).join(_live(spark, d, campaigns), "campaign_id", "left_semi"))
+    scored = K.best_candidates(K.unassigned(fps, members), reps, profiles=V.weight_profiles(A.observations(spark, d)))
+    return saved(K.assign(fps, scored, campaigns, members, LATER)), fps, members, campaigns, reps
 
 
 _EXPLAINED = [*(f"{x}_similarity" for x in DIMENSIONS), "dimensions_used"]
@@ -385,7 +390,7 @@ _EXPLAINED = [*(f"{x}_similarity" for x in DIMENSIONS), "dimensions_used"]
 
 @register("H17", _recursive(B + _ASSIGN) + "SELECT * FROM assigned")
 def assign_campaigns(spark, d):
-    found, _ = _decided(spark, d)
+    found = _decided(spark, d)[0]
     return found.select("src_ip", "decision", "campaign_id", "score", F.col("threshold").cast("double").alias("threshold"), "is_reactivation", "gap_days", "event_count", *(f"explanation.{c}" for c in _EXPLAINED))
 
 
@@ -398,14 +403,16 @@ SELECT id, CASE WHEN coalesce(re, false) THEN 'reactivated' ELSE status END AS s
   CASE WHEN NOT coalesce(re, false) THEN dormant_since END AS dormant_since, reactivation_count + coalesce(re, false)::INT AS reactivation_count,
   member_ip_count + coalesce(dl.n, 0) AS member_ip_count, representative_ip FROM campaigns c LEFT JOIN dl USING (id)""")
 def apply_associations(spark, d):
-    return K.apply_associations(A.campaigns(spark, d), _decided(spark, d)[0], LATER)
+    found, _, _, campaigns, _ = _decided(spark, d)
+    return K.apply_associations(campaigns, found, LATER)
 
 
 @register("H19_members", _recursive(B + _ASSIGN) + f"""
 SELECT campaign_id, source_ip, added_at, CASE WHEN (campaign_id, source_ip) IN (SELECT (campaign_id, src_ip) FROM assigned WHERE decision = 'existing_member') THEN TIMESTAMP '{LATER}' ELSE last_active END AS last_active, confidence FROM members
 UNION ALL SELECT campaign_id, src_ip, TIMESTAMP '{LATER}', TIMESTAMP '{LATER}', score FROM assigned WHERE {_LINKED}""")
 def next_members(spark, d):
-    return K.next_members(A.members(spark, d), _decided(spark, d)[0], LATER)
+    found, _, members, _, _ = _decided(spark, d)
+    return K.next_members(members, found, LATER)
 
 
 @register("H19_observations", _recursive(B + _ASSIGN) + f"""
@@ -420,8 +427,8 @@ all_ AS (SELECT campaign_id, b FROM rep WHERE campaign_id NOT IN (SELECT campaig
   UNION ALL SELECT n.campaign_id, {O._FIVE} FROM newest n JOIN fps USING (src_ip))
 SELECT campaign_id, b.timing.interval_mean AS interval_mean, array_to_string(b.sequence.port_sequence, ',') AS ports FROM all_""")
 def new_representatives(spark, d):
-    found, fps = _decided(spark, d)
-    new = K.new_representatives(_reps(spark, d, fps), found, fps)
+    found, fps, _, _, reps = _decided(spark, d)
+    new = K.new_representatives(reps, found, fps)
     return new.select("campaign_id", "timing.interval_mean", F.array_join(F.transform("sequence.port_sequence", lambda p: p.cast("string")), ",").alias("ports"))
 
 

@@ -136,9 +136,9 @@ def member_versions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = Non
     return first.select("source_ip", F.inline(steps))
 
 
-def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One campaign for ten sources: id, status, first/last seen, dormant_since, counts, has_fingerprint."""
-    m = members(spark, sf_dir)
+def campaigns(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
+    """One campaign for ten sources: id, status, first/last seen, dormant_since, counts, has_fingerprint; ``m`` are their members, if at hand."""
+    m = m if m is not None else members(spark, sf_dir)
     number = F.substring("campaign_id", 2, 9).cast("int")
     return (
         m.groupBy("campaign_id")
